@@ -37,18 +37,17 @@ class Band:
 
 #: Bands of the default vocabulary, wide enough for labelled good text of each language (see README).
 BANDS: Mapping[str, Band] = {
-    "en": Band(2.05, 3.80, 0.02, 0.55),
-    "fr": Band(1.75, 3.40, 0.25, 0.55),
-    "de": Band(1.75, 3.40, 0.25, 0.55),
-    "es": Band(1.75, 3.40, 0.25, 0.55),
+    "en": Band(2.30, 3.20, 0.05, 0.705),
+    "fr": Band(1.95, 2.70, 0.25, 0.675),
+    "de": Band(2.15, 2.85, 0.15, 0.695),
+    "es": Band(1.90, 2.70, 0.25, 0.665),
 }
-SCRIPT_BANDS: Mapping[str, Band] = {"latin": Band(1.5, 6.0, 0.25, 0.5), "other": Band(0.2, 4.0, 1.0, 0.4)}
+SCRIPT_BANDS: Mapping[str, Band] = {"latin": Band(1.5, 6.0, 0.3, 0.6), "other": Band(0.2, 4.0, 1.0, 0.4)}
 EVEN_BITS = 9
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, evenness double, band string"
 
 
 def _measure(batches: Iterator[pa.RecordBatch], vocabularies, bands, script_bands) -> Iterator[pa.RecordBatch]:
-    names = sorted(bands), sorted(script_bands)
     table = {k: v for k, v in [*bands.items(), *script_bands.items()]}
     for batch in slices(batches):
         text = batch.column("text")
@@ -83,7 +82,6 @@ def _measure(batches: Iterator[pa.RecordBatch], vocabularies, bands, script_band
             [batch.column("doc_id").cast(pa.int64()), *(pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & passed), pa.array(np.round(tokens).astype(np.int64)), pa.array(per_token), pa.array(fallback), pa.array(entropy), pa.array(even), pa.array(lang, pa.string())],
             [x.split()[0] for x in SCHEMA.split(", ")],
         )
-    del names
 
 
 def quality_rules(docs: DataFrame, vocabularies: list[str] | None = None, bands: Mapping[str, Band] = BANDS, script_bands: Mapping[str, Band] = SCRIPT_BANDS) -> DataFrame:
