@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, binary_array, default_partitions, distinct_by_doc, materialize, mix, shingles, slices, text_bytes, words
+from tessera.llm.common import Hasher, binary_array, broadcast_if_small, default_partitions, distinct_by_doc, materialize, mix, shingles, slices, text_bytes, words
 from tessera.llm.components import connected_components
 
 #: Bands of MinHash values and values in a band: at similarity 0.8 all bands miss a pair with probability 3e-8.
@@ -171,7 +171,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
     sizes = sizes.select("label", F.greatest(F.ceil(F.col("_n") / BLOCK_TEXTS), F.ceil(F.col("_g") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     members = placed.join(sizes, "label").select(F.col("node").alias("rep"), "label", "blocks", "weight", "sig", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
     # n-gram sets of the members alone, from their whole texts; doc_id may repeat, so the set's own number is checked
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep")
+    wanted = broadcast_if_small(groups.select(F.col("node").alias("_rep")))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, F.col("rep") == F.col("_rep"), "left_semi").join(members, "rep")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -214,5 +215,5 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group, and those without a doc_id; the columns of docs."""
-    drop = jaccard_join(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")
+    drop = materialize(jaccard_join(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct(), "later-near-copies")
+    return docs.join(broadcast_if_small(drop), docs["doc_id"] == F.col("_drop"), "left_anti")

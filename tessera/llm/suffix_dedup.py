@@ -204,6 +204,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     keyed = docs.withColumn("_sha_of", sha)
     same = keyed.join(few, F.xxhash64("_sha_of") == F.col("_t"), "left_anti").select(*docs.columns)
-    new = keyed.join(few, F.xxhash64("_sha_of") == F.col("_t"), "left_semi").join(changed, F.col("_sha_of") == F.col("_sha")).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("kept_text").alias(c) if c == "text" else F.char_length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    new = keyed.join(few, F.xxhash64("_sha_of") == F.col("_t"), "left_semi").join(changed, F.col("_sha_of") == F.col("_sha"), "left")
+    new = new.where(F.col("_sha").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    left = F.coalesce("kept_text", "text")  # a text whose digest shares 64 bits with a changed one stays as it is
+    columns = [left.alias(c) if c == "text" else F.when(F.col("_sha").isNull(), F.col(c)).otherwise(F.char_length("kept_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return same.unionByName(new.select(*columns))
