@@ -52,12 +52,29 @@ def _at_exit() -> None:
             return
 
 
+#: Makes Spark delete the shuffle files of a write when it is over, instead of when the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes Parquet to the shared folder and reads it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing to be computed reads any more."""
+    for table in tables:
+        delete_path(table.sparkSession, table._scratch)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

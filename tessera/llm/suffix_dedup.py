@@ -16,6 +16,7 @@ texts (repeated rows too) of ``length`` bytes or more lose everything; an empty
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, broadcast_if_small, materialize, mix, ragged, slices, text_bytes
+from tessera.llm.common import Hasher, broadcast_if_small, discard, materialize, mix, ragged, slices, text_bytes
 
 #: Bytes whose hash decides which positions are held.
 GRAM = 16
-#: Starts of one range, level by level; the first is ``window``.
-PARTS = (1, 8, 0)
+#: Into how many ranges a range is cut, level by level; 0: into single starts.
+STEPS = (4, 4, 4, 0)
 
 
 def held_positions(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, window: int) -> np.ndarray:
@@ -64,7 +65,7 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Ite
         name = hasher(at[inner], at[inner + 1] + GRAM)
         first = np.searchsorted(doc, doc)
         tid = batch.column("tid").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(tid[doc[inner]]), pa.array((inner - first[inner]).astype(np.int32)), pa.array(at[inner] - offsets[doc[inner]]), pa.array(name.view(np.int64))], ["tid", "i", "at", "name"])
+        yield pa.RecordBatch.from_arrays([pa.array(tid[doc[inner]]), pa.array((inner - first[inner]).astype(np.int32)), pa.array((at[inner] - offsets[doc[inner]]).astype(np.int32)), pa.array(name.view(np.int64))], ["tid", "i", "at", "name"])
 
 
 def _twice(rows: DataFrame, *keys: str) -> DataFrame:
@@ -80,13 +81,13 @@ def _ranges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         cells = batch.column("ranges")
         n = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
         flat = cells.flatten()
-        at, d1, d2 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "d1", "d2"))
+        at, d1, d2, w = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "d1", "d2", "w"))
         doc = np.repeat(np.arange(len(n)), n)
         begin, end = offsets[doc], offsets[doc + 1]
         at = at + begin
         low, high = np.maximum(d1, at + length - end), np.minimum(d2, at - begin)
         some = low <= high
-        doc, begin, at, d1, d2, low, high = (x[some] for x in (doc, begin, at, d1, d2, low, high))
+        doc, begin, at, d1, d2, w, low, high = (x[some] for x in (doc, begin, at, d1, d2, w, low, high))
         lo, hi = at - high, at + length - low
         middle = lo + length // 2
         f1 = mix(hasher(lo, middle) + (low * 65_537 + high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -94,17 +95,17 @@ def _ranges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         c = hasher(at - d1, at + length - d2)
         tid = batch.column("tid").to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tid[doc]), *(pa.array(x) for x in (at - begin, d1, d2, lo - begin, hi - begin)), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))],
-            ["tid", "at", "d1", "d2", "lo", "hi", "f1", "f2", "c"],
+            [pa.array(tid[doc]), *(pa.array(x.astype(np.int32)) for x in (at - begin, d1, d2, lo - begin, hi - begin, w)), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))],
+            ["tid", "at", "d1", "d2", "lo", "hi", "w", "f1", "f2", "c"],
         )
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Digests (doc_id, sha, n_bytes of every row), spans (sha, spans: list of lo, hi) of texts with repeats that aren't
     repeated whole, and copied (sha of texts of ``length`` bytes or more that two rows or more have)."""
-    window = (length - GRAM) // 4
+    window = (length - GRAM) // 3
     if window < 8:
-        raise ValueError("length must be 48 or more")
+        raise ValueError("length must be 40 or more")
     text = F.coalesce(F.col("text"), F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
     digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
@@ -115,38 +116,47 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     texts = docs.where(F.octet_length("text") >= length).select("doc_id", "text").join(broadcast_if_small(later), F.col("doc_id") == F.col("_later"), "left_anti")
     texts = texts.select(F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)).alias("tid"), "text")
 
-    phrases = materialize(texts.mapInArrow(lambda it: _phrases(it, length, window), "tid long, i int, at long, name long"), "phrases")
-    ranked = materialize(phrases.join(_twice(phrases, "name"), "name", "left_semi").select("tid", "i", "at", F.col("name").alias("rank")).distinct(), "ranks-1")
+    phrases = materialize(texts.mapInArrow(lambda it: _phrases(it, length, window), "tid long, i int, at int, name long"), "phrases")
+    names = materialize(_twice(phrases, "name").select(F.col("name").alias("_name")), "names-found-twice")
+    ranked = materialize(phrases.join(broadcast_if_small(names), F.col("name") == F.col("_name"), "left_semi").select("tid", "i", "at", F.col("name").alias("rank")).distinct(), "ranks-1")
+    discard(phrases, names)
     # every string of length bytes holds a run of two phrases, so one doubling is what all repeats must share
     offset = 1
     while offset < 2:
         on = ranked.select("tid", (F.col("i") - offset).alias("i"), F.col("rank").alias("next"))
-        pairs = ranked.join(on, ["tid", "i"]).select("tid", "i", "at", F.xxhash64("rank", "next").alias("rank"))
-        pairs = materialize(pairs, f"pairs-{2 * offset}")
+        pairs = materialize(ranked.join(on, ["tid", "i"]).select("tid", "i", "at", F.xxhash64("rank", "next").alias("rank")), f"pairs-{2 * offset}")
+        discard(ranked)
         ranked = materialize(pairs.join(_twice(pairs, "rank"), "rank", "left_semi").select("tid", "i", "at", "rank"), f"ranks-{2 * offset}")
+        discard(pairs)
         offset *= 2
 
     wanted = materialize(ranked.select(F.col("tid").alias("_tid")).distinct(), "texts-with-repeats")
     kept = texts.join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
     kept = materialize(kept, "candidate-texts")
-    zero = F.lit(0).cast("long")
-    ranges = ranked.select("tid", "at", zero.alias("d1"), F.lit(window - 1).cast("long").alias("d2"))
-    spans = []
-    for parts in PARTS:
-        listed = ranges.groupBy("tid").agg(F.collect_list(F.struct("at", "d1", "d2")).alias("ranges"))  # as many as the text has positions
-        rows = kept.join(listed, "tid").mapInArrow(lambda it: _ranges(it, length), "tid long, at long, d1 long, d2 long, lo long, hi long, f1 long, f2 long, c long")
-        rows = materialize(rows, "ranges")
-        sure = _twice(rows, "f1", "f2").withColumn("sure", F.lit(True))
-        judged = materialize(rows.join(sure, ["f1", "f2"], "left").select("tid", "at", "d1", "d2", "lo", "hi", "c", F.coalesce("sure", F.lit(False)).alias("sure")), "judged")
-        spans.append(judged.where("sure").select("tid", "lo", "hi"))
-        if not parts:
+    spans, before, width = [], ranked, window
+    ranges = ranked.select("tid", "at", F.lit(0).alias("d1"), F.lit(window - 1).alias("d2"), F.lit(1).alias("w"))
+    for parts in (*STEPS, None):
+        listed = ranges.groupBy("tid").agg(F.collect_list(F.struct("at", "d1", "d2", "w")).alias("ranges"))  # as many as the text has positions
+        rows = materialize(kept.join(listed, "tid").mapInArrow(lambda it: _ranges(it, length), "tid long, at int, d1 int, d2 int, lo int, hi int, w int, f1 long, f2 long, c long"), "ranges")
+        discard(before)
+        sure = rows.groupBy("f1", "f2").agg(F.sum("w").alias("_n")).where("_n > 1").select("f1", "f2", F.lit(True).alias("sure"))
+        if parts is None:
+            spans.append(materialize(rows.join(sure, ["f1", "f2"], "left_semi").select("tid", "lo", "hi"), "spans"))
+            discard(rows)
             break
+        judged = materialize(rows.join(sure, ["f1", "f2"], "left").withColumn("sure", F.coalesce("sure", F.lit(False))), "judged")
+        discard(rows)
+        spans.append(materialize(judged.where("sure").select("tid", "lo", "hi"), "spans"))
+        before = judged
         # a shared part that only one text has settles its range; so does one whose ranges are all sure
-        open_ = judged.groupBy("c").agg(F.count("*").alias("_n"), F.sum((~F.col("sure")).cast("long")).alias("_u")).where("_n > 1 and _u > 0").select("c")
+        open_ = judged.groupBy("c").agg(F.sum("w").alias("_n"), F.sum((~F.col("sure")).cast("long")).alias("_u")).where("_n > 1 and _u > 0").select("c")
         more = judged.join(open_, "c", "left_semi")
-        step = F.lit(-(-window // 8) if parts == 1 else 1).cast("long")
-        ranges = more.select("tid", "at", "d2", F.explode(F.sequence("d1", "d2", step)).alias("d1")).select("tid", "at", "d1", F.least(F.col("d1") + step - 1, "d2").alias("d2"))
-    every = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+        # of sure ranges with the same bytes one goes on, for two
+        stand_in = more.where("sure").groupBy("f1", "f2").agg(F.min(F.struct("tid", "at", "d1", "d2")).alias("s")).select("s.tid", "s.at", "s.d1", "s.d2", F.lit(2).alias("w"))
+        more = more.where("not sure").select("tid", "at", "d1", "d2", "w").unionByName(stand_in)
+        width = -(-width // parts) if parts else 1
+        ranges = more.select("tid", "at", "d2", "w", F.explode(F.sequence("d1", "d2", F.lit(width))).alias("d1")).select("tid", "at", "d1", F.least(F.col("d1") + (width - 1), "d2").alias("d2"), "w")
+    every = functools.reduce(DataFrame.unionByName, spans).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     return digests, kept.join(every, "tid"), copies
 
 
