@@ -1,9 +1,401 @@
-"""Query catalogue."""
+"""Queries of the surrogate-model operators over the driver's tables, each with SQL that an independent engine runs."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tessera.functions.quantiles import central_z
+from tessera.operators import design, explain, forecast, frames, metrics, models
+from tessera.streaming.windows import windowed_series
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def line_outputs(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("charge"))
+    return frames.to_long(li, ["l_orderkey", "x"], ["net", "charge"])
+
+
+def line_predictions(spark, d) -> DataFrame:
+    train, test = frames.hash_split(line_outputs(spark, d), "l_orderkey")
+    return models.ols_predict(test, models.ols_fit(train)).select("output", "x", "y_true", "y_pred", "y_std")
+
+
+LINE = """with src as (select l_orderkey, l_extendedprice as x, l_extendedprice*(1-l_discount) as net, l_extendedprice*(1-l_discount)*(1+l_tax) as charge from lineitem),
+lng as (select l_orderkey, x, 'net' as output, net as y from src union all select l_orderkey, x, 'charge', charge from src),
+fit as (select output, regr_intercept(y, x) as a, regr_slope(y, x) as b, sqrt(greatest(regr_syy(y, x)/count(*)*(1-regr_r2(y, x)), 0)) as s from lng where l_orderkey % 4 <> 0 group by output),
+p as (select lng.output, x, y as y_true, a+b*x as y_pred, s as y_std from lng join fit using (output) where l_orderkey % 4 = 0)
+"""
+
+
+def part_predictions(spark, d) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y_true"))
+    train, test = frames.hash_split(p, "row_id")
+    return models.ols_predict(test, models.ols_fit(train))
+
+
+PART = """with lng as (select p_partkey as row_id, 'price' as output, p_partkey::double as x, p_retailprice as y from part),
+fit as (select output, regr_intercept(y, x) as a, regr_slope(y, x) as b, sqrt(greatest(regr_syy(y, x)/count(*)*(1-regr_r2(y, x)), 0)) as s from lng where row_id % 4 <> 0 group by output),
+p as (select row_id, lng.output, x, y as y_true, a+b*x as y_pred, s as y_std from lng join fit using (output) where row_id % 4 = 0)
+"""
+_NLL = "avg(0.5*ln(2*pi()*y_std*y_std)+0.5*((y_true-y_pred)/y_std)*((y_true-y_pred)/y_std))"
+
+
+@query(LINE + f"select output, count(*)::bigint as n, round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),6) as rmse, round(avg(abs(y_true-y_pred)),6) as mae, round(1-sum((y_true-y_pred)*(y_true-y_pred))/(var_pop(y_true)*count(*)),6) as r2, round({_NLL},6) as nll, round(sqrt(avg(y_std*y_std)),6) as sharpness, round(avg(y_std),6) as mean_predicted_std from p group by grouping sets ((output), ())")
+def ols_multioutput_metrics(spark, d):
+    return rounded(metrics.uq_metrics(line_predictions(spark, d)))
+
+
+@query(LINE + "select output, round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),6) as rmse, round(avg(abs(y_true-y_pred)),6) as mae, round(avg(y_std),6) as avg_std from p group by output")
+def uq_metrics_nested_flat(spark, d):
+    r = F.col("y_true") - F.col("y_pred")
+    nested = line_predictions(spark, d).groupBy("output").agg(F.struct(F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae")).alias("accuracy"), F.struct(F.avg("y_std").alias("avg_std")).alias("sharpness"))
+    return rounded(frames.flatten_structs(nested).select("output", "rmse", "mae", "avg_std"))
+
+
+@query("with g as (select l_returnflag, l_linestatus, avg(l_extendedprice) as m, stddev_pop(l_extendedprice) as s from lineitem group by all) select l_returnflag, l_linestatus, count(*)::bigint as n, round(max(m),6) as y_pred, round(max(s),6) as y_std, round(sqrt(avg((l_extendedprice-m)*(l_extendedprice-m))),6) as rmse from lineitem join g using (l_returnflag, l_linestatus) group by all")
+def group_mean_surrogate(spark, d):
+    li, by = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
+    g = li.groupBy(*by).agg(F.avg("l_extendedprice").alias("m"), F.stddev_pop("l_extendedprice").alias("s"))
+    return rounded(li.join(F.broadcast(g), by).groupBy(*by).agg(F.count("*").alias("n"), F.max("m").alias("y_pred"), F.max("s").alias("y_std"), F.sqrt(F.avg(F.pow(F.col("l_extendedprice") - F.col("m"), 2))).alias("rmse")))
+
+
+_LV = ", ".join(f"({p}::double, {central_z(p)!r}::double)" for p in metrics.LEVELS)
+
+
+@query(LINE + f"select output, level, round(avg((abs(y_true-y_pred)/y_std <= z)::int::double),6) as empirical from p, (values {_LV}) v(level, z) group by output, level")
+def coverage_curve(spark, d):
+    return rounded(metrics.coverage(line_predictions(spark, d)))
+
+
+@query(LINE + "select output, round(avg((abs(y_true-y_pred) <= y_std)::int::double),6) as accuracy from p group by output")
+def interval_accuracy_1sigma(spark, d):
+    return rounded(line_predictions(spark, d).groupBy("output").agg(F.avg((F.abs(F.col("y_true") - F.col("y_pred")) <= F.col("y_std")).cast("double")).alias("accuracy")))
+
+
+_Z = ", ".join(f"({k}, {central_z(k / 99)!r}::double)" if k < 99 else "(99, 1e300::double)" for k in range(100))
+
+
+@query(LINE + f", c as (select output, k, k/99.0::double as e, avg((abs(y_true-y_pred)/y_std <= z)::int::double) as o from p, (values {_Z}) v(k, z) group by output, k), s as (select output, e, abs(e-o) as g, lead(e) over w as e2, lead(abs(e-o)) over w as g2 from c window w as (partition by output order by k)) select output, round(sum((e2-e)*(g+g2)/2),6) as miscal_area from s group by output")
+def calibration_area(spark, d):
+    return rounded(metrics.miscalibration_area(metrics.calibration(line_predictions(spark, d))))
+
+
+_Z95 = repr(central_z(0.95))
+
+
+@query(PART + f"select row_id, output, round(y_true,6) as y_true, round(y_pred,6) as y_pred, round(y_pred-{_Z95}*y_std,6) as lower, round(y_pred+{_Z95}*y_std,6) as upper from p")
+def confidence_band(spark, d):
+    return rounded(metrics.intervals(part_predictions(spark, d)))
+
+
+@query(PART + "select output, row_number() over (partition by output order by y_true, row_id)-1 as x, row_id, round(y_true,6) as y_true, round(y_pred,6) as y_pred, round(y_pred-2*y_std,6) as lower, round(y_pred+2*y_std,6) as upper from p")
+def ordered_intervals(spark, d):
+    return rounded(metrics.ordered_intervals(part_predictions(spark, d)))
+
+
+@query(LINE + ", r as (select output, y_pred, y_true-y_pred as r from p) select output, round(regr_slope(r, y_pred),6) as slope, round(regr_intercept(r, y_pred),6) as intercept, round(min(r)-0.1*(max(r)-min(r)+1e-8),6) as low, round(max(r)+0.1*(max(r)-min(r)+1e-8),6) as high, floor(min(y_pred))::bigint as x_low, ceil(max(y_pred))::bigint as x_high from r group by output")
+def residual_trend(spark, d):
+    return rounded(metrics.residual_trend(line_predictions(spark, d)))
+
+
+@query(PART + "select row_id, round(y_true-y_pred,6) as residual, round(y_pred-y_true,6) as error, round((y_true-y_pred)/stddev_pop(y_true-y_pred) over (),6) as z from p")
+def residual_table(spark, d):
+    p = part_predictions(spark, d)
+    r = F.col("y_true") - F.col("y_pred")
+    sd = p.groupBy("output").agg(F.stddev_pop(r).alias("sd"))
+    return rounded(p.join(F.broadcast(sd), "output").select("row_id", r.alias("residual"), (-r).alias("error"), (r / F.col("sd")).alias("z")))
+
+
+def _hist_sql(bins: int, value: str) -> str:
+    return f", v as (select output, {value} as v from p), e as (select output, min(v) as lo, max(v) as hi from v group by output), c as (select output, least({bins - 1}, floor((v-lo)/((hi-lo)/{bins}))::int) as bin, count(*) as n from v join e using (output) group by all), s as (select output, lo, hi, unnest(range({bins}))::int as bin from e) select output, bin::bigint as bin, round(lo+bin*(hi-lo)/{bins},6) as left_edge, coalesce(n,0)::bigint as n from s left join c using (output, bin)"
+
+
+@query(LINE + _hist_sql(20, "y_pred-y_true"))
+def error_histogram(spark, d):
+    return rounded(metrics.histogram(line_predictions(spark, d).withColumn("e", F.col("y_pred") - F.col("y_true")), "e", 20))
+
+
+@query(LINE + _hist_sql(30, "(y_true-y_pred)/y_std"))
+def zscore_histogram(spark, d):
+    return rounded(metrics.histogram(line_predictions(spark, d).withColumn("e", (F.col("y_true") - F.col("y_pred")) / F.col("y_std")), "e", 30))
+
+
+@query(LINE + ", m as (select output, avg(y) as m from lng where l_orderkey % 4 <> 0 group by output) select output, round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),6) as ols, round(sqrt(avg((y_true-m)*(y_true-m))),6) as mean from p join m using (output) group by output")
+def model_comparison_rmse(spark, d):
+    train, _ = frames.hash_split(line_outputs(spark, d), "l_orderkey")
+    mean = train.groupBy("output").agg(F.avg("y_true").alias("m"))
+    p = line_predictions(spark, d).join(F.broadcast(mean), "output")
+    two = p.select("output", F.lit("ols").alias("model"), (F.col("y_true") - F.col("y_pred")).alias("r")).union(p.select("output", F.lit("mean"), F.col("y_true") - F.col("m")))
+    return rounded(two.groupBy("output").pivot("model", ["ols", "mean"]).agg(F.sqrt(F.avg(F.col("r") * F.col("r")))))
+
+
+@query("with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b, p_retailprice as y from part), r as (select q.k as row_id, t.y, row_number() over (partition by q.k order by (t.a-q.a)*(t.a-q.a)+(t.b-q.b)*(t.b-q.b), t.k) as n from t, t q where q.k % 100 = 0 and t.k <> q.k) select row_id, round(avg(y),6) as y_pred, round(stddev_pop(y),6) as y_std from r where n <= 3 group by row_id")
+def knn_regression_std(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 1000).cast("double").alias("b"), F.col("p_retailprice").alias("y"))
+    return rounded(models.knn(t, t.where("k % 100 = 0"), ["a", "b"], "y", 3, "k"))
+
+
+@query("with g as (select p_size as x, count(*) as n, sum(p_retailprice) as s from part group by 1), c as (select x as lo, lead(x) over (order by x) as hi, sum(n) over (order by x) as nl, sum(s) over (order by x) as sl, sum(n) over () as nt, sum(s) over () as st from g) select 'price' as output, round((lo+hi)/2.0,6) as threshold, round(sl/nl,6) as left_mean, round((st-sl)/(nt-nl),6) as right_mean from c where hi is not null order by round(sl*sl/nl+(st-sl)*(st-sl)/(nt-nl),6) desc, lo limit 1")
+def stump_regression(spark, d):
+    return rounded(models.stump(table(spark, d, "part").select(F.lit("price").alias("output"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y_true"))))
+
+
+@query("with t as (select p_partkey, p_partkey::double as x, p_retailprice as y, row_number() over (order by p_partkey)-1 as r, count(*) over () as n from part), f as (select *, case when r < (n%3)*(n//3+1) then r//(n//3+1) else n%3+(r-(n%3)*(n//3+1))//(n//3) end as fold from t), m as (select a.fold, regr_intercept(b.y,b.x) as i, regr_slope(b.y,b.x) as s, avg(b.y) as m from (select distinct fold from f) a join f b on a.fold<>b.fold group by 1), e as (select avg((y-i-s*x)*(y-i-s*x)) as ols, avg((y-m)*(y-m)) as mean from f join m using (fold) group by fold) select 'ols' as candidate, round(-avg(ols),6) as score from e union all select 'mean', round(-avg(mean),6) from e")
+def kfold_select_best(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y_true"))
+    folds = frames.kfold(t, "p_partkey", 3)
+    apart = folds.withColumn("out", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    train = apart.where("fold <> out")
+    fit = models.ols_fit(train, by=("out",)).join(train.groupBy("out").agg(F.avg("y_true").alias("m")), "out")
+    e = folds.join(F.broadcast(fit), F.col("fold") == F.col("out")).groupBy("fold").agg(F.avg(F.pow(F.col("y_true") - F.col("a") - F.col("b") * F.col("x"), 2)).alias("ols"), F.avg(F.pow(F.col("y_true") - F.col("m"), 2)).alias("mean"))
+    return rounded(e.agg((-F.avg("ols")).alias("ols"), (-F.avg("mean")).alias("mean")).unpivot([], ["ols", "mean"], "candidate", "score"))
+
+
+@query("select o_orderpriority as level, round(regr_intercept(o_totalprice, o_custkey),6) as a, round(regr_slope(o_totalprice, o_custkey),6) as b, round(sqrt(regr_syy(o_totalprice,o_custkey)/count(*)*(1-regr_r2(o_totalprice,o_custkey))),6) as s from orders group by 1")
+def multifidelity_ols(spark, d):
+    return rounded(models.ols_fit(table(spark, d, "orders").select(F.col("o_orderpriority").alias("level"), F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y_true")), by=("level",)))
+
+
+@query("with t as (select p_partkey as row_id, p_partkey::double as x, p_retailprice as y, r, case when (p_partkey*31+r*17)%8<3 then 0 when (p_partkey*31+r*17)%8<6 then 1 when (p_partkey*31+r*17)%8<7 then 2 else 3 end as w from part, range(1,21) g(r)), s as (select r, sum(w) as sw, sum(w*x) as wx, sum(w*y) as wy, sum(w*x*x) as wxx, sum(w*x*y) as wxy from t group by r), f as (select r, (sw*wxy-wx*wy)/(sw*wxx-wx*wx) as b, sw, wx, wy from s) select p_partkey as row_id, round(avg((wy-b*wx)/sw+b*p_partkey),5) as y_pred, round(stddev_pop((wy-b*wx)/sw+b*p_partkey),5) as y_std from part, f group by 1")
+def bootstrap_ols(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y_true"))
+    return rounded(models.bootstrap_ols(t, t, frames.poisson_replicates(t, "row_id", 20)).drop("output"), 5)
+
+
+@query("select round(1-(select count(*) from (select distinct * from customer))/count(*)::double,6) as duplicate_rate, round(abs(corr(c_nationkey,c_acctbal)),6) as max_abs_corr, round(least(var_samp(c_nationkey),var_samp(c_acctbal)),4) as min_variance, round(greatest(var_samp(c_nationkey),var_samp(c_acctbal)),4) as max_variance, false as duplicate_alert, abs(corr(c_nationkey,c_acctbal))>0.95 as correlation_alert from customer")
+def bias_metrics(spark, d):
+    b = design.bias_metrics(table(spark, d, "customer"), ["c_nationkey", "c_acctbal"])
+    return b.select(F.round("duplicate_rate", 6).alias("duplicate_rate"), F.round("max_abs_corr", 6).alias("max_abs_corr"), F.round("min_variance", 4).alias("min_variance"), F.round("max_variance", 4).alias("max_variance"), "duplicate_alert", "correlation_alert")
+
+
+_LC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a},{b}),6) as r from lineitem" for i, a in enumerate(_LC) for b in _LC[i + 1 :]))
+def pearson_matrix(spark, d):
+    return rounded(design.correlation_matrix(table(spark, d, "lineitem"), _LC))
+
+
+@query("with q as (select l_quantity, rank() over (order by l_quantity)+(count(*) over (partition by l_quantity)-1)/2.0 as a, rank() over (order by l_discount)+(count(*) over (partition by l_discount)-1)/2.0 as b from lineitem) select round(corr(a,b),6) as rho from q")
+def spearman_matrix(spark, d):
+    return rounded(design.spearman(table(spark, d, "lineitem"), "l_quantity", "l_discount"))
+
+
+@query("select 'p_size' as feature, count(*) filter (where p_size % 7 = 0)::bigint as n_missing from part")
+def missing_data(spark, d):
+    holed = table(spark, d, "part").select(F.nullif(F.col("p_size") % 7, F.lit(0)).alias("p_size"), "p_retailprice")
+    counts = holed.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in holed.columns])
+    return counts.unpivot([], holed.columns, "feature", "n_missing").where("n_missing > 0")
+
+
+@query("select count(distinct c_custkey)::bigint as c_custkey, count(distinct c_nationkey)::bigint as c_nationkey, count(distinct c_mktsegment)::bigint as c_mktsegment, (count(distinct c_custkey)=count(c_custkey)) as key_unique from customer")
+def unique_counts(spark, d):
+    return table(spark, d, "customer").agg(*[F.count_distinct(c).alias(c) for c in ("c_custkey", "c_nationkey", "c_mktsegment")], (F.count_distinct("c_custkey") == F.count("c_custkey")).alias("key_unique"))
+
+
+@query("select c_custkey, c_nationkey from customer")
+def constant_columns(spark, d):
+    return frames.drop_constant(table(spark, d, "customer").select("c_custkey", "c_nationkey", F.lit(7).alias("seven"))).select("c_custkey", "c_nationkey")
+
+
+_LEVELS = {"x1": [0.0, 0.25, 0.5, 0.75, 1.0], "x2": [-1.0, 0.0, 1.0], "x3": [1.0, 2.0]}
+
+
+@query("select a::double as x1, b::double as x2, c::double as x3 from (values (0),(0.25),(0.5),(0.75),(1)) p(a), (values (-1),(0),(1)) q(b), (values (1),(2)) r(c)")
+def design_grid(spark, d):
+    return design.grid_design(spark, _LEVELS)
+
+
+@query("select 'Grid' as method, 30::bigint as n")
+def sampling_pattern_exact(spark, d):
+    return design.exact_pattern(design.grid_design(spark, _LEVELS), list(_LEVELS))
+
+
+@query("with l as (select unnest(range(5))/4.0 as x), c as (select n_nationkey % 6 as i from nation) select count(*) filter (where not exists (select 1 from l where abs(l.x-i/4.0)<=1e-6))::bigint as n_off_grid from c")
+def grid_membership(spark, d):
+    points = table(spark, d, "nation").select(F.round((F.col("n_nationkey") % 6) / 4.0, 6).alias("x"))
+    return points.join(spark.range(5).select(F.round(F.col("id") / 4.0, 6).alias("x")), "x", "left_anti").agg(F.count("*").alias("n_off_grid"))
+
+
+@query("with m as (select min(c_acctbal) as al, max(c_acctbal) as ah, min(c_nationkey) as nl, max(c_nationkey) as nh from customer), s as (select (c_acctbal-al)/(ah-al) as x, (c_nationkey-nl)/(nh-nl)::double as y from customer, m) select round(pow(13/12.0::double,2)-2.0/count(*)*sum((1-x*x)*(1-y*y)-(0.5-abs(0.5-x))*(0.5-abs(0.5-y))),6) as discrepancy from s")
+def discrepancy(spark, d):
+    return rounded(design.discrepancy(design.minmax(table(spark, d, "customer").select("c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey")), ["c_acctbal", "c_nationkey"]), ["c_acctbal", "c_nationkey"]))
+
+
+@query("with s as (select s_suppkey k, s_acctbal x, s_nationkey::double*100 y from supplier) select round(min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))),6) as distance from s a join s b on a.k<b.k")
+def maximin(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100.0).alias("y"))
+    return rounded(design.closest_pair(s, "s_suppkey", "x", "y", 250.0))
+
+
+_NN = "with n as (select q.vec_id, min(list_distance(q.embedding::double[], e.embedding::double[])) as d from embeddings q join embeddings e on q.vec_id<>e.vec_id where q.vec_id % 100 = 0 group by 1) "
+
+
+@query(_NN + "select count(*)::bigint as n, round(avg(d),6) as mean, round(stddev_pop(d),6) as std, round(min(d),6) as least from n")
+def nn_distance_stats(spark, d):
+    e = table(spark, d, "embeddings")
+    return rounded(design.nearest_distances(e, e.where("vec_id % 100 = 0")).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.min("d").alias("least")))
+
+
+@query("with t(std, sil, ent) as (values (0.01,0.9,1.0),(0.3,0.2,2.5),(0.1,0.5,1.5),(0.1,0.5,2.5),(0.18,0.4,1.5)) select std::double as std, sil::double as sil, ent::double as ent, case when std<0.05 and sil>0.6 then 'Grid' when std>0.2 and sil<0.3 then 'Random' when std between 0.05 and 0.15 then case when ent<2 then 'Sobol' else 'LHS' end else 'Uncertain' end as method from t")
+def sampling_rule_table(spark, d):
+    t = spark.createDataFrame([(0.01, 0.9, 1.0), (0.3, 0.2, 2.5), (0.1, 0.5, 1.5), (0.1, 0.5, 2.5), (0.18, 0.4, 1.5)], "std double, sil double, ent double")
+    return t.withColumn("method", design.sampling_rule(F.col("std"), F.col("sil"), F.col("ent")))
+
+
+@query("with g as (select l_quantity as v, sum((l_returnflag='A')::int) as a, sum((l_returnflag='R')::int) as b from lineitem where l_returnflag in ('A','R') group by 1), c as (select abs(sum(a) over (order by v)/sum(a) over ()::double-sum(b) over (order by v)/sum(b) over ()::double) as g from g) select round(max(g),6) as d from c")
+def ks_two_sample(spark, d):
+    li = table(spark, d, "lineitem")
+    return rounded(design.ks_two_sample(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), "l_quantity"))
+
+
+@query("select c_custkey, round((c_acctbal-avg(c_acctbal) over ())/stddev_pop(c_acctbal) over (),6) as c_acctbal from customer")
+def standard_scale(spark, d):
+    return rounded(design.standardise(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]))
+
+
+@query("select c_custkey, round((c_acctbal-min(c_acctbal) over ())/(max(c_acctbal) over ()-min(c_acctbal) over ()),6) as c_acctbal from customer")
+def minmax_scale(spark, d):
+    return rounded(design.minmax(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]))
+
+
+@query("with s as (select var_samp(l_quantity) as a, var_samp(l_discount*100) as b, covar_samp(l_quantity,l_discount*100) as c from lineitem), e as (select (a+b)/2+sqrt((a-b)*(a-b)/4+c*c) as l1, (a+b)/2-sqrt((a-b)*(a-b)/4+c*c) as l2 from s) select 1::bigint as k, round(l1,6) as eigenvalue, round(l1/(l1+l2),6) as ratio, round(l1/(l1+l2),6) as cumulative from e union all select 2, round(l2,6), round(l2/(l1+l2),6), 1.0 from e")
+def pca_2col(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    s = li.agg(F.var_samp("x").alias("a"), F.var_samp("y").alias("b"), F.covar_samp("x", "y").alias("c"))
+    root = F.sqrt(F.pow(F.col("a") - F.col("b"), 2) / 4 + F.col("c") * F.col("c"))
+    e = s.select(((F.col("a") + F.col("b")) / 2 + root).alias("l1"), ((F.col("a") + F.col("b")) / 2 - root).alias("l2"))
+    rows = e.select("l1", "l2", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("k"), F.col("l1").alias("eigenvalue")), F.struct(F.lit(2).cast("long").alias("k"), F.col("l2").alias("eigenvalue")))).alias("r"))
+    ratio = F.col("r.eigenvalue") / (F.col("l1") + F.col("l2"))
+    return rounded(rows.select("r.k", "r.eigenvalue", ratio.alias("ratio"), F.sum(ratio).over(Window.orderBy("r.k")).alias("cumulative")))
+
+
+@query("with m as (select regr_slope(p_retailprice, p_partkey) as b, avg(p_partkey) as m from part) select 'p_partkey' as feature, round(avg(abs(b*(p_partkey-m))),6) as mean_abs_shap from part, m")
+def shap_linear(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("double").alias("p_partkey"), "p_retailprice")
+    return rounded(explain.linear_shap(p, {"p_partkey": p.agg(F.regr_slope("p_retailprice", "p_partkey")).first()[0]}))
+
+
+@query("with f as (select regr_slope(p_retailprice, p_partkey) as b, regr_intercept(p_retailprice, p_partkey) as a, quantile_cont(p_partkey::double, 0.05) as lo, quantile_cont(p_partkey::double, 0.95) as hi from part) select 'p_partkey' as feature, k::bigint as k, round(lo+k*(hi-lo)/99,6) as value, round(a+b*(lo+k*(hi-lo)/99),6) as mean_prediction from f, range(100) g(k)")
+def pdp_linear(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("double").alias("p_partkey"), "p_retailprice")
+    w = p.agg(F.regr_slope("p_retailprice", "p_partkey"), F.regr_intercept("p_retailprice", "p_partkey")).first()
+    return rounded(explain.linear_pdp(p, w[1], {"p_partkey": w[0]}, "p_partkey"))
+
+
+_DAILY = "with s as (select event_type as series_id, date_trunc('day', ts) as t, sum(value) as value from events group by 1, 2), f as (select *, lag(value) over (partition by series_id order by t) as forecast from s), g as (select * from f where forecast is not null), h as (select *, abs(value-lag(value) over (partition by series_id order by t)) as dd from g) "
+
+
+def daily_naive(spark, d) -> DataFrame:
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("t")).agg(F.sum("value").alias("value"))
+    return s.withColumn("forecast", F.lag("value").over(Window.partitionBy("series_id").orderBy("t"))).where("forecast is not null")
+
+
+@query(_DAILY + "select series_id, round(avg(abs(value-forecast)),6) as mae, round(100*avg(2*abs(value-forecast)/(abs(value)+abs(forecast)+1e-8)),6) as smape, round(avg(abs(value-forecast))/(avg(dd)+1e-12),6) as mase from h group by 1")
+def ts_metrics(spark, d):
+    return rounded(forecast.series_metrics(daily_naive(spark, d)))
+
+
+@query(_DAILY + "select series_id, round(quantile_cont(value-forecast, 0.1),6) as q10, round(quantile_cont(value-forecast, 0.5),6) as q50, round(quantile_cont(value-forecast, 0.9),6) as q90 from g group by 1")
+def forecast_quantiles(spark, d):
+    q = daily_naive(spark, d).groupBy("series_id").agg(F.percentile(F.col("value") - F.col("forecast"), [0.1, 0.5, 0.9]).alias("q"))
+    return rounded(q.select("series_id", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))]))
+
+
+@query("select date_trunc('hour', ts)::timestamp as t, event_type as series_id, round(sum(value),6) as value from events group by all")
+def event_windows(spark, d):
+    w = windowed_series(table(spark, d, "events"))
+    return w.select(F.col("t").cast("timestamp_ntz").alias("t"), "series_id", F.round("value", 6).alias("value"))
+
+
+@query("select count(*)::bigint as n from documents where regexp_matches(lower(text), 'licensed under')")
+def log_scan(spark, d):
+    return table(spark, d, "documents").where(F.lower("text").rlike("licensed under")).agg(F.count("*").alias("n"))
+
+
+@query("select event_type as label, count(*)::bigint as n from events group by 1 union all select l_returnflag, count(*)::bigint from lineitem group by 1")
+def label_union(spark, d):
+    count = lambda t, c: table(spark, d, t).groupBy(F.col(c).alias("label")).agg(F.count("*").alias("n"))
+    return count("events", "event_type").unionByName(count("lineitem", "l_returnflag"))
+
+
+@query("select distinct l_returnflag as label from lineitem intersect select distinct substr(o_orderstatus,1,1) from orders union select 'none'")
+def metric_set_ops(spark, d):
+    a, b = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("label")), table(spark, d, "orders").select(F.substring("o_orderstatus", 1, 1).alias("label"))
+    return a.intersect(b).union(spark.createDataFrame([("none",)], "label string")).distinct()
+
+
+def _part_xy(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 1000).cast("double").alias("b"), F.col("p_retailprice").alias("y_true"))
+
+
+def _fitted(name: str) -> Callable:
+    def run(spark, d):
+        train, test = frames.hash_split(_part_xy(spark, d), "row_id")
+        return rounded(metrics.uq_metrics(models.fit_predict(train, test, ["a", "b"], {"price": name})))
+
+    return run
+
+
+for _name, _candidate in {"gp_metrics": "gp alpha=0.01", "svr_metrics": "svr C=10 gamma=scale", "gbt_metrics": "boosting n=50 depth=3", "knn_metrics": "knn k=5"}.items():
+    _QUERIES[_name] = _fitted(_candidate)
+
+
+@query()
+def rf_metrics(spark, d):
+    """A distributed forest; the deviation over its trees is the uncertainty."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    train, test = (VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(x) for x in frames.hash_split(_part_xy(spark, d), "row_id"))
+    model = RandomForestRegressor(featuresCol="f", labelCol="y_true", numTrees=10, maxDepth=8, seed=0).fit(train)
+    members = test
+    for i, tree in enumerate(model.trees):
+        members = tree.setPredictionCol(f"p{i}").transform(members)
+    each = F.array(*[F.col(f"p{i}") for i in range(len(model.trees))])
+    mean = F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / F.size(each)
+    std = F.sqrt(F.aggregate(F.transform(each, lambda v: F.pow(v - F.col("y_pred"), 2)), F.lit(0.0), lambda s, v: s + v) / F.size(each))
+    return metrics.uq_metrics(members.withColumn("y_pred", mean).withColumn("y_std", std).select("row_id", "output", "y_true", "y_pred", "y_std"))
+
+
+@query()
+def auto_detect_closed(spark, d):
+    names = ["linear", "knn k=3", "knn k=5", "tree depth=1", "boosting n=50 depth=3"]
+    return models.best_of(models.search(_part_xy(spark, d), ["a", "b"], names), names)
+
+
+@query()
+def forecast_tidy(spark, d):
+    s = daily_naive(spark, d).select("series_id", "t", "value")
+    return forecast.Forecaster().fit(s).predict(7)
