@@ -66,8 +66,9 @@ def hamming_blocks(fingerprint: Column, radius: int) -> Column:
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """doc_id, item_id, start (word where the best window opens), similarity and distance of each pair that matches."""
-    words = word_array(F.col("text"))
-    each = benchmark.where("item_id is not null").select("item_id", F.posexplode(F.when(F.size(words) >= size, weighted_shingles(words, size))).alias("at", "s"))
+    # words are a column of their own: inside the lambdas the text would else be split anew for every shingle
+    words = F.col("words")
+    each = benchmark.where("item_id is not null").select("item_id", word_array(F.col("text")).alias("words")).select("item_id", F.posexplode(F.when(F.size(words) >= size, weighted_shingles(words, size))).alias("at", "s"))
     each = each.select("item_id", "at", "s.h", "s.w").distinct()
     items = materialize(each.groupBy("item_id", "h").agg(F.count("*").alias("n_item"), F.max("w").alias("w")), "item-shingles")
     totals = materialize(items.select("item_id", "h", (F.col("w") * F.col("n_item")).alias("w"), "n_item").groupBy("item_id").agg(*_sums(), F.sum("n_item").alias("n")).select("item_id", "n", F.col("_total").alias("item_weight"), _fingerprint().alias("item_print")), "item-prints")
@@ -85,12 +86,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
     wanted = starts.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
     wanted = broadcast_if_small(materialize(wanted, "documents-with-starts"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left_semi").dropDuplicates(["doc_id", "row"])
-    places = texts.select("doc_id", "row", F.posexplode(weighted_shingles(words, size)).alias("at", "s")).select("doc_id", "row", "at", "s.h", "s.w")
+    places = texts.select("doc_id", "row", word_array(F.col("text")).alias("words")).select("doc_id", "row", F.posexplode(weighted_shingles(words, size)).alias("at", "s")).select("doc_id", "row", "at", "s.h", "s.w")
     inside = starts.select("doc_id", "row", "item_id", "start", F.explode(F.sequence("start", F.col("start") + F.col("n").cast("int") - 1)).alias("at"))
     window = ["doc_id", "row", "item_id", "start"]
     content = materialize(inside.join(places, ["doc_id", "row", "at"]).groupBy(*window, "h").agg(F.count("*").alias("n_window"), F.max("w").alias("w1")), "windows")
 
-    prints = content.select(*window, "h", (F.col("w1") * F.col("n_window")).alias("w")).groupBy(*window).agg(*_sums()).select(*window, F.col("_total").alias("window_weight"), _fingerprint().alias("print"))
+    # written before use: the plan would else repeat the 64-bit expression for every block
+    prints = materialize(content.select(*window, "h", (F.col("w1") * F.col("n_window")).alias("w")).groupBy(*window).agg(*_sums()).select(*window, F.col("_total").alias("window_weight"), _fingerprint().alias("print")), "window-prints")
     left = prints.select(*window, "window_weight", "print", F.explode(hamming_blocks(F.col("print"), radius)).alias("b")).select(*window, "window_weight", "print", "b.k", "b.bits")
     right = totals.select("item_id", "item_print", "item_weight", F.explode(hamming_blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "item_print", "item_weight", "b.k", "b.bits")
     close = left.join(broadcast_if_small(materialize(right, "item-blocks")), ["item_id", "k", "bits"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
