@@ -11,13 +11,19 @@ from tessera.functions.quantiles import beta_quantile, gamma_quantile, normal_qu
 from tessera.operators.frames import numeric_columns
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation over rows that have both; null where one of them is constant."""
+    x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)) for c in (a, b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def bias_metrics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """duplicate_rate of whole rows, greatest absolute correlation, least and greatest sample variance, alerts."""
     cols = columns or numeric_columns(df)
     n = F.sum("_n")
     groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
     dup = groups.agg((1 - F.count("*") / n).alias("duplicate_rate"))
-    pairs = [F.abs(F.corr(a, b)) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    pairs = [F.abs(correlation(a, b)) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     var = [F.var_samp(c) for c in cols]
     top = lambda f, x: (f(*x) if len(x) > 1 else x[0]) if x else F.lit(0.0)
     stats = df.agg(F.coalesce(top(F.greatest, pairs), F.lit(0.0)).alias("max_abs_corr"), top(F.least, var).alias("min_variance"), top(F.greatest, var).alias("max_variance"))
@@ -27,7 +33,7 @@ def bias_metrics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("c")).select("c.*")
 
 
@@ -39,7 +45,7 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     ranked = df.select(a, b).join(average_ranks(df, a), a).join(average_ranks(df, b), b)
-    return ranked.agg(F.corr(f"{a}_rank", f"{b}_rank").alias("rho"))
+    return ranked.agg(correlation(f"{a}_rank", f"{b}_rank").alias("rho"))
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
