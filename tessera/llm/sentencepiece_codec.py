@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.chunks import ChunkEncoder
+from tessera.llm.chunks import SMALL_CACHE_CHUNKS, ChunkEncoder
 from tessera.llm.common import ragged, slices, strings
 from tessera.llm.vocabularies import vocabulary_path
 
@@ -253,7 +253,7 @@ class PieceChunks(ChunkEncoder):
 
     def __init__(self, model: PieceModel):
         self.model = model
-        super().__init__(self._chunks, self._text)
+        super().__init__(self._chunks, self._text, SMALL_CACHE_CHUNKS)
 
     def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [(" " + t.replace(SIGN, " ")).encode() for t in texts]

@@ -8,7 +8,7 @@ import os
 
 import numpy as np
 
-from tessera.llm.chunks import ChunkEncoder
+from tessera.llm.chunks import SMALL_CACHE_CHUNKS, ChunkEncoder
 
 
 def vocabulary_path(name: str) -> str:
@@ -93,4 +93,4 @@ def ranked_bpe_chunks(path: str) -> tuple[ChunkEncoder, np.ndarray]:
             length.append(sizes)
         return np.concatenate(ids), np.concatenate(length)
 
-    return ChunkEncoder(chunks, encoding.encode_ordinary), part
+    return ChunkEncoder(chunks, encoding.encode_ordinary, SMALL_CACHE_CHUNKS), part
