@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +80,39 @@ def discard(*tables: DataFrame) -> None:
         delete_path(table.sparkSession, table._scratch)
 
 
+_REMEMBERED: dict[str, Callable] = {}
+
+
+def remembered(f: Callable) -> Callable:
+    """functools.cache for what a worker opens once; it goes when the worker turns to a task that has no use for it."""
+    _REMEMBERED[f.__name__] = functools.cache(f)
+    return _REMEMBERED[f.__name__]
+
+
+def settle(keep: tuple[str, ...]) -> None:
+    """Forgets all remembered things but those named and gives freed memory back to the system."""
+    stale = [f for name, f in _REMEMBERED.items() if name not in keep and f.cache_info().currsize]
+    for f in stale:
+        f.cache_clear()
+    if stale:
+        gc.collect()
+    Hasher.shrink()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_worker(run: Callable, *keep: str) -> Callable:
+    """run for mapInArrow; workers live on from one operator to the next, so each task settles before and after itself."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(keep)
+        yield from run(batches)
+        settle(keep)
+
+    return task
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -142,16 +178,21 @@ class Hasher:
     """
 
     _bytes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    _up = _powers(1 << 16, _BASE)
-    _down = _powers(1 << 16, pow(_BASE, -1, 1 << 64))
+    _up = _down = np.ones(1, np.uint64)
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
         if n >= len(Hasher._up):
-            Hasher._up, Hasher._down = _powers(n * 5 // 4, _BASE), _powers(n * 5 // 4, pow(_BASE, -1, 1 << 64))
+            size = max(n * 5 // 4, 1 << 16)
+            Hasher._up, Hasher._down = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self._bytes[raw] * self._up[:n], out=self.prefix[1:])
 
+    @classmethod
+    def shrink(cls) -> None:
+        """Drops the tables of powers; the next text makes them anew."""
+        cls._up = cls._down = np.ones(1, np.uint64)
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = self.prefix[end] - self.prefix[start]
         out *= self._down[start]

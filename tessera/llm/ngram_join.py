@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, binary_array, broadcast_if_small, default_partitions, distinct_by_doc, materialize, mix, shingles, slices, text_bytes, words
+from tessera.llm.common import Hasher, binary_array, broadcast_if_small, default_partitions, distinct_by_doc, in_worker, materialize, mix, shingles, slices, text_bytes, words
 from tessera.llm.components import connected_components
 
 #: Bands of MinHash values and values in a band: at similarity 0.8 all bands miss a pair with probability 3e-8.
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
             sig = _signature(value, at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *keys, pa.array(count), binary_array(sig, np.arange(n + 1) * (4 * HASHES))], ["doc_id", "k1", "k2", "n_grams", "sig"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, k1 long, k2 long, n_grams long, sig binary")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(in_worker(run), "doc_id long, k1 long, k2 long, n_grams long, sig binary")
 
 
 def _links(a: dict, b: dict, threshold: float, least: dict[int, int]) -> np.ndarray:
@@ -182,7 +182,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
             out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "label", "blocks", "block", "weight", "sig")), binary_array(value, at * 8)], ["rep", "label", "blocks", "block", "weight", "sig", "grams"])
             yield out.filter(pa.array(same))
 
-    sets = texts.mapInArrow(grams, "rep long, label long, blocks int, block int, weight long, sig binary, grams binary")
+    sets = texts.mapInArrow(in_worker(grams), "rep long, label long, blocks int, block int, weight long, sig binary, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_j")
     units = sets.select("rep", "label", "block", "weight", "sig", "grams", other).select("label", F.least("block", "_j").alias("i"), F.greatest("block", "_j").alias("j"), (F.col("block") > F.col("_j")).cast("int").alias("side"), "rep", "weight", "sig", "grams")
 
@@ -199,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
         if len(held) > 1:
             yield _unit(list(held.values()), threshold, least)
 
-    found = units.repartition(default_partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(link, "rep long, n_texts long, n_rows long, root long")
+    found = units.repartition(default_partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(in_worker(link), "rep long, n_texts long, n_rows long, root long")
     found = materialize(found, "links")
     counts = found.groupBy("rep").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_rows").alias("n_rows"))
     classes = connected_components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))

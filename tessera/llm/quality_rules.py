@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, strings
+from tessera.llm.common import in_worker, slices, strings
 from tessera.llm.text_statistics import base_statistics
 from tessera.llm.vocabularies import ranked_bpe_chunks, vocabulary_path
 
@@ -44,6 +44,7 @@ BANDS: Mapping[str, Band] = {
 }
 SCRIPT_BANDS: Mapping[str, Band] = {"latin": Band(1.5, 6.0, 0.3, 0.6), "other": Band(0.2, 4.0, 1.0, 0.4)}
 EVEN_BITS = 9
+_OPEN = ("ranked_bpe", "ranked_bpe_chunks")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, evenness double, band string"
 
 
@@ -88,7 +89,7 @@ def quality_rules(docs: DataFrame, vocabularies: list[str] | None = None, bands:
     """One row for each row of docs (doc_id, text, lang): its counts, base_failed, kept and what the vocabularies measure."""
     paths = tuple(vocabularies or [vocabulary_path("byte_bpe_50k.tiktoken")])
     bands, script_bands = dict(bands), dict(script_bands)
-    return docs.select("doc_id", "text", "lang").mapInArrow(lambda it: _measure(it, paths, bands, script_bands), SCHEMA)
+    return docs.select("doc_id", "text", "lang").mapInArrow(in_worker(lambda it: _measure(it, paths, bands, script_bands), *_OPEN), SCHEMA)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
@@ -102,7 +103,7 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
             for verdict in _measure(iter([batch.select(["doc_id", "text", "lang"])]), paths, bands, script_bands):
                 yield batch.filter(verdict.column("kept"))
 
-    return docs.select(*columns).mapInArrow(keep, schema)
+    return docs.select(*columns).mapInArrow(in_worker(keep, *_OPEN), schema)
 
 
 def rejection_report(verdicts: DataFrame) -> DataFrame:

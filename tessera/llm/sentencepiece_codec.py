@@ -12,7 +12,6 @@ whole; decoding gives the text back, with the sign read as a space; repeated row
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.chunks import SMALL_CACHE_CHUNKS, ChunkEncoder
-from tessera.llm.common import ragged, slices, strings
+from tessera.llm.common import in_worker, ragged, remembered, slices, strings
 from tessera.llm.vocabularies import vocabulary_path
 
 SIGN = "▁"
@@ -270,7 +269,7 @@ class PieceChunks(ChunkEncoder):
         return bool(chunk) and SIGN not in chunk
 
 
-@functools.cache
+@remembered
 def piece_chunks(path: str) -> PieceChunks:
     return PieceChunks(PieceModel(path))
 
@@ -296,7 +295,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run, "piece_chunks"), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -308,7 +307,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [decode_ids(x or [], path) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(in_worker(run, "piece_chunks"), "doc_id long, text string")
 
 
 def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -338,4 +337,4 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "text_crc32", "exact"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, text_crc32 long, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run, "piece_chunks"), "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, text_crc32 long, exact boolean")

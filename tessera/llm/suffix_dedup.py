@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, broadcast_if_small, discard, materialize, mix, ragged, slices, text_bytes
+from tessera.llm.common import Hasher, broadcast_if_small, discard, in_worker, materialize, mix, ragged, slices, text_bytes
 
 #: Bytes whose hash decides which positions are held.
 GRAM = 16
@@ -116,7 +116,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     texts = docs.where(F.octet_length("text") >= length).select("doc_id", "text").join(broadcast_if_small(later), F.col("doc_id") == F.col("_later"), "left_anti")
     texts = texts.select(F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)).alias("tid"), "text")
 
-    phrases = materialize(texts.mapInArrow(lambda it: _phrases(it, length, window), "tid long, i int, at int, name long"), "phrases")
+    phrases = materialize(texts.mapInArrow(in_worker(lambda it: _phrases(it, length, window)), "tid long, i int, at int, name long"), "phrases")
     names = materialize(_twice(phrases, "name").select(F.col("name").alias("_name")), "names-found-twice")
     ranked = materialize(phrases.join(broadcast_if_small(names), F.col("name") == F.col("_name"), "left_semi").select("tid", "i", "at", F.col("name").alias("rank")).distinct(), "ranks-1")
     discard(phrases, names)
@@ -137,7 +137,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     ranges = ranked.select("tid", "at", F.lit(0).alias("d1"), F.lit(window - 1).alias("d2"), F.lit(1).alias("w"))
     for parts in (*STEPS, None):
         listed = ranges.groupBy("tid").agg(F.collect_list(F.struct("at", "d1", "d2", "w")).alias("ranges"))  # as many as the text has positions
-        rows = materialize(kept.join(listed, "tid").mapInArrow(lambda it: _ranges(it, length), "tid long, at int, d1 int, d2 int, lo int, hi int, w int, f1 long, f2 long, c long"), "ranges")
+        rows = materialize(kept.join(listed, "tid").mapInArrow(in_worker(lambda it: _ranges(it, length)), "tid long, at int, d1 int, d2 int, lo int, hi int, w int, f1 long, f2 long, c long"), "ranges")
         discard(before)
         sure = rows.groupBy("f1", "f2").agg(F.sum("w").alias("_n")).where("_n > 1").select("f1", "f2", F.lit(True).alias("sure"))
         if parts is None:
@@ -189,7 +189,7 @@ def _changed(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["sha", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + with_text])
 
     schema = "sha string, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    parts = found.select("text", "spans").mapInArrow(cut, schema)
+    parts = found.select("text", "spans").mapInArrow(in_worker(cut), schema)
     parts = parts.join(copies.select("sha"), "sha", "left_anti")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     whole = digests.join(copies.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.max("n_bytes").alias("n_removed")).select("sha", "n_removed", F.lit(1).cast("long").alias("n_spans"), nothing.alias("kept_sha256"), *([F.lit("").alias("kept_text")] if with_text else []))

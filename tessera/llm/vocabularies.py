@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
-import functools
 import os
 
 import numpy as np
 
 from tessera.llm.chunks import SMALL_CACHE_CHUNKS, ChunkEncoder
+from tessera.llm.common import remembered
 
 
 def vocabulary_path(name: str) -> str:
@@ -17,7 +17,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.cache
+@remembered
 def byte_bpe(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -27,7 +27,7 @@ def byte_bpe(path: str):
     return tokenizer
 
 
-@functools.cache
+@remembered
 def byte_bpe_chunks(path: str) -> ChunkEncoder:
     """The tokenizers library over distinct chunks: one call for all new ones, cut apart at the ids that open with a space."""
     tokenizer = byte_bpe(path)
@@ -56,7 +56,7 @@ def byte_bpe_chunks(path: str) -> ChunkEncoder:
     return ChunkEncoder(chunks, text)
 
 
-@functools.cache
+@remembered
 def ranked_bpe(path: str):
     import public_tokenizers
     import tiktoken
@@ -66,7 +66,7 @@ def ranked_bpe(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
-@functools.cache
+@remembered
 def ranked_bpe_chunks(path: str) -> tuple[ChunkEncoder, np.ndarray]:
     """A chunk encoder of tiktoken, and for each id whether its bytes are a piece of a character (byte fallback)."""
     encoding, ranks = ranked_bpe(path)
