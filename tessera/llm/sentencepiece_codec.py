@@ -25,6 +25,8 @@ from tessera.llm.vocabularies import vocabulary_path
 
 SIGN = "▁"
 DEPTH = 4  # words of eight bytes to which suffixes are sorted; longer pieces are compared no further
+#: Bytes of strings (one at least) that one suffix array indexes; its lattice takes a few hundred times this.
+MATCH_BYTES = 128 << 10
 _MEMO = 1 << 20
 
 
@@ -257,7 +259,14 @@ class PieceChunks(ChunkEncoder):
     def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [(" " + t.replace(SIGN, " ")).encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype(np.int64)
-        return match_pieces(self.model, np.frombuffer(b"".join(encoded), np.uint8), offsets)
+        ids, counts, at = [], [], 0
+        while at < len(encoded):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + MATCH_BYTES, side="right")) - 1)
+            part = match_pieces(self.model, np.frombuffer(b"".join(encoded[at:end]), np.uint8), offsets[at : end + 1] - offsets[at])
+            ids.append(part[0])
+            counts.append(part[1])
+            at = end
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._run(new) if new else (np.zeros(0, np.int32), np.zeros(0, np.int64))
