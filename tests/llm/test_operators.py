@@ -200,3 +200,15 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality_rules.quality_rules(docs).where("kept").collect()}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert 0 < len(rows) <= kept.count() and all(r["n_pieces"] == len(r["ids"]) for r in rows)
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2)], [(k, k + 1) for k in range(40)], [(50, k) for k in range(1, 40)], [(3, 3), (None, 4), (9, 7), (7, 8), (9, 7)], [(int(a), int(b)) for a, b in np.random.default_rng(5).integers(0, 300, (260, 2))]])
+def test_components_equal_brute_force(spark, edges):
+    from tessera.llm.components import connected_components
+
+    want = {x: x for e in edges if None not in e for x in e}
+    for _ in want:
+        for a, b in (e for e in edges if None not in e):
+            want[a] = want[b] = min(want[a], want[b])
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
