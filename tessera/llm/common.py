@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass handles; its temporaries take about forty times this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and its workers, in sessions that name no bound (Spark's own is about 64 MB).
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -103,7 +106,13 @@ def settle(keep: tuple[str, ...]) -> None:
 
 
 def in_worker(run: Callable, *keep: str) -> Callable:
-    """run for mapInArrow; workers live on from one operator to the next, so each task settles before and after itself."""
+    """run for mapInArrow; workers live on from one operator to the next, so each task settles before and after itself.
+
+    Batches are bounded in bytes for the session: executors hold two of them for each running task.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle(keep)
