@@ -41,7 +41,7 @@ def test_bias_fixture(spark):
 
 
 def test_series_fixture(spark):
-    y, f = [1.0, 2, 3, 4, 5], [1.0, 2, 2, 5, 5]
+    y, f = [1.0, 2.0, 3.0, 4.0, 5.0], [1.0, 2.0, 2.0, 5.0, 5.0]
     got = forecast.series_metrics(spark.createDataFrame([("s", i, a, b) for i, (a, b) in enumerate(zip(y, f))], "series_id string, t int, value double, forecast double")).first()
     assert got["mae"] == pytest.approx(0.4) and got["mase"] == pytest.approx(0.4) and got["smape"] == pytest.approx(12.4444, abs=1e-3)
     with pytest.raises(RuntimeError):
