@@ -1,18 +1,23 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Lines that may speak of a licence (headers anywhere, the whole of a licence file) become TF-IDF vectors of word
-unigrams and bigrams and are compared with every template by cosine. A licence file gives its licence to the files of
+unigrams and bigrams and are compared with every template by cosine. So is every window of as many words as the template
+has around each licence word, across line ends, so that neither wrapping nor text around a notice hides it. SPDX
+identifiers are names, not wording: they are read as such and count as a cosine of 1. A licence file gives its licence to the files of
 its directory and of all directories below it that have none of their own and no nearer licence file; ancestors are
 reached by joins on paths, longest first.
 
 Defined cases: a null or empty text has no licence of its own but may inherit one; a null path inherits nothing; a file
-with headers of several licences has the one of greatest cosine, ties go to the first name in alphabetical order; of
+with headers of several licences has the one of greatest cosine, ties go to the first name in alphabetical order; a
+template of under SHORT words ('All rights reserved.') must be met nearly word for word and gives way to any other
+notice in the file, as such words stand beside many licences; an SPDX expression counts each licence it names; of
 several licence files in a directory the first path decides; repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from math import log, sqrt
@@ -32,49 +37,114 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "proprietary": ("All rights reserved. No part of this work may be reproduced or distributed without written permission.",),
+    "proprietary": ("All rights reserved. No part of this work may be reproduced or distributed without written permission.", "All rights reserved."),
 }
 LEAST = 0.55
+#: Templates of fewer words are short, and the cosine that they need: 'Some rights reserved.' has 0.6 with 'All rights reserved.'
+SHORT, LEAST_SHORT = 4, 0.9
 _MAY = re.compile(r"licen[sc]e|copyright|spdx|redistribut|permission|rights reserved|creative commons|public domain", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _FILE = re.compile(r"(^|/)(licen[sc]e|copying|notice|copyright)([._-][^/]*)?$", re.I)
+_ID = r"[a-z0-9][a-z0-9.+-]*"
+_SPDX = re.compile(rf"spdx-license-identifier[ \t]*:[ \t]*([( \t]*{_ID}(?:[) \t]*[ \t)](?:and|or|with)[( \t][( \t]*{_ID})*)", re.I)
+#: A rank without a licence; others are (whether the template is short, -cosine, name), the least is the best.
+NONE = (2, 0.0, "")
 
 
-def _terms(text: str) -> Counter:
-    w = [x for x in _WORD.findall(text.lower()) if x != "the"]
+def _words(text: str) -> list[str]:
+    return [x for x in _WORD.findall(text.lower()) if x != "the"]
+
+
+def _terms(w: list[str]) -> Counter:
     return Counter([*w, *zip(w, w[1:])])
 
 
 class Templates:
     """An inverted index of the templates' TF-IDF vectors."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES):
-        every = [(name, _terms(x)) for name, texts in sorted(templates.items()) for x in texts]
-        df = Counter(t for _, terms in every for t in terms)
+    def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST):
+        every = [(name, _words(x)) for name, texts in sorted(templates.items()) for x in texts]
+        df = Counter(t for _, w in every for t in _terms(w))
         self.rare = log(1 + len(every)) + 0.1
         self.idf = {t: log((1 + len(every)) / (1 + n)) + 0.1 for t, n in df.items()}
         self.names = [name for name, _ in every]
+        self.by_id = {name.lower(): name for name in self.names}
+        self.sizes = [len(w) for _, w in every]
+        self.short = [n < SHORT for n in self.sizes]
+        self.needs = [max(least, LEAST_SHORT) if x else least for x in self.short]
+        self.vectors: list[dict[object, float]] = []
         self.index: dict[object, list[tuple[int, float]]] = {}
-        for k, (_, terms) in enumerate(every):
+        for k, (_, w) in enumerate(every):
+            terms = _terms(w)
             norm = sqrt(sum((n * self.idf[t]) ** 2 for t, n in terms.items()))
-            for t, n in terms.items():
-                self.index.setdefault(t, []).append((k, n * self.idf[t] / norm))
-
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The template with the greatest cosine; words that no template has lengthen the text's vector."""
-        terms, scores, norm = _terms(text), {}, 0.0
-        for t, n in terms.items():
+            self.vectors.append({t: n * self.idf[t] / norm for t, n in terms.items()})
+            for t, v in self.vectors[k].items():
+                self.index.setdefault(t, []).append((k, v))
+
+    def _rank(self, k: int, cosine: float) -> tuple[int, float, str]:
+        cosine = round(cosine, 9)  # equal wording ties, whatever the order of the sums
+        return (int(self.short[k]), -cosine, self.names[k]) if cosine >= self.needs[k] else NONE
+
+    def best(self, text: str) -> tuple[int, float, str]:
+        """The rank of a whole text; words that no template has lengthen the text's vector."""
+        scores, norm = {}, 0.0
+        for t, n in _terms(_words(text)).items():
             w = n * self.idf.get(t, self.rare)
             norm += w * w
             for k, v in self.index.get(t, ()):
                 scores[k] = scores.get(k, 0.0) + w * v
-        if not scores:
-            return None, 0.0
-        k = min(scores, key=lambda k: (-round(scores[k], 12), k))
-        return self.names[k], scores[k] / sqrt(norm)
+        return min((self._rank(k, x / sqrt(norm)) for k, x in scores.items()), default=NONE)
+
+    def _slide(self, k: int, w: list[str]) -> float:
+        """The greatest cosine of template k with a run of as many words of w as it has (with w if that has fewer)."""
+        size, vector, count = self.sizes[k], self.vectors[k], Counter()
+        dot = norm = top = 0.0
+        for i, x in enumerate(w):
+            for t in (x, (w[i - 1], x)) if i else (x,):
+                f = self.idf.get(t, self.rare)
+                dot += f * vector.get(t, 0.0)
+                norm += (2 * count[t] + 1) * f * f
+                count[t] += 1
+            if i >= size:
+                for t in (w[i - size], (w[i - size], w[i - size + 1])):
+                    f = self.idf.get(t, self.rare)
+                    dot -= f * vector.get(t, 0.0)
+                    norm -= (2 * count[t] - 1) * f * f
+                    count[t] -= 1
+            if i >= size - 1 or i == len(w) - 1:
+                top = max(top, dot / sqrt(norm))
+        return top
+
+    def around(self, text: str) -> tuple[int, float, str]:
+        """The best rank of the windows of words around the licence words of a text, and of its SPDX identifiers."""
+        text, found = text.lower(), NONE
+        at = [(m.start(), m[0]) for m in _WORD.finditer(text) if m[0] != "the"]
+        starts, w = [x for x, _ in at], [x for _, x in at]
+        reach, regions = max(self.sizes, default=0), []
+        for m in _MAY.finditer(text):
+            k = max(bisect_right(starts, m.start()) - 1, 0)
+            if regions and k - reach <= regions[-1][1]:
+                regions[-1][1] = k + reach
+            else:
+                regions.append([max(k - reach, 0), k + reach])
+        for lo, hi in regions:
+            part, most = w[lo:hi], {}
+            for t in {*part, *zip(part, part[1:])}:
+                for k, v in self.index.get(t, ()):
+                    most[k] = most.get(k, 0.0) + v * v
+            for k, x in most.items():  # no window has a greater cosine than the root of what the terms make up of the template
+                if sqrt(x) + 1e-6 >= self.needs[k]:
+                    found = min(found, self._rank(k, self._slide(k, part)))
+        for m in _SPDX.finditer(text):
+            for x in re.findall(_ID, m[1]):
+                name = self.by_id.get(re.sub(r"(-only|-or-later|\+)$", "", x.rstrip(".")))
+                if name:
+                    found = min(found, (0, -1.0, name))
+        return found
 
 
 def _sentences(text: str) -> Iterator[str]:
@@ -95,21 +165,23 @@ def scan_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = T
     given = {k: tuple(v) for k, v in templates.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = Templates(given), {}
+        known, memo = Templates(given, least), {}
         for batch in slices(batches):
             names, cosines, is_file = [], [], []
             for path, text in zip(batch.column("path").to_pylist(), strings(batch.column("text"))):
-                found: tuple[str | None, float] = (None, 0.0)
+                found = NONE
                 whole = bool(path and _FILE.search(path))
-                for part in [text, *_sentences(text)] if whole else _sentences(text):
+                parts = list(_sentences(text))
+                if parts:
+                    found = known.around(text)
+                for part in [text, *parts] if whole else parts:
                     if (got := memo.get(part)) is None:
                         got = known.best(part)
                         if len(memo) < 50_000 and len(part) < 500:
                             memo[part] = got
-                    if (-got[1], got[0] or "~") < (-found[1], found[0] or "~"):
-                        found = got
-                names.append(found[0] if found[1] >= least else None)
-                cosines.append(found[1] if found[1] >= least else 0.0)
+                    found = min(found, got)
+                names.append(found[2] or None)
+                cosines.append(-found[1] or 0.0)
                 is_file.append(whole)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("path"), pa.array(names, pa.string()), pa.array(cosines, pa.float64()), pa.array(is_file, pa.bool_())], ["doc_id", "path", "own_license", "own_cosine", "is_license_file"])
 

@@ -166,6 +166,44 @@ def test_license_inheritance(spark):
     assert got[4]["inherited"] and got[4]["license_from"] == "a/b/c/COPYING"
 
 
+def scanned(spark, texts):
+    rows = list(enumerate(texts))
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame([(k, f"d/{k}.txt", x) for k, x in rows], "doc_id long, path string, text string")))
+    return [got[k]["own_license"] for k, _ in rows]
+
+
+def test_every_license_line_of_the_documents_is_found(spark):
+    want = {"All rights reserved.": "proprietary", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {x for r in docs.collect() for x in (r["text"] or "").split("\n") if re.search("licen[sc]e|rights reserved", x, re.I)}
+    assert lines == set(want)
+    assert scanned(spark, list(want)) == list(want.values())
+    got = by_id(license_scan.scan_licenses(docs.select("doc_id", F.lit("x.txt").alias("path"), "text")))
+    for r in docs.collect():
+        of = {v for k, v in want.items() if k in (r["text"] or "").split("\n")}
+        assert got[r["doc_id"]]["own_license"] in (of or {None})
+
+
+def test_short_wrapped_and_enclosed_notices(spark):
+    prose = "some plain words of prose that speak of other things and go on for a good while before the notice comes up "
+    texts = {
+        "SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0\nint x;": "Apache-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */": "GPL-2.0",
+        "SPDX-License-Identifier: (MIT OR BSD-3-Clause)": "BSD-3-Clause",
+        "SPDX-License-Identifier: ISC": None,
+        "SPDX-License-Identifier: MIT-0": None,
+        prose + "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. " + prose: "Apache-2.0",
+        "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 3 of the License, or (at your option) any later version.": "LGPL-3.0",
+        " * This Source Code Form is\n * subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy of the MPL was not distributed": "MPL-2.0",
+        "Copyright 2020 A Company, Inc. All rights reserved.\n" + prose: "proprietary",
+        "Copyright 2020 A. All rights reserved.\n\n" + prose + "Redistribution and use in source and\nbinary forms, with or without\nmodification, are allowed provided that the following conditions are met:": "BSD-3-Clause",
+        "Some rights reserved.": None,
+        prose + "with the permission of a friend": None,
+    }
+    assert scanned(spark, list(texts)) == list(texts.values())
+
+
 def test_rules_score_alike_in_python_and_spark(spark, docs):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(rule_ensemble.FEATURES)))
