@@ -27,23 +27,32 @@ class Band:
     """A text passes with low <= characters per token <= high, byte share <= most_bytes and evenness >= least_even.
 
     Evenness is the entropy of a text's tokens over the greatest that its number of tokens allows (at most 2^even_bits kinds).
+    Short texts vary more than low and high allow. Where the spread of good text is known, a text of n tokens outside them
+    passes as well if it lies within RADIUS deviations of good text of its length, both figures together: characters per
+    token deviate from mean by SPREAD / sqrt(n), evenness from even - slope * min(log2(n) - EVEN_BITS, 0) by even_spread.
     """
 
     low: float
     high: float
     most_bytes: float
     least_even: float
+    mean: float = np.nan
+    even: float = np.nan
+    slope: float = np.nan
+    even_spread: float = np.nan
 
 
-#: Bands of the default vocabulary, wide enough for labelled good text of each language (see README).
+#: Bands of the default vocabulary and the spread of labelled good text of each language (see README).
 BANDS: Mapping[str, Band] = {
-    "en": Band(2.30, 3.20, 0.05, 0.705),
-    "fr": Band(1.95, 2.70, 0.25, 0.675),
-    "de": Band(2.15, 2.85, 0.15, 0.695),
-    "es": Band(1.90, 2.70, 0.25, 0.665),
+    "en": Band(2.30, 3.20, 0.05, 0.705, 2.664, 0.737, 0.055, 0.0125),
+    "fr": Band(1.95, 2.70, 0.25, 0.675, 2.201, 0.706, 0.062, 0.015),
+    "de": Band(2.15, 2.85, 0.15, 0.695, 2.387, 0.717, 0.060, 0.014),
+    "es": Band(1.90, 2.70, 0.25, 0.665, 2.092, 0.7045, 0.057, 0.020),
 }
 SCRIPT_BANDS: Mapping[str, Band] = {"latin": Band(1.5, 6.0, 0.3, 0.6), "other": Band(0.2, 4.0, 1.0, 0.4)}
 EVEN_BITS = 9
+#: Deviation of characters per token times the root of the number of tokens (alike in all four languages), and how many deviations pass.
+SPREAD, RADIUS = 1.2, 4.6
 _OPEN = ("ranked_bpe", "ranked_bpe_chunks")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, evenness double, band string"
 
@@ -76,9 +85,13 @@ def _measure(batches: Iterator[pa.RecordBatch], vocabularies, bands, script_band
         wide = np.bincount(np.searchsorted(offsets, np.flatnonzero(raw >= 0xD0), side="right") - 1, minlength=n)[:n]
         script = np.where(2 * wide > n_chars, "other", "latin")
         lang = [x if x in bands else s for x, s in zip(batch.column("lang").to_pylist(), script)]
-        low, high, bytes_, least = (np.array([getattr(table[x], k) for x in lang]) for k in ("low", "high", "most_bytes", "least_even"))
+        low, high, bytes_, least, mean, usual, slope, spread = (np.array([getattr(table[x], k) for x in lang]) for k in ("low", "high", "most_bytes", "least_even", "mean", "even", "slope", "even_spread"))
+        size = np.maximum(tokens, 1)
+        off = (per_token - mean) * np.sqrt(size) / SPREAD
+        uneven = np.minimum(even - usual + slope * np.minimum(np.log2(size) - EVEN_BITS, 0), 0) / spread
+        near = off**2 + uneven**2 <= RADIUS**2  # false where a band has no spread
         failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-        passed = (low <= per_token) & (per_token <= high) & (fallback <= bytes_) & (even >= least)
+        passed = (((low <= per_token) & (per_token <= high)) | near) & (fallback <= bytes_) & (even >= least)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), *(pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & passed), pa.array(np.round(tokens).astype(np.int64)), pa.array(per_token), pa.array(fallback), pa.array(entropy), pa.array(even), pa.array(lang, pa.string())],
             [x.split()[0] for x in SCHEMA.split(", ")],

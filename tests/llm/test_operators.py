@@ -98,6 +98,16 @@ def test_quality_counts(docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_short_clean_texts_are_kept(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    clean, junk = (5854, 2438, 1202), (3377, 5147, 8194, 813)  # none has a label; the latter have a symbol at every word
+    got = by_id(quality_rules.quality_rules(docs.where(F.col("doc_id").isin(*clean, *junk))))
+    assert [got[k]["kept"] for k in clean] == [True] * 3 and [got[k]["kept"] for k in junk] == [False] * 4
+    short = docs.where("length(text) < 1200").join(labels.select("doc_id", "quality"), "doc_id")
+    judged = quality_rules.quality_rules(short).where("not base_failed").join(labels, "doc_id").collect()
+    assert len(judged) > 100 and all(r["kept"] for r in judged if r["quality"])
+
+
 def test_substrings_against_brute_force(docs):
     raw = [(r[1] or "").encode() for r in sample()]
     times = collections.Counter(b[j : j + 400] for b in raw for j in range(len(b) - 399))
