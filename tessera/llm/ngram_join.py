@@ -131,18 +131,21 @@ def _local_roots(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _unit(rows: list[tuple], threshold: float, least: dict[int, int]) -> pa.RecordBatch:
-    """Links of one unit: rows are (rep, side, weight, sig, grams); side 0 against itself, or side 0 against side 1."""
+def _unit(rows: list[tuple], within: bool, threshold: float, least: dict[int, int]) -> pa.RecordBatch:
+    """Links of one unit: rows are (rep, side, weight, sig, grams); within a block side 0 against itself, else side 0 against side 1.
+
+    Blocks come from a hash, so either side of a unit of two blocks may be empty; it has no links then.
+    """
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
     sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
     blocks = [{"sig": np.frombuffer(b"".join(r[3] for r in s), np.uint32).reshape(len(s), HASHES), "grams": [np.frombuffer(r[4], np.uint64) for r in s]} for s in sides]
     ids, weight = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
     n, m = len(sides[0]), len(sides[1])
     link = np.zeros((n + m, n + m), bool)
-    if not m:
+    if within:
         link[:] = _links(blocks[0], blocks[0], threshold, least)
         np.fill_diagonal(link, False)
-    elif n:
+    elif n and m:
         link[:n, n:] = _links(blocks[0], blocks[1], threshold, least)
         link[n:, :n] = link[:n, n:].T
     some = np.flatnonzero(link.any(1))
@@ -193,11 +196,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, toleran
             for label, i, j, *row in zip(*cols):
                 if (label, i, j) != key:
                     if len(held) > 1:
-                        yield _unit(list(held.values()), threshold, least)
+                        yield _unit(list(held.values()), key[1] == key[2], threshold, least)
                     key, held = (label, i, j), {}
                 held[row[1]] = (row[1], row[0], *row[2:])
         if len(held) > 1:
-            yield _unit(list(held.values()), threshold, least)
+            yield _unit(list(held.values()), key[1] == key[2], threshold, least)
 
     found = units.repartition(default_partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(in_worker(link), "rep long, n_texts long, n_rows long, root long")
     found = materialize(found, "links")

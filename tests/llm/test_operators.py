@@ -149,6 +149,16 @@ def test_large_near_group_is_cut_into_blocks(spark, monkeypatch):
     assert {(r["class_id"], r["n_links"], r["n_text_links"]) for r in got} == {(0, 39, 39)} and len(got) == 40
 
 
+def test_links_count_once_beside_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)  # two texts of 296 n-grams make two blocks
+    block = {r["id"]: r["b"] for r in spark.range(200).select("id", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).alias("b")).collect()}
+    both = [[k for k in block if block[k] == b][:2] for b in (0, 1)]
+    for pair in (*both, [x[0] for x in both]):  # both in block 0, both in block 1, one in each
+        rows = [(k, " ".join([*words(299, 6), f"end{k}"])) for k in pair]
+        got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_text_links"]) for r in got) == [(k, min(pair), 1, 1) for k in sorted(pair)]
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(words(150, 1)[20:60])), (2, "short item"), (3, None), (4, " ".join(words(40, 99)))]
     got = decontamination.benchmark_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
