@@ -1,10 +1,10 @@
-"""Suffix-array dedup: bytes under a string of ``length`` bytes that also starts elsewhere, by distributed prefix doubling.
+"""Suffix-array dedup: bytes under a string of ``length`` bytes that also starts elsewhere, by one prefix doubling and hashed ranges.
 
 A suffix array of every position would move each byte of the corpus through every round of sorting. This one is
 sparse: it holds the positions that are least among ``window`` neighbours by the hash of their first bytes, so equal
 strings hold equal positions. A position's rank starts as the name of its first phrase (the bytes up to the next held
-position); each round pairs it with the rank one offset on, twice as far each time, names the pairs anew and drops the
-positions whose rank is unique, until the run is as long as every repeated string must share. What is left is decided
+position); one doubling round pairs it with the next rank, names the pairs anew and drops the positions whose rank is
+unique. A repeated string is only sure to share two phrases, so the round is a filter and there is no second one. What is left is decided
 by byte: for a range of starts before a position, if the string that covers all their strings is found twice, all are
 repeated; if the string that all of them share is found once, none is; otherwise the range is cut into smaller ranges,
 down to single strings. Counting goes by groupBy, so a passage that a third of all texts share is summed before it is
