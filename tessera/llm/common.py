@@ -122,6 +122,14 @@ def in_worker(run: Callable, *keep: str) -> Callable:
     return task
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df has not, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,17 +1,25 @@
-"""Suffix-array dedup: bytes under a string of ``length`` bytes that also starts elsewhere, by one prefix doubling and hashed ranges.
-
-A suffix array of every position would move each byte of the corpus through every round of sorting. This one is
-sparse: it holds the positions that are least among ``window`` neighbours by the hash of their first bytes, so equal
-strings hold equal positions. A position's rank starts as the name of its first phrase (the bytes up to the next held
-position); one doubling round pairs it with the next rank, names the pairs anew and drops the positions whose rank is
-unique. A repeated string is only sure to share two phrases, so the round is a filter and there is no second one. What is left is decided
-by byte: for a range of starts before a position, if the string that covers all their strings is found twice, all are
-repeated; if the string that all of them share is found once, none is; otherwise the range is cut into smaller ranges,
-down to single strings. Counting goes by groupBy, so a passage that a third of all texts share is summed before it is
-shuffled.
+"""Suffix-array dedup: bytes under a string of ``length`` bytes that also starts elsewhere, by distributed prefix doubling.
+
+A suffix array of every byte would move the corpus through each round of sorting many times over. This one is sparse:
+it holds the positions that are least among ``window`` neighbours by the hash of the bytes there (ties: the leftmost),
+so equal strings hold equal positions, and every start of a string belongs to one of them: the least of the first
+``window`` bytes.
+
+Doubling. A position's first key is its phrase, the bytes up to the next held position. Spark sorts (key, text, place)
+over range partitions; a position's rank is the number of smaller keys, counted in each partition and added up over
+partitions; positions with a key of their own are dropped. Each round pairs a position's rank with the rank as many
+positions on as the ranks span, and sorts the pairs again, at offsets 1, 2, 4 ... phrases, until the rank is unique or
+the run reaches what every string of ``length`` bytes at that position must share (``reach`` bytes: the threshold).
+
+Deciding bytes. What is left shares a long run with another position, but which of its starts repeat depends on the
+bytes around the run. The starts of a position are judged in cells: if the string that covers all strings of a cell is
+found twice, all repeat; if the string that they all share is found once, none does; otherwise the cell is cut, down to
+single starts. Each question is the same range sort. Text and place break ties, so a key that a third of all rows have
+is spread over as many partitions as it fills.
 
 Defined cases: a null or empty text has no bytes and its own digest; texts under ``length`` bytes lose nothing; equal
-texts (repeated rows too) of ``length`` bytes or more lose everything; an empty table gives no rows.
+texts (repeated rows too) of ``length`` bytes or more lose everything, also those that share a doc_id with other texts;
+a text longer than a slice is a slice of its own; an empty table gives no rows; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -22,200 +30,358 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, broadcast_if_small, discard, in_worker, materialize, mix, ragged, slices, text_bytes
+from tessera.llm.common import Hasher, broadcast_if_small, default_partitions, discard, free_name, in_worker, materialize, mix, slices, text_bytes, words
 
 #: Bytes whose hash decides which positions are held.
 GRAM = 16
-#: Into how many ranges a range is cut, level by level; 0: into single starts.
-STEPS = (4, 4, 4, 0)
+#: Into how many cells a position's starts are cut if they don't all repeat or all not; the last level has single starts.
+CELLS = 8
+
+
+def window_of(length: int) -> int:
+    window = (length - GRAM) // 4
+    if window < 8:
+        raise ValueError(f"length must be {4 * 8 + GRAM} or more")
+    return window
 
 
-def held_positions(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, window: int) -> np.ndarray:
-    """Positions that are the leftmost least of some ``window`` neighbours inside one text."""
+def reach_of(length: int, window: int) -> int:
+    """Every string of ``length`` bytes holds the run from its first sure position to the first one at least so many bytes on."""
+    return length - GRAM - 2 * window + 2
+
+
+def held_positions(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that are the leftmost least of some ``window`` neighbours inside one text, and the first and last start of theirs.
+
+    The starts of a position are those whose next ``window`` positions have their least there.
+    """
+    none = np.zeros(0, np.int64)
     n = len(raw) - GRAM + 1
     if n < window:
-        return np.zeros(0, np.int64)
+        return none, none, none
     at = np.arange(n)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    key = (hasher(at, at + GRAM) >> bits << bits) | at.astype(np.uint64)
+    # the upper half of the hash and the place: the cut is the same in every slice, so equal strings agree everywhere
+    key = (hasher(at, at + GRAM) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
     pad = -n % window
     block = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, window)
     head = np.minimum.accumulate(block, 1).ravel()
     tail = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
     tops = n - window + 1
     least = np.minimum(tail[:tops], head[window - 1 : window - 1 + tops])
-    place = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    place = place[np.arange(tops) + window + GRAM - 1 <= end[:tops]]
-    return place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    end = np.repeat(offsets[1:], np.diff(offsets))[:tops]
+    start = np.flatnonzero(np.arange(tops) + window + GRAM - 1 <= end)
+    place = place[start]
+    if not len(place):
+        return none, none, none
+    opens = np.concatenate([[True], place[1:] != place[:-1]])
+    closes = np.concatenate([opens[1:], [True]])
+    return place[opens], start[opens], start[closes]
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Held positions that open a phrase: tid, i (number in the text), at, name of the phrase, m (phrases up to the threshold, or
+    to the end of the text), d1 and d2 (least and greatest distance back to its starts; d1 > d2: none)."""
+    reach = reach_of(length, window)
     for batch in slices(batches):
         raw, offsets = text_bytes(batch.column("text"))
         hasher = Hasher(raw)
-        at = held_positions(raw, offsets, hasher, window)
+        at, low, high = held_positions(raw, offsets, hasher, window)
         if len(at) < 2:
             continue
+        number = np.arange(len(at))
         doc = np.searchsorted(offsets, at, side="right") - 1
-        inner = np.flatnonzero(doc[1:] == doc[:-1])
+        last = np.searchsorted(doc, doc, side="right") - 1
+        m = np.minimum(np.searchsorted(at, at + reach), last) - number
+        high = np.minimum(high, offsets[doc + 1] - length)  # a start needs length bytes before the end of its text
+        inner = np.flatnonzero(last > number)
         name = hasher(at[inner], at[inner + 1] + GRAM)
-        first = np.searchsorted(doc, doc)
         tid = batch.column("tid").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(tid[doc[inner]]), pa.array((inner - first[inner]).astype(np.int32)), pa.array((at[inner] - offsets[doc[inner]]).astype(np.int32)), pa.array(name.view(np.int64))], ["tid", "i", "at", "name"])
+        ints = (pa.array(x[inner].astype(np.int32)) for x in (number - np.searchsorted(doc, doc), at - offsets[doc], m, at - high, at - low))
+        yield pa.RecordBatch.from_arrays([pa.array(tid[doc[inner]]), *ints, pa.array(name.view(np.int64))], ["tid", "i", "at", "m", "d1", "d2", "name"])
 
 
-def _twice(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that two rows or more have."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+def rank_by_sorting(rows: DataFrame, keys: list[str], ties: list[str], name: str, drop_unique: bool = True, unless_first: str | None = None) -> DataFrame:
+    """rows sorted by keys and ties over range partitions, written, with rank (number of smaller keys), twice and head.
 
+    twice: another row has these keys; head: no row before it has. Without twice rows go if drop_unique. unless_first
+    names a boolean column, also the first of ties: rows go if it is true in the first row of their keys.
+    Only the first and last keys of each partition go to the driver, to add up counts and join what partitions part.
+    """
+    spark = rows.sparkSession
+    columns = [c for c in rows.columns if c not in keys]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    order = [*keys, *ties]
 
-def _ranges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """For each range of starts at - d2 .. at - d1 of each text: lo, hi of the bytes that its strings cover, their name f1, f2, and the name c of the bytes that all share."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run, prev, gone, held, any_ = TaskContext.get().partitionId(), -1, None, False, None, False
+
+        def out(table: pa.RecordBatch, follows: bool | None) -> pa.RecordBatch:
+            """All rows of table are complete; follows: whether the row after it has the keys of its last (None: there is no such row)."""
+            nonlocal run, prev, gone, any_
+            n = table.num_rows
+            values = [table.column(k).to_numpy() for k in keys]
+            new = np.ones(n, bool)
+            new[1:] = functools.reduce(np.logical_or, (v[1:] != v[:-1] for v in values))
+            new[0] = prev is None or any(v[0] != p for v, p in zip(values, prev))
+            runs = run + np.cumsum(new)
+            after = np.append(~new[1:], bool(follows))
+            edge = np.zeros(n, np.int8)
+            edge[0] += not any_
+            edge[-1] += 2 * (follows is None)
+            head = new
+            stay = np.ones(n, bool)
+            if drop_unique:
+                stay = ~new | after | (edge > 0)
+            if unless_first:
+                flag = table.column(unless_first).to_numpy(zero_copy_only=False)
+                first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+                bad = np.where(first >= 0, flag[np.maximum(first, 0)], gone)
+                # the first run of a partition may have begun in the one before
+                if part:
+                    bad &= runs > 0
+                gone = bool(bad[-1])
+                stay &= ~bad | (edge > 0)
+            run, any_, prev = int(runs[-1]), True, [v[-1] for v in values]
+            marks = [pa.array(np.full(n, part, np.int32)), pa.array(runs), pa.array(~new | after), pa.array(head), pa.array(edge)]
+            ends = [pa.array(v, mask=edge == 0) for v in values]
+            got = pa.RecordBatch.from_arrays([*(table.column(c) for c in columns), *marks, *ends], names)
+            return got.filter(pa.array(stay))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            body, held = batch.slice(0, batch.num_rows - 1), batch.slice(batch.num_rows - 1)
+            if body.num_rows:
+                yield out(body, all(body.column(k)[-1].as_py() == held.column(k)[0].as_py() for k in keys))
+        if held is not None:
+            yield out(held, None)
+
+    names = [*columns, "_part", "_run", "_twice", "_head", "_edge", *(f"_e{k}" for k in range(len(keys)))]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "_part int, _run long, _twice boolean, _head boolean, _edge byte", *(f"_e{k} long" for k in range(len(keys)))])
+    sorted_ = rows.repartitionByRange(default_partitions(spark), *order).sortWithinPartitions(*order)
+    numbered = materialize(sorted_.mapInArrow(in_worker(number), schema), name)
+    ends: dict[int, dict] = {}
+    for r in numbered.where("_edge > 0").select("_part", "_run", "_edge", *(f"_e{k}" for k in range(len(keys)))).collect():  # two rows a partition at most
+        at = ends.setdefault(r["_part"], {})
+        if r["_edge"] & 1:
+            at["first"] = tuple(r)[3:]
+        if r["_edge"] & 2:
+            at["last"], at["n"] = tuple(r)[3:], r["_run"] + 1
+    offsets, total, before = [], 0, None
+    for part in sorted(ends):
+        joined = before is not None and ends[before]["last"] == ends[part]["first"]
+        if joined:
+            offsets[-1][3] = True
+        offsets.append([part, total - joined, joined, False])
+        total += ends[part]["n"] - joined
+        before = part
+    at = spark.createDataFrame(offsets, "_p int, _off long, _joins boolean, _goes_on boolean")
+    first, last = F.col("_edge").bitwiseAND(F.lit(1)) > 0, F.col("_edge").bitwiseAND(F.lit(2)) > 0
+    twice = F.col("_twice") | (first & F.col("_joins")) | (last & F.col("_goes_on"))
+    out = numbered.join(F.broadcast(at), F.col("_part") == F.col("_p")).select(*columns, (F.col("_run") + F.col("_off")).alias("rank"), twice.alias("twice"), (F.col("_head") & ~(first & F.col("_joins"))).alias("head"))
+    out = out.where("twice") if drop_unique else out
+    out._scratch = numbered._scratch
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """For each cell of width distances (those from d on) back from a position: lo, hi of the bytes that its strings cover, f1 and f2 that name them, and c that names the bytes that all strings of a whole cell share."""
     for batch in slices(batches):
         raw, offsets = text_bytes(batch.column("text"))
         hasher = Hasher(raw)
-        cells = batch.column("ranges")
+        cells = batch.column("cells")
         n = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
         flat = cells.flatten()
-        at, d1, d2, w = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "d1", "d2", "w"))
+        at, d, d1, d2 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "d", "d1", "d2"))
+        known = flat.field("known").to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(n)), n)
-        begin, end = offsets[doc], offsets[doc + 1]
+        begin = offsets[doc]
         at = at + begin
-        low, high = np.maximum(d1, at + length - end), np.minimum(d2, at - begin)
-        some = low <= high
-        doc, begin, at, d1, d2, w, low, high = (x[some] for x in (doc, begin, at, d1, d2, w, low, high))
+        low, high = np.maximum(d, d1), np.minimum(d + width - 1, d2)
         lo, hi = at - high, at + length - low
         middle = lo + length // 2
         f1 = mix(hasher(lo, middle) + (low * 65_537 + high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         f2 = hasher(middle, hi)
-        c = hasher(at - d1, at + length - d2)
+        c = mix(hasher(at - d, at + length - (d + width - 1)) + d.astype(np.uint64))
         tid = batch.column("tid").to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tid[doc]), *(pa.array(x.astype(np.int32)) for x in (at - begin, d1, d2, lo - begin, hi - begin, w)), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))],
-            ["tid", "at", "d1", "d2", "lo", "hi", "w", "f1", "f2", "c"],
-        )
+        ints = (x.astype(np.int32) for x in (at - begin, d, d1, d2, lo - begin, hi - begin))
+        yield pa.RecordBatch.from_arrays([pa.array(tid[doc]), *map(pa.array, ints), pa.array(known), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))], ["tid", "at", "d", "d1", "d2", "lo", "hi", "known", "f1", "f2", "c"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Digests (doc_id, sha, n_bytes of every row), spans (sha, spans: list of lo, hi) of texts with repeats that aren't
-    repeated whole, and copied (sha of texts of ``length`` bytes or more that two rows or more have)."""
-    window = (length - GRAM) // 3
-    if window < 8:
-        raise ValueError("length must be 40 or more")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sha = F.sha2(text.cast("binary"), 256)
-    digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
-    long_ = digests.where(F.col("n_bytes") >= length)
-    copies = materialize(long_.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "copies")
-    later = materialize(long_.join(copies, "sha").where("doc_id <> first").select(F.col("doc_id").alias("_later")).distinct(), "later-copies")
-    # one row of each text goes on; a copy that slips through (no doc_id, or one that repeats) only counts once more
-    texts = docs.where(F.octet_length("text") >= length).select("doc_id", "text").join(broadcast_if_small(later), F.col("doc_id") == F.col("_later"), "left_anti")
-    texts = texts.select(F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)).alias("tid"), "text")
-
-    phrases = materialize(texts.mapInArrow(in_worker(lambda it: _phrases(it, length, window)), "tid long, i int, at int, name long"), "phrases")
-    names = materialize(_twice(phrases, "name").select(F.col("name").alias("_name")), "names-found-twice")
-    ranked = materialize(phrases.join(broadcast_if_small(names), F.col("name") == F.col("_name"), "left_semi").select("tid", "i", "at", F.col("name").alias("rank")).distinct(), "ranks-1")
-    discard(phrases, names)
-    # every string of length bytes holds a run of two phrases, so one doubling is what all repeats must share
-    offset = 1
-    while offset < 2:
-        on = ranked.select("tid", (F.col("i") - offset).alias("i"), F.col("rank").alias("next"))
-        pairs = materialize(ranked.join(on, ["tid", "i"]).select("tid", "i", "at", F.xxhash64("rank", "next").alias("rank")), f"pairs-{2 * offset}")
-        discard(ranked)
-        ranked = materialize(pairs.join(_twice(pairs, "rank"), "rank", "left_semi").select("tid", "i", "at", "rank"), f"ranks-{2 * offset}")
+def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Ranks of runs of span phrases, in order of tid and i, with the rank ``step`` positions on: the span, or what is left up to the threshold."""
+
+    def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
+        tid, i, m, rank = (rows.column(k).to_numpy() for k in ("tid", "i", "m", "rank"))
+        place = np.cumsum(np.concatenate([[0], tid[1:] != tid[:-1]])).astype(np.int64) << 32 | i
+        step = np.minimum(span, m - span).astype(np.int64)
+        to = np.searchsorted(place, place + step)
+        there = (step > 0) & (to < len(place))
+        to = np.minimum(to, len(place) - 1)
+        there &= place[to] == place + step
+        out = pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("tid", "i", "at", "m", "d1", "d2")), pa.array(rank), pa.array(rank[to]), pa.array(step)], ["tid", "i", "at", "m", "d1", "d2", "k", "next", "step"])
+        return out.filter(pa.array(there))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and batch.column("tid")[0] != held[-1].column("tid")[-1]:
+            yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held = []
+        tid = batch.column("tid").to_numpy()
+        cut = int(np.searchsorted(tid, tid[-1]))  # the last text may go on
+        if cut:
+            yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def repeated_runs(texts: DataFrame, length: int, window: int) -> DataFrame:
+    """Positions of texts (tid, text) whose run of phrases up to the threshold is found twice: tid, at, d1, d2; by prefix doubling."""
+    ints = "tid long, i int, at int, m int, d1 int, d2 int"
+    phrases = materialize(texts.select("tid", "text").mapInArrow(in_worker(lambda it: _phrases(it, length, window)), f"{ints}, name long"), "phrases")
+    ranks = rank_by_sorting(phrases, ["name"], ["tid", "i"], "ranks-1")
+    discard(phrases)
+    span, done = 1, []
+    while True:
+        # up to the threshold there are span phrases or fewer: the run that every string at this position shares is ranked
+        done.append(materialize(ranks.where(f"m <= {span} and d1 <= d2").select("tid", "at", "d1", "d2"), f"runs-{span}"))
+        # a position with fewer phrases to go is in no longer run that starts before it
+        ahead = ranks.where(f"m >= {span}").select("tid", "i", "at", "m", "d1", "d2", "rank")
+        if ahead.where(f"m > {span}").isEmpty():
+            discard(ranks)
+            return functools.reduce(DataFrame.unionByName, done)
+        by_text = ahead.repartition(default_partitions(texts.sparkSession), "tid").sortWithinPartitions("tid", "i")
+        pairs = materialize(by_text.mapInArrow(in_worker(lambda it, span=span: _pair(it, span)), f"{ints}, k long, next long, step long"), f"pairs-{2 * span}")
+        discard(ranks)
+        ranks = rank_by_sorting(pairs, ["k", "next", "step"], ["tid", "i"], f"ranks-{2 * span}")
         discard(pairs)
-        offset *= 2
-
-    wanted = materialize(ranked.select(F.col("tid").alias("_tid")).distinct(), "texts-with-repeats")
-    kept = texts.join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    kept = materialize(kept, "candidate-texts")
-    spans, before, width = [], ranked, window
-    ranges = ranked.select("tid", "at", F.lit(0).alias("d1"), F.lit(window - 1).alias("d2"), F.lit(1).alias("w"))
-    for parts in (*STEPS, None):
-        listed = ranges.groupBy("tid").agg(F.collect_list(F.struct("at", "d1", "d2", "w")).alias("ranges"))  # as many as the text has positions
-        rows = materialize(kept.join(listed, "tid").mapInArrow(in_worker(lambda it: _ranges(it, length)), "tid long, at int, d1 int, d2 int, lo int, hi int, w int, f1 long, f2 long, c long"), "ranges")
-        discard(before)
-        sure = rows.groupBy("f1", "f2").agg(F.sum("w").alias("_n")).where("_n > 1").select("f1", "f2", F.lit(True).alias("sure"))
-        if parts is None:
-            spans.append(materialize(rows.join(sure, ["f1", "f2"], "left_semi").select("tid", "lo", "hi"), "spans"))
-            discard(rows)
-            break
-        judged = materialize(rows.join(sure, ["f1", "f2"], "left").withColumn("sure", F.coalesce("sure", F.lit(False))), "judged")
+        span *= 2
+
+
+def _unique_texts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Digests (doc_id, sha, n_bytes) of all rows, copied (sha of texts of length bytes or more that two rows or more have), and texts (tid, text): one row of each text of length bytes or more."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"), "text")
+    digests = materialize(keyed.drop("text"), "digests")
+    copied = materialize(digests.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "copied")
+    long_ = keyed.where(F.col("n_bytes") >= length)
+    alone = long_.join(broadcast_if_small(copied.select("sha")), "sha", "left_anti").select("text")
+    # of copied texts the rows of the least doc_id, and of these one: doc_id may be null or repeat
+    first = broadcast_if_small(copied.select(F.col("sha").alias("_sha"), "first"))
+    one = long_.join(first, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").groupBy("sha").agg(F.first("text").alias("text")).select("text")
+    texts = materialize(alone.unionByName(one).select(F.monotonically_increasing_id().alias("tid"), "text"), "unique-texts")
+    return digests, copied, texts
+
+
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """tid, text and spans (list of lo, hi; they may overlap) of each of texts (tid, text; no two alike) that holds a string of length bytes that also starts elsewhere."""
+    window = window_of(length)
+    parent = repeated_runs(texts, length, window).select("tid", "at", F.lit(0).alias("d"), "d1", "d2", F.lit(False).alias("known"))
+    wanted = materialize(parent.select(F.col("tid").alias("_tid")).distinct(), "texts-with-repeats")
+    kept = texts.join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi")
+    spans, widths = [], (window, -(-window // CELLS), 1)
+    schema = "tid long, at int, d int, d1 int, d2 int, lo int, hi int, known boolean, f1 long, f2 long, c long"
+    for level, width in enumerate(widths):
+        listed = parent.groupBy("tid").agg(F.collect_list(F.struct("at", "d", "d1", "d2", "known")).alias("cells"))  # as many as the text has positions
+        rows = materialize(kept.join(listed, "tid").mapInArrow(in_worker(lambda it, width=width: _cells(it, length, width)), schema), f"cells-{level}")
+        judged = rank_by_sorting(rows, ["f1", "f2"], ["tid", "at", "d"], f"judged-{level}", drop_unique=False).withColumn("sure", F.col("twice") | F.col("known"))
         discard(rows)
-        spans.append(materialize(judged.where("sure").select("tid", "lo", "hi"), "spans"))
-        before = judged
-        # a shared part that only one text has settles its range; so does one whose ranges are all sure
-        open_ = judged.groupBy("c").agg(F.sum("w").alias("_n"), F.sum((~F.col("sure")).cast("long")).alias("_u")).where("_n > 1 and _u > 0").select("c")
-        more = judged.join(open_, "c", "left_semi")
-        # of sure ranges with the same bytes one goes on, for two
-        stand_in = more.where("sure").groupBy("f1", "f2").agg(F.min(F.struct("tid", "at", "d1", "d2")).alias("s")).select("s.tid", "s.at", "s.d1", "s.d2", F.lit(2).alias("w"))
-        more = more.where("not sure").select("tid", "at", "d1", "d2", "w").unionByName(stand_in)
-        width = -(-width // parts) if parts else 1
-        ranges = more.select("tid", "at", "d2", "w", F.explode(F.sequence("d1", "d2", F.lit(width))).alias("d1")).select("tid", "at", "d1", F.least(F.col("d1") + (width - 1), "d2").alias("d2"), "w")
-    every = functools.reduce(DataFrame.unionByName, spans).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    return digests, kept.join(every, "tid"), copies
-
-
-def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """What stays of text, bytes removed, maximal runs removed; spans are sorted."""
-    out, at, removed, runs = [], 0, 0, 0
-    end = -1
-    for lo, hi in spans:
-        if lo > end:
-            runs += 1
-            out.append(text[at:lo])
-        if hi > end:
-            removed += hi - max(lo, end)
-            at = end = hi
-    out.append(text[at:])
-    return b"".join(out), removed, runs
-
-
-def _changed(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """Digests of all rows, and what became of each text that lost something: sha, n_removed, n_spans, kept_sha256 (and the text left)."""
-    digests, found, copies = repeated_spans(docs, length)
+        spans.append(materialize(judged.where("sure and not known").select("tid", "lo", "hi"), f"spans-{level}"))
+        if width == 1:
+            break
+        # of sure cells with the same bytes one goes on, so that open ones find their like; a shared part that only sure cells or one cell have is settled
+        open_ = judged.where("not sure or head").select("tid", "at", "d", "d1", "d2", "sure", "c")
+        shared = rank_by_sorting(open_, ["c"], ["sure", "tid", "at", "d"], f"open-{level}", unless_first="sure")
+        step = widths[level + 1]
+        inside = F.expr(f"explode(sequence(cast(greatest(d, d1) div {step} * {step} as int), least(d + {width - 1}, d2), {step}))")
+        parent = shared.select("tid", "at", inside.alias("cell"), F.greatest("d", "d1").alias("d1"), F.least(F.col("d") + (width - 1), "d2").alias("d2"), F.col("sure").alias("known")).withColumnRenamed("cell", "d")
+    every = functools.reduce(DataFrame.unionByName, spans).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return kept.join(every, "tid")
+
+
+def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the union of spans."""
+    order = np.argsort(lo, kind="stable")
+    lo, top = lo[order], np.maximum.accumulate(hi[order])
+    opens = np.flatnonzero(np.concatenate([[True], lo[1:] > top[:-1]]))
+    return lo[opens], top[np.append(opens[1:], len(lo)) - 1]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], least_words: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """sha, n_removed, n_spans, kept_sha256 (and the text left) of texts whose runs of least_words whole words or more go."""
+    for batch in slices(batches):
+        raw, offsets = text_bytes(batch.column("text"))
+        cells = batch.column("spans")
+        n = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
+        flat = cells.flatten()
+        begin = np.repeat(offsets[:-1] + np.arange(len(n)), n)  # one byte between texts: runs of two texts never touch
+        lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) + begin for k in ("lo", "hi"))
+        lo, hi = _merge(lo, hi)
+        doc = np.searchsorted(offsets[:-1] + np.arange(len(n)), lo, side="right") - 1
+        lo, hi = lo - doc, hi - doc
+        if least_words:
+            start, end, _ = words(raw, offsets)
+            enough = np.searchsorted(end, hi, side="right") - np.searchsorted(start, lo) >= least_words
+            lo, hi, doc = lo[enough], hi[enough], doc[enough]
+        gone = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(gone, lo, 1)
+        np.add.at(gone, hi, -1)
+        stays = np.cumsum(gone[:-1]) == 0
+        left = raw[stays].tobytes()
+        ends = np.concatenate([[0], np.cumsum(stays)])[offsets]
+        whole = raw.tobytes()
+        removed, runs = np.diff(offsets) - np.diff(ends), np.bincount(doc, minlength=len(n))
+        some = np.flatnonzero(runs)
+        shas = [hashlib.sha256(whole[offsets[k] : offsets[k + 1]]).hexdigest() for k in some]
+        kept = [left[ends[k] : ends[k + 1]] for k in some]
+        columns = [pa.array(shas, pa.string()), pa.array(removed[some].astype(np.int64)), pa.array(runs[some].astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+        more = [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())] if with_text else []
+        yield pa.RecordBatch.from_arrays([*columns, *more], ["sha", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + with_text])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                raw = text.encode()
-                left, removed, runs = _cut(raw, [(s["lo"], s["hi"]) for s in spans])
-                rows.append((hashlib.sha256(raw).hexdigest(), removed, runs, hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if with_text else [])))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["sha", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + with_text])
 
+def _changed(docs: DataFrame, length: int, least_words: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """Digests of all rows, and what became of each text that lost something: sha, n_removed, n_spans, kept_sha256 (and the text left)."""
+    digests, copied, texts = _unique_texts(docs, length)
     schema = "sha string, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    parts = found.select("text", "spans").mapInArrow(in_worker(cut), schema)
-    parts = parts.join(copies.select("sha"), "sha", "left_anti")
+    parts = repeated_spans(texts, length).select("text", "spans").mapInArrow(in_worker(lambda it: _cut(it, least_words, with_text)), schema)
+    parts = parts.join(copied.select("sha"), "sha", "left_anti")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    whole = digests.join(copies.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.max("n_bytes").alias("n_removed")).select("sha", "n_removed", F.lit(1).cast("long").alias("n_spans"), nothing.alias("kept_sha256"), *([F.lit("").alias("kept_text")] if with_text else []))
+    whole = digests.join(copied.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.max("n_bytes").alias("n_removed")).select("sha", "n_removed", F.lit(1).cast("long").alias("n_spans"), nothing.alias("kept_sha256"), *([F.lit("").alias("kept_text")] if with_text else []))
     return digests, parts.unionByName(whole)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
-    digests, changed = _changed(docs, length, False)
+    digests, changed = _changed(docs, length, 0, False)
     none = F.lit(0).cast("long")
     return digests.join(changed, "sha", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, least_words: int = 0) -> DataFrame:
     """The rows of docs without their repeated bytes (pieces of characters at the cuts go too); rows left without a word go.
 
-    Columns of docs; n_chars, where there is one, follows the new text.
+    Of repeated runs only those of least_words whole words or more go. Columns of docs, whatever their names; n_chars,
+    where there is one, follows the new text. Texts that two rows or more have go whole, however few words they have.
     """
-    _, changed = _changed(docs, length, True)
-    changed = materialize(changed, "changed-texts").withColumnRenamed("sha", "_sha")
-    few = broadcast_if_small(materialize(changed.select(F.xxhash64("_sha").alias("_t")), "changed-keys"))
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    keyed = docs.withColumn("_sha_of", sha)
-    same = keyed.join(few, F.xxhash64("_sha_of") == F.col("_t"), "left_anti").select(*docs.columns)
-    new = keyed.join(few, F.xxhash64("_sha_of") == F.col("_t"), "left_semi").join(changed, F.col("_sha_of") == F.col("_sha"), "left")
-    new = new.where(F.col("_sha").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    left = F.coalesce("kept_text", "text")  # a text whose digest shares 64 bits with a changed one stays as it is
-    columns = [left.alias(c) if c == "text" else F.when(F.col("_sha").isNull(), F.col(c)).otherwise(F.char_length("kept_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    _, changed = _changed(docs, length, least_words, True)
+    key, digest, left, few_key = (free_name(docs, x) for x in ("sha_of_row", "sha", "kept_text", "short_sha"))
+    changed = materialize(changed, "changed-texts").select(F.col("sha").alias(digest), F.col("kept_text").alias(left))
+    few = broadcast_if_small(materialize(changed.select(F.xxhash64(digest).alias(few_key)), "changed-keys"))
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    same = keyed.join(few, F.xxhash64(key) == F.col(few_key), "left_anti").select(*docs.columns)
+    new = keyed.join(few, F.xxhash64(key) == F.col(few_key), "left_semi").join(changed, F.col(key) == F.col(digest), "left")
+    new = new.where(F.col(digest).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    text = F.coalesce(left, "text")  # a text whose digest shares 64 bits with a changed one stays as it is
+    columns = [text.alias(c) if c == "text" else F.when(F.col(digest).isNull(), F.col(c)).otherwise(F.char_length(left).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return same.unionByName(new.select(*columns))
