@@ -1,17 +1,19 @@
 """Benchmark decontamination by SimHash, in DataFrame functions alone.
 
-A benchmark item of n word shingles is compared with windows of n shingles of a document. Windows that open with a
-shingle of the item and whose shared shingles weigh enough to reach the threshold get a 64-bit SimHash; it is cut into
-radius + 1 blocks, so that of any two fingerprints within the radius one block is equal (multi-index); equal blocks of
-one item's fingerprint propose candidates, and candidates within the radius are verified by exact weighted similarity
-(weighted Jaccard of shingle multisets; a shingle weighs the number of its characters).
-
-Sharing no shingle means a similarity of 0, so leaving such windows out loses nothing; a window may as well open with
-its first shared shingle, since what comes before adds only to the union.
-
-Defined cases: items under five words have no shingle and match nothing, as do null and empty texts; rows without a
-doc_id aren't searched; equal rows count once; of windows with one similarity the first is reported; an empty
-benchmark gives no matches.
+A benchmark item of n word shingles is compared with the windows of n shingles of a document. A window gets a 64-bit
+SimHash; it is cut into BLOCKS blocks, so that of two fingerprints within the radius one block differs in at most
+radius // BLOCKS bits (multi-index). The items' fingerprints are listed under every such neighbour of each of their
+blocks, and a window looks its own blocks up among items of its size: that, and a Hamming distance within the radius,
+makes a candidate. Candidates are verified by exact weighted similarity (weighted Jaccard of shingle multisets; a
+shingle weighs the number of its characters).
+
+Fingerprints are made of all windows that hold a shingle of the benchmark, whichever item it is from, wherever in the
+window it stands. A window without one shares nothing with any item, so its similarity is 0.
+
+Defined cases: items under five words have no shingle and match nothing, as do null and empty texts; a text of fewer
+shingles than an item has no window of its size; rows without a doc_id aren't searched; equal rows count once; of windows
+with one similarity the first is reported; an item_id that repeats is one item, of all its rows' shingles; an empty
+benchmark gives no matches; other columns are not read, and drop_contaminated keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, materialize
+from tessera.llm.common import broadcast_if_small, free_name, materialize
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 20
+#: Blocks of a fingerprint: with radius 20 one of 7 differs in 2 bits at most, so an item is listed under 46 or 56 values a block.
+BLOCKS = 7
 
 
 def word_array(text: Column) -> Column:
@@ -57,13 +61,24 @@ def _fingerprint() -> Column:
     return out
 
 
-def hamming_blocks(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 blocks of near equal width: (number of the block, its bits)."""
-    n = radius + 1
+def hamming_blocks(fingerprint: Column, n: int = BLOCKS) -> Column:
+    """n blocks of near equal width: (number of the block, its bits)."""
     cuts = [64 * k // n for k in range(n + 1)]
     return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fingerprint, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("bits")) for k in range(n)])
 
 
+def hamming_neighbours(fingerprint: Column, radius: int, n: int = BLOCKS) -> Column:
+    """For each block all values within radius // n bits: what any fingerprint within the radius has in one block at least."""
+    cuts = [64 * k // n for k in range(n + 1)]
+    lists = []
+    for k in range(n):
+        width = cuts[k + 1] - cuts[k]
+        bits = F.shiftrightunsigned(fingerprint, cuts[k]).bitwiseAND(F.lit((1 << width) - 1))
+        near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long")), lambda x: F.bit_count(x.bitwiseXOR(bits)) <= radius // n)
+        lists.append(F.transform(near, lambda x: F.struct(F.lit(k).alias("k"), x.alias("bits"))))
+    return F.flatten(F.array(*lists))
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """doc_id, item_id, start (word where the best window opens), similarity and distance of each pair that matches."""
     # words are a column of their own: inside the lambdas the text would else be split anew for every shingle
@@ -71,39 +86,51 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
     each = benchmark.where("item_id is not null").select("item_id", word_array(F.col("text")).alias("words")).select("item_id", F.posexplode(F.when(F.size(words) >= size, weighted_shingles(words, size))).alias("at", "s"))
     each = each.select("item_id", "at", "s.h", "s.w").distinct()
     items = materialize(each.groupBy("item_id", "h").agg(F.count("*").alias("n_item"), F.max("w").alias("w")), "item-shingles")
-    totals = materialize(items.select("item_id", "h", (F.col("w") * F.col("n_item")).alias("w"), "n_item").groupBy("item_id").agg(*_sums(), F.sum("n_item").alias("n")).select("item_id", "n", F.col("_total").alias("item_weight"), _fingerprint().alias("item_print")), "item-prints")
-    known = broadcast_if_small(items.join(totals, "item_id").select("item_id", "h", "w", "n", "item_weight"))
+    totals = materialize(items.select("item_id", "h", (F.col("w") * F.col("n_item")).alias("w"), "n_item").groupBy("item_id").agg(*_sums(), F.sum("n_item").cast("int").alias("n")).select("item_id", "n", F.col("_total").alias("item_weight"), _fingerprint().alias("item_print")), "item-prints")
+    # each shingle of the benchmark, once, with the sizes of the items that have it
+    known = broadcast_if_small(materialize(items.join(totals, "item_id").groupBy("h").agg(F.collect_set("n").alias("sizes")), "known-shingles"))
 
-    # hits: shingles of documents that an item has, too
+    # windows that hold a shingle of the benchmark: for each document their sizes and starts
     row = F.xxhash64("text")
     shingled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
-    hashed = shingled.where(F.col("doc_id").isNotNull() & (F.size("words") >= size)).select("doc_id", "row", F.posexplode(shingle_hashes(F.col("words"), size)).alias("at", "h"))
-    hits = materialize(hashed.join(known, "h").select("doc_id", "row", "item_id", "at", "w", "n", "item_weight").distinct(), "hits")
-
-    # starts: a hit from which n shingles on enough weight is shared; the frame is n positions wide, in units of n
-    ahead = F.expr("sum(w) over (partition by doc_id, row, item_id order by cast(at as double) / n range between current row and 0.999999999D following)")
-    starts = materialize(hits.withColumn("shared", ahead).where(F.col("shared") >= threshold * F.col("item_weight") - 1e-9).select("doc_id", "row", "item_id", F.col("at").alias("start"), "n"), "starts")
-    wanted = starts.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
-    wanted = broadcast_if_small(materialize(wanted, "documents-with-starts"))
+    hashed = shingled.where(F.col("doc_id").isNotNull() & (F.size("words") >= size)).select("doc_id", "row", (F.size("words") - size + 1).alias("top"), F.posexplode(shingle_hashes(F.col("words"), size)).alias("at", "h"))
+    hits = hashed.join(known, "h").select("doc_id", "row", "top", "at", F.explode("sizes").alias("n")).where("n <= top")
+    # hits that lie close together have one range of starts, so that no start is listed twice
+    spots = hits.groupBy("doc_id", "row", "top", "n").agg(F.array_sort(F.collect_set("at")).alias("spots"))
+    windows = F.expr("flatten(transform(spots, (at, j) -> case when greatest(0, at - n + 1, if(j > 0, spots[j - 1] + 1, 0)) <= least(at, top - n) then sequence(greatest(0, at - n + 1, if(j > 0, spots[j - 1] + 1, 0)), least(at, top - n)) else array() end))")
+    starts = spots.select("doc_id", "row", "n", windows.alias("starts")).where("size(starts) > 0").groupBy("doc_id", "row").agg(F.collect_list(F.struct("n", "starts")).alias("windows"))  # as many as the text has words, for each size
+    starts = materialize(starts, "windows")
+    wanted = broadcast_if_small(materialize(starts.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")), "documents-with-windows"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left_semi").dropDuplicates(["doc_id", "row"])
-    places = texts.select("doc_id", "row", word_array(F.col("text")).alias("words")).select("doc_id", "row", F.posexplode(weighted_shingles(words, size)).alias("at", "s")).select("doc_id", "row", "at", "s.h", "s.w")
-    inside = starts.select("doc_id", "row", "item_id", "start", F.explode(F.sequence("start", F.col("start") + F.col("n").cast("int") - 1)).alias("at"))
-    window = ["doc_id", "row", "item_id", "start"]
-    content = materialize(inside.join(places, ["doc_id", "row", "at"]).groupBy(*window, "h").agg(F.count("*").alias("n_window"), F.max("w").alias("w1")), "windows")
-
+    shingles = materialize(texts.select("doc_id", "row", word_array(F.col("text")).alias("words")).select("doc_id", "row", weighted_shingles(words, size).alias("shingles")), "shingles-of-documents")
+
+    window = ["doc_id", "row", "n", "start"]
+    # a window's shingles are cut from the list of its document and summed in the same task; only sums are shuffled
+    per_size = shingles.join(starts, ["doc_id", "row"]).select("doc_id", "row", "shingles", F.explode("windows").alias("w"))
+    cut = F.transform("w.starts", lambda x: F.struct(x.alias("start"), F.slice("shingles", x + 1, F.col("w.n")).alias("inside")))
+    opened = per_size.select("doc_id", "row", "w.n", F.explode(cut).alias("o"))
+    content = opened.select("doc_id", "row", "n", "o.start", F.explode("o.inside").alias("s")).select(*window, "s.h", "s.w")
     # written before use: the plan would else repeat the 64-bit expression for every block
-    prints = materialize(content.select(*window, "h", (F.col("w1") * F.col("n_window")).alias("w")).groupBy(*window).agg(*_sums()).select(*window, F.col("_total").alias("window_weight"), _fingerprint().alias("print")), "window-prints")
-    left = prints.select(*window, "window_weight", "print", F.explode(hamming_blocks(F.col("print"), radius)).alias("b")).select(*window, "window_weight", "print", "b.k", "b.bits")
-    right = totals.select("item_id", "item_print", "item_weight", F.explode(hamming_blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "item_print", "item_weight", "b.k", "b.bits")
-    close = left.join(broadcast_if_small(materialize(right, "item-blocks")), ["item_id", "k", "bits"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-    candidates = close.where(F.col("distance") <= radius).select(*window, "window_weight", "item_weight", "distance").distinct()
-    shared = content.join(broadcast_if_small(items).select("item_id", "h", "n_item"), ["item_id", "h"]).groupBy(*window).agg(F.sum(F.col("w1") * F.least("n_window", "n_item")).alias("both"))
-    verified = candidates.join(shared, window).withColumn("similarity", F.col("both") / (F.col("window_weight") + F.col("item_weight") - F.col("both"))).where(F.col("similarity") >= threshold - 1e-12)
+    prints = materialize(content.groupBy(*window).agg(*_sums()).select(*window, F.col("_total").alias("window_weight"), _fingerprint().alias("print")), "window-prints")
+    left = prints.select(*window, "window_weight", "print", F.explode(hamming_blocks(F.col("print"))).alias("b")).select(*window, "window_weight", "print", "b.k", "b.bits")
+    right = totals.select("item_id", "n", "item_print", "item_weight", F.explode(hamming_neighbours(F.col("item_print"), radius)).alias("b")).select("item_id", "n", "item_print", "item_weight", "b.k", "b.bits")
+    close = left.join(broadcast_if_small(materialize(right, "item-blocks")), ["n", "k", "bits"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
+    candidates = materialize(close.where(F.col("distance") <= radius).select(*window, "item_id", "window_weight", "item_weight", "distance").distinct(), "candidates")
+
+    # exact similarity of the candidates
+    chosen = candidates.groupBy("doc_id", "row").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
+    cut = F.transform("windows", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice("shingles", x["start"] + 1, x["n"]).alias("inside")))
+    again = shingles.join(chosen, ["doc_id", "row"]).select("doc_id", "row", F.explode(cut).alias("o")).select("doc_id", "row", "o.n", "o.start", F.explode("o.inside").alias("s"))
+    counted = again.groupBy(*window, F.col("s.h").alias("h")).agg(F.count("*").alias("n_window"), F.max("s.w").alias("w1"))
+    per_item = broadcast_if_small(items.select("item_id", "h", "n_item"))
+    shared = counted.join(per_item, "h").groupBy(*window, "item_id").agg(F.sum(F.col("w1") * F.least("n_window", "n_item")).alias("both"))
+    verified = candidates.join(shared, [*window, "item_id"]).withColumn("similarity", F.col("both") / (F.col("window_weight") + F.col("item_weight") - F.col("both"))).where(F.col("similarity") >= threshold - 1e-12)
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("_s"), (-F.col("distance")).alias("_d"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b._s")).cast("int").alias("start"), F.round("b.similarity", 9).alias("similarity"), (-F.col("b._d")).cast("int").alias("distance"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that match no item; the columns of docs."""
-    found = materialize(benchmark_matches(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(found), docs["doc_id"] == F.col("_hit"), "left_anti")
+    name = free_name(docs, "contaminated")
+    found = materialize(benchmark_matches(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(found), docs["doc_id"] == F.col(name), "left_anti")

@@ -149,6 +149,49 @@ def test_large_near_group_is_cut_into_blocks(spark, monkeypatch):
     assert {(r["class_id"], r["n_links"], r["n_text_links"]) for r in got} == {(0, 39, 39)} and len(got) == 40
 
 
+def test_a_unit_with_an_empty_side_has_no_links():
+    grams = np.arange(300, dtype=np.uint64)
+    sig = ngram_join._signature(grams, np.array([0, 300])).tobytes()
+    rows = [(k, 0, 1, sig, grams.tobytes()) for k in (5, 6)]
+    least = ngram_join.least_agreements(0.8, 1e-9)
+    assert ngram_join._unit(rows, False, 0.8, least).num_rows == 0
+    assert ngram_join._unit(rows, True, 0.8, least).to_pydict() == {"node": [5, 6], "n_texts": [1, 1], "n_rows": [1, 1], "root": [5, 5]}
+
+
+def test_a_chain_of_distant_texts_is_no_component(spark, monkeypatch):
+    """Texts that each share a third with the next: buckets join them, the posterior keeps none, so no unit verifies pairs."""
+    seen = []
+    whole = ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda e: seen.append(whole(e)) or seen[-1])
+    long_ = words(400 * 60, 21, 10**6)
+    rows = [(k, " ".join(long_[200 * k : 200 * k + 400])) for k in range(110)]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["class_id"] == r["doc_id"], r["n_links"]) for r in got} == {(True, 0)}
+    assert seen[0].count() == 0
+
+
+def test_buckets_in_units(spark, monkeypatch):
+    """Two near-copy groups and strangers in units of two texts: as by brute force, also for a doc_id with two texts."""
+    monkeypatch.setattr(ngram_join, "BUCKET_TEXTS", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 3)
+    base, rows = words(200, 31), []
+    for k in range(24):
+        w = base.copy()
+        for at in np.random.default_rng(k).integers(0, 200, 1 + k // 2):
+            w[at] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(3, "another text of the same id with words of its own"), (50, rows[5][1]), (51, rows[5][1])]
+    sets = [grams(x) for _, x in rows]
+    link = [[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[i], *[root[j] for j in range(len(rows)) if link[i][j]]]) for i in range(len(rows))]
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
+    want = sorted((rows[i][0], least[root[i]], sum(link[i])) for i in range(len(rows)))
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
+
+
 def test_links_count_once_beside_empty_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)  # two texts of 296 n-grams make two blocks
     block = {r["id"]: r["b"] for r in spark.range(200).select("id", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).alias("b")).collect()}
@@ -167,6 +210,68 @@ def test_decontamination(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in sample()} - {10, 11, 12}
 
 
+def weighted_similarity(a, b):
+    """Weighted Jaccard of two multisets of word 5-grams; a 5-gram weighs its characters."""
+    both = sum(min(a[g], b[g]) * sum(map(len, g)) for g in a)
+    return both / (sum(n * sum(map(len, g)) for g, n in (*a.items(), *b.items())) - both)
+
+
+def brute_matches(docs, items):
+    out = {}
+    fives = lambda w: [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    for item_id, text in items:
+        item = fives(split(text))
+        for k, x in docs:
+            mine = fives(split(x))
+            for s in range(len(mine) - len(item) + 1 if item else 0):
+                value = weighted_similarity(collections.Counter(mine[s : s + len(item)]), collections.Counter(item))
+                if value >= 0.8 - 1e-12 and value > out.get((k, item_id), (0, 0))[0] + 1e-12:
+                    out[k, item_id] = (value, s)
+    return out
+
+
+def test_decontamination_against_all_windows(spark):
+    long_, w = "l" * 41, [f"w{k:03}" for k in range(40)]
+    five = [f"{k:05}" for k in range(17)]
+    docs = [
+        (0, " ".join(["z z z", *w[:37], *[f"{long_}{k}" for k in range(10)]])),  # the best window opens before the first shared shingle
+        (1, " ".join(["a"] * 3 + w[:37] + ["b"] * 9)),
+        (2, " ".join(["other", *five[1:], "sixsix", "tail"])),
+        (3, " ".join(w)),
+        (4, " ".join(w[:20])),
+        (5, " ".join(["x"] * 30 + w[10:30] + ["y"] * 30)),
+        (6, " ".join(w + w)),
+        (7, " ".join(["q", "r"] * 40)),
+        (8, None),
+        (9, "one two"),
+    ]
+    rng = np.random.default_rng(3)
+    for k in range(30):  # copies with edits, near the threshold
+        x = [f"pre{k}"] * int(rng.integers(0, 6)) + w + [f"post{k}"] * int(rng.integers(0, 6))
+        for at in rng.integers(0, len(x), int(rng.integers(1, 4))):
+            x[at] = "e" * int(rng.integers(1, 12))
+        docs.append((100 + k, " ".join(x)))
+    items = [(1, " ".join(w)), (2, " ".join(five)), (3, "q r " * 6), (4, "one two"), (5, " ".join(w[:5])), (6, None)]
+    got = decontamination.benchmark_matches(spark.createDataFrame([*docs, docs[3]], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_matches(docs, items)
+    assert {(0, 1), (2, 2), (3, 1), (6, 1), (7, 3)} <= set(want)
+    assert {(r["doc_id"], r["item_id"]): (round(r["similarity"], 7), r["start"]) for r in got} == {k: (round(v, 7), s) for k, (v, s) in want.items()}
+
+
+def test_neighbours_cover_the_radius(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(200):
+        a = int(rng.integers(-(1 << 63), (1 << 63) - 1))
+        flips = sum(1 << int(b) for b in rng.choice(64, 20, replace=False))
+        b = (a ^ flips) & ((1 << 64) - 1)
+        rows.append((k, a, b - (1 << 64) if b >> 63 else b))
+    df = spark.createDataFrame(rows, "id long, a long, b long")
+    left = df.select("id", F.explode(decontamination.hamming_blocks(F.col("a"))).alias("x")).select("id", "x.k", "x.bits")
+    right = df.select("id", F.explode(decontamination.hamming_neighbours(F.col("b"), 20)).alias("x")).select("id", "x.k", "x.bits")
+    assert left.join(right, ["id", "k", "bits"]).select("id").distinct().count() == 200
+
+
 def test_shards(docs):
     got = [r for r in sharding.shard_records(docs).collect()]
     for k in range(16):
