@@ -38,14 +38,16 @@ from tessera.llm.common import Hasher, broadcast_if_small, default_partitions, d
 
 #: Bytes whose hash decides which positions are held.
 GRAM = 16
+#: Phrases of a run at most: where positions lie that close, cells decide from there on.
+MOST = 16
 #: Into how many cells a position's starts are cut if they don't all repeat or all not; the last level has single starts.
 CELLS = 8
 
 
 def window_of(length: int) -> int:
-    window = (length - GRAM) // 4
+    window = (length - GRAM) // 3
     if window < 8:
-        raise ValueError(f"length must be {4 * 8 + GRAM} or more")
+        raise ValueError(f"length must be {3 * 8 + GRAM} or more")
     return window
 
 
@@ -85,7 +87,11 @@ def held_positions(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, window:
 
 def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
     """Held positions that open a phrase: tid, i (number in the text), at, name of the phrase, m (phrases up to the threshold, or
-    to the end of the text), d1 and d2 (least and greatest distance back to its starts; d1 > d2: none)."""
+    to the end of the text), d1 and d2 (least and greatest distance back to its starts; d1 > d2: none) and even: all m phrases are alike.
+
+    A text that says one thing over and over holds a position at each turn. Runs of one phrase are no question for
+    sorting: they pass to the cells as they are. Of such positions only those stay that the run of another goes through.
+    """
     reach = reach_of(length, window)
     for batch in slices(batches):
         raw, offsets = text_bytes(batch.column("text"))
@@ -96,13 +102,20 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Ite
         number = np.arange(len(at))
         doc = np.searchsorted(offsets, at, side="right") - 1
         last = np.searchsorted(doc, doc, side="right") - 1
-        m = np.minimum(np.searchsorted(at, at + reach), last) - number
+        m = np.clip(np.searchsorted(at, at + reach), number, np.minimum(last, number + MOST)) - number
         high = np.minimum(high, offsets[doc + 1] - length)  # a start needs length bytes before the end of its text
-        inner = np.flatnonzero(last > number)
-        name = hasher(at[inner], at[inner + 1] + GRAM)
+        name = hasher(at, np.append(at[1:], at[-1]) + GRAM)
+        other = np.flatnonzero(np.concatenate([name[1:] != name[:-1], [True]]))
+        even = (m >= 3) & (other[np.searchsorted(other, number)] >= number + m - 1)
+        through = np.zeros(len(at) + 1, np.int64)
+        np.add.at(through, number[~even], 1)
+        np.add.at(through, (number + m + 1)[~even].clip(max=len(at)), -1)
+        starts = even & (high >= low)
+        keep = np.flatnonzero((last > number) & (starts | (np.cumsum(through[:-1]) > 0)))
+        inside = np.cumsum(through[:-1])[keep] > 0
         tid = batch.column("tid").to_numpy()
-        ints = (pa.array(x[inner].astype(np.int32)) for x in (number - np.searchsorted(doc, doc), at - offsets[doc], m, at - high, at - low))
-        yield pa.RecordBatch.from_arrays([pa.array(tid[doc[inner]]), *ints, pa.array(name.view(np.int64))], ["tid", "i", "at", "m", "d1", "d2", "name"])
+        ints = (pa.array(x[keep].astype(np.int32)) for x in (number - np.searchsorted(doc, doc), at - offsets[doc], m, at - high, at - low))
+        yield pa.RecordBatch.from_arrays([pa.array(tid[doc[keep]]), *ints, pa.array(even[keep]), pa.array(inside), pa.array(name[keep].view(np.int64))], ["tid", "i", "at", "m", "d1", "d2", "even", "inside", "name"])
 
 
 def rank_by_sorting(rows: DataFrame, keys: list[str], ties: list[str], name: str, drop_unique: bool = True, unless_first: str | None = None) -> DataFrame:
@@ -210,9 +223,19 @@ def _cells(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterat
         f1 = mix(hasher(lo, middle) + (low * 65_537 + high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         f2 = hasher(middle, hi)
         c = mix(hasher(at - d, at + length - (d + width - 1)) + d.astype(np.uint64))
+        # cells with the same bytes that meet here are found twice: one of them goes on, known, and stands for all
+        order = np.lexsort((f2, f1))
+        same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1])
+        more, again = np.zeros(len(f1), bool), np.zeros(len(f1), bool)
+        more[order[1:]] = same
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        first = np.flatnonzero(np.concatenate([[True], ~same])) if len(f1) else np.zeros(0, np.int64)
+        ready = known | again
+        ready[order] = np.repeat(np.logical_or.reduceat(ready[order], first), np.diff(np.append(first, len(f1)))) if len(f1) else ready
         tid = batch.column("tid").to_numpy()
         ints = (x.astype(np.int32) for x in (at - begin, d, d1, d2, lo - begin, hi - begin))
-        yield pa.RecordBatch.from_arrays([pa.array(tid[doc]), *map(pa.array, ints), pa.array(known), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))], ["tid", "at", "d", "d1", "d2", "lo", "hi", "known", "f1", "f2", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(tid[doc]), *map(pa.array, ints), pa.array(ready), pa.array(ready & ~known), pa.array(more), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))], ["tid", "at", "d", "d1", "d2", "lo", "hi", "known", "new", "more", "f1", "f2", "c"])
 
 
 def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -226,7 +249,7 @@ def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBat
         there = (step > 0) & (to < len(place))
         to = np.minimum(to, len(place) - 1)
         there &= place[to] == place + step
-        out = pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("tid", "i", "at", "m", "d1", "d2")), pa.array(rank), pa.array(rank[to]), pa.array(step)], ["tid", "i", "at", "m", "d1", "d2", "k", "next", "step"])
+        out = pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("tid", "i", "at", "m", "d1", "d2", "even")), pa.array(rank), pa.array(rank[to]), pa.array(step)], ["tid", "i", "at", "m", "d1", "d2", "even", "k", "next", "step"])
         return out.filter(pa.array(there))
 
     held: list[pa.RecordBatch] = []
@@ -246,23 +269,25 @@ def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBat
         yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
-def repeated_runs(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """Positions of texts (tid, text) whose run of phrases up to the threshold is found twice: tid, at, d1, d2; by prefix doubling."""
+def repeated_runs(texts: DataFrame, length: int, window: int) -> list[DataFrame]:
+    """Tables of the positions of texts (tid, text) whose run of phrases up to the threshold is found twice, by prefix doubling: tid, at, d1, d2."""
     ints = "tid long, i int, at int, m int, d1 int, d2 int"
-    phrases = materialize(texts.select("tid", "text").mapInArrow(in_worker(lambda it: _phrases(it, length, window)), f"{ints}, name long"), "phrases")
-    ranks = rank_by_sorting(phrases, ["name"], ["tid", "i"], "ranks-1")
+    found = ["tid", "at", "d1", "d2"]
+    phrases = materialize(texts.select("tid", "text").mapInArrow(in_worker(lambda it: _phrases(it, length, window)), f"{ints}, even boolean, inside boolean, name long"), "phrases")
+    ranks = rank_by_sorting(phrases.where("inside").drop("inside"), ["name"], ["tid", "i"], "ranks-1")
+    done = [materialize(phrases.where("even and d1 <= d2").select(*found), "runs-of-one-phrase")]
     discard(phrases)
-    span, done = 1, []
+    span = 1
     while True:
         # up to the threshold there are span phrases or fewer: the run that every string at this position shares is ranked
-        done.append(materialize(ranks.where(f"m <= {span} and d1 <= d2").select("tid", "at", "d1", "d2"), f"runs-{span}"))
+        done.append(materialize(ranks.where(f"m <= {span} and d1 <= d2 and not even").select(*found), f"runs-{span}"))
         # a position with fewer phrases to go is in no longer run that starts before it
-        ahead = ranks.where(f"m >= {span}").select("tid", "i", "at", "m", "d1", "d2", "rank")
+        ahead = ranks.where(f"m >= {span}").select("tid", "i", "at", "m", "d1", "d2", "even", "rank")
         if ahead.where(f"m > {span}").isEmpty():
             discard(ranks)
-            return functools.reduce(DataFrame.unionByName, done)
+            return done
         by_text = ahead.repartition(default_partitions(texts.sparkSession), "tid").sortWithinPartitions("tid", "i")
-        pairs = materialize(by_text.mapInArrow(in_worker(lambda it, span=span: _pair(it, span)), f"{ints}, k long, next long, step long"), f"pairs-{2 * span}")
+        pairs = materialize(by_text.mapInArrow(in_worker(lambda it, span=span: _pair(it, span)), f"{ints}, even boolean, k long, next long, step long"), f"pairs-{2 * span}")
         discard(ranks)
         ranks = rank_by_sorting(pairs, ["k", "next", "step"], ["tid", "i"], f"ranks-{2 * span}")
         discard(pairs)
@@ -287,23 +312,28 @@ def _unique_texts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, D
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """tid, text and spans (list of lo, hi; they may overlap) of each of texts (tid, text; no two alike) that holds a string of length bytes that also starts elsewhere."""
     window = window_of(length)
-    parent = repeated_runs(texts, length, window).select("tid", "at", F.lit(0).alias("d"), "d1", "d2", F.lit(False).alias("known"))
+    spent = repeated_runs(texts, length, window)
+    parent = functools.reduce(DataFrame.unionByName, spent).select("tid", "at", F.lit(0).alias("d"), "d1", "d2", F.lit(False).alias("known"))
     wanted = materialize(parent.select(F.col("tid").alias("_tid")).distinct(), "texts-with-repeats")
     kept = texts.join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi")
     spans, widths = [], (window, -(-window // CELLS), 1)
-    schema = "tid long, at int, d int, d1 int, d2 int, lo int, hi int, known boolean, f1 long, f2 long, c long"
+    schema = "tid long, at int, d int, d1 int, d2 int, lo int, hi int, known boolean, new boolean, more boolean, f1 long, f2 long, c long"
     for level, width in enumerate(widths):
         listed = parent.groupBy("tid").agg(F.collect_list(F.struct("at", "d", "d1", "d2", "known")).alias("cells"))  # as many as the text has positions
         rows = materialize(kept.join(listed, "tid").mapInArrow(in_worker(lambda it, width=width: _cells(it, length, width)), schema), f"cells-{level}")
-        judged = rank_by_sorting(rows, ["f1", "f2"], ["tid", "at", "d"], f"judged-{level}", drop_unique=False).withColumn("sure", F.col("twice") | F.col("known"))
+        discard(*spent)
+        spans.append(materialize(rows.where("new").select("tid", "lo", "hi"), f"spans-{level}-here"))
+        ranked = rank_by_sorting(rows.where("not more").drop("new", "more"), ["f1", "f2"], ["tid", "at", "d"], f"judged-{level}", drop_unique=False)
+        judged = ranked.withColumn("sure", F.col("twice") | F.col("known"))
         discard(rows)
         spans.append(materialize(judged.where("sure and not known").select("tid", "lo", "hi"), f"spans-{level}"))
         if width == 1:
+            discard(ranked)
             break
         # of sure cells with the same bytes one goes on, so that open ones find their like; a shared part that only sure cells or one cell have is settled
         open_ = judged.where("not sure or head").select("tid", "at", "d", "d1", "d2", "sure", "c")
         shared = rank_by_sorting(open_, ["c"], ["sure", "tid", "at", "d"], f"open-{level}", unless_first="sure")
-        step = widths[level + 1]
+        spent, step = [ranked, shared], widths[level + 1]
         inside = F.expr(f"explode(sequence(cast(greatest(d, d1) div {step} * {step} as int), least(d + {width - 1}, d2), {step}))")
         parent = shared.select("tid", "at", inside.alias("cell"), F.greatest("d", "d1").alias("d1"), F.least(F.col("d") + (width - 1), "d2").alias("d2"), F.col("sure").alias("known")).withColumnRenamed("cell", "d")
     every = functools.reduce(DataFrame.unionByName, spans).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
