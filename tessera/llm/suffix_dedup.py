@@ -31,23 +31,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Hasher, broadcast_if_small, default_partitions, discard, free_name, in_worker, materialize, mix, slices, text_bytes, words
 
 #: Bytes whose hash decides which positions are held.
 GRAM = 16
-#: Phrases of a run at most: where positions lie that close, cells decide from there on.
-MOST = 16
+#: Phrases of a run at most: where positions lie closer than usual, cells decide from there on.
+MOST = 4
+#: Bits of a distance in a packed cell.
+BITS = 10
 #: Into how many cells a position's starts are cut if they don't all repeat or all not; the last level has single starts.
 CELLS = 8
 
 
 def window_of(length: int) -> int:
     window = (length - GRAM) // 3
-    if window < 8:
-        raise ValueError(f"length must be {3 * 8 + GRAM} or more")
+    if not 8 <= window < 1 << BITS:
+        raise ValueError(f"length must be {3 * 8 + GRAM} to {3 * (1 << BITS) + GRAM - 1}")
     return window
 
 
@@ -56,66 +58,134 @@ def reach_of(length: int, window: int) -> int:
     return length - GRAM - 2 * window + 2
 
 
-def held_positions(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keys(raw: np.ndarray) -> np.ndarray:
+    """For each position with GRAM bytes after it: a hash of these in the upper half, the position in the lower.
+
+    Equal bytes have equal hashes in every slice, and of equal hashes the leftmost is least, wherever the text stands.
+    """
+    n = len(raw) - GRAM + 1
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    word = np.empty(n + 8, np.uint64)
+    for k in range(8):
+        part = padded[k : k + (len(padded) - k) // 8 * 8].view("<u8")
+        word[k::8] = part[: len(word[k::8])]
+    key = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(29)
+    key += word[8:]
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0x94D049BB133111EB)
+    key &= np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(n, dtype=np.uint64)
+    return key
+
+
+def held_positions(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions that are the leftmost least of some ``window`` neighbours inside one text, and the first and last start of theirs.
 
     The starts of a position are those whose next ``window`` positions have their least there.
     """
     none = np.zeros(0, np.int64)
-    n = len(raw) - GRAM + 1
-    if n < window:
-        return none, none, none
-    at = np.arange(n)
-    # the upper half of the hash and the place: the cut is the same in every slice, so equal strings agree everywhere
-    key = (hasher(at, at + GRAM) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
-    pad = -n % window
-    block = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, window)
-    head = np.minimum.accumulate(block, 1).ravel()
-    tail = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
-    tops = n - window + 1
-    least = np.minimum(tail[:tops], head[window - 1 : window - 1 + tops])
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    end = np.repeat(offsets[1:], np.diff(offsets))[:tops]
-    start = np.flatnonzero(np.arange(tops) + window + GRAM - 1 <= end)
-    place = place[start]
-    if not len(place):
+    if len(raw) < window + GRAM - 1:
         return none, none, none
-    opens = np.concatenate([[True], place[1:] != place[:-1]])
-    closes = np.concatenate([opens[1:], [True]])
-    return place[opens], start[opens], start[closes]
+    least, width = _keys(raw), 1
+    while width < window:  # the least of 2, 4, 8 ... neighbours, at last of window
+        step = min(width, window - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    tops = len(least)
+    changes = np.flatnonzero(least[1:] != least[:-1]) + 1
+    # starts of a text: those whose neighbours end inside it
+    first, stop = offsets[:-1], np.minimum(offsets[1:] - window - GRAM + 2, tops)
+    some = first < stop
+    first, stop = first[some], stop[some]
+    cuts = np.union1d(changes, np.concatenate([first, stop]))
+    cuts = cuts[cuts < tops]
+    text = np.searchsorted(first, cuts, side="right") - 1
+    inside = (text >= 0) & (cuts < stop[np.maximum(text, 0)]) if len(first) else np.zeros(len(cuts), bool)
+    low, high = cuts[inside], np.append(cuts[1:], tops)[inside] - 1
+    high = np.minimum(high, stop[text[inside]] - 1)
+    place = (least[low] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # a cut at the start of a text may part no positions: each text's are apart anyway
+    return place, low, high
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Held positions that open a phrase: tid, i (number in the text), at, name of the phrase, m (phrases up to the threshold, or
-    to the end of the text), d1 and d2 (least and greatest distance back to its starts; d1 > d2: none) and even: all m phrases are alike.
+    """Held positions that open a phrase: tid, place (number in the text, position), name of the phrase, m (phrases up to the
+    threshold, or to the end of the text), kind and cell (position, least and greatest distance back to its starts; null: no start).
 
-    A text that says one thing over and over holds a position at each turn. Runs of one phrase are no question for
-    sorting: they pass to the cells as they are. Of such positions only those stay that the run of another goes through.
+    A text that says one thing over and over holds a position at each turn. Where all phrases up to the threshold are alike
+    the run is no question for sorting: kind EVEN passes to the cells. Of these only such stay in the rounds (kind BOTH)
+    as the run of another position goes through. Cells that meet here are settled here: kind SPAN is repeated, and one of
+    each stays as a cell that is known.
     """
     reach = reach_of(length, window)
     for batch in slices(batches):
         raw, offsets = text_bytes(batch.column("text"))
-        hasher = Hasher(raw)
-        at, low, high = held_positions(raw, offsets, hasher, window)
+        at, low, high = held_positions(raw, offsets, window)
         if len(at) < 2:
             continue
+        hasher = Hasher(raw)
         number = np.arange(len(at))
         doc = np.searchsorted(offsets, at, side="right") - 1
         last = np.searchsorted(doc, doc, side="right") - 1
         m = np.clip(np.searchsorted(at, at + reach), number, np.minimum(last, number + MOST)) - number
         high = np.minimum(high, offsets[doc + 1] - length)  # a start needs length bytes before the end of its text
+        starts = low <= high
         name = hasher(at, np.append(at[1:], at[-1]) + GRAM)
         other = np.flatnonzero(np.concatenate([name[1:] != name[:-1], [True]]))
-        even = (m >= 3) & (other[np.searchsorted(other, number)] >= number + m - 1)
+        even = (m >= 2) & (other[np.searchsorted(other, number)] >= number + m - 1)
         through = np.zeros(len(at) + 1, np.int64)
         np.add.at(through, number[~even], 1)
         np.add.at(through, (number + m + 1)[~even].clip(max=len(at)), -1)
-        starts = even & (high >= low)
-        keep = np.flatnonzero((last > number) & (starts | (np.cumsum(through[:-1]) > 0)))
-        inside = np.cumsum(through[:-1])[keep] > 0
+        inside = np.cumsum(through[:-1]) > 0
+        open_ = (last > number) & starts & even
+        kind = np.where(open_, np.where(inside, BOTH, EVEN), np.where((last > number) & inside, RUN, -1)).astype(np.int8)
+        cell = _packed(at - offsets[doc], 0, np.where(starts, at - high, 0), np.where(starts, at - low, 0))
+        which = np.flatnonzero(open_)
+        if len(which):
+            f1, f2, _ = _names(hasher, at[which], at[which] - high[which], at[which] - low[which], length)
+            more, again = _meeting(f1, f2)
+            cell[which[again]] |= KNOWN
+            # the others of a known cell: repeated, and no cell of their own
+            kind[which[more]] = np.where(kind[which[more]] == BOTH, SPAN_RUN, SPAN)
+        keep = np.flatnonzero(kind >= 0)
         tid = batch.column("tid").to_numpy()
-        ints = (pa.array(x[keep].astype(np.int32)) for x in (number - np.searchsorted(doc, doc), at - offsets[doc], m, at - high, at - low))
-        yield pa.RecordBatch.from_arrays([pa.array(tid[doc[keep]]), *ints, pa.array(even[keep]), pa.array(inside), pa.array(name[keep].view(np.int64))], ["tid", "i", "at", "m", "d1", "d2", "even", "inside", "name"])
+        place = (number - np.searchsorted(doc, doc)) << 32 | (at - offsets[doc])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tid[doc[keep]]), pa.array(place[keep]), pa.array(m[keep].astype(np.int32)), pa.array(kind[keep]), pa.array(cell[keep], mask=~starts[keep]), pa.array(name[keep].view(np.int64))],
+            ["tid", "place", "m", "kind", "cell", "name"],
+        )
+
+
+#: Kinds of positions: in the rounds, in the cells, in both, repeated, repeated and in the rounds.
+RUN, EVEN, BOTH, SPAN, SPAN_RUN = range(5)
+#: The bit of a cell that another with the same bytes has been found for.
+KNOWN = 1 << 62
+
+
+def _packed(at: np.ndarray, d: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """A cell as one number: position, first distance back of the cell, least and greatest distance back of the position's starts in it."""
+    return np.asarray(at, np.int64) << 3 * BITS | np.asarray(d, np.int64) << 2 * BITS | np.asarray(d1, np.int64) << BITS | d2
+
+
+def _names(hasher: Hasher, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits that name the bytes which the strings at distances low to high back from at cover, and the first of these bytes."""
+    lo, hi = at - high, at + length - low
+    middle = lo + length // 2
+    f1 = mix(hasher(lo, middle) + (low * 65_537 + high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return f1, hasher(middle, hi), lo
+
+
+def _meeting(f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names have an equal one before them, and which one at all; of equal ones one has none before it."""
+    order = np.lexsort((f2, f1))
+    same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1])
+    more, again = np.zeros(len(f1), bool), np.zeros(len(f1), bool)
+    more[order[1:]] = same
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    return more, again
 
 
 def rank_by_sorting(rows: DataFrame, keys: list[str], ties: list[str], name: str, drop_unique: bool = True, unless_first: str | None = None) -> DataFrame:
@@ -205,52 +275,43 @@ def rank_by_sorting(rows: DataFrame, keys: list[str], ties: list[str], name: str
 
 
 def _cells(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """For each cell of width distances (those from d on) back from a position: lo, hi of the bytes that its strings cover, f1 and f2 that name them, and c that names the bytes that all strings of a whole cell share."""
+    """For each cell of width distances back from a position: f1 and f2, which name the bytes that its strings cover, and c, which names those that all strings of a whole cell share; new: found twice here, and more: another row stands for it."""
+    mask = (1 << BITS) - 1
     for batch in slices(batches):
         raw, offsets = text_bytes(batch.column("text"))
         hasher = Hasher(raw)
         cells = batch.column("cells")
         n = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
-        flat = cells.flatten()
-        at, d, d1, d2 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "d", "d1", "d2"))
-        known = flat.field("known").to_numpy(zero_copy_only=False)
+        cell = cells.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        known = cell >= KNOWN
+        at, d, d1, d2 = (cell & ~KNOWN) >> 3 * BITS, cell >> 2 * BITS & mask, cell >> BITS & mask, cell & mask
         doc = np.repeat(np.arange(len(n)), n)
-        begin = offsets[doc]
-        at = at + begin
-        low, high = np.maximum(d, d1), np.minimum(d + width - 1, d2)
-        lo, hi = at - high, at + length - low
-        middle = lo + length // 2
-        f1 = mix(hasher(lo, middle) + (low * 65_537 + high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        f2 = hasher(middle, hi)
+        at = at + offsets[doc]
+        f1, f2, _ = _names(hasher, at, d1, d2, length)
         c = mix(hasher(at - d, at + length - (d + width - 1)) + d.astype(np.uint64))
-        # cells with the same bytes that meet here are found twice: one of them goes on, known, and stands for all
-        order = np.lexsort((f2, f1))
-        same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1])
-        more, again = np.zeros(len(f1), bool), np.zeros(len(f1), bool)
-        more[order[1:]] = same
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
-        first = np.flatnonzero(np.concatenate([[True], ~same])) if len(f1) else np.zeros(0, np.int64)
+        more, again = _meeting(f1, f2)
         ready = known | again
-        ready[order] = np.repeat(np.logical_or.reduceat(ready[order], first), np.diff(np.append(first, len(f1)))) if len(f1) else ready
         tid = batch.column("tid").to_numpy()
-        ints = (x.astype(np.int32) for x in (at - begin, d, d1, d2, lo - begin, hi - begin))
-        yield pa.RecordBatch.from_arrays([pa.array(tid[doc]), *map(pa.array, ints), pa.array(ready), pa.array(ready & ~known), pa.array(more), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))], ["tid", "at", "d", "d1", "d2", "lo", "hi", "known", "new", "more", "f1", "f2", "c"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tid[doc]), pa.array(np.where(ready, cell | KNOWN, cell)), pa.array(ready & ~known), pa.array(more), *(pa.array(x.view(np.int64)) for x in (f1, f2, c))],
+            ["tid", "cell", "new", "more", "f1", "f2", "c"],
+        )
 
 
 def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Ranks of runs of span phrases, in order of tid and i, with the rank ``step`` positions on: the span, or what is left up to the threshold."""
+    """Ranks of runs of span phrases, in order of tid and place, with the rank some positions on: the span, or what is left up to the threshold."""
+    columns = ["tid", "place", "m", "kind", "cell"]
 
     def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
-        tid, i, m, rank = (rows.column(k).to_numpy() for k in ("tid", "i", "m", "rank"))
-        place = np.cumsum(np.concatenate([[0], tid[1:] != tid[:-1]])).astype(np.int64) << 32 | i
+        tid, m, rank = (rows.column(k).to_numpy() for k in ("tid", "m", "rank"))
+        number = np.cumsum(np.concatenate([[0], tid[1:] != tid[:-1]])).astype(np.int64) << 32 | rows.column("place").to_numpy() >> 32
         step = np.minimum(span, m - span).astype(np.int64)
-        to = np.searchsorted(place, place + step)
-        there = (step > 0) & (to < len(place))
-        to = np.minimum(to, len(place) - 1)
-        there &= place[to] == place + step
-        out = pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("tid", "i", "at", "m", "d1", "d2", "even")), pa.array(rank), pa.array(rank[to]), pa.array(step)], ["tid", "i", "at", "m", "d1", "d2", "even", "k", "next", "step"])
-        return out.filter(pa.array(there))
+        to = np.searchsorted(number, number + step)
+        there = (step > 0) & (to < len(number))
+        to = np.minimum(to, len(number) - 1)
+        there &= number[to] == number + step
+        # runs of another step are other runs
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in columns), pa.array(rank), pa.array(rank[to] * (MOST + 1) + step)], [*columns, "k", "next"]).filter(pa.array(there))
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -269,27 +330,25 @@ def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBat
         yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
-def repeated_runs(texts: DataFrame, length: int, window: int) -> list[DataFrame]:
-    """Tables of the positions of texts (tid, text) whose run of phrases up to the threshold is found twice, by prefix doubling: tid, at, d1, d2."""
-    ints = "tid long, i int, at int, m int, d1 int, d2 int"
-    found = ["tid", "at", "d1", "d2"]
-    phrases = materialize(texts.select("tid", "text").mapInArrow(in_worker(lambda it: _phrases(it, length, window)), f"{ints}, even boolean, inside boolean, name long"), "phrases")
-    ranks = rank_by_sorting(phrases.where("inside").drop("inside"), ["name"], ["tid", "i"], "ranks-1")
-    done = [materialize(phrases.where("even and d1 <= d2").select(*found), "runs-of-one-phrase")]
+def repeated_runs(texts: DataFrame, length: int, window: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """By prefix doubling over texts (tid, text): cells (tid, cell) of the positions whose run of phrases up to the threshold is found twice, cells that are repeated as they are, and the tables that hold both."""
+    columns = "tid long, place long, m int, kind byte, cell long"
+    phrases = materialize(texts.select("tid", "text").mapInArrow(in_worker(lambda it: _phrases(it, length, window)), f"{columns}, name long"), "phrases")
+    ranks = rank_by_sorting(phrases.where(F.col("kind").isin(RUN, BOTH, SPAN_RUN)), ["name"], ["tid", "place"], "ranks-1")
+    even = materialize(phrases.where(F.col("kind").isin(EVEN, BOTH, SPAN, SPAN_RUN)).select("tid", "cell", "kind"), "runs-of-one-phrase")
     discard(phrases)
-    span = 1
+    held, span = [even], 1
+    done = even.where(F.col("kind").isin(EVEN, BOTH)).select("tid", "cell")
     while True:
         # up to the threshold there are span phrases or fewer: the run that every string at this position shares is ranked
-        done.append(materialize(ranks.where(f"m <= {span} and d1 <= d2 and not even").select(*found), f"runs-{span}"))
+        done = done.unionByName(ranks.where((F.col("m") <= span) & (F.col("kind") == RUN) & F.col("cell").isNotNull()).select("tid", "cell"))
+        held.append(ranks)
+        if span >= MOST:
+            return done, even.where(F.col("kind").isin(SPAN, SPAN_RUN) | (F.col("cell") >= F.lit(KNOWN))).select("tid", "cell"), held
         # a position with fewer phrases to go is in no longer run that starts before it
-        ahead = ranks.where(f"m >= {span}").select("tid", "i", "at", "m", "d1", "d2", "even", "rank")
-        if ahead.where(f"m > {span}").isEmpty():
-            discard(ranks)
-            return done
-        by_text = ahead.repartition(default_partitions(texts.sparkSession), "tid").sortWithinPartitions("tid", "i")
-        pairs = materialize(by_text.mapInArrow(in_worker(lambda it, span=span: _pair(it, span)), f"{ints}, even boolean, k long, next long, step long"), f"pairs-{2 * span}")
-        discard(ranks)
-        ranks = rank_by_sorting(pairs, ["k", "next", "step"], ["tid", "i"], f"ranks-{2 * span}")
+        by_text = ranks.where(F.col("m") >= span).select("tid", "place", "m", "kind", "cell", "rank").repartition(default_partitions(texts.sparkSession), "tid").sortWithinPartitions("tid", "place")
+        pairs = materialize(by_text.mapInArrow(in_worker(lambda it, span=span: _pair(it, span)), f"{columns}, k long, next long"), f"pairs-{2 * span}")
+        ranks = rank_by_sorting(pairs, ["k", "next"], ["tid", "place"], f"ranks-{2 * span}")
         discard(pairs)
         span *= 2
 
@@ -309,34 +368,46 @@ def _unique_texts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, D
     return digests, copied, texts
 
 
+def _field(shift: int) -> Column:
+    return F.shiftright("cell", shift * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+
+def _span(cells: DataFrame, length: int) -> DataFrame:
+    """tid and span (first byte and end of the bytes that a cell's strings cover, in one number)."""
+    at = F.shiftright(F.col("cell").bitwiseAND(F.lit(KNOWN - 1)), 3 * BITS)
+    return cells.select("tid", F.shiftleft(at - _field(0), 32).bitwiseOR(at + length - _field(1)).alias("span"))
+
+
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """tid, text and spans (list of lo, hi; they may overlap) of each of texts (tid, text; no two alike) that holds a string of length bytes that also starts elsewhere."""
+    """tid, text and spans (first byte << 32 | end; they may overlap) of each of texts (tid, text; no two alike) that holds a string of length bytes that also starts elsewhere."""
     window = window_of(length)
-    spent = repeated_runs(texts, length, window)
-    parent = functools.reduce(DataFrame.unionByName, spent).select("tid", "at", F.lit(0).alias("d"), "d1", "d2", F.lit(False).alias("known"))
+    parent, ready, spent = repeated_runs(texts, length, window)
     wanted = materialize(parent.select(F.col("tid").alias("_tid")).distinct(), "texts-with-repeats")
     kept = texts.join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi")
-    spans, widths = [], (window, -(-window // CELLS), 1)
-    schema = "tid long, at int, d int, d1 int, d2 int, lo int, hi int, known boolean, new boolean, more boolean, f1 long, f2 long, c long"
+    spans, widths = [materialize(_span(ready, length), "spans-of-one-phrase")], (window, -(-window // CELLS), 1)
+    schema = "tid long, cell long, new boolean, more boolean, f1 long, f2 long, c long"
     for level, width in enumerate(widths):
-        listed = parent.groupBy("tid").agg(F.collect_list(F.struct("at", "d", "d1", "d2", "known")).alias("cells"))  # as many as the text has positions
+        listed = parent.groupBy("tid").agg(F.collect_list("cell").alias("cells"))  # as many as the text has positions
         rows = materialize(kept.join(listed, "tid").mapInArrow(in_worker(lambda it, width=width: _cells(it, length, width)), schema), f"cells-{level}")
         discard(*spent)
-        spans.append(materialize(rows.where("new").select("tid", "lo", "hi"), f"spans-{level}-here"))
-        ranked = rank_by_sorting(rows.where("not more").drop("new", "more"), ["f1", "f2"], ["tid", "at", "d"], f"judged-{level}", drop_unique=False)
-        judged = ranked.withColumn("sure", F.col("twice") | F.col("known"))
+        spans.append(materialize(_span(rows.where("new"), length), f"spans-{level}-here"))
+        ranked = rank_by_sorting(rows.where("not more").select("tid", "cell", "c", "f1", "f2"), ["f1", "f2"], ["tid", "cell"], f"judged-{level}", drop_unique=False)
         discard(rows)
-        spans.append(materialize(judged.where("sure and not known").select("tid", "lo", "hi"), f"spans-{level}"))
+        known = F.col("cell") >= F.lit(KNOWN)
+        spans.append(materialize(_span(ranked.where(F.col("twice") & ~known), length), f"spans-{level}"))
         if width == 1:
             discard(ranked)
             break
         # of sure cells with the same bytes one goes on, so that open ones find their like; a shared part that only sure cells or one cell have is settled
-        open_ = judged.where("not sure or head").select("tid", "at", "d", "d1", "d2", "sure", "c")
-        shared = rank_by_sorting(open_, ["c"], ["sure", "tid", "at", "d"], f"open-{level}", unless_first="sure")
-        spent, step = [ranked, shared], widths[level + 1]
-        inside = F.expr(f"explode(sequence(cast(greatest(d, d1) div {step} * {step} as int), least(d + {width - 1}, d2), {step}))")
-        parent = shared.select("tid", "at", inside.alias("cell"), F.greatest("d", "d1").alias("d1"), F.least(F.col("d") + (width - 1), "d2").alias("d2"), F.col("sure").alias("known")).withColumnRenamed("cell", "d")
-    every = functools.reduce(DataFrame.unionByName, spans).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        open_ = ranked.withColumn("sure", F.col("twice") | known).where("not sure or head").select("tid", "cell", "sure", "c")
+        shared = rank_by_sorting(open_, ["c"], ["sure", "tid", "cell"], f"open-{level}", unless_first="sure")
+        step = widths[level + 1]
+        fields = shared.select("tid", "sure", F.shiftright(F.col("cell").bitwiseAND(F.lit(KNOWN - 1)), 3 * BITS).alias("at"), _field(1).alias("d1"), _field(0).alias("d2"))
+        finer = fields.select("*", F.expr(f"explode(sequence(cast(d1 div {step} * {step} as int), d2, {step}))").alias("d"))
+        packed = F.shiftleft(F.col("at"), 3 * BITS).bitwiseOR(F.shiftleft(F.col("d").cast("long"), 2 * BITS)).bitwiseOR(F.shiftleft(F.greatest("d1", "d").cast("long"), BITS)).bitwiseOR(F.least(F.col("d2"), F.col("d") + (step - 1)).cast("long"))
+        parent = finer.select("tid", F.when(F.col("sure"), packed.bitwiseOR(F.lit(KNOWN))).otherwise(packed).alias("cell"))
+        spent = [ranked, shared]
+    every = functools.reduce(DataFrame.unionByName, spans).groupBy("tid").agg(F.collect_list("span").alias("spans"))
     return kept.join(every, "tid")
 
 
@@ -354,9 +425,9 @@ def _cut(batches: Iterator[pa.RecordBatch], least_words: int, with_text: bool) -
         raw, offsets = text_bytes(batch.column("text"))
         cells = batch.column("spans")
         n = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
-        flat = cells.flatten()
+        span = cells.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.repeat(offsets[:-1] + np.arange(len(n)), n)  # one byte between texts: runs of two texts never touch
-        lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) + begin for k in ("lo", "hi"))
+        lo, hi = (span >> 32) + begin, (span & 0xFFFFFFFF) + begin
         lo, hi = _merge(lo, hi)
         doc = np.searchsorted(offsets[:-1] + np.arange(len(n)), lo, side="right") - 1
         lo, hi = lo - doc, hi - doc

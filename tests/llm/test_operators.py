@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontamination, language_id, license_scan, ngram_join, quality_rules, rule_ensemble, sentencepiece_codec, sharding, suffix_dedup, token_store
-from tessera.llm.vocabularies import byte_bpe, vocabulary_path
+from tessera.llm.vocabularies import vocabulary_path
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,7 +63,9 @@ def test_pieces_equal_the_library(docs):
 
 def test_token_store_round_trip(docs, tmp_path):
     store = token_store.write_tokens(docs, str(tmp_path / "store"), file_ids=5000)
-    t, at = byte_bpe(vocabulary_path("byte_bpe_50k.json")), 0
+    from tokenizers import Tokenizer
+
+    t, at = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json")), 0
     got = sorted(store.read(docs.sparkSession).collect(), key=lambda r: r["start"])
     want = sorted(sample(), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r["doc_id"] for r in got] == [r[0] for r in want]
@@ -73,6 +75,23 @@ def test_token_store_round_trip(docs, tmp_path):
         at += len(ids)
 
 
+def test_added_tokens_and_hot_ids(spark, tmp_path, monkeypatch):
+    """The library's plain call knows <|endoftext|>; a doc_id that half of all rows have fills several files."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|> c", "x<|endoftext|>y  z", "a b<|endoftext|> c", "<|end of text|>"]
+    rows = [*enumerate(texts), *((9, f"hot {k}") for k in range(40)), *((None, f"none {k}") for k in range(30)), (50, "last")]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    monkeypatch.setattr(token_store, "FILE_BYTES", 40)
+    store = token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "hot"), file_ids=30)
+    got = sorted(store.read(spark).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    want = collections.Counter((k, tuple([*t.encode(x, add_special_tokens=False).ids, 0])) for k, x in rows)
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+    assert [r["start"] for r in got] == [0, *np.cumsum([len(r["ids"]) for r in got])[:-1].tolist()]
+
+
 def test_variable_length_codes():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 7], np.int64)
     counts = np.array([3, 0, 4])
@@ -149,6 +168,51 @@ def test_large_near_group_is_cut_into_blocks(spark, monkeypatch):
     assert {(r["class_id"], r["n_links"], r["n_text_links"]) for r in got} == {(0, 39, 39)} and len(got) == 40
 
 
+def test_a_repeated_id_with_another_text_is_searched(spark):
+    """Rows (1, A), (2, A), (2, B): B is no copy of A, so its passages count."""
+    passage = " ".join(words(90, 50))
+    a, b, c = " ".join(words(100, 51)), "x " + passage, passage + " and more"
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup_substrings(spark.createDataFrame([(1, a), (2, a), (2, b), (3, c)], "doc_id long, text string")).collect()]
+    shared = len(passage) + 0
+    assert sorted(got)[0] == (1, len(a), len(a)) and (2, len(a), len(a)) in got
+    assert {n for _, k, n in got if k in (len(b), len(c))} <= {shared, shared + 1} and len(got) == 4
+
+
+def test_substrings_of_random_edits(spark):
+    """Chains of edited copies, periods, shifted overlaps and hot passages over many partitions, as by brute force."""
+    rng = np.random.default_rng(12)
+    base = " ".join(words(400, 60))
+    texts = ["ab" * 500, "ab" * 260 + "c" + "ab" * 90, "abc" * 200, "x" + "abc" * 130 + "y", "Anst " * 300, "le " * 140 + "Anst " * 90]
+    for k in range(25):
+        x = list(base[int(rng.integers(0, 300)) : int(rng.integers(900, len(base)))])
+        for at in rng.integers(0, len(x), int(rng.integers(0, 5))):
+            x[at] = chr(65 + k)
+        texts.append("".join(x))
+    hot = " ".join(words(75, 61))
+    texts += [f"{k} own words {k * 7} " + hot + f" {k * 3} tail" for k in range(40)]
+    rows = [(k, x) for k, x in enumerate(texts)]
+    for length in (200, 400):
+        times = collections.Counter(x[j : j + length] for x in texts for j in range(len(x) - length + 1))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup_substrings(df, length).collect()}
+        for k, x in rows:
+            m = np.zeros(len(x) + 1, bool)
+            for j in range(len(x) - length + 1):
+                m[j : j + length] |= times[x[j : j + length]] > 1
+            assert got[k] == (int(m.sum()), int((m[:-1] & ~np.concatenate([[False], m[:-2]])).sum())), (length, k)
+
+
+def test_passages_of_fifty_words_go(spark):
+    passage = words(52, 70, 10**6)
+    rows = [(k, " ".join([*words(120, 71 + k, 10**6), *passage, *words(60, 91 + k, 10**6)]), 5) for k in range(4)]
+    rows += [(9, " ".join([*words(120, 99, 10**6), *passage[:40], *words(60, 98, 10**6)]), 5), (10, " ".join(passage), None), (11, None, None)]
+    got = by_id(corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), ""))
+    for k in range(4):
+        left = got[k]["text"].split()
+        assert not set(passage[1:-1]) & set(left) and len(left) >= 178 and got[k]["n_chars"] == len(got[k]["text"])
+    assert got[9]["text"] == rows[4][1] and 10 not in got and 11 in got
+
+
 def test_a_unit_with_an_empty_side_has_no_links():
     grams = np.arange(300, dtype=np.uint64)
     sig = ngram_join._signature(grams, np.array([0, 300])).tobytes()
@@ -309,6 +373,43 @@ def test_every_license_line_of_the_documents_is_found(spark):
         assert got[r["doc_id"]]["own_license"] in (of or {None})
 
 
+def test_own_templates_need_no_known_word(spark):
+    own = {"Zork-1": ("Use of this software is governed by the Zork terms of use v1.",), "short": ("Go away.",)}
+    texts = ["code\nUse of this software is governed by the Zork terms of use v1.\ncode", "plain text of some words", "please go away. now", None, "words " * 300_000 + "use of this software is governed by\nthe zork terms of use v1"]
+    rows = [(k, f"d/{k}", x) for k, x in enumerate(texts)]
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), own))
+    assert [got[k]["own_license"] for k in range(5)] == ["Zork-1", None, "short", None, "Zork-1"]
+
+
+def test_license_cosines_against_all_windows(spark):
+    """Brute force: every window of every template's size in a text, TF-IDF cosine from the definition, no filter of words."""
+    known = license_scan.Templates()
+    every = [(name, license_scan._words(x)) for name, texts in sorted(license_scan.TEMPLATES.items()) for x in texts]
+
+    def vector(w):
+        return {t: n * known.idf.get(t, known.rare) for t, n in license_scan._terms(w).items()}
+
+    def cosine(a, b):
+        return sum(v * b.get(t, 0) for t, v in a.items()) / (sum(v * v for v in a.values()) ** 0.5 * sum(v * v for v in b.values()) ** 0.5)
+
+    rng = np.random.default_rng(4)
+    pool = sorted({w for _, ws in every for w in ws})
+    texts = []
+    for k in range(25):
+        name, w = every[int(rng.integers(len(every)))]
+        w = list(w)
+        for at in rng.integers(0, len(w), int(rng.integers(0, 4))):
+            w[at] = str(rng.choice([*pool, "other", "word"]))
+        texts.append(" ".join([*rng.choice(pool, 6), *w, *rng.choice(["plain", "prose", "here"], 6)]))
+    for text in texts:
+        w, best = license_scan._words(text), license_scan.NONE
+        for k, (name, words_) in enumerate(every):
+            size = len(words_)
+            top = max(cosine(vector(w[j : j + size]), vector(words_)) for j in range(max(1, len(w) - size + 1)))
+            best = min(best, known._rank(k, top))
+        assert known.around(text) == best
+
+
 def test_short_wrapped_and_enclosed_notices(spark):
     prose = "some plain words of prose that speak of other things and go on for a good while before the notice comes up "
     texts = {
