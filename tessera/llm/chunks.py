@@ -86,7 +86,7 @@ class ChunkEncoder:
             found.append(np.fromiter(map(look, cut), np.int64, len(cut)))
         heads = [c for c in self.index.new if self.opening and c.startswith("\x00 ")]
         if heads:
-            opening = {c: self.encode_text(c[2:]) for c in heads if c[2:] and not c[-1].isspace()}
+            opening = {c: self.encode_text(c[2:]) for c in heads if self.is_safe(c[2:])}
             self._learn()
             for c in heads:
                 k = self.index[c]

@@ -4,8 +4,12 @@ A file holds documents in ascending order of doc_id: a header, the index (doc_id
 all control bytes (two bits an id, four ids a byte, each document starts a byte) and all data bytes. ranks.bin beside
 the files maps ranks to ids. numpy decodes by looking each control byte up in a table of four lengths.
 
+Ids are those of the library's plain call: text that spells one of the vocabulary's added tokens becomes that token.
+
 Defined cases: a null or empty text has the end id alone; a null doc_id comes first; rows that repeat a doc_id stand
-side by side; an empty table writes no files.
+one after another, in any order; if a third of all rows have one doc_id (or none) they fill several files, each written
+by its own task; a text longer than a slice is a slice of its own; an empty table writes no files;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from tessera.llm.vocabularies import byte_bpe, byte_bpe_chunks, vocabulary_path
 MAGIC = b"TSRTOK1\0"
 #: Ids that one file should hold.
 FILE_IDS = 12_000_000
+#: Bytes that one task holds before it writes a file and goes on with the next; a single document may have more.
+FILE_BYTES = 64 << 20
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 
@@ -182,35 +188,39 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     write_dir(path)
     write_bytes(f"{path}/ranks.bin", [ranked.tobytes()])
     n_files = max(default_partitions(spark), -(-total // file_ids))
-    bounds = staged.select(F.percentile_approx("doc_id", [k / n_files for k in range(1, n_files)], 10 * n_files).alias("b")).first()["b"] if n_files > 1 and total else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
+    lowest = np.iinfo(np.int64).min
+    place = F.coalesce("doc_id", F.lit(int(lowest)))
+    bounds = staged.select(F.percentile_approx(place, [k / n_files for k in range(1, n_files)], 10 * n_files).alias("b")).first()["b"] if n_files > 1 and total else []
+    bounds = np.array(bounds or [], np.int64)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids"):
             cells = batch.column("ids").to_pylist()
             n = np.array([len(x) // np.dtype(kind).itemsize for x in cells], np.int64)
             control, data, controls, sizes = encode_ids(rank_of[np.frombuffer(b"".join(cells), kind)], n)
-            c_end, d_end = np.cumsum(controls), np.cumsum(sizes)
             both = controls + sizes
             ends = np.cumsum(both)
             blob = np.empty(int(ends[-1]), np.uint8)
             blob[ragged(ends - both, controls)] = control
             blob[ragged(ends - sizes, sizes)] = data
             keys = batch.column("doc_id")
-            null = keys.is_null().to_numpy(zero_copy_only=False)
-            bucket = np.where(null, 0, np.searchsorted(bounds, keys.fill_null(0).to_numpy(), side="right")).astype(np.int32)
-            del c_end, d_end
+            # a doc_id that several bounds name has as many rows as several files hold: they are dealt out among these
+            whole = keys.fill_null(int(lowest)).to_numpy()
+            first, last = (np.searchsorted(bounds, whole, side=side) for side in ("left", "right"))
+            bucket = last.astype(np.int32)
+            for k in np.flatnonzero(last - first > 1):
+                bucket[k] = first[k] + 1 + k % (last[k] - first[k])
             yield pa.RecordBatch.from_arrays([pa.array(bucket), keys, pa.array(n), pa.array(controls), binary_array(blob, np.concatenate([[0], ends]))], ["bucket", "doc_id", "n", "controls", "blob"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        now = None
+        now, size, cut = None, 0, 0
 
         def flush():
             keys, n, controls, blobs = (list(x) for x in zip(*held))
             counts, c = np.array(n, np.int64), np.array(controls, np.int64)
             sizes = np.array([len(b) for b in blobs], np.int64) - c
-            name = f"part-{now:08d}.tok"
+            name = f"part-{now:08d}-{cut:06d}.tok"
             head = MAGIC + np.array([len(keys), int(c.sum()), int(counts.sum())], np.int64).tobytes()
             index = [np.array([k or 0 for k in keys], np.int64).tobytes(), np.array([k is None for k in keys], np.uint8).tobytes(), counts.tobytes(), sizes.tobytes()]
             write_bytes(f"{path}/{name}", [head, *index, b"".join(b[:k] for b, k in zip(blobs, controls)), b"".join(b[k:] for b, k in zip(blobs, controls))])
@@ -218,10 +228,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
         for batch in slices(batches, "blob"):
             for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if bucket != now and held:
+                if held and (bucket != now or size + len(row[-1]) > FILE_BYTES):
                     yield flush()
-                    held = []
-                now = bucket
+                    held, size, cut = [], 0, cut + 1 if bucket == now else 0
+                now, size = bucket, size + len(row[-1])
                 held.append(tuple(row))
         if held:
             yield flush()

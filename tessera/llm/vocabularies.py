@@ -22,9 +22,18 @@ def byte_bpe(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+class MarkedChunks(ChunkEncoder):
+    """Chunks of a vocabulary with added tokens: a text that holds one (or a part of one that has spaces) is encoded whole."""
+
+    def __init__(self, encode_chunks, encode_text, added: list[str]):
+        self.marks = sorted({max(x.split(" "), key=len) for x in added if x.strip()})
+        super().__init__(encode_chunks, encode_text)
+
+    def is_safe(self, chunk: str) -> bool:
+        return super().is_safe(chunk) and not any(m in chunk for m in self.marks)
 
 
 @remembered
@@ -53,7 +62,7 @@ def byte_bpe_chunks(path: str) -> ChunkEncoder:
             length.append(sizes)
         return np.concatenate(ids), np.concatenate(length)
 
-    return ChunkEncoder(chunks, text)
+    return MarkedChunks(chunks, text, [x.content for x in tokenizer.get_added_tokens_decoder().values()])
 
 
 @remembered
