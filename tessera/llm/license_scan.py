@@ -2,7 +2,9 @@
 
 Lines that may speak of a licence (headers anywhere, the whole of a licence file) become TF-IDF vectors of word
 unigrams and bigrams and are compared with every template by cosine. So is every window of as many words as the template
-has around each licence word, across line ends, so that neither wrapping nor text around a notice hides it. SPDX
+has around each licence word, across line ends, so that neither wrapping nor text around a notice hides it. The licence
+words come from the templates: of each one so many (the longest) that no text without any of them can reach the cosine
+that the template needs. SPDX
 identifiers are names, not wording: they are read as such and count as a cosine of 1. A licence file gives its licence to the files of
 its directory and of all directories below it that have none of their own and no nearer licence file; ancestors are
 reached by joins on paths, longest first.
@@ -11,7 +13,8 @@ Defined cases: a null or empty text has no licence of its own but may inherit on
 with headers of several licences has the one of greatest cosine, ties go to the first name in alphabetical order; a
 template of under SHORT words ('All rights reserved.') must be met nearly word for word and gives way to any other
 notice in the file, as such words stand beside many licences; an SPDX expression counts each licence it names; of
-several licence files in a directory the first path decides; repeated rows are judged alike.
+several licence files in a directory the first path decides; repeated rows are judged alike; a text longer than a slice
+is a slice of its own; an empty table, or no templates, gives no licences; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, strings
+from tessera.llm.common import broadcast_if_small, in_worker, materialize, slices, strings
 
 #: Notices as the licences themselves word them.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
@@ -46,7 +49,6 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
 LEAST = 0.55
 #: Templates of fewer words are short, and the cosine that they need: 'Some rights reserved.' has 0.6 with 'All rights reserved.'
 SHORT, LEAST_SHORT = 4, 0.9
-_MAY = re.compile(r"licen[sc]e|copyright|spdx|redistribut|permission|rights reserved|creative commons|public domain", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _FILE = re.compile(r"(^|/)(licen[sc]e|copying|notice|copyright)([._-][^/]*)?$", re.I)
 _ID = r"[a-z0-9][a-z0-9.+-]*"
@@ -85,6 +87,18 @@ class Templates:
             for t, v in self.vectors[k].items():
                 self.index.setdefault(t, []).append((k, v))
 
+        self.may = re.compile("|".join(["spdx-license-identifier", *sorted({re.escape(w) for k in range(len(every)) for w in self._needed(k)})]))
+
+    def _needed(self, k: int) -> list[str]:
+        """Words of template k without all of which a text's cosine stays below what the template needs."""
+        out, left = [], dict(self.vectors[k])
+        for w in sorted({t for t in left if isinstance(t, str)}, key=lambda w: (-len(w), w)):
+            if sqrt(sum(v * v for v in left.values())) + 1e-6 < self.needs[k]:
+                break
+            out.append(w)
+            left = {t: v for t, v in left.items() if t != w and (isinstance(t, str) or w not in t)}
+        return out
+
     def _rank(self, k: int, cosine: float) -> tuple[int, float, str]:
         cosine = round(cosine, 9)  # equal wording ties, whatever the order of the sums
         return (int(self.short[k]), -cosine, self.names[k]) if cosine >= self.needs[k] else NONE
@@ -125,7 +139,7 @@ class Templates:
         at = [(m.start(), m[0]) for m in _WORD.finditer(text) if m[0] != "the"]
         starts, w = [x for x, _ in at], [x for _, x in at]
         reach, regions = max(self.sizes, default=0), []
-        for m in _MAY.finditer(text):
+        for m in self.may.finditer(text):
             k = max(bisect_right(starts, m.start()) - 1, 0)
             if regions and k - reach <= regions[-1][1]:
                 regions[-1][1] = k + reach
@@ -147,10 +161,12 @@ class Templates:
         return found
 
 
-def _sentences(text: str) -> Iterator[str]:
-    """Lines with a licence word, each alone and with the two that follow (notices run over line ends)."""
-    at = 0
-    while m := _MAY.search(text, at):
+def _sentences(text: str, may: re.Pattern) -> Iterator[str]:
+    """Lines with a licence word, each alone and with the one that follows."""
+    at, low = 0, text.lower()
+    if len(low) != len(text):  # a letter that has two in lower case: places differ, so the lowered text is cut
+        text = low
+    while m := may.search(low, at):
         begin = text.rfind("\n", 0, m.start()) + 1
         end = text.find("\n", m.end())
         end = len(text) if end < 0 else end
@@ -171,7 +187,7 @@ def scan_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = T
             for path, text in zip(batch.column("path").to_pylist(), strings(batch.column("text"))):
                 found = NONE
                 whole = bool(path and _FILE.search(path))
-                parts = list(_sentences(text))
+                parts = list(_sentences(text, known.may))
                 if parts:
                     found = known.around(text)
                 for part in [text, *parts] if whole else parts:
@@ -185,11 +201,15 @@ def scan_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = T
                 is_file.append(whole)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("path"), pa.array(names, pa.string()), pa.array(cosines, pa.float64()), pa.array(is_file, pa.bool_())], ["doc_id", "path", "own_license", "own_cosine", "is_license_file"])
 
-    return files.select("doc_id", "path", "text").mapInArrow(run, "doc_id long, path string, own_license string, own_cosine double, is_license_file boolean")
+    return files.select("doc_id", "path", "text").mapInArrow(in_worker(run), "doc_id long, path string, own_license string, own_cosine double, is_license_file boolean")
 
 
 def inherit_licenses(scanned: DataFrame) -> DataFrame:
-    """Adds license, license_from and inherited: a file's own licence, or that of the licence file in the nearest ancestor directory."""
+    """Adds license, license_from and inherited: a file's own licence, or that of the licence file in the nearest ancestor directory.
+
+    scanned is written once: it is read for the files that give, for the folders that want, and for the result.
+    """
+    scanned = materialize(scanned, "scanned-files")
     folder = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), r"[^/]*$", "")
     givers = (
         scanned.where("is_license_file and own_license is not null")
@@ -208,6 +228,8 @@ def inherit_licenses(scanned: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(F.length("_folder").alias("n"), "_from", "_given")).alias("_best"))
         .select("_of", "_best._from", "_best._given")
     )
+    # folders that get a licence are far fewer than files: a folder with a third of all files is no hot key in a broadcast
+    nearest = broadcast_if_small(materialize(nearest, "nearest-licences"))
     return (
         scanned.withColumn("_of", F.when(F.col("own_license").isNull() & F.col("path").isNotNull(), folder))
         .join(nearest, "_of", "left")
