@@ -16,6 +16,10 @@ from tessera.llm.sentencepiece_codec import encode_documents
 from tessera.llm.suffix_dedup import remove_repeats
 
 
+#: A repeated passage has so many whole words; at four bytes a word with its space, that many are in strings of so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return keep_good(docs)
@@ -27,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that are found elsewhere, too, go; so do documents of which no word is left."""
-    return remove_repeats(docs)
+    """Passages of PASSAGE_WORDS words or more that are found elsewhere, too, go; so do documents of which no word is left."""
+    return remove_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
