@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import beta_quantile, gamma_quantile, normal_quantile
-from tessera.operators.frames import numeric_columns
+from tessera.operators.frames import hash_unit, numeric_columns
+from tessera.operators.metrics import histogram
+from tessera.operators.neighbours import nearest, silhouette
+from tessera.operators.order import average_ranks, prefix_sums
+from tessera.operators.reduction import fit_components
 
 
 def correlation(a: str, b: str) -> Column:
@@ -37,15 +41,26 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("c")).select("c.*")
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """column's distinct values with their average rank; ranks are summed over values, not rows."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_c"))
-    return counts.select(column, (F.sum("_c").over(Window.orderBy(column)) - F.col("_c") + (F.col("_c") + 1) / 2).alias(f"{column}_rank"))
+def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns replaced by their average ranks (ties share one); ranks are counted over distinct values."""
+    out = df.select(*columns)
+    for c in columns:
+        out = out.join(average_ranks(df, c), c)
+    return out.select(*[F.col(f"{c}_rank").alias(c) for c in columns])
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    ranked = df.select(a, b).join(average_ranks(df, a), a).join(average_ranks(df, b), b)
-    return ranked.agg(correlation(f"{a}_rank", f"{b}_rank").alias("rho"))
+    return ranked(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b]).agg(correlation(a, b).alias("rho"))
+
+
+def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b and rho of every pair of columns, over rows without nulls."""
+    return correlation_matrix(ranked(df.select(*columns).na.drop("any"), columns), columns).withColumnRenamed("r", "rho")
+
+
+def mean_absolute(matrix: DataFrame, value: str = "rho") -> DataFrame:
+    """The mean absolute value of the pairs of a correlation matrix."""
+    return matrix.agg(F.avg(F.abs(value)).alias("mean_abs"))
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,22 +80,53 @@ def discrepancy(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg((F.lit((13 / 12) ** len(columns)) - 2 / F.count("*") * F.sum(prod(lambda x: 1 - x * x) - prod(lambda x: 0.5 - F.abs(0.5 - x)))).alias("discrepancy"))
 
 
-def closest_pair(df: DataFrame, key: str, x: str, y: str, cell: float) -> DataFrame:
-    """Least distance of two rows by an equi-join on grid cells; exact if it is at most cell."""
-    here = df.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.floor(F.col(x) / cell).alias("i"), F.floor(F.col(y) / cell).alias("j"))
-    near = here.select("k", "x", "y", F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("c")).select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "c.i", "c.j")
-    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    return here.join(near, ["i", "j"]).where(F.col("k") < F.col("k2")).agg(F.min(d).alias("distance"))
+def closest_pair(df: DataFrame, key: str, columns: list[str], cell: float | None = None) -> DataFrame:
+    """Least Euclidean distance of two rows: an equi-join on grid cells, which grow until the distance found is proven least.
+
+    Two rows at most a cell's edge apart are in the same or in neighbouring cells, so a distance of at most cell is least of
+    all. Cells are laid over the first three columns: rows are no nearer in all columns than in these.
+    """
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).na.drop("any")
+    grid = range(min(3, len(columns)))
+    ends = rows.agg(F.count("*").alias("n"), *[F.min(f"x{i}").alias(f"l{i}") for i in grid], *[F.max(f"x{i}").alias(f"h{i}") for i in grid]).first()
+    spread = [ends[f"h{i}"] - ends[f"l{i}"] for i in grid] if ends["n"] else []
+    if cell is None:
+        cell = max((max([s for s in spread if s > 0], default=1.0)) / max(ends["n"], 1) ** (1 / len(grid)), 1e-12)
+    while True:
+        here = rows.select("*", *[F.floor((F.col(f"x{i}") - F.lit(ends[f"l{i}"] or 0.0)) / cell).alias(f"c{i}") for i in grid])
+        cells = [()]
+        for _ in grid:
+            cells = [(*c, o) for c in cells for o in (-1, 0, 1)]
+        # of two neighbouring cells only one looks into the other
+        around = F.array(*[F.struct(*[(F.col(f"c{i}") + c[i]).alias(f"c{i}") for i in grid]) for c in cells if c >= tuple([0] * len(grid))])
+        near = here.select(F.col("k").alias("k2"), *[F.col(f"x{i}").alias(f"z{i}") for i in range(len(columns))], *[F.col(f"c{i}").alias(f"o{i}") for i in grid], F.explode(around).alias("c")).select("*", *[F.col(f"c.c{i}").alias(f"c{i}") for i in grid]).drop("c")
+        d = F.sqrt(sum((F.pow(F.col(f"x{i}") - F.col(f"z{i}"), 2) for i in range(len(columns))), F.lit(0.0)))
+        same = F.lit(True)
+        for i in grid:
+            same = same & (F.col(f"c{i}") == F.col(f"o{i}"))
+        pairs = here.join(near, [f"c{i}" for i in grid]).where((F.col("k") < F.col("k2")) | (~same & (F.col("k") > F.col("k2"))))
+        found = pairs.agg(F.min(d).alias("distance")).first()["distance"]
+        if (found is not None and found <= cell) or cell > 2 * max(spread, default=0.0) or ends["n"] < 2:
+            return df.sparkSession.createDataFrame([(found,)], "distance double")
+        cell = cell * 2 if found is None else max(cell * 2, min(found, cell * 8))
 
 
 def vector_distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v))
 
 
-def nearest_distances(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Distance of each query to its nearest other row; the stated queries are broadcast, the table is scanned once."""
-    q = F.broadcast(queries.select(F.col(key).alias("q"), F.col(vector).alias("v")))
-    return vectors.select(key, vector).join(q, F.col(key) != F.col("q")).groupBy("q").agg(F.min(vector_distance(vector, "v")).alias("d"))
+def nearest_distances(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str | list[str] = "embedding") -> DataFrame:
+    """q and d: distance of each query to its nearest other row, in bounded sets of queries against all rows."""
+    features = [vector] if isinstance(vector, str) else list(vector)
+    return nearest(vectors, queries, key, features, 1).select(F.col("row_id").alias("q"), F.sqrt("d").alias("d"))
+
+
+def distance_entropy(distances: DataFrame, column: str = "d", bins: int = 30) -> DataFrame:
+    """Shannon entropy (nats) of the histogram of a column."""
+    h = histogram(distances.select(F.lit("all").alias("output"), column), column, bins)
+    total = h.agg(F.sum("n").alias("_total"))
+    p = F.col("n") / F.col("_total")
+    return h.where("n > 0").join(F.broadcast(total)).agg((-F.sum(p * F.ln(p))).alias("entropy"))  # one row
 
 
 def sampling_rule(std: Column, silhouette: Column, entropy: Column) -> Column:
@@ -90,6 +136,111 @@ def sampling_rule(std: Column, silhouette: Column, entropy: Column) -> Column:
     )
 
 
+def classify_sampling(df: DataFrame, columns: list[str], key: str, every: int = 1, embed=None, seed: int = 0) -> DataFrame:
+    """n, std, silhouette, entropy and method: nearest-neighbour distances and two clusters of an embedding in two dimensions, judged by sampling_rule().
+
+    embed(standardised rows, columns) gives key, e1, e2; the default is the two principal components. Distances and
+    silhouettes are those of every so-many-th row (by a hash of key; 1: all) against all rows.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = standardise(df.select(key, *columns).na.drop("any"), columns)
+    if embed is None:
+        fitted = fit_components(ready, columns)
+        two = fitted.transform(ready, min(2, len(columns)), [key])
+        flat = two.select(key, F.col("PC1").alias("e1"), (F.col("PC2") if len(columns) > 1 else F.lit(0.0)).alias("e2"))
+    else:
+        flat = embed(ready, columns)
+    vectors = VectorAssembler(inputCols=["e1", "e2"], outputCol="_v").transform(flat)
+    labelled = KMeans(k=2, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors).transform(vectors).drop("_v")
+    queries = labelled if every == 1 else labelled.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0)
+    d = nearest_distances(labelled, queries, key, ["e1", "e2"])
+    stats = d.agg(F.count("*").alias("n"), F.stddev_pop("d").alias("std"))
+    s = silhouette(labelled, queries, key, ["e1", "e2"], "cluster").agg(F.avg("s").alias("silhouette"))
+    one = stats.join(s).join(distance_entropy(d))  # one row each
+    return one.withColumn("method", sampling_rule(F.col("std"), F.col("silhouette"), F.col("entropy")))
+
+
+#: What is said for each method.
+EXPLANATIONS = {
+    "Grid": "Low std and high silhouette -> Grid",
+    "Random": "High std and low silhouette -> Random",
+    "Sobol": "Moderate spread, low entropy -> Sobol",
+    "LHS": "Moderate spread, higher entropy -> LHS",
+    "Uncertain": "Pattern unclear",
+}
+
+
+def compare_with_random(df: DataFrame, columns: list[str], key: str, trials: int = 10, seed: int = 0) -> DataFrame:
+    """discrepancy and maximin of columns scaled to [0, 1], and their means over uniform random designs of the same size."""
+    spark, scaled = df.sparkSession, minmax(df.select(key, *columns), columns)
+    n = scaled.count()
+    own = discrepancy(scaled, columns).first()[0], closest_pair(scaled, key, columns).first()[0]
+    drawn = []
+    for t in range(trials):
+        unit = [hash_unit(F.concat_ws("/", F.col("id"), F.lit(t), F.lit(j), F.lit(seed))).alias(c) for j, c in enumerate(columns)]
+        made = spark.range(n).select("id", *unit)
+        drawn.append((discrepancy(made, columns).first()[0], closest_pair(made, "id", columns).first()[0]))
+    mean = [float(np.mean([x[i] for x in drawn])) for i in (0, 1)]
+    return spark.createDataFrame([(float(own[0]), own[1], *mean)], "discrepancy double, maximin double, random_discrepancy double, random_maximin double")
+
+
+def is_lhs(compared: DataFrame, mean_abs: DataFrame) -> DataFrame:
+    """lhs_like: a discrepancy below 0.9 of random, a least distance above 1.1 of random, and a mean absolute rank correlation below 0.2."""
+    rule = (F.col("discrepancy") < 0.9 * F.col("random_discrepancy")) & (F.col("maximin") > 1.1 * F.col("random_maximin")) & (F.col("mean_abs") < 0.2)
+    return compared.join(mean_abs).withColumn("lhs_like", rule)  # one row each
+
+
+def off_grid(points: DataFrame, levels: dict[str, list[float]], tolerance: float = 1e-6) -> DataFrame:
+    """Points with a coordinate that lies further than tolerance from every level of its column."""
+    ok = F.lit(True)
+    for c, values in levels.items():
+        gaps = F.array(*[F.abs(F.col(c) - float(v)) for v in values])
+        ok = ok & (F.array_min(gaps) <= tolerance)
+    return points.where(~ok)
+
+
+def is_grid(df: DataFrame, columns: list[str], tolerance: float = 1e-6) -> bool:
+    """Whether rows are the full product of their columns' levels: as many as the product, and no combination twice.
+
+    Levels closer than tolerance count as one, by rounding to it.
+    """
+    snapped = df.select(*[F.round(F.col(c).cast("double") / tolerance).alias(c) for c in columns])
+    counts = snapped.agg(F.count("*").alias("n"), F.count_distinct(*columns).alias("u"), *[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)]).first()
+    return counts["n"] == counts["u"] == int(np.prod([counts[f"u{i}"] for i in range(len(columns))]))
+
+
+def max_multiplicity(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature and how often its most frequent value stands."""
+    out = None
+    for c in columns:
+        part = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).agg(F.lit(c).alias("feature"), F.max("_n").alias("most"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def missing_counts(df: DataFrame) -> DataFrame:
+    """feature and n_missing of the columns that have nulls."""
+    counts = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in df.columns])
+    return counts.unpivot([], df.columns, "feature", "n_missing").where("n_missing > 0")
+
+
+def unique_counts(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Distinct values of each column, and whether key is one for each row that has it."""
+    extra = [(F.count_distinct(key) == F.count(key)).alias("key_unique")] if key else []
+    return df.agg(*[F.count_distinct(c).alias(c) for c in df.columns], *extra)
+
+
+def pair_histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+    """a, b, bin_a, bin_b, n: a two-dimensional histogram of every pair of columns (a = b: of the column alone), equal bins from least to greatest."""
+    ends = df.agg(*[F.min(c).alias(f"l_{c}") for c in columns], *[F.max(c).alias(f"h_{c}") for c in columns])
+    place = {c: F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(c) - F.col(f"l_{c}")) / F.nullif((F.col(f"h_{c}") - F.col(f"l_{c}")) / bins, F.lit(0.0))), F.lit(0))).cast("int") for c in columns}
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p_{a}").alias("bin_a"), F.col(f"p_{b}").alias("bin_b")) for i, a in enumerate(columns) for b in columns[i:]])
+    binned = df.select(*columns).na.drop("any").join(F.broadcast(ends)).select(*[place[c].alias(f"p_{c}") for c in columns])  # one row
+    return binned.select(F.explode(pairs).alias("c")).select("c.*").groupBy("a", "b", "bin_a", "bin_b").agg(F.count("*").alias("n"))
+
+
 def exact_pattern(df: DataFrame, columns: list[str]) -> DataFrame:
     """Grid if the distinct counts multiply to the rows; else LHS if every column is all different; else Random."""
     n = df.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)])
@@ -100,12 +251,16 @@ def exact_pattern(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Greatest gap of the two cumulative distributions, over distinct values."""
-    both = a.select(F.col(column).alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")).union(b.select(column, F.lit(0), F.lit(1)))
+    """Greatest gap of the two cumulative distributions, over distinct values; strings are compared as such."""
+    both = a.select(F.col(column).alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")).union(b.select(column, F.lit(0), F.lit(1))).where("v is not null")
     g = both.groupBy("v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    w, every = Window.orderBy("v"), Window.partitionBy()
-    gap = F.abs(F.sum("na").over(w) / F.sum("na").over(every) - F.sum("nb").over(w) / F.sum("nb").over(every))
-    return g.select(gap.alias("g")).agg(F.max("g").alias("d"))
+    if dict(g.dtypes)["v"] == "string":
+        w = Window.orderBy("v")  # the levels of a category
+        summed = g.select(F.sum("na").over(w).alias("ca"), F.sum("nb").over(w).alias("cb"), "na", "nb")
+    else:
+        summed = prefix_sums(g, "v", {"ca": F.col("na"), "cb": F.col("nb")}).select((F.col("ca") + F.col("na")).alias("ca"), (F.col("cb") + F.col("nb")).alias("cb"), "na", "nb")
+    total = g.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    return summed.join(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("d"))  # one row
 
 
 def grid_design(spark: SparkSession, levels: dict[str, list[float]]) -> DataFrame:
@@ -146,13 +301,71 @@ def random_design(spark: SparkSession, descriptors: list[dict], n: int, seed: in
     return _design(spark, spark.range(n).select(*[F.rand(seed + i).alias(f"u{i}") for i in range(len(descriptors))]), descriptors)
 
 
+def permuted(i: Column, n: int, salt: str) -> Column:
+    """A permutation of 0 .. n - 1 without sorting: the row's number times an odd step without a common factor, plus a shift, modulo n, and then halves swapped by a hashed bit.
+
+    Neighbouring numbers land far apart; the same salt gives the same permutation on every run.
+    """
+    import hashlib
+    from math import gcd
+
+    seed = int.from_bytes(hashlib.md5(salt.encode()).digest()[:8], "big")
+    step = seed % max(n, 1) | 1
+    while gcd(step, n) != 1:
+        step += 2
+    shift = (seed >> 20) % max(n, 1)
+    place = F.pmod(F.pmod(i * F.lit(step % n if n else 1), F.lit(max(n, 1))) + F.lit(shift), F.lit(max(n, 1)))
+    half = n // 2
+    # a place and its partner in the other half change places where a hash of the lower one says so
+    low = F.when(place < half, place).otherwise(place - half)
+    swap = (place < 2 * half) & (hash_unit(F.concat_ws("~", low, F.lit(salt))) < 0.5)
+    return F.when(swap, F.when(place < half, place + half).otherwise(place - half)).otherwise(place)
+
+
 def lhs_design(spark: SparkSession, descriptors: list[dict], n: int, seed: int = 0) -> DataFrame:
-    """One point in each of n strata of every variable; strata are permuted by sorting on a random key."""
-    unit = spark.range(n)
-    for i in range(len(descriptors)):
-        place = spark.range(n).select((F.row_number().over(Window.orderBy(F.rand(seed + 2 * i))) - 1).cast("long").alias("stratum"), (F.col("id")).alias("id"))
-        unit = unit.join(place.select("id", ((F.col("stratum") + F.rand(seed + 2 * i + 1)) / n).alias(f"u{i}")), "id")
-    return _design(spark, unit.drop("id"), descriptors)
+    """One point in each of n strata of every variable; each variable permutes the strata in its own way, row by row."""
+    if n > 2_000_000_000:
+        raise ValueError("n must be at most 2,000,000,000")
+    unit = [((permuted(F.col("id"), n, f"{seed}:{i}") + hash_unit(F.concat_ws(":", F.col("id"), F.lit(seed), F.lit(i)))) / n).alias(f"u{i}") for i in range(len(descriptors))]
+    return _design(spark, spark.range(n).select(*unit), descriptors)
+
+
+def grid_levels(d: dict, n: int) -> list:
+    """Levels of a descriptor in a grid of about n points: the cube root of n many, over the range or two deviations around the mean; all levels of a category.
+
+    A beta variable's location is left out, as the definition has it.
+    """
+    count = int(np.cbrt(n))
+    a, b, c = (float(d[k]) if d.get(k) is not None else None for k in ("stat1", "stat2", "stat3"))
+    if d["kind"] == "categorical":
+        return list(d["levels"])
+    if d["kind"] == "uniform":
+        return np.linspace(a, b, count).tolist()
+    if d["kind"] == "normal":
+        mean, std = a, b**0.5
+    elif d["kind"] == "gamma":
+        mean, std = a + b * c, c**0.5 * b
+    elif d["kind"] == "beta":
+        mean, std = a / (a + b), (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+    else:
+        raise ValueError(f"no grid for {d['kind']}")
+    return np.linspace(mean - 2 * std, mean + 2 * std, count).tolist()
+
+
+def descriptor_grid(spark: SparkSession, descriptors: list[dict], n: int, seed: int = 0) -> DataFrame:
+    """The product of the descriptors' levels; of more than n points n are drawn by a hash of their number."""
+    levels = [grid_levels(d, n) for d in descriptors]
+    total = int(np.prod([len(v) for v in levels], dtype=object))
+    number, columns, rest = F.col("id"), [], total
+    for d, values in zip(descriptors, levels):
+        rest //= max(len(values), 1)
+        place = F.pmod(F.floor(number / max(rest, 1)), F.lit(max(len(values), 1))) + 1
+        kind = "string" if d["kind"] == "categorical" else "double"
+        columns.append(F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), place.cast("int")).alias(d["name"]))
+    points = spark.range(total)
+    if total > n:
+        points = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(n)
+    return points.select(*columns)
 
 
 def sobol_design(spark: SparkSession, n: int) -> DataFrame:
@@ -172,10 +385,23 @@ def sobol_design(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(xor([1 << (bits - 1 - k) for k in range(bits)]).alias("x1"), xor(second).alias("x2"))
 
 
-def compare_methods(spark: SparkSession, data: DataFrame, descriptors: list[dict], n: int | None = None) -> DataFrame:
-    """method, d: sum of KS distances to the data of each generated design that could be made; least first."""
+METHODS = {"LHS": lhs_design, "Grid": descriptor_grid, "Random": random_design}
+
+
+def compare_methods(spark: SparkSession, data: DataFrame, descriptors: list[dict], n: int | None = None, methods: dict | None = None) -> DataFrame:
+    """method, d: the sum over the variables of KS distances to the data of each design that could be made; least first, ties in order of methods.
+
+    Numbers are scaled to the range of the data (which changes no KS distance) and categories compared as strings. A
+    design that can't be made is left out.
+    """
     n, rows = n or data.count(), []
-    for order, (name, make) in enumerate((("LHS", lhs_design), ("Random", random_design))):
-        made = make(spark, descriptors, n)
-        rows.append((name, order, float(sum(ks_two_sample(data.select(F.col(d["name"]).cast(made.schema[d["name"]].dataType).alias(d["name"])), made, d["name"]).first()["d"] for d in descriptors))))
+    for order, (name, make) in enumerate((methods or METHODS).items()):
+        try:
+            made = make(spark, descriptors, n)
+            gaps = [ks_two_sample(data.select(F.col(d["name"]).cast(made.schema[d["name"]].dataType).alias(d["name"])), made, d["name"]).first()["d"] for d in descriptors]
+        except Exception:
+            continue
+        rows.append((name, order, float(sum(gaps))))
+    if not rows:
+        raise ValueError("no design could be made")
     return spark.createDataFrame(rows, "method string, ord int, d double").orderBy("d", "ord").drop("ord")

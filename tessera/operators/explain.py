@@ -25,6 +25,51 @@ def linear_pdp(df: DataFrame, intercept: float, weights: dict[str, float], featu
     return df.sparkSession.range(points).select(F.lit(feature).alias("feature"), F.col("id").alias("k"), grid.alias("value"), (rest + weights[feature] * grid).alias("mean_prediction"))
 
 
+def partial_dependence(predict, df: DataFrame, features: list[str], feature: str, points: int = 100, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """output, feature, k, value, mean_prediction: predictions of all rows with feature set to each value of a grid between two quantiles.
+
+    predict takes a long table (row_id, output, features) and gives y_pred; a feature of few values has these as its grid.
+    """
+    spark = df.sparkSession
+    ends = df.agg(F.percentile_approx(F.col(feature).cast("double"), [low, high], 10_000).alias("q"), F.count_distinct(feature).alias("n")).first()
+    if ends["n"] <= points:
+        values = sorted(float(r[0]) for r in df.select(feature).where(F.col(feature).isNotNull()).distinct().collect())  # at most points
+    else:
+        values = np.linspace(*[float(v) for v in ends["q"]], points).tolist()
+    grid = F.broadcast(spark.createDataFrame(list(enumerate(values)), "k long, value double"))
+    # every row at every value, by definition; a value at a time is one number more in the key
+    wide = df.select(F.col("row_id").alias("_row"), "output", *[c for c in features if c != feature]).crossJoin(grid).withColumn(feature, F.col("value"))
+    numbered = wide.withColumn("row_id", F.col("_row") * len(values) + F.col("k"))
+    predicted = predict(numbered.select("row_id", "output", *features)).select("row_id", "output", "y_pred")
+    joined = numbered.select("row_id", "output", "k", "value").join(predicted, ["row_id", "output"])
+    return joined.groupBy("output", "k", "value").agg(F.avg("y_pred").alias("mean_prediction")).withColumn("feature", F.lit(feature))
+
+
+def shap_values(predict, rows: DataFrame, features: list[str], background: np.ndarray) -> DataFrame:
+    """row_id and phi (one number a feature): exact Shapley values of every row by all coalitions against a small background.
+
+    predict maps a numpy matrix to predictions; at most ten features.
+    """
+    if len(features) > 10:
+        raise ValueError("more than ten features")
+    base = np.asarray(background, float)
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                phi = exact_shap(predict, b[features].to_numpy(float), base)
+                yield b[["row_id"]].assign(phi=list(phi))
+
+    kind = rows.schema["row_id"].dataType.simpleString()
+    return rows.select("row_id", *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"row_id {kind}, phi array<double>")
+
+
+def mean_absolute_shap(values: DataFrame, features: list[str]) -> DataFrame:
+    """feature and the mean absolute Shapley value over rows."""
+    wide = values.agg(*[F.avg(F.abs(F.col("phi")[i])).alias(c) for i, c in enumerate(features)])
+    return wide.unpivot([], features, "feature", "mean_abs_shap")
+
+
 def exact_shap(predict, x: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Shapley values by all coalitions of features (at most ten), absent ones averaged over the background."""
     d = x.shape[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,9 @@ def split_names(names: str) -> list[str]:
 
 
 def drop_constant(df: DataFrame) -> DataFrame:
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first()
-    return df.drop(*[c for c in df.columns if counts[c] == 1])
+    """df without columns of one value (nulls beside it don't count; a column of nulls alone stays)."""
+    same = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in df.columns]).first()
+    return df.drop(*[c for c in df.columns if same[c]])
 
 
 def to_long(df: DataFrame, ids: list[str], outputs: list[str], value: str = "y_true") -> DataFrame:
@@ -34,41 +35,93 @@ def clip_std(std: Column) -> Column:
     return F.greatest(F.abs(std), F.lit(STD_FLOOR))
 
 
-def hash_split(df: DataFrame, key: str, parts: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Train and test: the row whose key is divisible by parts is a test row."""
+def hash_unit(key: Column) -> Column:
+    """A number in [0, 1) from the md5 of a key's text: the same on every run, cluster and engine."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def remainder_split(df: DataFrame, key: str, parts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Train and test: the row whose key is divisible by parts is a test row. For keys in no order that matters."""
     test = F.pmod(F.col(key), F.lit(parts)) == 0
     return df.where(~test), df.where(test)
 
 
+def hash_split(df: DataFrame, key: str, test_share: float = 0.25, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Train and test by a hash of the key and the seed, whatever pattern the keys have (a null key is a train row)."""
+    test = F.coalesce(hash_unit(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))) < test_share, F.lit(False)) & F.col(key).isNotNull()
+    return df.where(~test), df.where(test)
+
+
 def kfold(df: DataFrame, key: str, k: int) -> DataFrame:
-    """Adds fold: contiguous folds in order of key; the first n mod k have one row more.
+    """Adds fold: contiguous folds in order of key; the first n mod k have one row more."""
+    from tessera.operators.order import row_numbers
 
-    A row's rank comes from sorted blocks of keys, so no task sorts the whole table.
-    """
     n = df.count()
-    blocks = max(1, n // 100_000)
-    bounds = df.select(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("b")).first()["b"] if blocks > 1 else []
-    block = sum([(F.col(key) > b).cast("int") for b in sorted(set(bounds or []))], F.lit(0))
-    tagged = df.withColumn("_block", block)
-    sizes = tagged.groupBy("_block").count()
-    before = sizes.select("_block", (F.sum("count").over(Window.orderBy("_block")) - F.col("count")).alias("_before"))  # one row a block
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1 + F.col("_before")
     big, size = n % k, n // k
     fold = F.when(F.col("_r") < big * (size + 1), F.floor(F.col("_r") / (size + 1))).otherwise(big + F.floor((F.col("_r") - big * (size + 1)) / max(size, 1)))
-    return tagged.join(before, "_block").withColumn("_r", rank).withColumn("fold", fold.cast("int")).drop("_block", "_before", "_r")
+    return row_numbers(df, key, name="_r").withColumn("fold", fold.cast("int")).drop("_r")
+
+
+#: The cumulative probabilities of a Poisson variable of mean 1.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def poisson_weight(key: Column, replicate: Column) -> Column:
+    """How often a row is drawn in a replicate: Poisson of mean 1 from a hash, the large-sample form of drawing with replacement."""
+    u = hash_unit(F.concat_ws("|", key.cast("string"), replicate.cast("string")))
+    return sum(((u >= p).cast("int") for p in POISSON[1:]), (u >= POISSON[0]).cast("int"))
 
 
 def poisson_replicates(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Adds replicate and weight: a deterministic stand-in for drawing with replacement (weights 0 to 3, mean 1)."""
-    draw = F.pmod(F.col(key) * 31 + F.col("replicate") * 17, F.lit(8))
-    weight = F.when(draw < 3, 0).when(draw < 6, 1).when(draw < 7, 2).otherwise(3)
-    return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("weight", weight)
+    """Adds replicate and weight; rows that a replicate doesn't draw have weight 0."""
+    return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("weight", poisson_weight(F.col(key), F.col("replicate")))
+
+
+def drop_nulls(df: DataFrame) -> DataFrame:
+    """Rows without a null."""
+    return df.na.drop("any")
+
+
+def positive_std(std: Column, floor: float = 1e-8) -> Column:
+    """std, or floor where it is not above 0."""
+    return F.when(std <= 0, F.lit(floor)).otherwise(std)
+
+
+def choose_metrics(table: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Long output, metric, value of the wanted metrics that the table has (default: all numbers); an error if it has none of them."""
+    there = [c for c in numeric_columns(table) if c != "output"]
+    chosen = there if wanted is None else [c for c in wanted if c in there]
+    if not chosen:
+        raise ValueError(f"none of the metrics {wanted} is in the table; it has {', '.join(there) or 'no numbers'}")
+    return table.select(F.col("output").cast("string").alias("output"), *[F.col(c).cast("double").alias(c) for c in chosen]).unpivot("output", chosen, "metric", "value")
+
+
+def last_part(text: Column, mark: str = "->") -> Column:
+    """What follows the last mark, without spaces around it."""
+    return F.trim(F.substring_index(text, mark, -1))
+
+
+def common_labels(*tables: DataFrame) -> DataFrame:
+    """The labels (one column each) that every table has."""
+    out = tables[0].distinct()
+    for t in tables[1:]:
+        out = out.intersect(t)
+    return out
+
+
+def count_labels(*tables: tuple[DataFrame, str]) -> DataFrame:
+    """label and n over the given columns of the given tables, one after another."""
+    parts = [t.groupBy(F.col(c).alias("label")).agg(F.count("*").alias("n")) for t, c in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def flatten_structs(df: DataFrame) -> DataFrame:
     """Struct columns become their fields; a field whose name is taken is called column_field."""
-    taken = {f.name for f in df.schema if not isinstance(f.dataType, T.StructType)}
-    out = [F.col(c) for c in taken & set(df.columns)]
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, T.StructType)]
+    taken, out = set(plain), [F.col(c) for c in plain]
     for f in df.schema:
         if isinstance(f.dataType, T.StructType):
             for g in f.dataType:

@@ -1,15 +1,18 @@
-"""Surrogate models. Closed forms are aggregates; iterative ones fit one output in one task, on a sample of bounded size."""
+"""Surrogate models. Closed forms are aggregates; Gaussian processes, support vectors and quantile boosting fit one output in one task.
 
-from __future__ import annotations
+estimators.py gives them all one interface; those of one task fit on a sample of bounded size there.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one output that a model in one task may fit on (the largest hashes of the key go).
+from tessera.operators.neighbours import nearest
+from tessera.operators.order import prefix_sums
+
+#: Rows of one output, about, that a model of one task fits on (a hash of the key chooses them): its cost grows with their cube.
 FIT_ROWS = 2_000
 
 
@@ -24,15 +27,6 @@ def ols_predict(rows: DataFrame, fit: DataFrame, x: str = "x", by: tuple[str, ..
     return rows.join(F.broadcast(fit), list(by)).withColumn("y_pred", F.col("a") + F.col("b") * F.col(x)).withColumn("y_std", F.col("s")).drop("a", "b", "s")
 
 
-def ols_many(train: DataFrame, features: list[str], target: str) -> np.ndarray:
-    """Intercept and weights by the normal equations: one aggregate of d * d sums, solved on the driver."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
-    d = len(cols)
-    sums = train.agg(*[F.sum(cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(d) for j in range(i, d)], *[F.sum(cols[i] * F.col(target)).alias(f"b{i}") for i in range(d)]).first()
-    a = np.array([[sums[f"a{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], float)
-    return np.linalg.lstsq(a, np.array([sums[f"b{i}"] for i in range(d)], float), rcond=None)[0]
-
-
 def ensemble(members: DataFrame) -> DataFrame:
     """Mean and population deviation over the members' predictions of each row."""
     return members.groupBy("row_id", "output").agg(F.avg("y_pred").alias("y_pred"), F.stddev_pop("y_pred").alias("y_std"))
@@ -49,28 +43,31 @@ def bootstrap_ols(train: DataFrame, rows: DataFrame, replicates: DataFrame) -> D
 
 def stump(train: DataFrame, x: str = "x", y: str = "y_true", by: str = "output") -> DataFrame:
     """Best single split of each output by squared error, over prefix sums of distinct x."""
-    g = train.groupBy(by, x).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
-    w, left = Window.partitionBy(by), Window.partitionBy(by).orderBy(x)
-    g = g.select(by, F.col(x).alias("lo"), F.lead(x).over(left).alias("hi"), F.sum("n").over(left).alias("nl"), F.sum("s").over(left).alias("sl"), F.sum("n").over(w).alias("nt"), F.sum("s").over(w).alias("st")).where("hi is not null")
+    g = train.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
+    total = g.groupBy(by).agg(F.sum("n").alias("nt"), F.sum("s").alias("st"))
+    placed = prefix_sums(g, x, {"nb": F.col("n"), "sb": F.col("s"), "place": F.lit(1).cast("long")}, by=(by,))
+    left = placed.select(by, F.col(x).alias("lo"), (F.col("nb") + F.col("n")).alias("nl"), (F.col("sb") + F.col("s")).alias("sl"), "place")
+    right = placed.select(by, F.col(x).alias("hi"), (F.col("place") - 1).alias("place"))
+    cut = left.join(right, [by, "place"]).join(F.broadcast(total), by)  # one row an output
     gain = F.col("sl") * F.col("sl") / F.col("nl") + F.pow(F.col("st") - F.col("sl"), 2) / (F.col("nt") - F.col("nl"))
-    best = g.withColumn("gain", gain).groupBy(by).agg(F.max_by(F.struct(((F.col("lo") + F.col("hi")) / 2).alias("threshold"), (F.col("sl") / F.col("nl")).alias("left_mean"), ((F.col("st") - F.col("sl")) / (F.col("nt") - F.col("nl"))).alias("right_mean")), F.struct(F.round("gain", 6), -F.col("lo"))).alias("m"))
+    best = cut.withColumn("gain", gain).groupBy(by).agg(F.max_by(F.struct(((F.col("lo") + F.col("hi")) / 2).alias("threshold"), (F.col("sl") / F.col("nl")).alias("left_mean"), ((F.col("st") - F.col("sl")) / (F.col("nt") - F.col("nl"))).alias("right_mean")), F.struct(F.round("gain", 6), -F.col("lo"))).alias("m"))
     return best.select(by, "m.threshold", "m.left_mean", "m.right_mean")
 
 
 def knn(train: DataFrame, queries: DataFrame, features: list[str], y: str, k: int, id_col: str) -> DataFrame:
-    """Mean and population deviation of the k nearest training rows of each query; the queries are the broadcast side."""
-    d = sum((F.pow(F.col(f"t.{c}") - F.col(f"q.{c}"), 2) for c in features), F.lit(0.0))
-    pairs = train.alias("t").join(F.broadcast(queries.alias("q")), F.col(f"t.{id_col}") != F.col(f"q.{id_col}")).select(F.col(f"q.{id_col}").alias("row_id"), d.alias("d"), F.col(f"t.{id_col}").alias("other"), F.col(f"t.{y}").alias("y"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("row_id").orderBy("d", "other"))).where(F.col("r") <= k)
-    return near.groupBy("row_id").agg(F.avg("y").alias("y_pred"), F.stddev_pop("y").alias("y_std"))
+    """Mean and population deviation of the k nearest training rows of each query, in bounded sets of queries against all rows."""
+    near = nearest(train, queries, id_col, features, k, y)
+    return near.groupBy("row_id").agg(F.avg("payload").alias("y_pred"), F.stddev_pop("payload").alias("y_std"))
 
 
 # models of one task -----------------------------------------------------------------------------------------------
 
 
 class GaussianProcess:
-    def __init__(self, alpha: float = 1e-10, matern: bool = False):
-        self.alpha, self.matern = alpha, matern
+    """Exact regression on centred targets. scale: the kernel's; None: the likeliest of a grid, with the likeliest variance."""
+
+    def __init__(self, alpha: float = 1e-10, matern: bool = False, scale: float | None = None):
+        self.alpha, self.matern, self.fixed = alpha, matern, scale
 
     def _kernel(self, a, b, scale):
         d = np.sqrt(np.maximum(((a[:, None] - b[None]) ** 2).sum(-1), 0)) / scale
@@ -79,13 +76,14 @@ class GaussianProcess:
     def fit(self, x, y):
         self.mean, self.x = y.mean(), x
         best = None
-        for scale in np.logspace(-1.5, 1.5, 13) * max(float(np.std(x)), 1e-9) * np.sqrt(x.shape[1]):
+        grid = np.logspace(-1.5, 1.5, 13) * max(float(np.std(x)), 1e-9) * np.sqrt(x.shape[1]) if self.fixed is None else [self.fixed]
+        for scale in grid:
             try:
                 low = np.linalg.cholesky(self._kernel(x, x, scale) + (self.alpha + 1e-9) * np.eye(len(x)))
             except np.linalg.LinAlgError:
                 continue
             v = np.linalg.solve(low, y - self.mean)
-            var = float(v @ v) / len(y) + 1e-30
+            var = 1.0 if self.fixed is not None else float(v @ v) / len(y) + 1e-30
             score = -0.5 * len(y) * np.log(var) - np.log(np.diag(low)).sum()
             if best is None or score > best[0]:
                 best = (score, scale, low, v, var)
@@ -100,25 +98,34 @@ class GaussianProcess:
 
 
 class SupportVector:
-    """Epsilon-insensitive regression with an RBF kernel, by projected coordinate descent on the dual."""
+    """Epsilon-insensitive regression with an RBF kernel: the dual's most violating pair is solved until none violates by tolerance."""
 
-    def __init__(self, c: float = 1.0, gamma: str = "scale", epsilon: float = 0.1):
-        self.c, self.gamma, self.epsilon = c, gamma, epsilon
+    def __init__(self, c: float = 1.0, gamma: str = "scale", epsilon: float = 0.1, tolerance: float = 1e-3, rounds: int = 200_000):
+        self.c, self.gamma, self.epsilon, self.tolerance, self.rounds = c, gamma, epsilon, tolerance, rounds
 
     def fit(self, x, y):
-        self.x, self.bias = x, float(np.median(y))
+        n = len(y)
+        self.x = x
         self.g = 1 / (x.shape[1] * (x.var() or 1)) if self.gamma == "scale" else 1 / x.shape[1]
         k = self._kernel(x, x)
-        beta, f = np.zeros(len(x)), np.zeros(len(x))
-        r = y - self.bias
-        for _ in range(60):
-            for i in range(len(x)):
-                raw = beta[i] + (r[i] - f[i]) / k[i, i]
-                new = np.clip(np.sign(raw) * max(abs(raw) - self.epsilon / k[i, i], 0), -self.c, self.c)
-                if new != beta[i]:
-                    f += (new - beta[i]) * k[i]
-                    beta[i] = new
-        self.beta = beta
+        sign = np.concatenate([np.ones(n), -np.ones(n)])
+        a, slope = np.zeros(2 * n), np.concatenate([self.epsilon - y, self.epsilon + y])
+        self.converged = False
+        for _ in range(self.rounds):
+            pull = -sign * slope
+            up = np.where((sign > 0) & (a < self.c) | (sign < 0) & (a > 0), pull, -np.inf)
+            down = np.where((sign > 0) & (a > 0) | (sign < 0) & (a < self.c), pull, np.inf)
+            i, j = int(np.argmax(up)), int(np.argmin(down))
+            if up[i] - down[j] < self.tolerance:
+                self.converged = True
+                break
+            p, q = i % n, j % n
+            step = (up[i] - down[j]) / max(k[p, p] + k[q, q] - 2 * k[p, q], 1e-12)
+            step = min(step, self.c - a[i] if sign[i] > 0 else a[i], a[j] if sign[j] > 0 else self.c - a[j])
+            a[i] += sign[i] * step
+            a[j] -= sign[j] * step
+            slope += sign * np.tile(k[:, p] - k[:, q], 2) * step
+        self.beta, self.bias = a[:n] - a[n:], float((up[i] + down[j]) / 2)
         return self
 
     def _kernel(self, a, b):
@@ -188,112 +195,7 @@ class QuantileBoosting:
         return mid, np.abs(upper - lower) / 2
 
 
-class Bagging:
-    """Members on draws with replacement; the deviation over members is the uncertainty."""
-
-    def __init__(self, make: Callable = lambda: BoostedStumps(rounds=1, depth=12, rate=1.0), members: int = 30, seed: int = 0):
-        self.make, self.members, self.seed = make, members, seed
-
-    def fit(self, x, y):
-        rng = np.random.default_rng(self.seed)
-        self.fitted = []
-        for _ in range(self.members):
-            at = rng.integers(len(y), size=len(y))
-            self.fitted.append(self.make().fit(x[at], y[at]))
-        return self
-
-    def predict(self, x):
-        p = np.stack([m.predict(x)[0] for m in self.fitted])
-        return p.mean(0), p.std(0)
-
-
-class Linear:
-    def fit(self, x, y):
-        self.w = np.linalg.lstsq(np.c_[np.ones(len(x)), x], y, rcond=None)[0]
-        return self
-
-    def predict(self, x):
-        return np.c_[np.ones(len(x)), x] @ self.w, None
-
-
-class Neighbours:
-    def __init__(self, k: int = 3):
-        self.k = k
-
-    def fit(self, x, y):
-        self.x, self.y = x, y
-        return self
-
-    def predict(self, x):
-        near = np.argsort(((x[:, None] - self.x[None]) ** 2).sum(-1), 1, kind="stable")[:, : self.k]
-        return self.y[near].mean(1), self.y[near].std(1)
-
-
-#: The candidates of the search: name, factory; 22 settings of seven kinds.
-CANDIDATES: dict[str, Callable] = (
-    {"linear": Linear}
-    | {f"gp alpha={a}": (lambda a=a: GaussianProcess(a)) for a in (1e-10, 1e-2)}
-    | {f"forest n={n} depth={d}": (lambda n=n, d=d: Bagging(lambda: BoostedStumps(1, d or 20, 1.0), n)) for n in (50, 100) for d in (3, 5, None)}
-    | {f"boosting n={n} depth={d}": (lambda n=n, d=d: BoostedStumps(n, d)) for n in (50, 100) for d in (3, 5)}
-    | {f"svr C={c} gamma={g}": (lambda c=c, g=g: SupportVector(c, g)) for c in (1, 10) for g in ("scale", "auto")}
-    | {f"knn k={k}": (lambda k=k: Neighbours(k)) for k in (3, 5, 7)}
-    | {f"tree depth={d}": (lambda d=d: BoostedStumps(1, d or 20, 1.0)) for d in (1, None)}
-)
-
-
 def bounded_sample(df: DataFrame, key: str, by: str = "output", limit: int = FIT_ROWS) -> DataFrame:
     """About limit rows of each group, chosen by a hash of the key."""
     counts = df.groupBy(by).agg(F.count("*").alias("_n"))
     return df.join(F.broadcast(counts), by).where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < limit / F.col("_n") * (1 << 20)).drop("_n")
-
-
-def search(train: DataFrame, features: list[str], names: list[str] | None = None, cv: int = 3) -> DataFrame:
-    """output, candidate, score (negative mean squared error over folds), status: each output and candidate is one task."""
-    names = names or list(CANDIDATES)
-    jobs = bounded_sample(train, "row_id").withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in names])))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_id")
-        x, y, name = rows[features].to_numpy(float), rows["y_true"].to_numpy(float), rows["candidate"].iloc[0]
-        try:
-            folds = np.array_split(np.arange(len(y)), cv)
-            errors = []
-            for test in folds:
-                fit = np.setdiff1d(np.arange(len(y)), test)
-                errors.append(((CANDIDATES[name]().fit(x[fit], y[fit]).predict(x[test])[0] - y[test]) ** 2).mean())
-            score, status = -float(np.mean(errors)), "ok"
-        except Exception as e:
-            score, status = None, f"{type(e).__name__}: {e}"[:200]
-        return pd.DataFrame({"output": [rows["output"].iloc[0]], "candidate": [name], "score": [score], "status": [status]})
-
-    return jobs.select("output", "candidate", "row_id", "y_true", *features).groupBy("output", "candidate").applyInPandas(run, "output string, candidate string, score double, status string")
-
-
-def best_of(scores: DataFrame, names: list[str]) -> DataFrame:
-    """The candidate with the best score of each output; the earlier one wins a tie."""
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("candidate"))
-    return scores.where("score is not null").groupBy("output").agg(F.max_by("candidate", F.struct("score", -order)).alias("candidate"), F.max("score").alias("score"))
-
-
-def fit_predict(train: DataFrame, rows: DataFrame, features: list[str], chosen: dict[str, str]) -> DataFrame:
-    """row_id, output, y_true, y_pred, y_std of rows: every output's chosen candidate, fitted in one task and used in all."""
-    sample = bounded_sample(train, "row_id").select("output", "row_id", "y_true", *features).toPandas().sort_values("row_id")  # FIT_ROWS an output
-    fitted = {o: CANDIDATES[chosen[o]]().fit(g[features].to_numpy(float), g["y_true"].to_numpy(float)) for o, g in sample.groupby("output")}
-    shared = train.sparkSession.sparkContext.broadcast({o: _Frozen(chosen[o], m) for o, m in fitted.items()})
-
-    def run(batches):
-        for b in batches:
-            for o, g in b.groupby("output"):
-                p, s = shared.value[o].model.predict(g[features].to_numpy(float))
-                yield pd.DataFrame({"row_id": g["row_id"], "output": o, "y_true": g["y_true"], "y_pred": p, "y_std": s if s is not None else np.zeros(len(g))})
-
-    return rows.select("output", "row_id", "y_true", *features).mapInPandas(run, "row_id long, output string, y_true double, y_pred double, y_std double")
-
-
-class _Frozen:
-    """A fitted model without its factory, which need not be picklable."""
-
-    def __init__(self, name: str, model):
-        self.name, self.model = name, model
-        if isinstance(model, Bagging):
-            model.make = None

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import central_z
-from tessera.operators import design, explain, forecast, frames, metrics, models
+from tessera.operators import design, estimators, explain, forecast, frames, metrics, models, reduction
+from tessera.sources import examples
+from tessera.sources.tables import matching_lines
 from tessera.streaming.windows import windowed_series
 
 _QUERIES: dict[str, Callable] = {}
@@ -47,7 +49,7 @@ def line_outputs(spark, d) -> DataFrame:
 
 
 def line_predictions(spark, d) -> DataFrame:
-    train, test = frames.hash_split(line_outputs(spark, d), "l_orderkey")
+    train, test = frames.remainder_split(line_outputs(spark, d), "l_orderkey")
     return models.ols_predict(test, models.ols_fit(train)).select("output", "x", "y_true", "y_pred", "y_std")
 
 
@@ -60,7 +62,7 @@ p as (select lng.output, x, y as y_true, a+b*x as y_pred, s as y_std from lng jo
 
 def part_predictions(spark, d) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y_true"))
-    train, test = frames.hash_split(p, "row_id")
+    train, test = frames.remainder_split(p, "row_id")
     return models.ols_predict(test, models.ols_fit(train))
 
 
@@ -78,16 +80,17 @@ def ols_multioutput_metrics(spark, d):
 
 @query(LINE + "select output, round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),6) as rmse, round(avg(abs(y_true-y_pred)),6) as mae, round(avg(y_std),6) as avg_std from p group by output")
 def uq_metrics_nested_flat(spark, d):
-    r = F.col("y_true") - F.col("y_pred")
-    nested = line_predictions(spark, d).groupBy("output").agg(F.struct(F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae")).alias("accuracy"), F.struct(F.avg("y_std").alias("avg_std")).alias("sharpness"))
-    return rounded(frames.flatten_structs(nested).select("output", "rmse", "mae", "avg_std"))
+    flat = frames.flatten_structs(metrics.nested_metrics(line_predictions(spark, d)).select("output", "accuracy", "sharpness"))
+    return rounded(flat.select("output", "rmse", "mae", F.col("sharp").alias("avg_std")))
 
 
 @query("with g as (select l_returnflag, l_linestatus, avg(l_extendedprice) as m, stddev_pop(l_extendedprice) as s from lineitem group by all) select l_returnflag, l_linestatus, count(*)::bigint as n, round(max(m),6) as y_pred, round(max(s),6) as y_std, round(sqrt(avg((l_extendedprice-m)*(l_extendedprice-m))),6) as rmse from lineitem join g using (l_returnflag, l_linestatus) group by all")
 def group_mean_surrogate(spark, d):
-    li, by = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
-    g = li.groupBy(*by).agg(F.avg("l_extendedprice").alias("m"), F.stddev_pop("l_extendedprice").alias("s"))
-    return rounded(li.join(F.broadcast(g), by).groupBy(*by).agg(F.count("*").alias("n"), F.max("m").alias("y_pred"), F.max("s").alias("y_std"), F.sqrt(F.avg(F.pow(F.col("l_extendedprice") - F.col("m"), 2))).alias("rmse")))
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.concat_ws("|", "l_returnflag", "l_linestatus").alias("output"), F.lit(0).alias("row_id"), F.col("l_extendedprice").cast("double").alias("y_true"))
+    by = ["l_returnflag", "l_linestatus"]
+    p = estimators.Mean().fit(rows, []).predict(rows)
+    got = p.groupBy("output").agg(F.count("*").alias("n"), F.max("y_pred").alias("y_pred"), F.max("y_std").alias("y_std"), F.sqrt(F.avg(F.pow(F.col("y_true") - F.col("y_pred"), 2))).alias("rmse"))
+    return rounded(got.select(*[F.split_part("output", F.lit("|"), F.lit(i + 1)).alias(c) for i, c in enumerate(by)], "n", "y_pred", "y_std", "rmse"))
 
 
 _LV = ", ".join(f"({p}::double, {central_z(p)!r}::double)" for p in metrics.LEVELS)
@@ -153,11 +156,10 @@ def zscore_histogram(spark, d):
 
 @query(LINE + ", m as (select output, avg(y) as m from lng where l_orderkey % 4 <> 0 group by output) select output, round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),6) as ols, round(sqrt(avg((y_true-m)*(y_true-m))),6) as mean from p join m using (output) group by output")
 def model_comparison_rmse(spark, d):
-    train, _ = frames.hash_split(line_outputs(spark, d), "l_orderkey")
-    mean = train.groupBy("output").agg(F.avg("y_true").alias("m"))
-    p = line_predictions(spark, d).join(F.broadcast(mean), "output")
-    two = p.select("output", F.lit("ols").alias("model"), (F.col("y_true") - F.col("y_pred")).alias("r")).union(p.select("output", F.lit("mean"), F.col("y_true") - F.col("m")))
-    return rounded(two.groupBy("output").pivot("model", ["ols", "mean"]).agg(F.sqrt(F.avg(F.col("r") * F.col("r")))))
+    train, test = frames.remainder_split(line_outputs(spark, d), "l_orderkey")
+    fit = models.ols_fit(train).join(train.groupBy("output").agg(F.avg("y_true").alias("m")), "output")
+    p = test.join(F.broadcast(fit), "output").select("output", "y_true", (F.col("a") + F.col("b") * F.col("x")).alias("ols"), F.col("m").alias("mean"))  # one row an output
+    return rounded(metrics.compare_rmse(p, {"ols": "ols", "mean": "mean"}))
 
 
 @query("with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b, p_retailprice as y from part), r as (select q.k as row_id, t.y, row_number() over (partition by q.k order by (t.a-q.a)*(t.a-q.a)+(t.b-q.b)*(t.b-q.b), t.k) as n from t, t q where q.k % 100 = 0 and t.k <> q.k) select row_id, round(avg(y),6) as y_pred, round(stddev_pop(y),6) as y_std from r where n <= 3 group by row_id")
@@ -187,7 +189,11 @@ def multifidelity_ols(spark, d):
     return rounded(models.ols_fit(table(spark, d, "orders").select(F.col("o_orderpriority").alias("level"), F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y_true")), by=("level",)))
 
 
-@query("with t as (select p_partkey as row_id, p_partkey::double as x, p_retailprice as y, r, case when (p_partkey*31+r*17)%8<3 then 0 when (p_partkey*31+r*17)%8<6 then 1 when (p_partkey*31+r*17)%8<7 then 2 else 3 end as w from part, range(1,21) g(r)), s as (select r, sum(w) as sw, sum(w*x) as wx, sum(w*y) as wy, sum(w*x*x) as wxx, sum(w*x*y) as wxy from t group by r), f as (select r, (sw*wxy-wx*wy)/(sw*wxx-wx*wx) as b, sw, wx, wy from s) select p_partkey as row_id, round(avg((wy-b*wx)/sw+b*p_partkey),5) as y_pred, round(stddev_pop((wy-b*wx)/sw+b*p_partkey),5) as y_std from part, f group by 1")
+_U = "(('0x'||substr(md5(p_partkey::varchar||'|'||r::varchar),1,8))::bigint/4294967296.0::double)"
+_W = "(" + "+".join(f"({_U} >= {p!r}::double)::int" for p in frames.POISSON) + ")"
+
+
+@query(f"with t as (select p_partkey as row_id, p_partkey::double as x, p_retailprice as y, r, {_W} as w from part, range(1,21) g(r)), s as (select r, sum(w) as sw, sum(w*x) as wx, sum(w*y) as wy, sum(w*x*x) as wxx, sum(w*x*y) as wxy from t group by r), f as (select r, (sw*wxy-wx*wy)/(sw*wxx-wx*wx) as b, sw, wx, wy from s) select p_partkey as row_id, round(avg((wy-b*wx)/sw+b*p_partkey),5) as y_pred, round(stddev_pop((wy-b*wx)/sw+b*p_partkey),5) as y_std from part, f group by 1")
 def bootstrap_ols(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y_true"))
     return rounded(models.bootstrap_ols(t, t, frames.poisson_replicates(t, "row_id", 20)).drop("output"), 5)
@@ -214,14 +220,12 @@ def spearman_matrix(spark, d):
 
 @query("select 'p_size' as feature, count(*) filter (where p_size % 7 = 0)::bigint as n_missing from part")
 def missing_data(spark, d):
-    holed = table(spark, d, "part").select(F.nullif(F.col("p_size") % 7, F.lit(0)).alias("p_size"), "p_retailprice")
-    counts = holed.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in holed.columns])
-    return counts.unpivot([], holed.columns, "feature", "n_missing").where("n_missing > 0")
+    return design.missing_counts(table(spark, d, "part").select(F.nullif(F.col("p_size") % 7, F.lit(0)).alias("p_size"), "p_retailprice"))
 
 
 @query("select count(distinct c_custkey)::bigint as c_custkey, count(distinct c_nationkey)::bigint as c_nationkey, count(distinct c_mktsegment)::bigint as c_mktsegment, (count(distinct c_custkey)=count(c_custkey)) as key_unique from customer")
 def unique_counts(spark, d):
-    return table(spark, d, "customer").agg(*[F.count_distinct(c).alias(c) for c in ("c_custkey", "c_nationkey", "c_mktsegment")], (F.count_distinct("c_custkey") == F.count("c_custkey")).alias("key_unique"))
+    return design.unique_counts(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
 
 
 @query("select c_custkey, c_nationkey from customer")
@@ -244,8 +248,8 @@ def sampling_pattern_exact(spark, d):
 
 @query("with l as (select unnest(range(5))/4.0 as x), c as (select n_nationkey % 6 as i from nation) select count(*) filter (where not exists (select 1 from l where abs(l.x-i/4.0)<=1e-6))::bigint as n_off_grid from c")
 def grid_membership(spark, d):
-    points = table(spark, d, "nation").select(F.round((F.col("n_nationkey") % 6) / 4.0, 6).alias("x"))
-    return points.join(spark.range(5).select(F.round(F.col("id") / 4.0, 6).alias("x")), "x", "left_anti").agg(F.count("*").alias("n_off_grid"))
+    points = table(spark, d, "nation").select(((F.col("n_nationkey") % 6) / 4.0).alias("x"))
+    return design.off_grid(points, {"x": [k / 4 for k in range(5)]}).agg(F.count("*").alias("n_off_grid"))
 
 
 @query("with m as (select min(c_acctbal) as al, max(c_acctbal) as ah, min(c_nationkey) as nl, max(c_nationkey) as nh from customer), s as (select (c_acctbal-al)/(ah-al) as x, (c_nationkey-nl)/(nh-nl)::double as y from customer, m) select round(pow(13/12.0::double,2)-2.0/count(*)*sum((1-x*x)*(1-y*y)-(0.5-abs(0.5-x))*(0.5-abs(0.5-y))),6) as discrepancy from s")
@@ -256,7 +260,7 @@ def discrepancy(spark, d):
 @query("with s as (select s_suppkey k, s_acctbal x, s_nationkey::double*100 y from supplier) select round(min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))),6) as distance from s a join s b on a.k<b.k")
 def maximin(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100.0).alias("y"))
-    return rounded(design.closest_pair(s, "s_suppkey", "x", "y", 250.0))
+    return rounded(design.closest_pair(s, "s_suppkey", ["x", "y"]))
 
 
 _NN = "with n as (select q.vec_id, min(list_distance(q.embedding::double[], e.embedding::double[])) as d from embeddings q join embeddings e on q.vec_id<>e.vec_id where q.vec_id % 100 = 0 group by 1) "
@@ -293,12 +297,7 @@ def minmax_scale(spark, d):
 @query("with s as (select var_samp(l_quantity) as a, var_samp(l_discount*100) as b, covar_samp(l_quantity,l_discount*100) as c from lineitem), e as (select (a+b)/2+sqrt((a-b)*(a-b)/4+c*c) as l1, (a+b)/2-sqrt((a-b)*(a-b)/4+c*c) as l2 from s) select 1::bigint as k, round(l1,6) as eigenvalue, round(l1/(l1+l2),6) as ratio, round(l1/(l1+l2),6) as cumulative from e union all select 2, round(l2,6), round(l2/(l1+l2),6), 1.0 from e")
 def pca_2col(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
-    s = li.agg(F.var_samp("x").alias("a"), F.var_samp("y").alias("b"), F.covar_samp("x", "y").alias("c"))
-    root = F.sqrt(F.pow(F.col("a") - F.col("b"), 2) / 4 + F.col("c") * F.col("c"))
-    e = s.select(((F.col("a") + F.col("b")) / 2 + root).alias("l1"), ((F.col("a") + F.col("b")) / 2 - root).alias("l2"))
-    rows = e.select("l1", "l2", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("k"), F.col("l1").alias("eigenvalue")), F.struct(F.lit(2).cast("long").alias("k"), F.col("l2").alias("eigenvalue")))).alias("r"))
-    ratio = F.col("r.eigenvalue") / (F.col("l1") + F.col("l2"))
-    return rounded(rows.select("r.k", "r.eigenvalue", ratio.alias("ratio"), F.sum(ratio).over(Window.orderBy("r.k")).alias("cumulative")))
+    return rounded(reduction.fit_components(li, ["x", "y"]).scree(spark).drop("selected"))
 
 
 @query("with m as (select regr_slope(p_retailprice, p_partkey) as b, avg(p_partkey) as m from part) select 'p_partkey' as feature, round(avg(abs(b*(p_partkey-m))),6) as mean_abs_shap from part, m")
@@ -317,9 +316,9 @@ def pdp_linear(spark, d):
 _DAILY = "with s as (select event_type as series_id, date_trunc('day', ts) as t, sum(value) as value from events group by 1, 2), f as (select *, lag(value) over (partition by series_id order by t) as forecast from s), g as (select * from f where forecast is not null), h as (select *, abs(value-lag(value) over (partition by series_id order by t)) as dd from g) "
 
 
-def daily_naive(spark, d) -> DataFrame:
+def daily_naive(spark, d, every: bool = False) -> DataFrame:
     s = table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("t")).agg(F.sum("value").alias("value"))
-    return s.withColumn("forecast", F.lag("value").over(Window.partitionBy("series_id").orderBy("t"))).where("forecast is not null")
+    return s.withColumn("forecast", F.lag("value").over(Window.partitionBy("series_id").orderBy("t"))).where(F.lit(every) | F.col("forecast").isNotNull())
 
 
 @query(_DAILY + "select series_id, round(avg(abs(value-forecast)),6) as mae, round(100*avg(2*abs(value-forecast)/(abs(value)+abs(forecast)+1e-8)),6) as smape, round(avg(abs(value-forecast))/(avg(dd)+1e-12),6) as mase from h group by 1")
@@ -329,8 +328,7 @@ def ts_metrics(spark, d):
 
 @query(_DAILY + "select series_id, round(quantile_cont(value-forecast, 0.1),6) as q10, round(quantile_cont(value-forecast, 0.5),6) as q50, round(quantile_cont(value-forecast, 0.9),6) as q90 from g group by 1")
 def forecast_quantiles(spark, d):
-    q = daily_naive(spark, d).groupBy("series_id").agg(F.percentile(F.col("value") - F.col("forecast"), [0.1, 0.5, 0.9]).alias("q"))
-    return rounded(q.select("series_id", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))]))
+    return rounded(forecast.residual_quantiles(daily_naive(spark, d)))
 
 
 @query("select date_trunc('hour', ts)::timestamp as t, event_type as series_id, round(sum(value),6) as value from events group by all")
@@ -341,58 +339,223 @@ def event_windows(spark, d):
 
 @query("select count(*)::bigint as n from documents where regexp_matches(lower(text), 'licensed under')")
 def log_scan(spark, d):
-    return table(spark, d, "documents").where(F.lower("text").rlike("licensed under")).agg(F.count("*").alias("n"))
+    return matching_lines(table(spark, d, "documents"), "licensed under", "text").agg(F.count("*").alias("n"))
 
 
 @query("select event_type as label, count(*)::bigint as n from events group by 1 union all select l_returnflag, count(*)::bigint from lineitem group by 1")
 def label_union(spark, d):
-    count = lambda t, c: table(spark, d, t).groupBy(F.col(c).alias("label")).agg(F.count("*").alias("n"))
-    return count("events", "event_type").unionByName(count("lineitem", "l_returnflag"))
+    return frames.count_labels((table(spark, d, "events"), "event_type"), (table(spark, d, "lineitem"), "l_returnflag"))
 
 
 @query("select distinct l_returnflag as label from lineitem intersect select distinct substr(o_orderstatus,1,1) from orders union select 'none'")
 def metric_set_ops(spark, d):
     a, b = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("label")), table(spark, d, "orders").select(F.substring("o_orderstatus", 1, 1).alias("label"))
-    return a.intersect(b).union(spark.createDataFrame([("none",)], "label string")).distinct()
+    return frames.common_labels(a, b).union(spark.createDataFrame([("none",)], "label string")).distinct()
 
 
 def _part_xy(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 1000).cast("double").alias("b"), F.col("p_retailprice").alias("y_true"))
 
 
-def _fitted(name: str) -> Callable:
+def _fitted(make: Callable) -> Callable:
     def run(spark, d):
-        train, test = frames.hash_split(_part_xy(spark, d), "row_id")
-        return rounded(metrics.uq_metrics(models.fit_predict(train, test, ["a", "b"], {"price": name})))
+        train, test = frames.remainder_split(_part_xy(spark, d), "row_id")
+        return rounded(metrics.uq_metrics(make().fit(train, ["a", "b"]).predict(test).withColumn("y_std", F.coalesce("y_std", F.lit(0.0)))))
 
     return run
 
 
-for _name, _candidate in {"gp_metrics": "gp alpha=0.01", "svr_metrics": "svr C=10 gamma=scale", "gbt_metrics": "boosting n=50 depth=3", "knn_metrics": "knn k=5"}.items():
-    _QUERIES[_name] = _fitted(_candidate)
+for _name, _make in {"gp_metrics": lambda: estimators.gaussian_process(1e-2), "svr_metrics": lambda: estimators.support_vectors(10.0), "gbt_metrics": lambda: estimators.Boosting(20, 3), "rf_metrics": lambda: estimators.Forest(10, 8)}.items():
+    _QUERIES[_name] = _fitted(_make)
 
 
-@query()
-def rf_metrics(spark, d):
-    """A distributed forest; the deviation over its trees is the uncertainty."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    train, test = (VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(x) for x in frames.hash_split(_part_xy(spark, d), "row_id"))
-    model = RandomForestRegressor(featuresCol="f", labelCol="y_true", numTrees=10, maxDepth=8, seed=0).fit(train)
-    members = test
-    for i, tree in enumerate(model.trees):
-        members = tree.setPredictionCol(f"p{i}").transform(members)
-    each = F.array(*[F.col(f"p{i}") for i in range(len(model.trees))])
-    mean = F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / F.size(each)
-    std = F.sqrt(F.aggregate(F.transform(each, lambda v: F.pow(v - F.col("y_pred"), 2)), F.lit(0.0), lambda s, v: s + v) / F.size(each))
-    return metrics.uq_metrics(members.withColumn("y_pred", mean).withColumn("y_std", std).select("row_id", "output", "y_true", "y_pred", "y_std"))
+_XY = "with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b, p_retailprice as y from part)"
+
+
+@query(_XY + ", r as (select q.k as row_id, q.y as y_true, t.y, row_number() over (partition by q.k order by (t.a-q.a)*(t.a-q.a)+(t.b-q.b)*(t.b-q.b), t.k) as n from t, t q where q.k % 4 = 0 and t.k % 4 <> 0), p as (select row_id, y_true, avg(y) as y_pred, stddev_pop(y) as y_std from r where n <= 5 group by 1, 2) select 'price' as output, count(*)::bigint as n, round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),6) as rmse, round(avg(abs(y_true-y_pred)),6) as mae, round(avg(y_std),6) as mean_predicted_std from p")
+def knn_metrics(spark, d):
+    train, test = frames.remainder_split(_part_xy(spark, d), "row_id")
+    m = metrics.uq_metrics(estimators.Neighbours(5).fit(train, ["a", "b"]).predict(test)).where("output is not null")
+    return rounded(m.select("output", "n", "rmse", "mae", "mean_predicted_std"))
 
 
 @query()
+def auto_detect(spark, d):
+    """Least squares, neighbours, a tree and boosting, by three folds over all rows."""
+    search = estimators.AutoDetect([estimators.Linear, estimators.Neighbours, estimators.Tree, estimators.Boosting], [{}, {"n_neighbors": [3, 5]}, {"max_depth": [1, 5]}, {"n_estimators": [10], "max_depth": [3]}])
+    return rounded(search.fit(_part_xy(spark, d), ["a", "b"]).scores_.select("output", "estimator", "settings", "score"))
+
+
+_FOLDS = "with t as (select p_partkey as k, 'price' as output, p_size::double as a, p_retailprice as y from part union all select p_partkey, 'flat', p_size::double, (p_partkey % 7)::double from part), i as (select p_partkey as k, row_number() over (order by p_partkey)-1 as r, count(*) over () as n from part), f as (select t.*, case when r < (n%3)*(n//3+1) then r//(n//3+1) else n%3+(r-(n%3)*(n//3+1))//(n//3) end as fold from t join i using (k)), m as (select a.output, a.fold, regr_intercept(b.y,b.a) as i, regr_slope(b.y,b.a) as s, avg(b.y) as m from (select distinct output, fold from f) a join f b on a.output=b.output and a.fold<>b.fold group by all), e as (select output, fold, avg((y-i-s*a)*(y-i-s*a)) as lin, avg((y-m)*(y-m)) as mean from f join m using (output, fold) group by all), c as (select output, -avg(lin) as lin, -avg(mean) as mean from e group by 1), w as (select output, lin >= mean as linear from c), z as (select output, regr_intercept(y,a) as i, regr_slope(y,a) as s, avg(y) as m from t group by 1)"
+
+
+@query(_FOLDS + " select output, case when linear then 'Linear' else 'Mean' end as estimator, round(sum(case when linear then i+s*a else m end),4) as total, count(*)::bigint as n from t join w using (output) join z using (output) group by 1, 2")
 def auto_detect_closed(spark, d):
-    names = ["linear", "knn k=3", "knn k=5", "tree depth=1", "boosting n=50 depth=3"]
-    return models.best_of(models.search(_part_xy(spark, d), ["a", "b"], names), names)
+    """The search over closed forms, the winner of each output fitted on all rows, and what it predicts."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").cast("double").alias("price"), (F.col("p_partkey") % 7).cast("double").alias("flat"))
+    rows = frames.to_long(part, ["row_id", "a"], ["price", "flat"])
+    model = estimators.AutoDetect([estimators.Linear, estimators.Mean], [{}, {}]).fit(rows, ["a"])
+    names = spark.createDataFrame([(o, type(m).__name__) for o, m in model.estimators_.items()], "output string, estimator string")
+    return rounded(model.predict(rows).groupBy("output").agg(F.sum("y_pred").alias("total"), F.count("*").alias("n")).join(names, "output").select("output", "estimator", "total", "n"), 4)
+
+
+_MANY = "with t as (select l_orderkey as k, l_quantity::double as a, l_discount::double as b, l_extendedprice::double as y from lineitem), s as (select var_pop(a) as va, var_pop(b) as vb, covar_pop(a,b) as ab, covar_pop(y,a) as ya, covar_pop(y,b) as yb, avg(a) as ma, avg(b) as mb, avg(y) as my from t where k % 4 <> 0), w as (select (ya*vb-yb*ab)/(va*vb-ab*ab) as wa, (yb*va-ya*ab)/(va*vb-ab*ab) as wb, ma, mb, my from s)"
+
+
+@query(_MANY + " select 'price' as output, count(*)::bigint as n, round(sqrt(avg(pow(y-(my+wa*(a-ma)+wb*(b-mb)),2))),4) as rmse, round(avg(abs(y-(my+wa*(a-ma)+wb*(b-mb)))),4) as mae from t, w where k % 4 = 0")
+def ols_two_features(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.lit("price").alias("output"), F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"), F.col("l_extendedprice").cast("double").alias("y_true"))
+    train, test = frames.remainder_split(rows, "row_id")
+    r = F.col("y_true") - F.col("y_pred")
+    return rounded(estimators.Linear().fit(train, ["a", "b"]).predict(test).groupBy("output").agg(F.count("*").alias("n"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae")), 4)
+
+
+@query(LINE + f", u as (select * from p union all select null, x, y_true, y_pred, y_std from p), c as (select output, k, k/99.0::double as e, avg((abs(y_true-y_pred)/y_std <= z)::int::double) as o from u, (values {_Z}) v(k, z) group by output, k), s as (select output, e, abs(e-o) as g, lead(e) over w as e2, lead(abs(e-o)) over w as g2 from c window w as (partition by output order by k)), a as (select output, sum((e2-e)*(g2+g)/2) as miscal_area from s group by output), m as (select output, sqrt(avg((y_true-y_pred)*(y_true-y_pred))) as rmse, avg(abs(y_true-y_pred)) as mae, {_NLL} as nll from u group by output) select m.output, round(rmse,6) as rmse, round(mae,6) as mae, round(nll,6) as nll, round(miscal_area,6) as miscal_area from m join a on m.output is not distinct from a.output")
+def uq_flexible(spark, d):
+    return rounded(metrics.flat_metrics(line_predictions(spark, d)))
+
+
+@query(LINE + "select output, 'mae' as metric, round(avg(abs(y_true-y_pred)),6) as value from p group by 1 union all select output, 'rmse', round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),6) from p group by 1")
+def metric_bars(spark, d):
+    return rounded(frames.choose_metrics(metrics.uq_metrics(line_predictions(spark, d)).where("output is not null"), ["rmse", "mae", "no such metric"]))
+
+
+@query(LINE + "select floor(min(y_pred-2*y_std))::bigint as low, ceil(max(y_pred+2*y_std))::bigint as high from p")
+def plot_limits(spark, d):
+    return metrics.plot_limits(line_predictions(spark, d), 2.0)
+
+
+@query()
+def scoring_rules(spark, d):
+    return rounded(metrics.scoring_rules(line_predictions(spark, d)))
+
+
+@query()
+def worst_group_calibration(spark, d):
+    return rounded(metrics.adversarial_calibration(part_predictions(spark, d)))
+
+
+@query("with h as (select p_partkey, (('0x'||substr(md5(p_partkey::varchar||':0'),1,8))::bigint/4294967296.0::double) < 0.25 as test from part) select test, count(*)::bigint as n, sum(p_partkey)::bigint as total from h group by 1")
+def hash_split_counts(spark, d):
+    train, test = frames.hash_split(table(spark, d, "part"), "p_partkey")
+    both = train.select(F.lit(False).alias("test"), "p_partkey").unionByName(test.select(F.lit(True).alias("test"), "p_partkey"))
+    return both.groupBy("test").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("total"))
+
+
+_RANKS = "with q as (select " + ", ".join(f"rank() over (order by {c})+(count(*) over (partition by {c})-1)/2.0 as {c}" for c in _LC) + " from lineitem)"
+
+
+@query(_RANKS + " ".join(["", " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a},{b}),6) as rho from q" for i, a in enumerate(_LC) for b in _LC[i + 1 :])]))
+def spearman_all(spark, d):
+    return rounded(design.spearman_matrix(table(spark, d, "lineitem"), _LC))
+
+
+@query(_RANKS + " select round((" + "+".join(f"abs(corr({a},{b}))" for i, a in enumerate(_LC) for b in _LC[i + 1 :]) + ")/6,6) as mean_abs from q")
+def mean_rank_correlation(spark, d):
+    return rounded(design.mean_absolute(design.spearman_matrix(table(spark, d, "lineitem"), _LC)))
+
+
+@query("with e as (select min(d) as lo, max(d) as hi from (" + _NN + "select d from n)), n as (select q.vec_id, min(list_distance(q.embedding::double[], e.embedding::double[])) as d from embeddings q join embeddings e on q.vec_id<>e.vec_id where q.vec_id % 100 = 0 group by 1), b as (select least(29, floor((d-lo)/((hi-lo)/30))::int) as bin, count(*) as c from n, e group by 1) select round(-sum(c/t*ln(c/t)),6) as entropy from b, (select sum(c)::double as t from b)")
+def nn_entropy(spark, d):
+    e = table(spark, d, "embeddings")
+    return rounded(design.distance_entropy(design.nearest_distances(e, e.where("vec_id % 100 = 0"))))
+
+
+@query("with t as (select s_suppkey as k, s_acctbal::double as x, (s_nationkey*100)::double as y, (s_acctbal > 4000)::int as c from supplier), m as (select q.k, q.c as own, t.c, avg(sqrt((t.x-q.x)*(t.x-q.x)+(t.y-q.y)*(t.y-q.y))) as d from t q join t on t.k<>q.k group by all), s as (select k, max(case when c=own then d end) as a, min(case when c<>own then d end) as b from m group by 1) select count(*)::bigint as n, round(avg((b-a)/greatest(a,b)),6) as silhouette from s")
+def silhouette_score(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("x"), (F.col("s_nationkey") * 100).cast("double").alias("y"), (F.col("s_acctbal") > 4000).cast("int").alias("c"))
+    return rounded(design.silhouette(s, s, "s_suppkey", ["x", "y"], "c").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette")))
+
+
+@query()
+def sampling_classifier(spark, d):
+    return rounded(design.classify_sampling(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey"))
+
+
+@query("with d(discrepancy, maximin, random_discrepancy, random_maximin, mean_abs) as (values (0.01, 0.5, 0.1, 0.1, 0.05), (0.095, 0.5, 0.1, 0.1, 0.05), (0.01, 0.105, 0.1, 0.1, 0.05), (0.01, 0.5, 0.1, 0.1, 0.25)) select discrepancy::double as discrepancy, maximin::double as maximin, random_discrepancy::double as random_discrepancy, random_maximin::double as random_maximin, mean_abs::double as mean_abs, discrepancy < 0.9*random_discrepancy and maximin > 1.1*random_maximin and mean_abs < 0.2 as lhs_like from d")
+def lhs_rule_table(spark, d):
+    rows = [(0.01, 0.5, 0.1, 0.1, 0.05), (0.095, 0.5, 0.1, 0.1, 0.05), (0.01, 0.105, 0.1, 0.1, 0.05), (0.01, 0.5, 0.1, 0.1, 0.25)]
+    out = None
+    for *four, mean in rows:
+        one = design.is_lhs(spark.createDataFrame([tuple(four)], "discrepancy double, maximin double, random_discrepancy double, random_maximin double"), spark.createDataFrame([(mean,)], "mean_abs double"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("discrepancy", "maximin", "random_discrepancy", "random_maximin", "mean_abs", "lhs_like")
+
+
+@query()
+def lhs_decision(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return rounded(design.is_lhs(design.compare_with_random(s, ["x", "y"], "s_suppkey", 3), design.mean_absolute(design.spearman_matrix(s, ["x", "y"]))))
+
+
+@query("select 'c_nationkey' as feature, max(n)::bigint as most from (select count(*) as n from customer group by c_nationkey) union all select 'c_custkey', max(n)::bigint from (select count(*) as n from customer group by c_custkey)")
+def multiplicity(spark, d):
+    return design.max_multiplicity(table(spark, d, "customer"), ["c_nationkey", "c_custkey"])
+
+
+@query(" union all ".join(f"select '{c}' as feature, min({c})::double as low, round(quantile_cont({c}::double, 0.25),6) as q1, round(quantile_cont({c}::double, 0.5),6) as median, round(quantile_cont({c}::double, 0.75),6) as q3, max({c})::double as high from customer" for c in ("c_acctbal", "c_nationkey")))
+def box_numbers(spark, d):
+    return rounded(metrics.box_numbers(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"]))
+
+
+@query("with e as (select min(l_quantity) as la, max(l_quantity) as ha, min(l_discount) as lb, max(l_discount) as hb from lineitem), t as (select least(7, floor((l_quantity-la)/((ha-la)/8)))::bigint as x, least(7, floor((l_discount-lb)/((hb-lb)/8)))::bigint as y from lineitem, e) select 'l_quantity' as a, 'l_quantity' as b, x as bin_a, x as bin_b, count(*)::bigint as n from t group by all union all select 'l_quantity', 'l_discount', x, y, count(*)::bigint from t group by all union all select 'l_discount', 'l_discount', y, y, count(*)::bigint from t group by all")
+def pair_histograms(spark, d):
+    return rounded(design.pair_histogram(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], 8))
+
+
+@query("with s as (select var_samp(l_quantity) as a, var_samp(l_discount*100) as b, covar_samp(l_quantity,l_discount*100) as c, avg(l_quantity) as mx, avg(l_discount*100) as my from lineitem), e as (select *, (a+b)/2+sqrt((a-b)*(a-b)/4+c*c) as l1 from s) select count(*)::bigint as n, round(var_samp(p1),4) as v1, round(var_samp(p2),4) as v2 from (select (c*(l_quantity-mx)+(l1-a)*(l_discount*100-my))/sqrt(c*c+(l1-a)*(l1-a)) as p1, ((l1-a)*(l_quantity-mx)-c*(l_discount*100-my))/sqrt(c*c+(l1-a)*(l1-a)) as p2 from lineitem, e)")
+def pca_projection(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    p = reduction.fit_components(li, ["x", "y"]).transform(li, 2, [])
+    return rounded(p.agg(F.count("*").alias("n"), F.var_samp("PC1").alias("v1"), F.var_samp("PC2").alias("v2")), 4)
+
+
+@query("with x as (select i//10 as a, i%10 as b from range(100) r(i)) select count(*)::bigint as n, round(sum(a/9.0::double*(b/9.0::double)),6) as cross_sum, round(sum(pow(a/9.0::double,2)),6) as square_sum from x")
+def grid_example(spark, d):
+    g = examples.square_grid(spark)
+    return rounded(g.agg(F.count("*").alias("n"), F.sum("x0_x1").alias("cross_sum"), F.sum("x0_squared").alias("square_sum")))
+
+
+@query("select v.name, round(v.lo + k*(v.hi-v.lo)/3,6) as level from (values ('u', 0.0, 1.0), ('n', 1.0-2*2.0, 1.0+2*2.0), ('g', 1.0+2.0*4.0-2*4.0, 1.0+2.0*4.0+2*4.0)) v(name, lo, hi), range(4) r(k)")
+def grid_descriptor_levels(spark, d):
+    made = {"u": {"kind": "uniform", "stat1": 0, "stat2": 1}, "n": {"kind": "normal", "stat1": 1, "stat2": 4}, "g": {"kind": "gamma", "stat1": 1, "stat2": 2, "stat3": 4}}
+    g = design.descriptor_grid(spark, [{"name": k, **v} for k, v in made.items()], 64)
+    return rounded(g.unpivot([], list(made), "name", "level").distinct())
+
+
+@query("with p as (select p_partkey::double as x, p_size::double as z, p_retailprice as y, (p_partkey % 2)::int as o from part), f as (select o, var_pop(x) as vx, var_pop(z) as vz, covar_pop(x,z) as xz, covar_pop(y,x) as yx, covar_pop(y,z) as yz, avg(x) as mx, avg(z) as mz, avg(y) as my from p group by o) select case o when 0 then 'even' else 'odd' end as output, 'p_size' as feature, k::bigint as k, round((k+1)::double,6) as value, round(my + (yz*vx-yx*xz)/(vx*vz-xz*xz)*((k+1)-mz),4) as mean_prediction from f, range(50) r(k)")
+def pdp_general(spark, d):
+    """Partial dependence of any estimator; here least squares on two features, whose mean prediction has a closed form."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("output"), F.col("p_partkey").cast("double").alias("x"), F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").cast("double").alias("y_true"))
+    model = estimators.Linear().fit(rows, ["x", "p_size"])
+    return rounded(explain.partial_dependence(model.predict, rows, ["x", "p_size"], "p_size"), 4)
+
+
+@query("with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b from part), m as (select avg(a) as ma, avg(b) as mb from t where k % 500 = 0) select 'a' as feature, round(avg(abs(3*(a-ma))),6) as mean_abs_shap from t, m union all select 'b', round(avg(abs(-2*(b-mb))),6) from t, m")
+def shap_exact(spark, d):
+    """Coalitions against a background of every 500th row; of a linear function the values have a closed form."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 1000).cast("double").alias("b"))
+    background = rows.where("row_id % 500 = 0").toPandas()[["a", "b"]].to_numpy()
+    return rounded(explain.mean_absolute_shap(explain.shap_values(lambda x: 3 * x[:, 0] - 2 * x[:, 1], rows, ["a", "b"], background), ["a", "b"]))
+
+
+@query(_DAILY + "select series_id, count(*)::bigint as n, round(quantile_cont(value, 0.5),6) as middle from s group by 1")
+def series_medians(spark, d):
+    s = daily_naive(spark, d, True)
+    return rounded(s.groupBy("series_id").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("middle")))
+
+
+@query(_DAILY + "select series_id as id, (row_number() over (partition by series_id order by t)-count(*) over (partition by series_id))::bigint as step, round(value,6) as value from s")
+def forecast_history(spark, d):
+    s = daily_naive(spark, d, True).select("series_id", "t", "value")
+    none = spark.createDataFrame([], "id string, step int, quantile double, value double")
+    return rounded(forecast.fan(s, none).drop("quantile"))
+
+
+@query(_DAILY + ", l as (select series_id, value, row_number() over (partition by series_id order by t desc) as r from s) select series_id, round(sum(value),4) as total, 400::bigint as length from l where r <= 400 group by 1")
+def forecast_context(spark, d):
+    c = forecast.left_padded(daily_naive(spark, d, True).select("series_id", "t", "value"), 400)
+    return rounded(c.select("series_id", F.aggregate("context", F.lit(0.0), lambda s, v: s + v).alias("total"), F.size("context").alias("length")), 4)
 
 
 @query()

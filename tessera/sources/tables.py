@@ -25,7 +25,10 @@ def read_series(spark: SparkSession, path: str, time_col: str | None = None, val
     missing = [c for c in wanted if c not in table.columns]
     if missing or not wanted:
         raise ValueError(f"columns not found: {', '.join(missing) or 'no numeric column'}")
+    # without a time column the order is that of the file: file name, then place in the file (a file is one split here)
     order = F.col(time_col) if time_col else F.monotonically_increasing_id()
+    if not time_col:
+        table = table.coalesce(1)
     long = table.select(order.alias("t"), *[F.col(c).cast("double").alias(c) for c in wanted]).unpivot("t", wanted, "series_id", "value")
     return long.where("value is not null").select("series_id", "t", "value")
 
@@ -40,10 +43,19 @@ def read_descriptors(path: str) -> list[dict]:
     return [{"name": n, "kind": "categorical" if isinstance(d, list) else d, "levels": d if isinstance(d, list) else None, "stat1": none(a), "stat2": none(b), "stat3": none(c)} for n, d, a, b, c in zip(*(config[k] for k in keys))]
 
 
+#: What a failed factorisation is called in logs.
+FAILED = "cholesky|not positive definite"
+
+
+def matching_lines(lines: DataFrame, pattern: str = FAILED, column: str = "value") -> DataFrame:
+    """Rows whose text, in lower case, matches pattern."""
+    return lines.where(F.lower(column).rlike(pattern))
+
+
 def scan_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a log that speak of a failed factorisation; a missing file has none."""
     try:
-        return spark.read.text(path).where(F.lower("value").rlike("cholesky|not positive definite"))
+        return matching_lines(spark.read.text(path))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -61,11 +73,12 @@ def status_line(**facts) -> str:
 PAGE = Template("<!doctype html><meta charset='utf-8'><title>$title</title><style>table{border-collapse:collapse}td,th{border:1px solid #999;padding:2px 6px}</style><h1>$title</h1><p>$description</p>$sections")
 
 
-def write_report(path: str, title: str, description: str, sections: dict[str, DataFrame], most_rows: int = 200) -> None:
-    """An HTML page with a table for each section; a section that fails shows its error instead."""
+def write_report(path: str, title: str, description: str, sections: dict, most_rows: int = 200) -> None:
+    """An HTML page with a table for each section (a DataFrame, or what makes one); a section that fails shows its error instead."""
     parts = []
     for name, table in sections.items():
         try:
+            table = table if isinstance(table, DataFrame) else table()
             parts.append(f"<h2>{name}</h2>" + table.limit(most_rows).toPandas().round(3).to_html(index=False))
         except Exception as e:
             parts.append(f"<h2>{name}</h2><p>not available: {type(e).__name__}</p>")
