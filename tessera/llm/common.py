@@ -23,9 +23,11 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the cluster names none (tests)."""
+    """The folder that the driver and all executors share; a local one only where driver and executors are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tessera-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -108,7 +110,8 @@ def settle(keep: tuple[str, ...]) -> None:
 def in_worker(run: Callable, *keep: str) -> Callable:
     """run for mapInArrow; workers live on from one operator to the next, so each task settles before and after itself.
 
-    Batches are bounded in bytes for the session: executors hold two of them for each running task.
+    Batches are bounded in bytes where the session names no bound (it keeps the one set here, as results are computed
+    later than they are asked for): executors hold two of them for each running task.
     """
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.conf.get(_BATCH, None) is None:

@@ -5,7 +5,9 @@ centroids (spherical k-means); the language of the centroid with the greatest co
 nearly all its training texts were is marked rejected.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0 and rejected; so is every text when nothing
-was learned; ties go to the first language in alphabetical order; repeated rows are predicted alike.
+was learned; ties go to the first language in alphabetical order; repeated rows are predicted alike; a text longer than a
+slice is a slice of its own; an empty table gives no rows; other columns are not read. More than MOST_LANGUAGES different
+values of lang are an error: they name no languages.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ DIM = 4096
 #: Training texts of each language whose vectors the centroids come from, about; document frequencies count all of them.
 SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 4
+#: Languages at most; the driver holds a sample of SAMPLE_PER_LANGUAGE vectors of each.
+MOST_LANGUAGES = 1_000
 _BLOCK = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,7 +103,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def fit_languages(docs: DataFrame, learn: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Centroids:
     """Learns from text and lang of the rows where learn holds and lang isn't null: document frequencies of all, centroids of a sample."""
     rows = docs.select("text", "lang", F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("_h"), (F.lit(True) if learn is None else learn).alias("_learn")).where("_learn and lang is not null and text is not null").drop("_learn")
-    totals = {r["lang"]: r["n"] for r in docs.select("lang", (F.lit(True) if learn is None else learn).alias("_learn")).where("_learn and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in docs.select("lang", (F.lit(True) if learn is None else learn).alias("_learn")).where("_learn and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rate = {k: min(1.0, per_language / n) for k, n in totals.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

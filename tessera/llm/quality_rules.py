@@ -4,7 +4,9 @@ Public vocabularies encode every whole text; characters per token, the share of
 of the tokens are held against bands of the text's language, or of its script where the language has none.
 
 Defined cases: a null, empty or blank text has zero counts, fails the base rules and is rejected; a text in a language
-without a band is held to the band of its script; repeated rows are judged alike; other columns are ignored.
+without a band is held to the band of its script; a figure on the edge of a band passes; repeated rows are judged alike; a
+text longer than a slice is a slice of its own; an empty table gives no rows; other columns are ignored, and keep_good
+keeps them whatever their names.
 """
 
 from __future__ import annotations

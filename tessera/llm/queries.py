@@ -75,5 +75,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_token_store, op5_license_scan, op6_rule_ensemble, op7_sharding, op8_language_id, op9_suffix_dedup, op10_ngram_join)}
 
 
+#: crc32 of a list of bytes b, with the usual table made by its rule.
+_CRC_TABLE = "crc as (select list(c order by i) as tab from (select i, list_reduce(list_prepend(i, range(8)), lambda a, k: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c from range(256) t(i)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295)"
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x'||x)::bigint)"
+_SHARDS = f"""with {_CRC_TABLE},
+t as (select doc_id, coalesce(doc_id::varchar, 'null') as key, {_BYTES.format("coalesce(text, '')")} as b from documents),
+r as (select row_number() over () as id, doc_id, key, len(b) + 1 as size, {_CRC} as text_crc32 from t, crc),
+k as (select *, {_BYTES.format("key||'/'||size||'/'||text_crc32")} as b from r),
+n as (select greatest(16, 4 * ceil(count(*) / 320000.0))::bigint as buckets from (select distinct doc_id, size, text_crc32 from r)),
+p as (select id, doc_id, size, text_crc32, {_CRC} % buckets as bucket from k, crc, n),
+d as (select id, s, -1.0::double / ln((('0x'||substr(md5(key||'/'||s), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double) as draw from r, range(17) x(s)),
+w as (select id, (first(s order by draw desc, s) filter (where s < 16))::int as shard, first(s order by draw desc, s)::int as grown_shard from d group by id)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard from p join w using (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenisers, models, similarity joins and substrings can't be said in SQL; tests/llm hold those against brute force."""
+    return {"op7_sharding": _SHARDS}

@@ -5,7 +5,8 @@ weighs the rules and drops most; what is left is compiled into one Spark column
 
 Defined cases: null and empty texts have zero statistics and are scored by the rules like any other; without labels of
 both kinds every score is the share of label 1 (0.5 without labels); labels that repeat a doc_id count once, as their
-mean; repeated rows are scored alike.
+mean; repeated rows are scored alike; of splits with one gain the first in order of features and thresholds is taken; a
+text longer than a slice is a slice of its own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ prefix is the last piece of the prefix's encoding exactly if it and the piece be
 relaxing keeps one piece for each prefix and gives what merging gives. Characters that no piece has become byte pieces.
 
 Defined cases: null and empty texts have no pieces; texts with runs of spaces, or with the sign for a space, are matched
-whole; decoding gives the text back, with the sign read as a space; repeated rows are encoded alike.
+whole; decoding gives the text back, with the sign read as a space; repeated rows are encoded alike; a text longer than
+a slice is a slice of its own, cut at spaces; an empty table gives no rows; other columns are not read. A model that isn't
+BPE, or has pieces of more bytes than suffixes are sorted by, is an error: its encoding would come out otherwise.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ class PieceModel:
                 self.byte_id[int(sp.id_to_piece(i)[1:-1], 16)] = i
         chars = sorted((p for p in pieces if len(p[0]) == 1), key=lambda p: p[2])
         merges = sorted((p for p in pieces if len(p[0]) > 1), key=lambda p: (-p[1], p[2]))
+        # merges of a BPE model are scored by their rank, in whole numbers; those of a unigram model by a log probability
+        if any(p[1] != round(p[1]) for p in merges):
+            raise ValueError("not a BPE model: the scores of its pieces are no ranks")
         self.unknown = len(chars)  # the rank of a character without a piece
         ranked = [p[0] for p in chars] + [None] + [p[0] for p in merges]
         self.id = np.array([p[2] for p in chars] + [-1] + [p[2] for p in merges], np.int32)
@@ -69,7 +74,10 @@ class PieceModel:
         self.pair_rank = np.array([pair[k] for k in self.pair_key.tolist()], np.int64)
         self.bytes = [(p or "").replace(SIGN, " ").encode() for p in ranked]
         self.length = np.array([len(b) for b in self.bytes], np.int64)
-        usable = np.array([k for k in range(v) if k != self.unknown and stands[k] and len(self.bytes[k]) <= 8 * DEPTH], np.int64)
+        long = [ranked[k] for k in range(v) if k != self.unknown and stands[k] and len(self.bytes[k]) > 8 * DEPTH]
+        if long:
+            raise ValueError(f"the model has {len(long)} pieces of more than {8 * DEPTH} bytes, such as {long[0]!r}")
+        usable = np.array([k for k in range(v) if k != self.unknown and stands[k]], np.int64)
         self.usable = usable
         self.low, self.high = (np.zeros((len(usable), DEPTH), np.uint64) for _ in range(2))
         for row, k in enumerate(usable):

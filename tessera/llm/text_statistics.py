@@ -57,7 +57,7 @@ def base_statistics(column) -> dict[str, np.ndarray]:
     full = offsets[:-1] < offsets[1:]
     begin = np.union1d(breaks + 1, offsets[:-1][full])
     begin = begin[begin < len(raw)]
-    stop = np.append(begin[1:], len(raw))
+    stop = np.append(begin[1:], len(raw))[: len(begin)]
     cut = stop - ((stop > begin) & (raw[stop - 1] == 10)) if len(stop) else stop
     inked = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(raw) + 1)[: len(raw)])]) if len(raw) else np.zeros(1)
     with_word = inked[cut] > inked[begin] if len(begin) else np.zeros(0, bool)
