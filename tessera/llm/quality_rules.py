@@ -44,7 +44,7 @@ class Band:
     even_spread: float = np.nan
 
 
-#: Bands of the default vocabulary and the spread of labelled good text of each language (see README).
+#: Bands of the default vocabulary and the spread of labelled good text of each language: what fit_bands gives on sf0.1, with ends moved by hand (see README).
 BANDS: Mapping[str, Band] = {
     "en": Band(2.30, 3.20, 0.05, 0.705, 2.664, 0.737, 0.055, 0.0125),
     "fr": Band(1.95, 2.70, 0.25, 0.675, 2.201, 0.706, 0.062, 0.015),
@@ -121,6 +121,25 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     return docs.select(*columns).mapInArrow(in_worker(keep, *_OPEN), schema)
 
 
+def fit_bands(docs: DataFrame, labels: DataFrame, least_rows: int = 50, margin: float = 0.1, vocabularies: list[str] | None = None) -> dict[str, Band]:
+    """Bands of each language from the good texts (labels: doc_id, quality) that pass the base rules; a language of fewer than least_rows has none.
+
+    Ends are the least and greatest figures seen, with a share margin of their distance from the mean on top; the spread
+    of short texts is the line of evenness over the logarithm of their tokens, and the deviation around it. One aggregate.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    rows = quality_rules(docs, vocabularies).where("not base_failed and n_tokens > 0").join(good, "doc_id", "left_semi").join(docs.select("doc_id", F.col("lang").alias("_lang")).distinct(), "doc_id").where("_lang is not null")
+    short = F.least(F.log2("n_tokens") - EVEN_BITS, F.lit(0.0))
+    line = rows.withColumn("_x", short).groupBy("_lang").agg(
+        F.count("*").alias("n"), F.avg("chars_per_token").alias("mean"), F.min("chars_per_token").alias("low"), F.max("chars_per_token").alias("high"), F.max("byte_share").alias("bytes"), F.min("evenness").alias("least"),
+        F.coalesce(F.regr_slope("evenness", "_x"), F.lit(0.0)).alias("slope"), F.avg("evenness").alias("even"), F.avg("_x").alias("x"), F.sqrt(F.greatest(F.regr_syy("evenness", "_x") / F.count("*") * (1 - F.coalesce(F.regr_r2("evenness", "_x"), F.lit(0.0))), F.lit(0.0))).alias("spread"),
+    )
+    out = {}
+    for r in line.where(F.col("n") >= least_rows).collect():  # one row a language
+        out[r["_lang"]] = Band(r["low"] - margin * (r["mean"] - r["low"]), r["high"] + margin * (r["high"] - r["mean"]), r["bytes"] * (1 + margin), r["least"] - margin * (r["even"] - r["least"]), r["mean"], r["even"] - r["slope"] * r["x"], -r["slope"], max(r["spread"], 1e-3))
+    return out
+
+
 def rejection_report(verdicts: DataFrame) -> DataFrame:
     """Rows and rejections of each band."""
     return verdicts.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("n_base_failed"), F.sum((~F.col("kept")).cast("long")).alias("n_rejected"))

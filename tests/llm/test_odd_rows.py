@@ -153,6 +153,22 @@ def test_rule_weights_are_the_lasso_optimum():
         assert abs(g + np.sign(weight) * 5e-3) < 1e-3
 
 
+def test_fitted_bands_judge_held_out_texts(spark):
+    """Bands of one half of the labelled texts keep the good texts of the other half and reject most of the bad."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    half = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    bands = quality_rules.fit_bands(some.where(half), labels)
+    assert set(bands) == {"en", "fr", "de", "es"}
+    judged = quality_rules.quality_rules(some.where(~half), bands=bands).where("not base_failed").join(labels.select("doc_id", "quality"), "doc_id")
+    share = {r["quality"]: r["kept"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[1] > 0.995 and share[0] < 0.5
+    for lang, band in bands.items():
+        stated = quality_rules.BANDS[lang]
+        assert abs(band.mean - stated.mean) < 0.1 and abs(band.even - stated.even) < 0.02
+    assert quality_rules.fit_bands(some.limit(0), labels) == {}
+
+
 def test_kept_follows_from_what_is_measured(spark):
     """The verdict recomputed from the figures of an independent tokenizer and the stated bands."""
     import base64
