@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.order import quantiles
+
 
 def linear_shap(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Mean absolute Shapley value of each feature of a linear model: |w| times the mean absolute distance from the mean."""
@@ -19,9 +21,10 @@ def linear_shap(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def linear_pdp(df: DataFrame, intercept: float, weights: dict[str, float], feature: str, points: int = 100) -> DataFrame:
     """Mean prediction with feature set to each of points values between its 5th and 95th percentile; linear, so means suffice."""
-    s = df.agg(F.percentile(feature, [0.05, 0.95]).alias("q"), *[F.avg(c).alias(c) for c in weights]).first()
+    s = df.agg(*[F.avg(c).alias(c) for c in weights]).first()
+    low, high = quantiles(df, feature, [0.05, 0.95]).first()["q"]
     rest = intercept + sum(w * s[c] for c, w in weights.items() if c != feature)
-    grid = F.lit(s["q"][0]) + F.col("id") * ((s["q"][1] - s["q"][0]) / (points - 1))
+    grid = F.lit(low) + F.col("id") * ((high - low) / (points - 1))
     return df.sparkSession.range(points).select(F.lit(feature).alias("feature"), F.col("id").alias("k"), grid.alias("value"), (rest + weights[feature] * grid).alias("mean_prediction"))
 
 

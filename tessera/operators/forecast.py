@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import pinball
-from tessera.operators.order import row_numbers
+from tessera.operators.order import quantiles, row_numbers
 
 
 def check_quantiles(values) -> tuple[float, ...]:
@@ -83,8 +83,8 @@ def fan(history: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def residual_quantiles(rows: DataFrame, levels: tuple[float, ...] = (0.1, 0.5, 0.9), by: str = "series_id") -> DataFrame:
-    """by and q10, q50 ...: exact quantiles of value - forecast; counts of distinct values are summed before they are sorted."""
-    q = rows.groupBy(by).agg(F.percentile(F.col("value") - F.col("forecast"), list(levels)).alias("q"))
+    """by and q10, q50 ...: exact quantiles of value - forecast."""
+    q = quantiles(rows.select(by, (F.col("value") - F.col("forecast")).alias("e")), "e", list(levels), (by,))
     return q.select(by, *[F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(levels)])
 
 

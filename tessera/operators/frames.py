@@ -46,6 +46,25 @@ def remainder_split(df: DataFrame, key: str, parts: int = 4) -> tuple[DataFrame,
     return df.where(~test), df.where(test)
 
 
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows (all, if there are fewer) without replacement, in order of key: those of the least hash of key and seed.
+
+    A top-n of hashes: each task keeps n rows, and no table is sorted.
+    """
+    picked = df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return picked.orderBy(key)
+
+
+def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first n rows in order of key."""
+    return df.orderBy(key).limit(n)
+
+
+def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
+    """The wanted columns that df has not, in their order."""
+    return [c for c in wanted if c not in df.columns]
+
+
 def hash_split(df: DataFrame, key: str, test_share: float = 0.25, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Train and test by a hash of the key and the seed, whatever pattern the keys have (a null key is a train row)."""
     test = F.coalesce(hash_unit(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))) < test_share, F.lit(False)) & F.col(key).isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import central_z
 from tessera.operators.frames import STD_FLOOR, clip_std, hash_unit
-from tessera.operators.order import row_numbers, search_sorted
+from tessera.operators.order import quantiles, row_numbers, search_sorted
 
 LEVELS = (0.5, 0.68, 0.8, 0.9, 0.95, 0.99)
 
@@ -79,10 +79,13 @@ def nested_metrics(predictions: DataFrame) -> DataFrame:
     marpd = F.abs(2 * r / (F.abs(F.col("y_true")) + F.abs(F.col("y_pred")))) * 100
     z = r / s
     base = predictions.groupBy("output").agg(
-        F.struct(F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"), F.percentile(F.abs(r), 0.5).alias("mdae"), F.percentile(marpd, 0.5).alias("marpd"), (1 - F.sum(r * r) / (F.var_pop("y_true") * F.count("*"))).alias("r2"), F.corr("y_true", "y_pred").alias("corr")).alias("accuracy"),
+        F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"), (1 - F.sum(r * r) / (F.var_pop("y_true") * F.count("*"))).alias("r2"), F.corr("y_true", "y_pred").alias("corr"),
         F.struct(F.sqrt(F.avg(s * s)).alias("sharp")).alias("sharpness"),
         F.avg(0.5 * F.ln(2 * math.pi * s * s) + 0.5 * z * z).alias("_nll"),
     )
+    middle = lambda v, name: quantiles(predictions.select("output", v.alias("e")), "e", [0.5], ("output",)).select("output", F.col("q")[0].alias(name))
+    base = base.join(middle(F.abs(r), "mdae"), "output").join(middle(marpd, "marpd"), "output")
+    base = base.withColumn("accuracy", F.struct("rmse", "mae", "mdae", "marpd", "r2", "corr"))
     curve = calibration(predictions)
     gap = F.col("expected") - F.col("observed")
     cal = curve.groupBy("output").agg(F.sqrt(F.avg(gap * gap)).alias("rms_cal"), F.avg(F.abs(gap)).alias("ma_cal"))
@@ -153,9 +156,9 @@ def histogram(values: DataFrame, column: str, bins: int, by: str = "output") ->
 
 def box_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, low, q1, median, q3, high: ends and exact quartiles."""
-    wide = df.agg(*[F.struct(F.min(c).cast("double").alias("low"), F.percentile(c, [0.25, 0.5, 0.75]).alias("q"), F.max(c).cast("double").alias("high")).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}.low").alias("low"), F.col(f"{c}.q")[0].alias("q1"), F.col(f"{c}.q")[1].alias("median"), F.col(f"{c}.q")[2].alias("q3"), F.col(f"{c}.high").alias("high")) for c in columns])
-    return wide.select(F.inline(rows))
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    q = quantiles(long, "value", [0.0, 0.25, 0.5, 0.75, 1.0], ("feature",))
+    return q.select("feature", *[F.col("q")[i].alias(name) for i, name in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
 def compare_rmse(predictions: DataFrame, models: dict[str, str]) -> DataFrame:

@@ -60,3 +60,22 @@ def average_ranks(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> D
     """column's distinct values with their average rank; ranks are summed over values, not rows."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
     return prefix_sums(counts, column, {"_before": F.col("_c")}, block_rows=block_rows).select(column, (F.col("_before") + (F.col("_c") + 1) / 2).alias(f"{column}_rank"))
+
+
+def quantiles(df: DataFrame, column: str, levels: list[float], by: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """by and q: exact quantiles of a column (linear between the two rows at a level, nulls left out), as an array.
+
+    Distinct values are counted and placed by prefix sums; only the two values at each level come out of a block.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
+    placed = prefix_sums(counts, column, {"_before": F.col("_c")}, by=by, block_rows=block_rows)
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    rows = placed.join(F.broadcast(total), list(by)) if by else placed.join(F.broadcast(total))  # one row a group
+    value, ends = F.col(column).cast("double"), []
+    for i, q in enumerate(levels):
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        for name, place in ((f"_l{i}", F.floor(at)), (f"_h{i}", F.ceil(at))):
+            ends.append(F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_c")), value)).alias(name))
+    found = rows.groupBy(*by).agg(*ends, F.max("_n").alias("_n"))
+    share = [(F.col("_n") - 1) * F.lit(float(q)) - F.floor((F.col("_n") - 1) * F.lit(float(q))) for q in levels]
+    return found.select(*by, F.array(*[F.col(f"_l{i}") + share[i] * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i in range(len(levels))]).alias("q"))

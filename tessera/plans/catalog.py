@@ -562,3 +562,36 @@ def forecast_context(spark, d):
 def forecast_tidy(spark, d):
     s = daily_naive(spark, d).select("series_id", "t", "value")
     return forecast.Forecaster().fit(s).predict(7)
+
+
+@query("select c_custkey, c_nationkey from customer order by c_custkey limit 5")
+def preview_rows(spark, d):
+    return frames.preview(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+
+
+@query("select least(200, count(*))::bigint as n, least(200, count(*))::bigint as distinct_keys from customer")
+def sampled_rows(spark, d):
+    return frames.sample_rows(table(spark, d, "customer").select("c_custkey"), "c_custkey", 200).agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("distinct_keys"))
+
+
+@query("select event_type as series_id, round(quantile_cont(value, 0.1),6) as q10, round(quantile_cont(value, 0.9),6) as q90 from events group by 1")
+def exact_quantiles(spark, d):
+    from tessera.operators.order import quantiles
+
+    q = quantiles(table(spark, d, "events"), "value", [0.1, 0.9], ("event_type",))
+    return rounded(q.select(F.col("event_type").alias("series_id"), F.col("q")[0].alias("q10"), F.col("q")[1].alias("q90")))
+
+
+@query("with x as (select x::double as x from (values (0.5), (1.0), (2.0)) v(x)) select x, round(sin(x),9) as sine, round(cos(x),9) as cosine, round((exp(x)-exp(-x))/(exp(x)+exp(-x)),9) as tanh, round(ln(1+x),9) as log1p, round(log10(x),9) as log10, round(radians(x),9) as radians, round(cbrt(x),9) as cbrt from x")
+def scalar_functions(spark, d):
+    x = spark.createDataFrame([(0.5,), (1.0,), (2.0,)], "x double")
+    made = {"sine": F.sin("x"), "cosine": F.cos("x"), "tanh": F.tanh("x"), "log1p": F.log1p("x"), "log10": F.log10("x"), "radians": F.radians("x"), "cbrt": F.cbrt("x")}
+    return x.select("x", *[F.round(v, 9).alias(k) for k, v in made.items()])
+
+
+@query("select min(k)::bigint as k from (values (1, 0.5), (2, 0.8), (3, 1.0)) v(k, cum) where cum >= 0.7")
+def first_component_over_threshold(spark, d):
+    import numpy as np
+
+    made = reduction.Components(["a", "b", "c"], np.zeros(3), np.ones(3), np.array([0.5, 0.3, 0.2]), np.eye(3))
+    return spark.createDataFrame([(made.choose("Explained variance threshold", threshold=0.7),)], "k long")

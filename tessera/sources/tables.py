@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.frames import numeric_columns
+from tessera.operators.frames import missing_columns, numeric_columns
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def read_series(spark: SparkSession, path: str, time_col: str | None = None, val
     """series_id, t, value without nulls. Default: the first numeric column that isn't the time."""
     table = read_csv(spark, path)
     wanted = [c.strip() for c in value_cols.split(",")] if value_cols else [c for c in numeric_columns(table) if c != time_col][:1]
-    missing = [c for c in wanted if c not in table.columns]
+    missing = missing_columns(table, wanted)
     if missing or not wanted:
         raise ValueError(f"columns not found: {', '.join(missing) or 'no numeric column'}")
     # without a time column the order is that of the file: file name, then place in the file (a file is one split here)
@@ -66,6 +66,13 @@ def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
     (table.coalesce(1) if single else table).write.mode("overwrite").csv(path, header=True)
 
 
+def in_words(error: Exception) -> str:
+    """What a page shows in place of something that could not be made: base64 of the error's text, as figures are embedded."""
+    import base64
+
+    return base64.b64encode(f"{type(error).__name__}: {error}".encode()).decode()
+
+
 def status_line(**facts) -> str:
     return json.dumps(facts)
 

@@ -52,6 +52,20 @@ def test_order_of_an_empty_table(spark):
     assert order.row_numbers(none, "v", ("id",)).count() == 0 and order.average_ranks(none, "v").count() == 0
 
 
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    data = [("ab"[i % 2], float(v)) for i, v in enumerate(rng.integers(0, 60, 400))] + [("c", 2.5), ("a", None)]
+    got = {r["g"]: r["q"] for r in order.quantiles(spark.createDataFrame(data, "g string, v double"), "v", [0.0, 0.1, 0.5, 0.93, 1.0], ("g",), block_rows=9).collect()}
+    for g in "abc":
+        assert np.allclose(got[g], np.quantile([v for h, v in data if h == g and v is not None], [0.0, 0.1, 0.5, 0.93, 1.0]))
+
+
+def test_samples_without_replacement(spark):
+    got = [r["id"] for r in frames.sample_rows(spark.range(100), "id", 10, 3).collect()]
+    assert len(set(got)) == 10 and got == sorted(got) and frames.sample_rows(spark.range(5), "id", 10).count() == 5
+    assert frames.missing_columns(spark.range(1), ["x", "id", "y"]) == ["x", "y"]
+
+
 # frames -----------------------------------------------------------------------------------------------------------
 
 
