@@ -112,7 +112,8 @@ def held_positions(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[n
 
 def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
     """Held positions that open a phrase: tid, place (number in the text, position), name of the phrase, m (phrases up to the
-    threshold, or to the end of the text), kind and cell (position, least and greatest distance back to its starts; null: no start).
+    threshold, or to the end of the text), kind (and from bit 4 on the bytes to the next position) and cell (position, least
+    and greatest distance back to its starts; null: no start).
 
     A text that says one thing over and over holds a position at each turn. Where all phrases up to the threshold are alike
     the run is no question for sorting: kind EVEN passes to the cells. Of these only such stay in the rounds (kind BOTH)
@@ -140,7 +141,7 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Ite
         np.add.at(through, (number + m + 1)[~even].clip(max=len(at)), -1)
         inside = np.cumsum(through[:-1]) > 0
         open_ = (last > number) & starts & even
-        kind = np.where(open_, np.where(inside, BOTH, EVEN), np.where((last > number) & inside, RUN, -1)).astype(np.int8)
+        kind = np.where(open_, np.where(inside, BOTH, EVEN), np.where((last > number) & inside, RUN, -1))
         cell = _packed(at - offsets[doc], 0, np.where(starts, at - high, 0), np.where(starts, at - low, 0))
         which = np.flatnonzero(open_)
         if len(which):
@@ -150,16 +151,17 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Ite
             # the others of a known cell: repeated, and no cell of their own
             kind[which[more]] = np.where(kind[which[more]] == BOTH, SPAN_RUN, SPAN)
         keep = np.flatnonzero(kind >= 0)
+        kind = kind[keep] | np.diff(np.append(at, at[-1]))[keep] << 4
         tid = batch.column("tid").to_numpy()
         place = (number - np.searchsorted(doc, doc)) << 32 | (at - offsets[doc])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tid[doc[keep]]), pa.array(place[keep]), pa.array(m[keep].astype(np.int32)), pa.array(kind[keep]), pa.array(cell[keep], mask=~starts[keep]), pa.array(name[keep].view(np.int64))],
+            [pa.array(tid[doc[keep]]), pa.array(place[keep]), pa.array(m[keep].astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(cell[keep], mask=~starts[keep]), pa.array(name[keep].view(np.int64))],
             ["tid", "place", "m", "kind", "cell", "name"],
         )
 
 
-#: Kinds of positions: in the rounds, in the cells, in both, repeated, repeated and in the rounds.
-RUN, EVEN, BOTH, SPAN, SPAN_RUN = range(5)
+#: Kinds of positions: in the rounds, in the cells, in both, repeated, repeated and in the rounds; and a text's longest shared run.
+RUN, EVEN, BOTH, SPAN, SPAN_RUN, LONGEST = range(6)
 #: The bit of a cell that another with the same bytes has been found for.
 KNOWN = 1 << 62
 
@@ -299,9 +301,27 @@ def _cells(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterat
 
 
 def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Ranks of runs of span phrases, in order of tid and place, with the rank some positions on: the span, or what is left up to the threshold."""
+    """Ranks of runs of span phrases, in order of tid and place, with the rank some positions on: the span, or what is left up to the threshold.
+
+    In the first round also a row of kind LONGEST for each text: in place, the bytes of its longest run of phrases that are each found twice.
+    """
     columns = ["tid", "place", "m", "kind", "cell"]
 
+    def longest(rows: pa.RecordBatch) -> pa.RecordBatch:
+        tid, place, kind = (rows.column(k).to_numpy() for k in ("tid", "place", "kind"))
+        number, at = place >> 32, place & 0xFFFFFFFF
+        opens = np.flatnonzero(np.concatenate([[True], (tid[1:] != tid[:-1]) | (number[1:] != number[:-1] + 1)]))
+        ends = np.append(opens[1:], len(tid)) - 1
+        size = at[ends] + (kind[ends] >> 4) + GRAM - at[opens]
+        first = np.flatnonzero(np.concatenate([[True], tid[opens][1:] != tid[opens][:-1]]))
+        zero, n = np.zeros(len(first), np.int64), len(first)
+        return pa.RecordBatch.from_arrays([pa.array(tid[opens][first]), pa.array(np.maximum.reduceat(size, first)), pa.array(zero.astype(np.int32)), pa.array(np.full(n, LONGEST, np.int32)), pa.nulls(n, pa.int64()), pa.array(zero), pa.array(zero)], [*columns, "k", "next"])
+
+    def whole_texts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pairs(rows)
+        if span == 1:
+            yield longest(rows)
+
     def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
         tid, m, rank = (rows.column(k).to_numpy() for k in ("tid", "m", "rank"))
         number = np.cumsum(np.concatenate([[0], tid[1:] != tid[:-1]])).astype(np.int64) << 32 | rows.column("place").to_numpy() >> 32
@@ -318,53 +338,56 @@ def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBat
         if not batch.num_rows:
             continue
         if held and batch.column("tid")[0] != held[-1].column("tid")[-1]:
-            yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from whole_texts(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
             held = []
         tid = batch.column("tid").to_numpy()
         cut = int(np.searchsorted(tid, tid[-1]))  # the last text may go on
         if cut:
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
+            yield from whole_texts(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        yield from whole_texts(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
-def repeated_runs(texts: DataFrame, length: int, window: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """By prefix doubling over texts (tid, text): cells (tid, cell) of the positions whose run of phrases up to the threshold is found twice, cells that are repeated as they are, and the tables that hold both."""
-    columns = "tid long, place long, m int, kind byte, cell long"
+def repeated_runs(texts: DataFrame, length: int, window: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """By prefix doubling over texts (tid, text): cells (tid, cell) of the positions whose run of phrases up to the threshold is found twice, cells that are repeated as they are, tid and n_shared (bytes of the longest run of phrases that are each found twice), and the tables that hold the cells."""
+    columns, kind = "tid long, place long, m int, kind int, cell long", F.col("kind").bitwiseAND(F.lit(15))
     phrases = materialize(texts.select("tid", "text").mapInArrow(in_worker(lambda it: _phrases(it, length, window)), f"{columns}, name long"), "phrases")
-    ranks = rank_by_sorting(phrases.where(F.col("kind").isin(RUN, BOTH, SPAN_RUN)), ["name"], ["tid", "place"], "ranks-1")
-    even = materialize(phrases.where(F.col("kind").isin(EVEN, BOTH, SPAN, SPAN_RUN)).select("tid", "cell", "kind"), "runs-of-one-phrase")
+    ranks = rank_by_sorting(phrases.where(kind.isin(RUN, BOTH, SPAN_RUN)), ["name"], ["tid", "place"], "ranks-1")
+    even = materialize(phrases.where(kind.isin(EVEN, BOTH, SPAN, SPAN_RUN)).select("tid", "cell", kind.alias("kind")), "runs-of-one-phrase")
     discard(phrases)
     held, span = [even], 1
     done = even.where(F.col("kind").isin(EVEN, BOTH)).select("tid", "cell")
+    ready = even.where(F.col("kind").isin(SPAN, SPAN_RUN) | (F.col("cell") >= F.lit(KNOWN))).select("tid", "cell")
     while True:
         # up to the threshold there are span phrases or fewer: the run that every string at this position shares is ranked
-        done = done.unionByName(ranks.where((F.col("m") <= span) & (F.col("kind") == RUN) & F.col("cell").isNotNull()).select("tid", "cell"))
+        done = done.unionByName(ranks.where((F.col("m") <= span) & (kind == RUN) & F.col("cell").isNotNull()).select("tid", "cell"))
         held.append(ranks)
         if span >= MOST:
-            return done, even.where(F.col("kind").isin(SPAN, SPAN_RUN) | (F.col("cell") >= F.lit(KNOWN))).select("tid", "cell"), held
+            return done, ready, longest, held
         # a position with fewer phrases to go is in no longer run that starts before it
         by_text = ranks.where(F.col("m") >= span).select("tid", "place", "m", "kind", "cell", "rank").repartition(default_partitions(texts.sparkSession), "tid").sortWithinPartitions("tid", "place")
         pairs = materialize(by_text.mapInArrow(in_worker(lambda it, span=span: _pair(it, span)), f"{columns}, k long, next long"), f"pairs-{2 * span}")
-        ranks = rank_by_sorting(pairs, ["k", "next"], ["tid", "place"], f"ranks-{2 * span}")
+        if span == 1:
+            longest = materialize(pairs.where(kind == LONGEST).select("tid", F.col("place").alias("n_shared")), "longest-shared-runs")
+        ranks = rank_by_sorting(pairs.where(kind != LONGEST), ["k", "next"], ["tid", "place"], f"ranks-{2 * span}")
         discard(pairs)
         span *= 2
 
 
 def _unique_texts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Digests (doc_id, sha, n_bytes) of all rows, copied (sha of texts of length bytes or more that two rows or more have), and texts (tid, text): one row of each text of length bytes or more."""
+    """Digests (doc_id, sha, n_bytes) of all rows, copied (sha of texts of length bytes or more that two rows or more have), and texts (tid, sha, text): one row of each text of length bytes or more."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"), "text")
     digests = materialize(keyed.drop("text"), "digests")
     copied = materialize(digests.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "copied")
     long_ = keyed.where(F.col("n_bytes") >= length)
-    alone = long_.join(broadcast_if_small(copied.select("sha")), "sha", "left_anti").select("text")
+    alone = long_.join(broadcast_if_small(copied.select("sha")), "sha", "left_anti").select("sha", "text")
     # of copied texts the rows of the least doc_id, and of these one: doc_id may be null or repeat
     first = broadcast_if_small(copied.select(F.col("sha").alias("_sha"), "first"))
-    one = long_.join(first, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").groupBy("sha").agg(F.first("text").alias("text")).select("text")
-    texts = materialize(alone.unionByName(one).select(F.monotonically_increasing_id().alias("tid"), "text"), "unique-texts")
+    one = long_.join(first, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
+    texts = materialize(alone.unionByName(one).select(F.monotonically_increasing_id().alias("tid"), "sha", "text"), "unique-texts")
     return digests, copied, texts
 
 
@@ -378,12 +401,12 @@ def _span(cells: DataFrame, length: int) -> DataFrame:
     return cells.select("tid", F.shiftleft(at - _field(0), 32).bitwiseOR(at + length - _field(1)).alias("span"))
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """tid, text and spans (first byte << 32 | end; they may overlap) of each of texts (tid, text; no two alike) that holds a string of length bytes that also starts elsewhere."""
+def repeated_spans(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """tid, text and spans (first byte << 32 | end; they may overlap) of each of texts (tid, text; no two alike) that holds a string of length bytes that also starts elsewhere; and tid and n_shared (see repeated_runs)."""
     window = window_of(length)
-    parent, ready, spent = repeated_runs(texts, length, window)
+    parent, ready, longest, spent = repeated_runs(texts, length, window)
     wanted = materialize(parent.select(F.col("tid").alias("_tid")).distinct(), "texts-with-repeats")
-    kept = texts.join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi")
+    kept = texts.select("tid", "text").join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi")
     spans, widths = [materialize(_span(ready, length), "spans-of-one-phrase")], (window, -(-window // CELLS), 1)
     schema = "tid long, cell long, new boolean, more boolean, f1 long, f2 long, c long"
     for level, width in enumerate(widths):
@@ -408,7 +431,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         parent = finer.select("tid", F.when(F.col("sure"), packed.bitwiseOR(F.lit(KNOWN))).otherwise(packed).alias("cell"))
         spent = [ranked, shared]
     every = functools.reduce(DataFrame.unionByName, spans).groupBy("tid").agg(F.collect_list("span").alias("spans"))
-    return kept.join(every, "tid")
+    return kept.join(every, "tid"), longest
 
 
 def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -451,22 +474,29 @@ def _cut(batches: Iterator[pa.RecordBatch], least_words: int, with_text: bool) -
         yield pa.RecordBatch.from_arrays([*columns, *more], ["sha", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + with_text])
 
 
-def _changed(docs: DataFrame, length: int, least_words: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """Digests of all rows, and what became of each text that lost something: sha, n_removed, n_spans, kept_sha256 (and the text left)."""
+def _changed(docs: DataFrame, length: int, least_words: int, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Digests of all rows; what became of each text that lost something: sha, n_removed, n_spans, kept_sha256 (and the text left); sha and n_shared."""
     digests, copied, texts = _unique_texts(docs, length)
     schema = "sha string, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    parts = repeated_spans(texts, length).select("text", "spans").mapInArrow(in_worker(lambda it: _cut(it, least_words, with_text)), schema)
+    found, longest = repeated_spans(texts, length)
+    parts = found.select("text", "spans").mapInArrow(in_worker(lambda it: _cut(it, least_words, with_text)), schema)
     parts = parts.join(copied.select("sha"), "sha", "left_anti")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     whole = digests.join(copied.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.max("n_bytes").alias("n_removed")).select("sha", "n_removed", F.lit(1).cast("long").alias("n_spans"), nothing.alias("kept_sha256"), *([F.lit("").alias("kept_text")] if with_text else []))
-    return digests, parts.unionByName(whole)
+    return digests, parts.unionByName(whole), texts.select("tid", "sha").join(longest, "tid").select("sha", "n_shared")
 
 
 def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
-    digests, changed = _changed(docs, length, 0, False)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_shared of every row of docs (doc_id, text).
+
+    n_shared tells of passages that are too short to be removed: the bytes of the longest run of phrases that are each
+    found twice in the texts of length bytes or more, copies counted once. A passage that stands in two texts has a whole
+    phrase at the least if it is longer than 2 * window + GRAM bytes; chance repeats are short.
+    """
+    digests, changed, shared = _changed(docs, length, 0, False)
     none = F.lit(0).cast("long")
-    return digests.join(changed, "sha", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    joined = digests.join(changed, "sha", "left").join(shared, "sha", "left")
+    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_shared", none).alias("n_shared"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, least_words: int = 0) -> DataFrame:
@@ -475,7 +505,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, least_words: int = 0) ->
     Of repeated runs only those of least_words whole words or more go. Columns of docs, whatever their names; n_chars,
     where there is one, follows the new text. Texts that two rows or more have go whole, however few words they have.
     """
-    _, changed = _changed(docs, length, least_words, True)
+    _, changed, _ = _changed(docs, length, least_words, True)
     key, digest, left, few_key = (free_name(docs, x) for x in ("sha_of_row", "sha", "kept_text", "short_sha"))
     changed = materialize(changed, "changed-texts").select(F.col("sha").alias(digest), F.col("kept_text").alias(left))
     few = broadcast_if_small(materialize(changed.select(F.xxhash64(digest).alias(few_key)), "changed-keys"))

@@ -13,6 +13,7 @@ import corpus_pipeline
 from tessera.llm import decontamination, language_id, license_scan, ngram_join, quality_rules, rule_ensemble, sentencepiece_codec, sharding, suffix_dedup, token_store
 from tessera.llm.vocabularies import vocabulary_path
 
+GRAM = suffix_dedup.GRAM
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -202,6 +203,20 @@ def test_substrings_of_random_edits(spark):
             assert got[k] == (int(m.sum()), int((m[:-1] & ~np.concatenate([[False], m[:-2]])).sum())), (length, k)
 
 
+def test_shared_runs_tell_of_shorter_passages(spark):
+    """Passages of 290 to 399 bytes stay, and n_shared shows them; texts of their own have 0; copies count once."""
+    rows = []
+    for k in range(12):
+        passage = " ".join(words(60, 300 + k))[: 290 + 9 * k]
+        rows += [(2 * k, " ".join(words(150, 400 + k)) + " " + passage + " tail"), (2 * k + 1, f"head {k} " + passage + " " + " ".join(words(100 + k, 500 + k)))]
+    rows += [(100 + k, " ".join(words(200, 600 + k))) for k in range(6)] + [(200, rows[-1][1]), (201, rows[0][1])]
+    got = by_id(suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    for k in range(24):
+        assert (got[k]["n_removed"] == 0 or k in (0, 23)) and GRAM < got[k]["n_shared"] <= 290 + 9 * (k // 2) + 1
+    assert {got[100 + k]["n_shared"] for k in range(6)} == {0}
+    assert (got[200]["n_shared"], got[201]["n_shared"]) == (got[23]["n_shared"], got[0]["n_shared"])
+
+
 def test_passages_of_fifty_words_go(spark):
     passage = words(52, 70, 10**6)
     rows = [(k, " ".join([*words(120, 71 + k, 10**6), *passage, *words(60, 91 + k, 10**6)]), 5) for k in range(4)]
