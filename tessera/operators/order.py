@@ -26,8 +26,8 @@ def search_sorted(df: DataFrame, value: Column, edges: list[float], name: str, r
     return df.drop("_v")
 
 
-def in_blocks(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds _block: ranges of a numeric column of about block_rows rows each, in ascending order."""
+def block_bounds(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> list[float]:
+    """The ascending values that part the blocks; none where one block is enough."""
     value, coarse = F.col(column).cast("double"), 64
     n, bounds = df.agg(F.count("*"), F.percentile_approx(value, [k / coarse for k in range(1, coarse)], 20 * coarse)).first()
     blocks = min(MOST_BLOCKS + 1, -(-n // block_rows))
@@ -35,12 +35,16 @@ def in_blocks(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> DataF
         bounds = [bounds[round(k * coarse / blocks) - 1] for k in range(1, blocks)] if blocks > 1 and bounds else []
     else:
         bounds = df.agg(F.percentile_approx(value, [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0]
-    return search_sorted(df, F.col(column).cast("double"), sorted(set(bounds or [])), "_block")
+    return sorted(set(bounds or []))
 
 
 def prefix_sums(df: DataFrame, column: str, sums: dict[str, Column], ties: tuple[str, ...] = (), by: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds each of sums over all rows (of the same by) that come before in order of column and ties, without the row itself."""
-    tagged = in_blocks(df, column, block_rows)
+    bounds = block_bounds(df, column, block_rows)
+    if not bounds:
+        alone = Window.partitionBy(*by).orderBy(column, *ties).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(v).over(alone), F.lit(0)).alias(k) for k, v in sums.items()])
+    tagged = search_sorted(df, F.col(column).cast("double"), bounds, "_block")
     for k, v in sums.items():
         tagged = tagged.withColumn(f"_x_{k}", v)
     totals = tagged.groupBy(*by, "_block").agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
