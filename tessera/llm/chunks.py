@@ -15,7 +15,7 @@ from tessera.llm.common import ragged
 #: Chunks that one worker remembers before it starts anew; about 150 bytes each.
 CACHE_CHUNKS = 700_000
 #: The same where encoding is quick; workers live on from one stage to the next and keep what they remember.
-SMALL_CACHE_CHUNKS = 200_000
+SMALL_CACHE_CHUNKS = 100_000
 
 
 class _Index(dict):

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass handles; its temporaries take about forty times this.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of an Arrow batch between Spark and its workers, in sessions that name no bound (Spark's own is about 64 MB).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SCRATCH: list[tuple[SparkSession, str]] = []
 

@@ -28,7 +28,7 @@ from tessera.llm.vocabularies import vocabulary_path
 SIGN = "▁"
 DEPTH = 4  # words of eight bytes to which suffixes are sorted; longer pieces are compared no further
 #: Bytes of strings (one at least) that one suffix array indexes; its lattice takes a few hundred times this.
-MATCH_BYTES = 128 << 10
+MATCH_BYTES = 64 << 10
 _MEMO = 1 << 20
 
 

@@ -190,6 +190,9 @@ def _meeting(f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return more, again
 
 
+_OFFSETS = pa.schema([("_p", pa.int32()), ("_off", pa.int64()), ("_joins", pa.bool_()), ("_goes_on", pa.bool_())])
+
+
 def rank_by_sorting(rows: DataFrame, keys: list[str], ties: list[str], name: str, drop_unique: bool = True, unless_first: str | None = None) -> DataFrame:
     """rows sorted by keys and ties over range partitions, written, with rank (number of smaller keys), twice and head.
 
@@ -267,7 +270,8 @@ def rank_by_sorting(rows: DataFrame, keys: list[str], ties: list[str], name: str
         offsets.append([part, total - joined, joined, False])
         total += ends[part]["n"] - joined
         before = part
-    at = spark.createDataFrame(offsets, "_p int, _off long, _joins boolean, _goes_on boolean")
+    # from Arrow: rows of Python would start workers of another kind on the executors
+    at = spark.createDataFrame(pa.Table.from_pylist([dict(zip(_OFFSETS.names, row)) for row in offsets], _OFFSETS))
     first, last = F.col("_edge").bitwiseAND(F.lit(1)) > 0, F.col("_edge").bitwiseAND(F.lit(2)) > 0
     twice = F.col("_twice") | (first & F.col("_joins")) | (last & F.col("_goes_on"))
     out = numbered.join(F.broadcast(at), F.col("_part") == F.col("_p")).select(*columns, (F.col("_run") + F.col("_off")).alias("rank"), twice.alias("twice"), (F.col("_head") & ~(first & F.col("_joins"))).alias("head"))

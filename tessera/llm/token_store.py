@@ -109,7 +109,7 @@ class TokenStore:
         for name, _, n_ids in self.files:
             rows.append((name, start))
             start += n_ids
-        listing = spark.createDataFrame(rows, "name string, start long").repartition(max(1, min(len(rows), 4 * default_partitions(spark))))
+        listing = spark.createDataFrame(pa.table({"name": pa.array([r[0] for r in rows], pa.string()), "start": pa.array([r[1] for r in rows], pa.int64())})).repartition(max(1, min(len(rows), 4 * default_partitions(spark))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked = None
