@@ -8,8 +8,8 @@ so equal strings hold equal positions, and every start of a string belongs to on
 Doubling. A position's first key is its phrase, the bytes up to the next held position. Spark sorts (key, text, place)
 over range partitions; a position's rank is the number of smaller keys, counted in each partition and added up over
 partitions; positions with a key of their own are dropped. Each round pairs a position's rank with the rank as many
-positions on as the ranks span, and sorts the pairs again, at offsets 1, 2, 4 ... phrases, until the rank is unique or
-the run reaches what every string of ``length`` bytes at that position must share (``reach`` bytes: the threshold).
+positions on as the ranks span, and sorts the pairs again, at offsets 1, 2, 4, 8 ... phrases, until every rank is unique or
+its run reaches what every string of ``length`` bytes at that position must share (``reach`` bytes: the threshold).
 
 Deciding bytes. What is left shares a long run with another position, but which of its starts repeat depends on the
 bytes around the run. The starts of a position are judged in cells: if the string that covers all strings of a cell is
@@ -38,8 +38,6 @@ from tessera.llm.common import Hasher, broadcast_if_small, default_partitions, d
 
 #: Bytes whose hash decides which positions are held.
 GRAM = 16
-#: Phrases of a run at most: where positions lie closer than usual, cells decide from there on.
-MOST = 4
 #: Bits of a distance in a packed cell.
 BITS = 10
 #: Into how many cells a position's starts are cut if they don't all repeat or all not; the last level has single starts.
@@ -130,7 +128,7 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Ite
         number = np.arange(len(at))
         doc = np.searchsorted(offsets, at, side="right") - 1
         last = np.searchsorted(doc, doc, side="right") - 1
-        m = np.clip(np.searchsorted(at, at + reach), number, np.minimum(last, number + MOST)) - number
+        m = np.clip(np.searchsorted(at, at + reach), number, last) - number
         high = np.minimum(high, offsets[doc + 1] - length)  # a start needs length bytes before the end of its text
         starts = low <= high
         name = hasher(at, np.append(at[1:], at[-1]) + GRAM)
@@ -335,7 +333,7 @@ def _pair(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBat
         to = np.minimum(to, len(number) - 1)
         there &= number[to] == number + step
         # runs of another step are other runs
-        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in columns), pa.array(rank), pa.array(rank[to] * (MOST + 1) + step)], [*columns, "k", "next"]).filter(pa.array(there))
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in columns), pa.array(rank), pa.array(rank[to] << BITS + 1 | step)], [*columns, "k", "next"]).filter(pa.array(there))
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -368,7 +366,7 @@ def repeated_runs(texts: DataFrame, length: int, window: int) -> tuple[DataFrame
         # up to the threshold there are span phrases or fewer: the run that every string at this position shares is ranked
         done = done.unionByName(ranks.where((F.col("m") <= span) & (kind == RUN) & F.col("cell").isNotNull()).select("tid", "cell"))
         held.append(ranks)
-        if span >= MOST:
+        if span > 1 and ranks.where(F.col("m") > span).isEmpty():
             return done, ready, longest, held
         # a position with fewer phrases to go is in no longer run that starts before it
         by_text = ranks.where(F.col("m") >= span).select("tid", "place", "m", "kind", "cell", "rank").repartition(default_partitions(texts.sparkSession), "tid").sortWithinPartitions("tid", "place")
@@ -409,7 +407,8 @@ def repeated_spans(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
     """tid, text and spans (first byte << 32 | end; they may overlap) of each of texts (tid, text; no two alike) that holds a string of length bytes that also starts elsewhere; and tid and n_shared (see repeated_runs)."""
     window = window_of(length)
     parent, ready, longest, spent = repeated_runs(texts, length, window)
-    wanted = materialize(parent.select(F.col("tid").alias("_tid")).distinct(), "texts-with-repeats")
+    # a text may have all its cells settled in its slice: it is in ready alone
+    wanted = materialize(parent.select(F.col("tid").alias("_tid")).unionByName(ready.select(F.col("tid").alias("_tid"))).distinct(), "texts-with-repeats")
     kept = texts.select("tid", "text").join(broadcast_if_small(wanted), F.col("tid") == F.col("_tid"), "left_semi")
     spans, widths = [materialize(_span(ready, length), "spans-of-one-phrase")], (window, -(-window // CELLS), 1)
     schema = "tid long, cell long, new boolean, more boolean, f1 long, f2 long, c long"

@@ -203,6 +203,60 @@ def test_substrings_of_random_edits(spark):
             assert got[k] == (int(m.sum()), int((m[:-1] & ~np.concatenate([[False], m[:-2]])).sum())), (length, k)
 
 
+def covered(texts, length):
+    """Bytes of each of texts (all of single-byte characters) under a string of length bytes that also starts elsewhere."""
+    times = collections.Counter(x[j : j + length] for x in texts for j in range(len(x) - length + 1))
+    out = []
+    for x in texts:
+        m = np.zeros(len(x), bool)
+        for j in range(len(x) - length + 1):
+            m[j : j + length] |= times[x[j : j + length]] > 1
+        out.append(m)
+    return out
+
+
+def periodic(rng, period):
+    unit = "".join(map(chr, rng.integers(97, 123, period)))
+    return [(unit * (n // period + 2))[:n] for n in (int(rng.integers(400, 520)), int(rng.integers(620, 900)))]
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 9])
+def test_two_texts_of_one_unit(spark, partitions):
+    """Every period from 1 to 130, twice at different lengths, dealt into one slice and into several, beside other texts."""
+    rng = np.random.default_rng(partitions)
+    texts = [x for period in range(1, 131) for x in periodic(rng, period)] + ["\0" * 450, "\0" * 900, "spam " * 200, "spam " * 300]
+    texts += ["".join(map(chr, rng.integers(97, 123, 700))) for _ in range(20)] + [texts[3][:410] + "".join(map(chr, rng.integers(97, 123, 300))), "once " * 110]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").orderBy(F.rand(partitions)).repartition(partitions)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup_substrings(df).collect()}
+    for k, m in enumerate(covered(texts, 400)):
+        assert got[k] == (int(m.sum()), int((m & ~np.concatenate([[False], m[:-1]])).sum())), k
+
+
+def test_repeats_of_one_unit_leave_the_pipeline(spark):
+    """The pipeline's stage takes both texts of a unit whole, whichever slice they are in."""
+    rows = [(k, unit * n) for k, (unit, n) in enumerate([("spam ", 200), ("spam ", 300), ("to be or not ", 60), ("to be or not ", 90)])]
+    rows.append((9, " ".join(words(200, 77, 10**6))))
+    for partitions in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        assert [r["doc_id"] for r in corpus_pipeline.repeated_passages(spark, df, "").collect()] == [9]
+
+
+def test_phrases_closer_than_usual_are_ranked_to_the_threshold(spark, monkeypatch):
+    """Counting texts hold positions a few bytes apart: runs of more than four phrases go through further rounds."""
+    rounds = []
+    kept = suffix_dedup.rank_by_sorting
+    monkeypatch.setattr(suffix_dedup, "rank_by_sorting", lambda rows, keys, ties, name, **more: (rounds.append(name), kept(rows, keys, ties, name, **more))[1])
+    a = "".join(f"{k:03d}" for k in range(400))
+    # units of three kinds in an order without a period, so that the least neighbour comes again every few bytes
+    rng = np.random.default_rng(3)
+    b = "".join(("aaaaaaaaaaaaaaaaab", "aaaaaaaaaaaaaaaaac", "aaaaaaaaaaaaaaaaad")[k] for k in rng.integers(0, 3, 60))
+    texts = [a, "x" + a[200:900] + "y", b, "q" + b[100:800] + "z", b[300:720]]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for k, m in enumerate(covered(texts, 400)):
+        assert got[k] == (int(m.sum()), int((m & ~np.concatenate([[False], m[:-1]])).sum())), k
+    assert "ranks-8" in rounds
+
+
 def test_shared_runs_tell_of_shorter_passages(spark):
     """Passages of 290 to 399 bytes stay, and n_shared shows them; texts of their own have 0; copies count once."""
     rows = []
