@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents
 from tessera.llm.decontamination import benchmark_matches
+from tessera.llm.fill_in_middle import middle_digests
 from tessera.llm.language_id import fit_languages, predict_languages
 from tessera.llm.license_scan import inherit_licenses, scan_licenses
 from tessera.llm.ngram_join import jaccard_join
@@ -71,8 +72,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_token_store, op5_license_scan, op6_rule_ensemble, op7_sharding, op8_language_id, op9_suffix_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_token_store, op5_license_scan, op6_rule_ensemble, op7_sharding, op8_language_id, op9_suffix_dedup, op10_ngram_join, op12_fill_in_middle)}
 
 
 #: crc32 of a list of bytes b, with the usual table made by its rule.
@@ -90,6 +95,16 @@ w as (select id, (first(s order by draw desc, s) filter (where s < 16))::int as
 select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard from p join w using (id)"""
 
 
+#: Units, draws and cuts said once more; what is restored must be the text.
+_MIDDLE = r"""with t as (select doc_id, coalesce(text, '') as text, sha256('7:'||doc_id) as h from documents),
+u as (select *, case when text = '' then [] else regexp_extract_all(text, '[^\n]*\n|[^\n]+') end as lines, ('0x'||substr(h, 1, 8))::bigint as h1, ('0x'||substr(h, 9, 8))::bigint as h2, ('0x'||substr(h, 17, 8))::bigint as h3, ('0x'||substr(h, 25, 8))::bigint as h4 from t),
+c as (select *, len(lines) as n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as b from u),
+f as (select doc_id, text, n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+  coalesce(array_to_string(lines[1:a], ''), '') as head, coalesce(array_to_string(lines[a + 1:b], ''), '') as mid, coalesce(array_to_string(lines[b + 1:n], ''), '') as tail from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(head)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>'||head||'<S>'||tail||'<M>'||mid else '<S>'||tail||'<P>'||head||'<M>'||mid end) as output_sha256, sha256(text) as restored_sha256 from f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenisers, models, similarity joins and substrings can't be said in SQL; tests/llm hold those against brute force."""
-    return {"op7_sharding": _SHARDS}
+    return {"op7_sharding": _SHARDS, "op12_fill_in_middle": _MIDDLE}
