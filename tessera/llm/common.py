@@ -303,3 +303,20 @@ def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     from pyspark.sql import functions as F
 
     return F.broadcast(keys) if keys.count() <= limit else keys
+
+
+#: Rows that one row is made into at a time.
+COPIES = 4096
+
+
+def deal_copies(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Each of rows as often as its column ``count`` says, numbered from 0 in ``name``; rows of many copies are dealt out in runs of COPIES."""
+    from pyspark.sql import functions as F
+
+    run = free_name(rows, "run")
+    few = rows.where(F.col(count).between(1, COPIES)).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    runs = rows.where(F.col(count) > COPIES).withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / COPIES))))
+    spread = runs.repartition(default_partitions(rows.sparkSession), *runs.columns)
+    last = F.least((F.col(run) + 1) * COPIES, F.col(count)) - 1
+    many = spread.withColumn(name, F.explode(F.sequence(F.col(run) * COPIES, last))).drop(run)
+    return few.unionByName(many)

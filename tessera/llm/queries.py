@@ -12,6 +12,7 @@ from tessera.llm.decontamination import benchmark_matches
 from tessera.llm.fill_in_middle import middle_digests
 from tessera.llm.language_id import fit_languages, predict_languages
 from tessera.llm.license_scan import inherit_licenses, scan_licenses
+from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import jaccard_join
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.rule_ensemble import fit_quality, id_remainder, score_quality
@@ -76,8 +77,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle_digests(documents(spark, sf_dir))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "weight", "epochs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_token_store, op5_license_scan, op6_rule_ensemble, op7_sharding, op8_language_id, op9_suffix_dedup, op10_ngram_join, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_token_store, op5_license_scan, op6_rule_ensemble, op7_sharding, op8_language_id, op9_suffix_dedup, op10_ngram_join, op12_fill_in_middle, op13_source_mix)}
 
 
 #: crc32 of a list of bytes b, with the usual table made by its rule.
@@ -104,7 +109,23 @@ f as (select doc_id, text, n, case when text = '' or contains(text, '<P>') or co
 select doc_id, n::bigint as n, form, case when form <> 'plain' then length(head)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
   sha256(case form when 'plain' then text when 'psm' then '<P>'||head||'<S>'||tail||'<M>'||mid else '<S>'||tail||'<P>'||head||'<M>'||mid end) as output_sha256, sha256(text) as restored_sha256 from f"""
 
+#: The mix with windows over all sources and a recursive first fit.
+_MIX = r"""with recursive t as (select doc_id, source, coalesce(text, '') as text from documents),
+c as (select doc_id, source, md5(text) as digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as size, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as ink,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+w as (select doc_id, source, digest, size, greatest((ink - symbols)::double / greatest(ink, 1) * (len(list_distinct(lines))::double / greatest(len(lines), 1)), 0.05::double) as weight from c),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as sid from w group by source),
+v as (select *, 1 + sid % 3 as turn from s),
+p as (select *, (sum(source_size) over ())::double - 3 * (sum(source_size) over (order by 3 * source_size::double / turn, sid) - source_size) as open_words, (sum(turn) over () - sum(turn) over (order by 3 * source_size::double / turn, sid) + turn)::double as open_turns from v),
+l as (select open_words, open_turns from p where open_words * turn / open_turns <= 3 * source_size order by 3 * source_size::double / turn, sid limit 1),
+g as (select sid, source, source_size, least(l.open_words * turn / l.open_turns, 3 * source_size)::double as target from v, l),
+e as (select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end::bigint as epochs from g),
+k as (select doc_id, sid, size, weight, source_size, target, epochs, row_number() over (partition by sid order by -ln((('0x'||substr(md5(doc_id||'/'||digest), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double) / weight, doc_id, digest) as nth from w join e on w.source is not distinct from e.source),
+f as (select sid, 0::bigint as nth, floor(target - epochs * source_size)::bigint as room, false as fits from e
+  union all select k.sid, k.nth::bigint, case when k.size <= f.room then f.room - k.size else f.room end::bigint, k.size <= f.room from f join k on k.sid = f.sid and k.nth = f.nth + 1)
+select doc_id, size::bigint as size, source_size, target, (epochs * size + case when fits then size else 0 end)::bigint as taken, weight, epochs from k join f using (sid, nth)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Tokenisers, models, similarity joins and substrings can't be said in SQL; tests/llm hold those against brute force."""
-    return {"op7_sharding": _SHARDS, "op12_fill_in_middle": _MIDDLE}
+    return {"op7_sharding": _SHARDS, "op12_fill_in_middle": _MIDDLE, "op13_source_mix": _MIX}
