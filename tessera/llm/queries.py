@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents
 from tessera.llm.decontamination import benchmark_matches
+from tessera.llm.divergence import audit_sources
 from tessera.llm.fill_in_middle import middle_digests
 from tessera.llm.language_id import fit_languages, predict_languages
 from tessera.llm.license_scan import inherit_licenses, scan_licenses
@@ -73,6 +74,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(documents(spark, sf_dir))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle_digests(documents(spark, sf_dir))
 
@@ -82,7 +87,7 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_token_store, op5_license_scan, op6_rule_ensemble, op7_sharding, op8_language_id, op9_suffix_dedup, op10_ngram_join, op12_fill_in_middle, op13_source_mix)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_token_store, op5_license_scan, op6_rule_ensemble, op7_sharding, op8_language_id, op9_suffix_dedup, op10_ngram_join, op11_source_divergence, op12_fill_in_middle, op13_source_mix)}
 
 
 #: crc32 of a list of bytes b, with the usual table made by its rule.
@@ -100,6 +105,22 @@ w as (select id, (first(s order by draw desc, s) filter (where s < 16))::int as
 select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard from p join w using (id)"""
 
 
+#: Every kept term of every group and language said in full, with exact integers.
+_DIVERGENCE = r"""with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+w as (select id, lang, source, unnest(terms) as term from d),
+kept as (select lang, term, count(*) as n from w group by lang, term having count(distinct id) >= 10),
+v as (select lang, count(*) as v, sum(n)::hugeint as n from kept group by lang),
+groups as (select distinct lang, source from d),
+c as (select w.lang, w.source, w.term, count(*) as n from w join kept on w.lang = kept.lang and w.term = kept.term group by w.lang, w.source, w.term),
+t as (select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as n from groups g left join c on g.lang = c.lang and g.source = c.source group by g.lang, g.source),
+p as (select t.lang, t.source, kept.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (t.n + 2 * v.v) as p, 1 + (1000000000::hugeint * (kept.n + 2)) // (v.n + 2 * v.v) as q
+  from t join kept on t.lang = kept.lang join v on v.lang = t.lang left join c on c.lang = t.lang and c.source = t.source and c.term = kept.term),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where n > 0 and p > q),
+x as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from r)
+select lang, source, part, item, value, rank::int as rank from x where part = 'pair' or rank <= 10"""
+
 #: Units, draws and cuts said once more; what is restored must be the text.
 _MIDDLE = r"""with t as (select doc_id, coalesce(text, '') as text, sha256('7:'||doc_id) as h from documents),
 u as (select *, case when text = '' then [] else regexp_extract_all(text, '[^\n]*\n|[^\n]+') end as lines, ('0x'||substr(h, 1, 8))::bigint as h1, ('0x'||substr(h, 9, 8))::bigint as h2, ('0x'||substr(h, 17, 8))::bigint as h3, ('0x'||substr(h, 25, 8))::bigint as h4 from t),
@@ -128,4 +149,4 @@ select doc_id, size::bigint as size, source_size, target, (epochs * size + case
 
 def oracle_sql() -> dict[str, str]:
     """Tokenisers, models, similarity joins and substrings can't be said in SQL; tests/llm hold those against brute force."""
-    return {"op7_sharding": _SHARDS, "op12_fill_in_middle": _MIDDLE, "op13_source_mix": _MIX}
+    return {"op7_sharding": _SHARDS, "op11_source_divergence": _DIVERGENCE, "op12_fill_in_middle": _MIDDLE, "op13_source_mix": _MIX}
