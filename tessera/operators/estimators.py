@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import models
+from tessera.operators.boosting import QuantileBoosting
 from tessera.operators.frames import kfold
 from tessera.operators.neighbours import nearest
 
@@ -256,9 +257,9 @@ def support_vectors(C: float = 1.0, gamma: str = "scale") -> OneTask:  # noqa: N
     return OneTask(lambda: models.SupportVector(C, gamma))
 
 
-def quantile_boosting(alpha: float = 0.95, n_estimators: int = 50) -> OneTask:
+def quantile_boosting(alpha: float = 0.95, n_estimators: int = 50, max_depth: int = 3) -> QuantileBoosting:
     """Middle: the median; y_std: half the distance between the alpha and 1 - alpha quantiles, never negative."""
-    return OneTask(lambda: models.QuantileBoosting(alpha, n_estimators))
+    return QuantileBoosting(alpha, n_estimators, max_depth)
 
 
 class Bagging:

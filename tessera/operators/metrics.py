@@ -191,3 +191,11 @@ def ordered_intervals(predictions: DataFrame, order_by: str = "y_true", k: float
 def pinball(actual: str, forecast: str, q: str = "q"):
     d = F.col(actual) - F.col(forecast)
     return F.greatest(F.col(q) * d, (F.col(q) - 1) * d)
+
+
+def pinball(rows: DataFrame, levels: dict[float, str]) -> DataFrame:
+    """level, n and pinball: the mean quantile loss of each predicted quantile (level to column) against y_true."""
+    loss = lambda q, c: F.avg(F.when(F.col("y_true") >= F.col(c), q * (F.col("y_true") - F.col(c))).otherwise((q - 1) * (F.col("y_true") - F.col(c))))
+    wide = rows.agg(F.count("*").alias("n"), *[loss(q, c).alias(f"p{i}") for i, (q, c) in enumerate(levels.items())])
+    each = F.array(*[F.struct(F.lit(float(q)).alias("level"), F.col("n"), F.col(f"p{i}").alias("pinball")) for i, q in enumerate(levels)])
+    return wide.select(F.explode(each).alias("x")).select("x.*")

@@ -1,4 +1,4 @@
-"""Surrogate models. Closed forms are aggregates; Gaussian processes, support vectors and quantile boosting fit one output in one task.
+"""Surrogate models. Closed forms are aggregates; Gaussian processes and support vectors fit one output in one task.
 
 estimators.py gives them all one interface; those of one task fit on a sample of bounded size there.
 """
@@ -135,66 +135,6 @@ class SupportVector:
         return self.bias + self._kernel(x, self.x) @ self.beta, None
 
 
-class BoostedStumps:
-    """Gradient boosting of depth-limited splits; with a quantile the leaves hold that quantile of the residuals."""
-
-    def __init__(self, rounds: int = 50, depth: int = 3, rate: float = 0.1, quantile: float | None = None):
-        self.rounds, self.depth, self.rate, self.quantile = rounds, depth, rate, quantile
-
-    def _leaf(self, r):
-        return float(np.quantile(r, self.quantile)) if self.quantile is not None else float(r.mean())
-
-    def _tree(self, x, g, r, depth):
-        best = (1e-12, None, None)
-        if depth and len(g) >= 4:
-            for j in range(x.shape[1]):
-                o = np.argsort(x[:, j], kind="stable")
-                c, n = np.cumsum(g[o]), np.arange(1, len(g) + 1)
-                gain = c[:-1] ** 2 / n[:-1] + (c[-1] - c[:-1]) ** 2 / (len(g) - n[:-1]) - c[-1] ** 2 / len(g)
-                gain[x[o[1:], j] == x[o[:-1], j]] = 0
-                k = int(np.argmax(gain))
-                if gain[k] > best[0]:
-                    best = (gain[k], j, (x[o[k], j] + x[o[k + 1], j]) / 2)
-        if best[1] is None:
-            return self._leaf(r)
-        low = x[:, best[1]] <= best[2]
-        return best[1], best[2], self._tree(x[low], g[low], r[low], depth - 1), self._tree(x[~low], g[~low], r[~low], depth - 1)
-
-    def _apply(self, t, x):
-        if not isinstance(t, tuple):
-            return np.full(len(x), t)
-        low, out = x[:, t[0]] <= t[1], np.empty(len(x))
-        out[low], out[~low] = self._apply(t[2], x[low]), self._apply(t[3], x[~low])
-        return out
-
-    def fit(self, x, y):
-        self.base = self._leaf(y)
-        f, self.trees = np.full(len(y), self.base), []
-        for _ in range(self.rounds):
-            r = y - f
-            g = r if self.quantile is None else np.where(r > 0, self.quantile, self.quantile - 1)
-            self.trees.append(self._tree(x, g, r, self.depth))
-            f += self.rate * self._apply(self.trees[-1], x)
-        return self
-
-    def predict(self, x):
-        return self.base + self.rate * sum(self._apply(t, x) for t in self.trees), None
-
-
-class QuantileBoosting:
-    def __init__(self, alpha: float = 0.95, rounds: int = 50):
-        self.parts = [BoostedStumps(rounds, quantile=q) for q in (1 - alpha, 0.5, alpha)]
-
-    def fit(self, x, y):
-        for p in self.parts:
-            p.fit(x, y)
-        return self
-
-    def predict(self, x):
-        lower, mid, upper = (p.predict(x)[0] for p in self.parts)
-        return mid, np.abs(upper - lower) / 2
-
-
 def bounded_sample(df: DataFrame, key: str, by: str = "output", limit: int = FIT_ROWS) -> DataFrame:
     """About limit rows of each group, chosen by a hash of the key."""
     counts = df.groupBy(by).agg(F.count("*").alias("_n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import central_z
 from tessera.operators import design, estimators, explain, forecast, frames, metrics, models, reduction
+from tessera.operators.boosting import QuantileBoosting
 from tessera.sources import examples
 from tessera.sources.tables import matching_lines
 from tessera.streaming.windows import windowed_series
@@ -374,6 +375,32 @@ for _name, _make in {"gp_metrics": lambda: estimators.gaussian_process(1e-2), "s
     _QUERIES[_name] = _fitted(_make)
 
 
+_STUMP = """with t as (select p_size::double as x, p_retailprice::double as y from part), lv(level) as (values (0.05::double), (0.5::double), (0.95::double)),
+o as (select y, row_number() over (order by y) as r, count(*) over () as n from t), b as (select level, min(y) as base from o, lv where r >= ceil(level*n) group by level),
+g as (select level, x, count(*) as n, sum((y > base)::int) as up from t, b group by level, x),
+c as (select level, x, sum(n) over w as nl, sum(up) over w as ul, sum(n) over (partition by level) as nt, sum(up) over (partition by level) as ut from g window w as (partition by level order by x)),
+k as (select level, x, row_number() over (partition by level order by pow(ul-(1-level)*nl,2)/nl+pow((ut-ul)-(1-level)*(nt-nl),2)/(nt-nl) desc, x) as place from c where nl >= 2 and nt-nl >= 2),
+r as (select level, y, base, y-base as r, t.x <= k.x as low from t, b join k using (level) where place = 1),
+q as (select *, row_number() over (partition by level, low order by r) as i, count(*) over (partition by level, low) as n from r),
+v as (select level, low, min(r) as leaf from q where i >= ceil(level*n) group by level, low)
+select level, count(*)::bigint as n, round(avg(case when y >= base+leaf then level*(y-base-leaf) else (level-1)*(y-base-leaf) end),6) as pinball from r join v using (level, low) group by level"""
+
+
+@query(_STUMP)
+def quantile_stump(spark, d):
+    """Quantile boosting of one round and one cut over all parts, whose pinball loss has a closed form."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("y_true"))
+    made = QuantileBoosting(0.95, 1, 1, 1.0).fit(rows, ["size"]).predict_quantiles(rows)
+    return rounded(metrics.pinball(made, {0.05: "lower", 0.5: "middle", 0.95: "upper"}))
+
+
+@query()
+def quantile_boosting_metrics(spark, d):
+    """Ten rounds of depth three on all training parts; metrics of the test parts."""
+    train, test = frames.remainder_split(_part_xy(spark, d), "row_id")
+    return rounded(metrics.uq_metrics(QuantileBoosting(0.95, 10).fit(train, ["a", "b"]).predict(test)))
+
+
 _XY = "with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b, p_retailprice as y from part)"
 
 

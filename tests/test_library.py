@@ -264,15 +264,6 @@ def test_gaussian_process_equals_the_definition():
     assert np.allclose(got[0], mean) and np.allclose(got[1] ** 2, var)
 
 
-def test_quantile_boosting_orders_quantiles():
-    rng = np.random.default_rng(0)
-    x = rng.uniform(0, 1, (300, 1))
-    y = x[:, 0] + rng.normal(size=300) * 0.2
-    q = models.QuantileBoosting(0.9, 30).fit(x, y)
-    low, mid, high = (p.predict(x)[0] for p in q.parts)
-    assert (y < low).mean() < 0.2 < (y < mid).mean() < 0.8 < (y < high).mean() and (q.predict(x)[1] >= 0).all()
-
-
 # neighbours and designs -------------------------------------------------------------------------------------------
 
 
