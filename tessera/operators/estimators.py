@@ -207,13 +207,13 @@ class Boosting(_SparkTrees):
 
 
 class Tree(_SparkTrees):
-    def __init__(self, max_depth: int | None = None):
-        self.depth = max_depth
+    def __init__(self, max_depth: int | None = None, max_bins: int = 32):
+        self.depth, self.bins = max_depth, max_bins
 
     def _make(self):
         from pyspark.ml.regression import DecisionTreeRegressor
 
-        return DecisionTreeRegressor(maxDepth=min(self.depth or 15, 30), seed=0)
+        return DecisionTreeRegressor(maxDepth=min(self.depth or 15, 30), maxBins=self.bins, seed=0)
 
 
 class OneTask:

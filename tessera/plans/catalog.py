@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import central_z
-from tessera.operators import design, estimators, explain, forecast, frames, metrics, models, reduction
+from tessera.operators import design, estimators, explain, forecast, frames, metrics, models, reduction, tree_shap
 from tessera.operators.boosting import QuantileBoosting
 from tessera.sources import examples
 from tessera.sources.tables import matching_lines
@@ -571,6 +571,29 @@ def shap_exact(spark, d):
     return rounded(explain.mean_absolute_shap(explain.shap_values(lambda x: 3 * x[:, 0] - 2 * x[:, 1], rows, ["a", "b"], background), ["a", "b"]))
 
 
+_CUT = """with t as (select p_partkey as k, p_size::double as x, p_retailprice::double as y from part), g as (select x, count(*) as n, sum(y) as s from t group by x),
+c as (select x, lead(x) over (order by x) as hi, sum(n) over (order by x) as nl, sum(s) over (order by x) as sl, sum(n) over () as nt, sum(s) over () as st from g),
+m as (select (x+hi)/2 as cut, nl, nt, sl/nl as l, (st-sl)/(nt-nl) as r, st/nt as e from c where hi is not null order by round(sl*sl/nl+(st-sl)*(st-sl)/(nt-nl),4) desc, x limit 1)"""
+
+
+@query(_CUT + " select 'price' as output, 'size' as feature, round(avg(abs(case when x <= cut then l else r end - e)),6) as mean_abs_shap from t, m")
+def shap_tree_stump(spark, d):
+    """Tree Shapley values of a forest of one tree of one cut over all parts: what the leaf is off the mean."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("y_true"))
+    values = tree_shap.estimator_shap(estimators.Tree(1, 64).fit(rows, ["size"]), rows)
+    return rounded(tree_shap.mean_absolute_by_output(values, ["size"]))
+
+
+@query()
+def shap_forest(spark, d):
+    """Mean absolute tree Shapley values of a forest over all line items, by output."""
+    li = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")], F.col("l_extendedprice").cast("double").alias("price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("net"))
+    features = ["l_quantity", "l_discount", "l_tax"]
+    rows = frames.to_long(li, ["row_id", *features], ["price", "net"])
+    model = estimators.Forest(5, 4).fit(rows, features)
+    return rounded(tree_shap.mean_absolute_by_output(tree_shap.estimator_shap(model, rows), features), 4)
+
+
 @query(_DAILY + "select series_id, count(*)::bigint as n, round(quantile_cont(value, 0.5),6) as middle from s group by 1")
 def series_medians(spark, d):
     s = daily_naive(spark, d, True)
