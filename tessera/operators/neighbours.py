@@ -1,31 +1,56 @@
-"""Nearest rows of stated queries: every task keeps the best few of its rows for each query, and these are merged."""
+"""Exact nearest rows by pivots, and silhouettes by bounds: queries stay distributed, and parts of the table that bounds rule out are not compared.
+
+Nearest rows. Some rows serve as pivots; every row belongs to the cell of its nearest pivot, and cells that are too large
+are cut into rings by the distance to it. By the triangle inequality a ring whose rows lie between r1 and r2 from the
+pivot p has no row nearer to q than max(d(q, p) - r2, r1 - d(q, p)), and the half-way plane between two pivots bounds the
+distance to another cell. Each query first looks into the ring around itself, which bounds the distance of its k-th
+nearest row, then into the rings that may hold a nearer one. Queries and rows meet ring by ring, in blocks of bounded size.
+
+Of rows with the same features only the first k + 1 by key can be among the k nearest of any query, and queries with the
+same features ask once: a value that a third of all rows have costs no more than another.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers of the queries that are sent to the tasks at once; more queries go in several passes.
-QUERY_NUMBERS = 2_000_000
+from tessera.operators.written import written
+
+#: Rows that one block of a cell has at most, about, and queries that meet it at a time.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
+#: Pivots at most; they go to every task.
+MOST_PIVOTS = 2048
+#: Rings of a cell at most.
+MOST_RINGS = 64
+#: Up to so many rows every query meets every block and no pivot is asked: the same result by fewer jobs.
+DIRECT_ROWS = 65_536
 #: Distances that one numpy pass holds.
-BLOCK = 4_000_000
+_PASS = 4_000_000
+#: How much bounds give way to rounding.
+_SLACK = 1e-9
 
 
-def _passes(queries: DataFrame, key: str, width: int) -> list[pd.DataFrame]:
-    """The queries in sets of at most QUERY_NUMBERS numbers, each to be broadcast by itself."""
-    n = queries.count()
-    passes = max(1, -(-n * width // QUERY_NUMBERS))
-    if passes == 1:
-        return [queries.toPandas()]
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(passes)) == k).toPandas() for k in range(passes)]
+def _vector(df: DataFrame, features: list[str]) -> Column:
+    """One array of doubles of numeric columns, or of one column of arrays."""
+    if len(features) == 1 and df.schema[features[0]].dataType.typeName() == "array":
+        return F.transform(features[0], lambda v: v.cast("double"))
+    return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
-    if len(features) == 1 and len(frame) and isinstance(frame[features[0]].iloc[0], (list, np.ndarray)):
-        return np.stack(frame[features[0]].to_numpy()).astype(np.float64)
-    return frame[features].to_numpy(np.float64).reshape(len(frame), -1) if len(frame) else np.zeros((0, len(features)))
+def _whole(x: str) -> Column:
+    """Whether all numbers of an array are finite."""
+    return F.col(x).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
 def _squares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -36,83 +61,278 @@ def _squares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+def _meet(left: DataFrame, right: DataFrame, compare: Callable, schema: str) -> DataFrame:
+    """compare(queries, rows) of every block: left and right have a column block; blocks that many queries want are dealt out in parts.
+
+    Of left and right only what stands in a block meets; a part has BLOCK_QUERIES rows of left, about.
+    """
+    counts = left.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("_parts"))
+    parted = left.join(counts, "block").withColumn("_part", F.pmod(F.xxhash64(*[c for c in left.columns if c != "block"]), F.col("_parts")).cast("int")).drop("_parts")
+    wanted = right.join(counts, "block").withColumn("_part", F.explode(F.sequence(F.lit(0), (F.col("_parts") - 1).cast("int")))).drop("_parts")
+
+    def run(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        return compare(a, b)
+
+    return parted.groupBy("block", "_part").cogroup(wanted.groupBy("block", "_part")).applyInArrow(run, schema)
+
+
+def _against_all(rows: DataFrame, asked: DataFrame, n: int, k: int, apart: bool, compared, kind: str) -> DataFrame:
+    """nearest() for a table of few rows: blocks by a hash of the key."""
+    blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked.count() // BLOCK_QUERIES))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    everywhere = asked.select(F.col("row_id").alias("q"), "x", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    best = _best(k + apart, compared)
+
+    def run(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        return best(a, b)
+
+    met = everywhere.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(run, f"q {kind}, other {kind}, d double, payload double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "other"))
+    met = met.where("q <> other") if apart else met
+    return met.withColumn("place", place).where(F.col("place") <= k).select(F.col("q").alias("row_id"), "place", "other", "d", "payload")
+
+
+class _Cells:
+    """The table dealt into cells and rings: rows (other, x, payload, block), pivots, and for each ring its cell, r1, r2 and number of rows."""
+
+    def __init__(self, rows: DataFrame, n: int, most: int):
+        self.kind, spark = rows.schema["other"].dataType.simpleString(), rows.sparkSession
+        # a sample by hash: the same pivots on every run
+        picked = rows.orderBy(F.xxhash64("x"), "x").select("x").limit(min(MOST_PIVOTS, max(1, -(-2 * n // BLOCK_ROWS)))).collect()
+        self.pivots = np.unique(np.array([r["x"] for r in picked], float).reshape(len(picked), -1), axis=0)
+        first = Window.partitionBy("x").orderBy("other")
+        apart = rows.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most).drop("_place")
+        pivots = self.pivots
+
+        def assign(batches):
+            for b in batches:
+                x = _matrix(b.column("x"))
+                cell, r = np.zeros(len(x), np.int32), np.zeros(len(x))
+                for at in range(0, len(x), max(1, _PASS // len(pivots))):
+                    part = slice(at, at + max(1, _PASS // len(pivots)))
+                    d = np.sqrt(_squares(x[part], pivots))
+                    cell[part] = d.argmin(1)
+                    r[part] = d.min(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(r)], [*b.schema.names, "cell", "r"])
+
+        placed = written(apart.mapInArrow(assign, f"other {self.kind}, x array<double>, payload double, cell int, r double"), "rows-by-cell")
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("r", [k / MOST_RINGS for k in range(1, MOST_RINGS)], 10 * MOST_RINGS).alias("q")).collect()  # one row a pivot
+        ends = {}
+        for c in sizes:
+            rings = min(MOST_RINGS, -(-c["n"] // BLOCK_ROWS))
+            ends[c["cell"]] = np.unique([c["q"][round(k * MOST_RINGS / rings) - 1] for k in range(1, rings)]) if rings > 1 else np.zeros(0)
+        longest = max(len(e) for e in ends.values())
+        if longest:
+            table_of_ends = F.broadcast(spark.createDataFrame([(c, [float(v) for v in e]) for c, e in ends.items()], "cell int, ends array<double>"))
+            ring = F.size(F.filter("ends", lambda e: e < F.col("r")))
+            ringed = placed.join(table_of_ends, "cell").withColumn("ring", ring).drop("ends")
+        else:
+            ringed = placed.withColumn("ring", F.lit(0))
+        self.rows = ringed.withColumn("block", F.col("cell").cast("long") * MOST_RINGS + F.col("ring")).select("other", "x", "payload", "block", "r")
+        found = self.rows.groupBy("block").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count("*").alias("n")).orderBy("block").collect()  # at most MOST_PIVOTS * MOST_RINGS rows
+        self.block, self.r1, self.r2, self.size = (np.array([r[c] for r in found]) for c in ("block", "r1", "r2", "n"))
+        self.cell = self.block // MOST_RINGS
+        self.between = np.sqrt(_squares(self.pivots, self.pivots))
+
+    def lower(self, d: np.ndarray) -> np.ndarray:
+        """No row of a ring is nearer than this; d: distances of queries to all pivots."""
+        to = d[:, self.cell]
+        out = np.maximum(np.maximum(to - self.r2, self.r1 - to), 0)
+        own = d.argmin(1)
+        gap = self.between[own][:, self.cell]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (to**2 - d.min(1)[:, None] ** 2) / (2 * gap)
+        return np.maximum(out, np.where(gap > 0, plane, 0)) * (1 - _SLACK) - _SLACK
+
+    def upper(self, d: np.ndarray, k: int) -> np.ndarray:
+        """k rows at least are as near as this."""
+        far = d[:, self.cell] + self.r2
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(self.size[order], axis=1) >= k
+        first = np.where(enough.any(1), enough.argmax(1), -1)
+        return np.where(first >= 0, far[np.arange(len(d)), order[np.arange(len(d)), first]], np.inf) * (1 + _SLACK) + _SLACK
+
+
+def _best(k: int, compared) -> Callable:
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        q, x = _matrix(a.column("x")), _matrix(b.column("x"))
+        other, extra = b.column("other").combine_chunks(), b.column("payload").to_numpy()
+        place = np.argsort(other.to_numpy(zero_copy_only=False), kind="stable")  # ties go to the least key
+        x = x[place]
+        ids, picked, dist = [], [], []
+        compared.add(len(q) * len(x))
+        for at in range(0, len(q) if len(x) else 0, max(1, _PASS // max(len(x), 1))):
+            d = _squares(q[at : at + max(1, _PASS // len(x))], x)
+            first = np.argsort(d, axis=1, kind="stable")[:, :k] if d.shape[1] <= 4 * k else _first(d, k)
+            ids.append(np.repeat(np.arange(at, at + len(d)), first.shape[1]))
+            picked.append(place[first].ravel())
+            dist.append(np.take_along_axis(d, first, axis=1).ravel())
+        ids, picked, dist = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((ids, np.int64), (picked, np.int64), (dist, float)))
+        return pa.table([a.column("q").combine_chunks().take(pa.array(ids)), other.take(pa.array(picked)), pa.array(dist), pa.array(extra[picked])], ["q", "other", "d", "payload"])
+
+    return compare
+
+
+def _first(d: np.ndarray, k: int) -> np.ndarray:
+    """The k least of each row in order, the first of equals first."""
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    below, at = d < limit, np.arange(d.shape[1])
+    # everything below the k-th, then the first of those that equal it
+    rank = np.where(below, at, np.where(d == limit, at + d.shape[1], 3 * d.shape[1]))
+    some = np.sort(np.argpartition(rank, k - 1, axis=1)[:, :k], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def nearest(table: DataFrame, queries: DataFrame, key: str, features: list[str], k: int, payload: str | None = None, apart: bool = True) -> DataFrame:
     """row_id, place (from 1), other, d (squared distance) and payload of the k nearest rows of each query; ties go to the least key.
 
-    features are numeric columns, or one column of arrays. With apart, the row of the query's own key is left out.
+    features are numeric columns, or one column of arrays; rows and queries with a null, a NaN or an infinity there are
+    left out. With apart, the row of the query's own key is left out. ``compared`` of the result is an accumulator of
+    the pairs compared so far, right after an action.
     """
-    kind = table.schema[key].dataType.simpleString()
-    columns = [key, *features, *([payload] if payload and payload not in (key, *features) else [])]
-    schema = f"row_id {kind}, other {kind}, d double, payload double"
-    found = None
-    for part in _passes(queries.select(key, *features), key, max(1, len(features))):
-        shared = table.sparkSession.sparkContext.broadcast((part[key].to_numpy(), _matrix(part, features)))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
-            for frame in batches:
-                if not len(frame) or not len(ids):
-                    continue
-                frame = frame.sort_values(key, kind="stable")
-                other, x = frame[key].to_numpy(), _matrix(frame, features)
-                extra = frame[payload].to_numpy(float) if payload else np.zeros(len(frame))
-                for at in range(0, len(ids), max(1, BLOCK // len(frame))):
-                    rows = slice(at, at + max(1, BLOCK // len(frame)))
-                    d = _squares(q[rows], x)
-                    if apart:
-                        d[ids[rows, None] == other[None, :]] = np.inf
-                    limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                    for i in range(len(d)):
-                        near = np.flatnonzero((d[i] <= limit[i]) & np.isfinite(d[i]))
-                        old = best[at + i]
-                        dd, oo, ee = np.concatenate([old[0], d[i, near]]), np.concatenate([old[1], other[near]]), np.concatenate([old[2], extra[near]])
-                        first = np.lexsort((oo, dd))[:k]
-                        best[at + i] = dd[first], oo[first], ee[first]
-            for query, (d, o, e) in zip(ids, best):
-                if len(d):
-                    yield pd.DataFrame({"row_id": query, "other": o, "d": d, "payload": e})
-
-        some = table.select(*columns).mapInPandas(run, schema)
-        found = some if found is None else found.unionByName(some)
-    # k rows a query and task
-    place = F.row_number().over(Window.partitionBy("row_id").orderBy("d", "other"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
-
-
-def cluster_distances(table: DataFrame, queries: DataFrame, key: str, features: list[str], cluster: str) -> DataFrame:
-    """row_id, own (the query's cluster), cluster, total (sum of Euclidean distances to its rows) and n, without the query's own row."""
-    kind = table.schema[key].dataType.simpleString()
-    found = None
-    for part in _passes(queries.select(key, cluster, *features), key, len(features) + 1):
-        shared = table.sparkSession.sparkContext.broadcast((part[key].to_numpy(), part[cluster].to_numpy(int), _matrix(part, features)))
-
-        def run(batches, shared=shared):
-            ids, own, q = shared.value
-            total: dict[int, np.ndarray] = {}
-            count: dict[int, np.ndarray] = {}
-            for frame in batches:
-                x, other, label = _matrix(frame, features), frame[key].to_numpy(), frame[cluster].to_numpy(int)
-                for at in range(0, len(ids), max(1, BLOCK // max(len(frame), 1))):
-                    rows = slice(at, at + max(1, BLOCK // max(len(frame), 1)))
-                    d = np.sqrt(_squares(q[rows], x))
-                    same = ids[rows, None] == other[None, :]
-                    d[same] = 0
-                    for c in np.unique(label):
-                        total.setdefault(c, np.zeros(len(ids)))[rows] += d[:, label == c].sum(1)
-                        count.setdefault(c, np.zeros(len(ids)))[rows] += (~same[:, label == c]).sum(1)
-            for c in total:
-                yield pd.DataFrame({"row_id": ids, "own": own, "cluster": c, "total": total[c], "n": count[c].astype(np.int64)})
-
-        some = table.select(key, cluster, *features).mapInPandas(run, f"row_id {kind}, own int, cluster int, total double, n long")
-        found = some if found is None else found.unionByName(some)
-    return found.groupBy("row_id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    spark, kind = table.sparkSession, table.schema[key].dataType.simpleString()
+    compared = spark.sparkContext.accumulator(0)
+    rows = table.select(F.col(key).alias("other"), _vector(table, features).alias("x"), (F.col(payload) if payload else F.lit(0.0)).cast("double").alias("payload")).where(_whole("x"))
+    asked = queries.select(F.col(key).alias("row_id"), _vector(queries, features).alias("x")).where(_whole("x"))
+    n = rows.count()
+    if n <= DIRECT_ROWS:
+        out = _against_all(rows, asked, n, k, apart, compared, kind)
+        out.compared = compared
+        return out
+    cells = _Cells(rows, n, k + 1)
+    want = k + 1
+    distinct = asked.groupBy("x").agg(F.min("row_id").alias("q"))
+
+    def distances(b: pa.RecordBatch):
+        x = _matrix(b.column("x"))
+        step = max(1, _PASS // max(len(cells.block), len(cells.pivots)))
+        for at in range(0, len(x), step):
+            yield b.slice(at, min(step, len(x) - at)), np.sqrt(_squares(x[at : at + step], cells.pivots))
+
+    held = cells.rows
+    cells.rows = None  # what goes to the tasks has no table
+
+    def around(batches):
+        for batch in batches:
+            for b, d in distances(batch):
+                low = cells.lower(d)
+                low[cells.cell[None, :] != d.argmin(1)[:, None]] = np.inf
+                yield pa.RecordBatch.from_arrays([b.column("q"), b.column("x"), pa.array(cells.block[low.argmin(1)]), pa.array(cells.upper(d, want))], ["q", "x", "block", "limit"])
+
+    home = written(distinct.select("q", "x").mapInArrow(around, f"q {kind}, x array<double>, block long, limit double"), "queries-by-cell")
+    schema = f"q {kind}, other {kind}, d double, payload double"
+    near = written(_meet(home.select("q", "x", "block"), held, _best(want, compared), schema), "nearest-around")
+    limits = near.groupBy("q").agg(F.when(F.count("*") >= want, F.sqrt(F.max("d"))).alias("seen"))
+    open_ = home.join(limits, "q", "left").select("q", "x", F.col("block").alias("home"), F.least(F.col("limit"), F.coalesce(F.col("seen") * (1 + _SLACK) + _SLACK, F.col("limit"))).alias("limit"))
+
+    def others(batches):
+        for batch in batches:
+            for b, d in distances(batch):
+                open_here = cells.lower(d) <= b.column("limit").to_numpy()[:, None]
+                open_here &= cells.block[None, :] != b.column("home").to_numpy()[:, None]
+                row, which = np.nonzero(open_here)
+                for at in range(0, len(row), BLOCK_QUERIES):
+                    some = pa.array(row[at : at + BLOCK_QUERIES])
+                    yield pa.RecordBatch.from_arrays([b.column("q").take(some), b.column("x").take(some), pa.array(cells.block[which[at : at + BLOCK_QUERIES]])], ["q", "x", "block"])
+
+    further = _meet(open_.mapInArrow(others, f"q {kind}, x array<double>, block long"), held, _best(want, compared), schema)
+    by_distance = Window.partitionBy("q").orderBy("d", "other")
+    best = near.unionByName(further).withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= want)
+    lists = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "other", "payload"))).alias("near")).join(distinct, "q")  # k + 1 a query
+    mine = asked.join(lists.select("x", "near"), "x")
+    kept = F.filter("near", lambda r: r["other"] != F.col("row_id")) if apart else F.col("near")
+    out = mine.select("row_id", F.posexplode(F.slice(kept, 1, k)).alias("_p", "r")).select("row_id", (F.col("_p") + 1).alias("place"), "r.other", "r.d", "r.payload")
+    out.compared = compared
+    return out
+
+
+# silhouettes ------------------------------------------------------------------------------------------------------
+
+
+def _moments(table: DataFrame, features: list[str], cluster: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Label, size, mean and mean squared norm around it of each cluster: one row a cluster."""
+    rows = table.select(F.col(cluster).cast("int").alias("c"), _vector(table, features).alias("x")).where(_whole("x") & F.col("c").isNotNull())
+    width = rows.select(F.max(F.size("x"))).first()[0] or 1
+    got = rows.groupBy("c").agg(F.count("*").alias("n"), *[F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in range(width)], *[F.var_pop(F.get("x", F.lit(j))).alias(f"v{j}") for j in range(width)]).orderBy("c").collect()
+    return np.array([r["c"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64), np.array([[r[f"m{j}"] for j in range(width)] for r in got], float).reshape(len(got), width), np.array([sum(r[f"v{j}"] for j in range(width)) for r in got], float)
 
 
 def silhouette(table: DataFrame, queries: DataFrame, key: str, features: list[str], cluster: str) -> DataFrame:
-    """row_id and s = (b - a) / max(a, b) of each query against all rows: a its own cluster's mean Euclidean distance, b the least of the others'; 0 for a cluster of one row."""
-    d = cluster_distances(table, queries, key, features, cluster)
+    """row_id and s = (b - a) / max(a, b) of each query against all rows: a its own cluster's mean Euclidean distance, b the least of the others'; 0 for a cluster of one row.
+
+    The mean distance to a cluster lies between the distance to its centre and the root of that squared plus the cluster's
+    variance, so only clusters whose lower bound is below the least upper one are summed, beside the query's own. What is
+    summed is queries times rows of these clusters, in blocks; silhouette_squared takes one pass.
+    """
+    kind = table.schema[key].dataType.simpleString()
+    label, size, centre, variance = _moments(table, features, cluster)
+    x = lambda df: df.select(F.col(key).alias("q"), F.col(cluster).cast("int").alias("own"), _vector(df, features).alias("x")).where(_whole("x") & F.col("own").isNotNull())
+    parts = np.maximum(-(-size // BLOCK_ROWS), 1)
+    start = np.concatenate([[0], np.cumsum(parts)])
+    index = F.array_position(F.array(*[F.lit(int(c)) for c in label]), F.col("own")) - 1 if len(label) else F.lit(0).cast("long")
+    spread = F.pmod(F.xxhash64("q"), F.get(F.array(*[F.lit(int(p)) for p in parts]), index.cast("int"))) if len(label) else F.lit(0)
+    offset = F.get(F.array(*[F.lit(int(s)) for s in start[:-1]]), index.cast("int")) if len(label) else F.lit(0)
+    rows = x(table).select(F.col("q").alias("other"), "x", (offset + spread).cast("long").alias("block"))
+
+    def wanted(batches):
+        for b in batches:
+            own = b.column("own").to_numpy()
+            d = np.sqrt(_squares(_matrix(b.column("x")), centre))
+            mine = own[:, None] == label[None, :]
+            most = np.where(mine, np.inf, np.sqrt(d * d + variance)).min(1) if len(label) > 1 else np.full(len(own), np.inf)
+            need = mine | (d * (1 - _SLACK) <= most[:, None] * (1 + _SLACK) + _SLACK)
+            row, which = np.nonzero(need)
+            n = parts[which]
+            row, which = np.repeat(row, n), np.repeat(which, n)
+            block = start[which] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+            for at in range(0, len(row), BLOCK_QUERIES):
+                some = slice(at, at + BLOCK_QUERIES)
+                yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(row[some])), b.column("x").take(pa.array(row[some])), pa.array(mine[row[some], which[some]]), pa.array(label[which[some]].astype(np.int32)), pa.array(block[some].astype(np.int64))], ["q", "x", "own", "cluster", "block"])
+
+    def add(a: pa.Table, b: pa.Table) -> pa.Table:
+        q, rows = _matrix(a.column("x")), _matrix(b.column("x"))
+        total, n = np.zeros(len(q)), np.zeros(len(q), np.int64)
+        ids, other = a.column("q").to_numpy(), b.column("other").to_numpy()
+        for at in range(0, len(q) if len(rows) else 0, max(1, _PASS // max(len(rows), 1))):
+            part = slice(at, at + max(1, _PASS // len(rows)))
+            d = np.sqrt(_squares(q[part], rows))
+            same = ids[part][:, None] == other[None, :]
+            d[same] = 0
+            total[part], n[part] = d.sum(1), (~same).sum(1)
+        return pa.table([a.column("q"), a.column("own"), a.column("cluster"), pa.array(total), pa.array(n)], ["q", "own", "cluster", "total", "n"])
+
+    asked = x(queries)
+    met = _meet(asked.mapInArrow(wanted, f"q {kind}, x array<double>, own boolean, cluster int, block long"), rows, add, f"q {kind}, own boolean, cluster int, total double, n long")
+    sums = met.groupBy("q", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean = F.col("total") / F.col("n")
-    a, b = F.max(F.when((F.col("cluster") == F.col("own")) & (F.col("n") > 0), mean)), F.min(F.when(F.col("cluster") != F.col("own"), mean))
-    both = d.groupBy("row_id").agg(a.alias("a"), b.alias("b"))
-    return both.select("row_id", F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    a, b = F.max(F.when(F.col("own") & (F.col("n") > 0), mean)), F.min(F.when(~F.col("own") & (F.col("n") > 0), mean))
+    return sums.groupBy("q").agg(a.alias("a"), b.alias("b")).select(F.col("q").alias("row_id"), _score(F.col("a"), F.col("b")).alias("s"))
+
+
+def _score(a: Column, b: Column) -> Column:
+    return F.when(a.isNull() | b.isNull() | (F.greatest(a, b) == 0), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+
+
+def silhouette_squared(table: DataFrame, queries: DataFrame, key: str, features: list[str], cluster: str) -> DataFrame:
+    """row_id and s as silhouette() has them, but of mean squared distances, which follow from each cluster's size, mean and variance: no pair of rows is compared."""
+    kind = table.schema[key].dataType.simpleString()
+    label, size, centre, variance = _moments(table, features, cluster)
+
+    def run(batches):
+        for b in batches:
+            own = b.column("own").to_numpy()
+            mean = _squares(_matrix(b.column("x")), centre) + variance
+            mine = own[:, None] == label[None, :]
+            n = np.where(mine, size - 1, size)
+            mean = np.where(n > 0, mean * size / np.maximum(n, 1), np.inf)  # without the row itself
+            a, other = np.where(mine, mean, np.inf).min(1), np.where(mine, np.inf, mean).min(1)
+            with np.errstate(invalid="ignore"):
+                s = np.where(np.isfinite(a) & np.isfinite(other) & (np.maximum(a, other) > 0), (other - a) / np.maximum(a, other), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column("q"), pa.array(s)], ["row_id", "s"])
+
+    asked = queries.select(F.col(key).alias("q"), F.col(cluster).cast("int").alias("own"), _vector(queries, features).alias("x")).where(_whole("x") & F.col("own").isNotNull())
+    return asked.mapInArrow(run, f"row_id {kind}, s double")

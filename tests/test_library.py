@@ -267,21 +267,6 @@ def test_gaussian_process_equals_the_definition():
 # neighbours and designs -------------------------------------------------------------------------------------------
 
 
-def test_nearest_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "QUERY_NUMBERS", 40)
-    monkeypatch.setattr(neighbours, "BLOCK", 300)
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 9, (150, 2)).astype(float)
-    df = spark.createDataFrame([(i, *map(float, v), float(i)) for i, v in enumerate(x)], "id long, a double, b double, y double").repartition(5)
-    got = {}
-    for r in neighbours.nearest(df, df.where("id < 60"), "id", ["a", "b"], 4, "y").collect():
-        got.setdefault(r["row_id"], {})[r["place"]] = r["other"]
-    for q in range(60):
-        d = ((x - x[q]) ** 2).sum(1)
-        d[q] = np.inf
-        assert [got[q][k] for k in (1, 2, 3, 4)] == np.lexsort((np.arange(150), d))[:4].tolist()
-
-
 def test_closest_pair(spark):
     rng = np.random.default_rng(7)
     for d in (1, 2, 4):
