@@ -51,6 +51,33 @@ def release_scratch(spark: SparkSession) -> None:
         delete_path(spark, _SCRATCH.pop()[1])
 
 
+_STAGES: list[tuple[SparkSession, str]] = []
+
+
+def stage(f: Callable) -> Callable:
+    """A pipeline stage f(spark, docs, sf_dir): scratch tables of the stages before it are deleted when it begins.
+
+    A stage's result is to be written before the next one begins; tables that docs itself reads stay.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read, kept = docs.inputFiles() if _STAGES else [], []
+        while _STAGES:
+            made = _STAGES.pop()
+            if any(made[1].removeprefix("file:").strip("/") in x for x in read):
+                kept.append(made)
+            elif made in _SCRATCH:
+                _SCRATCH.remove(made)
+                delete_path(*made)
+        first = len(_SCRATCH)
+        out = f(spark, docs, sf_dir)
+        _STAGES.extend([*kept, *_SCRATCH[first:]])
+        return out
+
+    return run
+
+
 @atexit.register
 def _at_exit() -> None:
     for spark, path in _SCRATCH:

@@ -208,3 +208,25 @@ def test_kept_follows_from_what_is_measured(spark):
         uneven = min(even - band.even + band.slope * min(np.log2(n) - quality_rules.EVEN_BITS, 0), 0) / band.even_spread
         ok = (band.low <= per <= band.high or off * off + uneven * uneven <= quality_rules.RADIUS**2) and share <= band.most_bytes and even >= band.least_even
         assert r["kept"] == (ok and not r["base_failed"])
+
+
+def test_a_stage_deletes_what_the_ones_before_set_aside(spark, tmp_path):
+    """Only once its input no longer reads it."""
+    made = []
+
+    @common.stage
+    def first(spark, docs, sf_dir):
+        made.append(common.materialize(docs, "first"))
+        return made[-1]
+
+    @common.stage
+    def second(spark, docs, sf_dir):
+        return docs
+
+    at = common.shared_dir(spark)
+    there = lambda: (tmp_path.joinpath(at.removeprefix("file://")) / "tessera").glob("first-*")
+    already = set(there())
+    kept = first(spark, spark.range(5), "")
+    assert second(spark, kept, "").count() == 5 and len(set(there()) - already) == 1
+    kept.write.parquet(str(tmp_path / "kept"))
+    assert second(spark, spark.read.parquet(str(tmp_path / "kept")), "").count() == 5 and not set(there()) - already
