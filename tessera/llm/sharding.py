@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import deal_copies, materialize
 
 #: Rows of one shard, about, that one window sorts.
 SLOT_ROWS = 20_000
@@ -43,7 +43,7 @@ def shard_records(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard of that weight).
 
     Rows alike in doc_id, size and crc are counted first and numbered as a whole, so a key that a third of all rows have is
-    one row until its slots are dealt out.
+    one row until its slots are dealt out, and these are dealt in runs over all tasks.
     """
     text, n = F.coalesce(F.col("text"), F.lit("")), len(weights)
     record = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -57,5 +57,5 @@ def shard_records(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown
     starts = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("_n")).select("shard", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     first = placed.withColumn("earlier", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "bucket"])
-    slots = F.explode(F.sequence(F.col("start") + F.col("earlier"), F.col("start") + F.col("earlier") + F.col("n") - 1))
-    return first.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slots.alias("slot"), "grown_shard")
+    dealt = deal_copies(first.withColumn("first", F.col("start") + F.col("earlier")), "n", "copy")
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("copy")).alias("slot"), "grown_shard")

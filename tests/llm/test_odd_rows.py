@@ -230,3 +230,12 @@ def test_a_stage_deletes_what_the_ones_before_set_aside(spark, tmp_path):
     assert second(spark, kept, "").count() == 5 and len(set(there()) - already) == 1
     kept.write.parquet(str(tmp_path / "kept"))
     assert second(spark, spark.read.parquet(str(tmp_path / "kept")), "").count() == 5 and not set(there()) - already
+
+
+def test_many_rows_alike_are_dealt_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 16)
+    rows = [(1, "same")] * 70 + [(2, "same")] * 16 + [(3, "same")] * 17 + [(k, f"t{k}") for k in range(4, 40)]
+    got = sharding.shard_records(spark.createDataFrame(rows, "doc_id long, text string"), (1.0, 2.0)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    for s in (0, 1):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
