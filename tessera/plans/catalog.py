@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import central_z
-from tessera.operators import design, estimators, explain, forecast, frames, metrics, models, reduction, tree_shap
+from tessera.operators import design, estimators, explain, forecast, frames, kernels, metrics, models, neighbours, reduction, tree_shap, umap
 from tessera.operators.boosting import QuantileBoosting
 from tessera.sources import examples
 from tessera.sources.tables import matching_lines
@@ -239,17 +239,21 @@ def constant_columns(spark, d):
     return frames.drop_constant(table(spark, d, "customer").select("c_custkey", "c_nationkey", F.lit(7).alias("seven"))).select("c_custkey", "c_nationkey")
 
 
-_LEVELS = {"x1": [0.0, 0.25, 0.5, 0.75, 1.0], "x2": [-1.0, 0.0, 1.0], "x3": [1.0, 2.0]}
+def _line_levels(spark, d) -> dict[str, list[float]]:
+    levels = table(spark, d, "lineitem").agg(*[F.sort_array(F.collect_set(F.col(c).cast("double"))).alias(n) for n, c in (("x1", "l_discount"), ("x2", "l_tax"), ("x3", "l_linenumber"))]).first()  # a few levels a column
+    return {c: levels[c] for c in ("x1", "x2", "x3")}
 
 
-@query("select a::double as x1, b::double as x2, c::double as x3 from (values (0),(0.25),(0.5),(0.75),(1)) p(a), (values (-1),(0),(1)) q(b), (values (1),(2)) r(c)")
+@query("select distinct a.l_discount::double as x1, b.l_tax::double as x2, c.l_linenumber::double as x3 from (select distinct l_discount from lineitem) a, (select distinct l_tax from lineitem) b, (select distinct l_linenumber from lineitem) c")
 def design_grid(spark, d):
-    return design.grid_design(spark, _LEVELS)
+    """The full factorial design over the levels that three columns have."""
+    return design.grid_design(spark, _line_levels(spark, d))
 
 
-@query("select 'Grid' as method, 30::bigint as n")
+@query("with t as (select distinct l_discount, l_tax, l_linenumber from lineitem), c as (select count(*) as n, count(distinct l_discount) as a, count(distinct l_tax) as b, count(distinct l_linenumber) as c from t) select case when a*b*c = n then 'Grid' when a = n and b = n and c = n then 'LHS' else 'Random or other' end as method, n::bigint as n from c")
 def sampling_pattern_exact(spark, d):
-    return design.exact_pattern(design.grid_design(spark, _LEVELS), list(_LEVELS))
+    """The pattern of the combinations of three columns that occur."""
+    return design.exact_pattern(table(spark, d, "lineitem").select("l_discount", "l_tax", "l_linenumber").distinct(), ["l_discount", "l_tax", "l_linenumber"])
 
 
 @query("with l as (select unnest(range(5))/4.0 as x), c as (select n_nationkey % 6 as i from nation) select count(*) filter (where not exists (select 1 from l where abs(l.x-i/4.0)<=1e-6))::bigint as n_off_grid from c")
@@ -278,10 +282,14 @@ def nn_distance_stats(spark, d):
     return rounded(design.nearest_distances(e, e.where("vec_id % 100 = 0")).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.min("d").alias("least")))
 
 
-@query("with t(std, sil, ent) as (values (0.01,0.9,1.0),(0.3,0.2,2.5),(0.1,0.5,1.5),(0.1,0.5,2.5),(0.18,0.4,1.5)) select std::double as std, sil::double as sil, ent::double as ent, case when std<0.05 and sil>0.6 then 'Grid' when std>0.2 and sil<0.3 then 'Random' when std between 0.05 and 0.15 then case when ent<2 then 'Sobol' else 'LHS' end else 'Uncertain' end as method from t")
+_RULE = "case when std<0.05 and sil>0.6 then 'Grid' when std>0.2 and sil<0.3 then 'Random' when std between 0.05 and 0.15 then case when ent<2 then 'Sobol' else 'LHS' end else 'Uncertain' end"
+
+
+@query(f"with t as (select abs(c_acctbal)/30000::double as std, c_nationkey/24.0::double as sil, (c_custkey % 40)/10.0::double as ent from customer) select {_RULE} as method, count(*)::bigint as n from t group by 1")
 def sampling_rule_table(spark, d):
-    t = spark.createDataFrame([(0.01, 0.9, 1.0), (0.3, 0.2, 2.5), (0.1, 0.5, 1.5), (0.1, 0.5, 2.5), (0.18, 0.4, 1.5)], "std double, sil double, ent double")
-    return t.withColumn("method", design.sampling_rule(F.col("std"), F.col("sil"), F.col("ent")))
+    """How often each method is found where the rule's three figures are read off the columns of customer."""
+    t = table(spark, d, "customer").select((F.abs("c_acctbal") / 30000).alias("std"), (F.col("c_nationkey") / 24).alias("sil"), ((F.col("c_custkey") % 40) / 10).alias("ent"))
+    return t.groupBy(design.sampling_rule(F.col("std"), F.col("sil"), F.col("ent")).alias("method")).agg(F.count("*").alias("n"))
 
 
 @query("with g as (select l_quantity as v, sum((l_returnflag='A')::int) as a, sum((l_returnflag='R')::int) as b from lineitem where l_returnflag in ('A','R') group by 1), c as (select abs(sum(a) over (order by v)/sum(a) over ()::double-sum(b) over (order by v)/sum(b) over ()::double) as g from g) select round(max(g),6) as d from c")
@@ -401,6 +409,30 @@ def quantile_boosting_metrics(spark, d):
     return rounded(metrics.uq_metrics(QuantileBoosting(0.95, 10).fit(train, ["a", "b"]).predict(test)))
 
 
+@query("with t as (select (p_size % 5)::bigint as g, p_retailprice::double as y from part), m as (select avg(y) as m from t) select g, count(*)::bigint as n, round(max(m)+count(*)*(avg(y)-max(m))/(count(*)+0.500000001),5) as y_pred, round(sqrt(0.500000001/(0.500000001+count(*))),6) as y_std from t, m group by g")
+def gp_group_shrinkage(spark, d):
+    """A process over five values that lie far apart: groups do not know of each other, so each mean is drawn to the whole's by the noise."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), (F.col("p_size") % 5 * 1000.0).alias("x"), F.col("p_retailprice").cast("double").alias("y_true"))
+    p = kernels.GaussianProcess(0.5, scale=1.0).fit(rows, ["x"]).predict(rows).join(rows.select("row_id", "x"), "row_id")
+    return p.groupBy((F.col("x") / 1000).cast("long").alias("g")).agg(F.count("*").alias("n"), F.round(F.max("y_pred"), 5).alias("y_pred"), F.round(F.max("y_std"), 6).alias("y_std"))
+
+
+@query("select (15*count(*))::bigint as edges, true as recall_at_least_nine_tenths from embeddings")
+def umap_recall(spark, d):
+    """The neighbour graph of all embeddings by descent, held against the exact one."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    graph = umap.neighbour_graph(e, 15)
+    exact = neighbours.nearest(e, e, "i", ["x"], 15).select(F.col("row_id").alias("i"), F.col("other").alias("j"))
+    return graph.agg(F.count("*").alias("edges"), F.lit(umap.graph_recall(graph, exact) >= 0.9).alias("recall_at_least_nine_tenths"))
+
+
+@query()
+def umap_embedding(spark, d):
+    """All suppliers in two dimensions."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("x"), (F.col("s_nationkey") * 100).cast("double").alias("y"))
+    return umap.umap(s, ["x", "y"], "s_suppkey", epochs=10)
+
+
 _XY = "with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b, p_retailprice as y from part)"
 
 
@@ -462,7 +494,7 @@ def scoring_rules(spark, d):
     return rounded(metrics.scoring_rules(line_predictions(spark, d)))
 
 
-@query()
+@query(PART + f", u as (select row_id, output, abs(y_true-y_pred)/y_std as z, draw, least(10, floor((('0x'||substr(md5(row_id::varchar||'#'||draw::varchar),1,8))::bigint/4294967296.0::double)*10)+1)::int as size from p, range(10) d(draw)), g as (select u.output, u.draw, s.size, u.z from u join range(1,11) s(size) on u.size <= s.size), e as (select output, draw, size, k, abs(k/99.0::double-avg((z <= zz)::int::double)) as e from g, (values {_Z}) v(k, zz) group by output, draw, size, k), m as (select output, draw, size, sum(e)/100 as e from e group by output, draw, size) select output, size/10.0::double as share, round(max(e),6) as ma_cal from m group by output, size")
 def worst_group_calibration(spark, d):
     return rounded(metrics.adversarial_calibration(part_predictions(spark, d)))
 
@@ -504,14 +536,15 @@ def sampling_classifier(spark, d):
     return rounded(design.classify_sampling(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey"))
 
 
-@query("with d(discrepancy, maximin, random_discrepancy, random_maximin, mean_abs) as (values (0.01, 0.5, 0.1, 0.1, 0.05), (0.095, 0.5, 0.1, 0.1, 0.05), (0.01, 0.105, 0.1, 0.1, 0.05), (0.01, 0.5, 0.1, 0.1, 0.25)) select discrepancy::double as discrepancy, maximin::double as maximin, random_discrepancy::double as random_discrepancy, random_maximin::double as random_maximin, mean_abs::double as mean_abs, discrepancy < 0.9*random_discrepancy and maximin > 1.1*random_maximin and mean_abs < 0.2 as lhs_like from d")
+_FIGURES = "avg(l_discount)::double as discrepancy, avg(l_tax)*5::double as maximin, avg(l_tax)*2::double as random_discrepancy, avg(l_discount)*2::double as random_maximin, avg(l_discount*l_tax)*40::double as mean_abs"
+
+
+@query(f"with f as (select {_FIGURES} from lineitem) select round(discrepancy,6) as discrepancy, round(maximin,6) as maximin, round(random_discrepancy,6) as random_discrepancy, round(random_maximin,6) as random_maximin, round(mean_abs,6) as mean_abs, discrepancy < 0.9*random_discrepancy and maximin > 1.1*random_maximin and mean_abs < 0.2 as lhs_like from f")
 def lhs_rule_table(spark, d):
-    rows = [(0.01, 0.5, 0.1, 0.1, 0.05), (0.095, 0.5, 0.1, 0.1, 0.05), (0.01, 0.105, 0.1, 0.1, 0.05), (0.01, 0.5, 0.1, 0.1, 0.25)]
-    out = None
-    for *four, mean in rows:
-        one = design.is_lhs(spark.createDataFrame([tuple(four)], "discrepancy double, maximin double, random_discrepancy double, random_maximin double"), spark.createDataFrame([(mean,)], "mean_abs double"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("discrepancy", "maximin", "random_discrepancy", "random_maximin", "mean_abs", "lhs_like")
+    """The rule's three comparisons on figures read off the columns of lineitem."""
+    li = table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_discount", "l_tax")])
+    compared = li.agg(F.avg("l_discount").alias("discrepancy"), (F.avg("l_tax") * 5).alias("maximin"), (F.avg("l_tax") * 2).alias("random_discrepancy"), (F.avg("l_discount") * 2).alias("random_maximin"))
+    return rounded(design.is_lhs(compared, li.agg((F.avg(F.col("l_discount") * F.col("l_tax")) * 40).alias("mean_abs"))))
 
 
 @query()
@@ -542,17 +575,20 @@ def pca_projection(spark, d):
     return rounded(p.agg(F.count("*").alias("n"), F.var_samp("PC1").alias("v1"), F.var_samp("PC2").alias("v2")), 4)
 
 
-@query("with x as (select i//10 as a, i%10 as b from range(100) r(i)) select count(*)::bigint as n, round(sum(a/9.0::double*(b/9.0::double)),6) as cross_sum, round(sum(pow(a/9.0::double,2)),6) as square_sum from x")
+@query("with n as (select greatest(2, floor(sqrt(count(*))))::bigint as k from nation), x as (select i//k as a, i%k as b, k from n, unnest(range(k*k)) r(i)) select count(*)::bigint as n, round(sum(a/(k-1)::double*(b/(k-1)::double)),6) as cross_sum, round(sum(pow(a/(k-1)::double,2)),6) as square_sum from x")
 def grid_example(spark, d):
-    g = examples.square_grid(spark)
+    """A square grid of as many points as nations, about."""
+    g = examples.square_grid(spark, max(2, int(table(spark, d, "nation").count() ** 0.5)))
     return rounded(g.agg(F.count("*").alias("n"), F.sum("x0_x1").alias("cross_sum"), F.sum("x0_squared").alias("square_sum")))
 
 
-@query("select v.name, round(v.lo + k*(v.hi-v.lo)/3,6) as level from (values ('u', 0.0, 1.0), ('n', 1.0-2*2.0, 1.0+2*2.0), ('g', 1.0+2.0*4.0-2*4.0, 1.0+2.0*4.0+2*4.0)) v(name, lo, hi), range(4) r(k)")
+@query("with s as (select min(s_acctbal)::double as lo, max(s_acctbal)::double as hi, avg(s_acctbal)::double as m, var_pop(s_acctbal)::double as v from supplier), v as (select 'u' as name, lo, hi from s union all select 'n', m-2*sqrt(v), m+2*sqrt(v) from s union all select 'g', lo+sqrt(v)*4-2*2*sqrt(v), lo+sqrt(v)*4+2*2*sqrt(v) from s) select name, round(lo+k*(hi-lo)/3,4) as level from v, range(4) r(k)")
 def grid_descriptor_levels(spark, d):
-    made = {"u": {"kind": "uniform", "stat1": 0, "stat2": 1}, "n": {"kind": "normal", "stat1": 1, "stat2": 4}, "g": {"kind": "gamma", "stat1": 1, "stat2": 2, "stat3": 4}}
+    """Levels of a grid over descriptors whose parameters are those of supplier's balances."""
+    r = table(spark, d, "supplier").agg(F.min("s_acctbal").cast("double").alias("lo"), F.max("s_acctbal").cast("double").alias("hi"), F.avg("s_acctbal").cast("double").alias("m"), F.var_pop("s_acctbal").cast("double").alias("v")).first()
+    made = {"u": {"kind": "uniform", "stat1": r["lo"], "stat2": r["hi"]}, "n": {"kind": "normal", "stat1": r["m"], "stat2": r["v"]}, "g": {"kind": "gamma", "stat1": r["lo"], "stat2": r["v"] ** 0.5, "stat3": 4}}
     g = design.descriptor_grid(spark, [{"name": k, **v} for k, v in made.items()], 64)
-    return rounded(g.unpivot([], list(made), "name", "level").distinct())
+    return rounded(g.unpivot([], list(made), "name", "level").distinct(), 4)
 
 
 @query("with p as (select p_partkey::double as x, p_size::double as z, p_retailprice as y, (p_partkey % 2)::int as o from part), f as (select o, var_pop(x) as vx, var_pop(z) as vz, covar_pop(x,z) as xz, covar_pop(y,x) as yx, covar_pop(y,z) as yz, avg(x) as mx, avg(z) as mz, avg(y) as my from p group by o) select case o when 0 then 'even' else 'odd' end as output, 'p_size' as feature, k::bigint as k, round((k+1)::double,6) as value, round(my + (yz*vx-yx*xz)/(vx*vz-xz*xz)*((k+1)-mz),4) as mean_prediction from f, range(50) r(k)")
@@ -637,16 +673,16 @@ def exact_quantiles(spark, d):
     return rounded(q.select(F.col("event_type").alias("series_id"), F.col("q")[0].alias("q10"), F.col("q")[1].alias("q90")))
 
 
-@query("with x as (select x::double as x from (values (0.5), (1.0), (2.0)) v(x)) select x, round(sin(x),9) as sine, round(cos(x),9) as cosine, round((exp(x)-exp(-x))/(exp(x)+exp(-x)),9) as tanh, round(ln(1+x),9) as log1p, round(log10(x),9) as log10, round(radians(x),9) as radians, round(cbrt(x),9) as cbrt from x")
+@query("with x as (select distinct p_size::double/10.0::double as x from part) select x, round(sin(x),9) as sine, round(cos(x),9) as cosine, round((exp(x)-exp(-x))/(exp(x)+exp(-x)),9) as tanh, round(ln(1+x),9) as log1p, round(log10(x),9) as log10, round(radians(x),9) as radians, round(cbrt(x),9) as cbrt from x")
 def scalar_functions(spark, d):
-    x = spark.createDataFrame([(0.5,), (1.0,), (2.0,)], "x double")
+    x = table(spark, d, "part").select((F.col("p_size").cast("double") / 10).alias("x")).distinct()
     made = {"sine": F.sin("x"), "cosine": F.cos("x"), "tanh": F.tanh("x"), "log1p": F.log1p("x"), "log10": F.log10("x"), "radians": F.radians("x"), "cbrt": F.cbrt("x")}
     return x.select("x", *[F.round(v, 9).alias(k) for k, v in made.items()])
 
 
-@query("select min(k)::bigint as k from (values (1, 0.5), (2, 0.8), (3, 1.0)) v(k, cum) where cum >= 0.7")
+@query("with s as (select var_samp(l_quantity) as a, var_samp(l_discount*100) as b, covar_samp(l_quantity,l_discount*100) as c from lineitem), e as (select (a+b)/2+sqrt((a-b)*(a-b)/4+c*c) as l1, a+b as t from s) select p::double as threshold, case when l1/t >= p then 1 else 2 end::bigint as k from e, (values (0.7), (0.9), (0.99)) v(p)")
 def first_component_over_threshold(spark, d):
-    import numpy as np
-
-    made = reduction.Components(["a", "b", "c"], np.zeros(3), np.ones(3), np.array([0.5, 0.3, 0.2]), np.eye(3))
-    return spark.createDataFrame([(made.choose("Explained variance threshold", threshold=0.7),)], "k long")
+    """How many components of two columns of lineitem reach each share of the variance."""
+    li = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    made = reduction.fit_components(li, ["x", "y"])
+    return spark.createDataFrame([(p, made.choose("Explained variance threshold", threshold=p)) for p in (0.7, 0.9, 0.99)], "threshold double, k long")
