@@ -27,7 +27,7 @@ from tessera.operators.written import dropped, written
 INDUCING, SCOUTS = 256, 48
 #: Kernel values that one numpy pass holds.
 _PASS = 2_000_000
-_JITTER = 1e-10
+_JITTERS = (1e-10, 1e-8, 1e-6, 1e-4)
 #: Variance of noise that keeps sums solvable where none is given.
 _LEAST_NOISE = 1e-9
 
@@ -105,12 +105,16 @@ class GaussianProcess:
 
     def _solve(self, z: np.ndarray, scale: float, a: np.ndarray, b: np.ndarray, yy: float, n: int) -> tuple:
         """Weights of k(x, Z), the factors of the variance, the likeliest variance of the function and the log likelihood."""
-        noise, m = self.alpha + _LEAST_NOISE, len(z)
-        low = np.linalg.cholesky(self.kernel(z, z, scale) + _JITTER * np.eye(m))
-        half = np.linalg.solve(low, a)
-        inner = np.eye(m) + np.linalg.solve(low, half.T) / noise
-        inner = (inner + inner.T) / 2
-        root = np.linalg.cholesky(inner)
+        noise, m, k = self.alpha + _LEAST_NOISE, len(z), self.kernel(z, z, scale)
+        for jitter in _JITTERS:  # inducing points that lie close together leave the kernel nearly singular
+            try:
+                low = np.linalg.cholesky(k + jitter * np.eye(m))
+                inner = np.linalg.solve(low, np.linalg.solve(low, a).T)
+                root = np.linalg.cholesky(np.eye(m) + (inner + inner.T) / (2 * noise))
+                break
+            except np.linalg.LinAlgError:
+                if jitter == _JITTERS[-1]:
+                    raise
         c = np.linalg.solve(root, np.linalg.solve(low, b)) / noise
         rest = max(yy / noise - float(c @ c), 1e-30)
         variance = 1.0 if self.scale is not None else rest / n
