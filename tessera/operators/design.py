@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,20 +66,49 @@ def mean_absolute(matrix: DataFrame, value: str = "rho") -> DataFrame:
     return matrix.agg(F.avg(F.abs(value)).alias("mean_abs"))
 
 
-def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - mean) / population deviation, from one row of statistics."""
+@dataclass(frozen=True)
+class Scaler:
+    """(x - centre) / width of some columns, fitted on one table and applied to any; a width of 0 or null counts as 1, and constant columns get ``constant`` where it is given."""
+
+    centre: dict[str, float | None]
+    width: dict[str, float | None]
+    constant: float | None = None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """df with the scaled columns in place of the others of their names; a null stays one, also in a column whose fit saw none."""
+        flat = lambda c: self.constant is not None and not self.width[c]
+        return df.withColumns({c: F.lit(self.constant) if flat(c) else (F.col(c) - F.lit(self.centre[c]).cast("double")) / F.lit(self.width[c] or 1.0) for c in self.centre})
+
+
+def fit_standard(df: DataFrame, columns: list[str]) -> Scaler:
+    """Mean and population deviation of each column, from one aggregate."""
     s = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    return df.withColumns({c: (F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0) for c in columns})
+    return Scaler({c: s[f"m_{c}"] for c in columns}, {c: s[f"s_{c}"] for c in columns})
 
 
-def minmax(df: DataFrame, columns: list[str], constant: float = 0.5) -> DataFrame:
+def fit_minmax(df: DataFrame, columns: list[str], constant: float | None = 0.5) -> Scaler:
+    """Least value and range of each column, from one aggregate."""
     s = df.agg(*[F.min(c).cast("double").alias(f"l_{c}") for c in columns], *[F.max(c).cast("double").alias(f"h_{c}") for c in columns]).first()
-    return df.withColumns({c: F.lit(constant) if s[f"h_{c}"] == s[f"l_{c}"] else (F.col(c) - s[f"l_{c}"]) / (s[f"h_{c}"] - s[f"l_{c}"]) for c in columns})
+    return Scaler({c: s[f"l_{c}"] for c in columns}, {c: None if s[f"l_{c}"] is None else s[f"h_{c}"] - s[f"l_{c}"] for c in columns}, constant)
+
+
+def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(x - mean) / population deviation of df itself."""
+    return fit_standard(df, columns).apply(df)
+
+
+def minmax(df: DataFrame, columns: list[str], constant: float = 0.5) -> DataFrame:
+    return fit_minmax(df, columns, constant).apply(df)
+
+
+def fill_missing(df: DataFrame, columns: list[str], value: float = 0.5) -> DataFrame:
+    """df with value where one of columns is null or NaN."""
+    return df.withColumns({c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(value)).otherwise(F.col(c).cast("double")) for c in columns})
 
 
 def discrepancy(df: DataFrame, columns: list[str]) -> DataFrame:
     """(13/12)^d - 2/N sum of [prod(1 - x^2) - prod(1/2 - |1/2 - x|)] of columns in [0, 1]."""
-    prod = lambda f: __import__("functools").reduce(lambda a, b: a * b, [f(F.col(c)) for c in columns])
+    prod = lambda f: reduce(lambda a, b: a * b, [f(F.col(c)) for c in columns])
     return df.agg((F.lit((13 / 12) ** len(columns)) - 2 / F.count("*") * F.sum(prod(lambda x: 1 - x * x) - prod(lambda x: 0.5 - F.abs(0.5 - x)))).alias("discrepancy"))
 
 
@@ -201,13 +233,29 @@ def off_grid(points: DataFrame, levels: dict[str, list[float]], tolerance: float
     return points.where(~ok)
 
 
+def levels_by_gaps(df: DataFrame, column: str, tolerance: float = 1e-6) -> DataFrame:
+    """v and level: each distinct value's level, from 1; a value further than tolerance from the one before it opens a new one."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).distinct()
+    numbered = prefix_sums(values, "v", {"at": F.lit(1).cast("long")})
+    before = numbered.select((F.col("at") + 1).alias("at"), F.col("v").alias("_before"))
+    opens = numbered.join(before, "at", "left").withColumn("_opens", F.when(F.col("_before").isNull() | (F.col("v") - F.col("_before") > tolerance), 1).otherwise(0))
+    return prefix_sums(opens.select("v", "_opens"), "v", {"_level": F.col("_opens")}).select("v", (F.col("_level") + F.col("_opens")).alias("level"))
+
+
+def snapped(df: DataFrame, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """columns as the numbers of their levels (see levels_by_gaps)."""
+    out = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        out = out.join(levels_by_gaps(df, c, tolerance).select(F.col("v").alias(c), F.col("level").alias(f"_l_{c}")), c, "left")
+    return out.select(*[F.col(f"_l_{c}").alias(c) for c in columns])
+
+
 def is_grid(df: DataFrame, columns: list[str], tolerance: float = 1e-6) -> bool:
     """Whether rows are the full product of their columns' levels: as many as the product, and no combination twice.
 
-    Levels closer than tolerance count as one, by rounding to it.
+    Values at most tolerance apart, one after another, are one level.
     """
-    snapped = df.select(*[F.round(F.col(c).cast("double") / tolerance).alias(c) for c in columns])
-    counts = snapped.agg(F.count("*").alias("n"), F.count_distinct(*columns).alias("u"), *[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)]).first()
+    counts = snapped(df, columns, tolerance).agg(F.count("*").alias("n"), F.count_distinct(*columns).alias("u"), *[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)]).first()
     return counts["n"] == counts["u"] == int(np.prod([counts[f"u{i}"] for i in range(len(columns))]))
 
 
@@ -298,28 +346,30 @@ def _design(spark: SparkSession, unit: DataFrame, descriptors: list[dict]) -> Da
 
 
 def random_design(spark: SparkSession, descriptors: list[dict], n: int, seed: int = 0) -> DataFrame:
-    return _design(spark, spark.range(n).select(*[F.rand(seed + i).alias(f"u{i}") for i in range(len(descriptors))]), descriptors)
+    return _design(spark, spark.range(n).select(*[hash_unit(F.concat_ws(";", F.col("id"), F.lit(seed), F.lit(i))).alias(f"u{i}") for i in range(len(descriptors))]), descriptors)
 
 
-def permuted(i: Column, n: int, salt: str) -> Column:
-    """A permutation of 0 .. n - 1 without sorting: the row's number times an odd step without a common factor, plus a shift, modulo n, and then halves swapped by a hashed bit.
+def permuted(i: Column, n: int, salt: str, rounds: int = 6) -> Column:
+    """A keyed permutation of 0 .. n - 1 without sorting: a Feistel network over the next power of four, walked on until the number is below n.
 
-    Neighbouring numbers land far apart; the same salt gives the same permutation on every run.
+    Each round mixes one half of the bits into the other by a hash of the half, the round and salt, which any input order
+    undoes, so no two numbers meet; and as more than a quarter of the numbers are below n, walks are short. The same salt gives
+    the same permutation on every run.
     """
-    import hashlib
-    from math import gcd
-
-    seed = int.from_bytes(hashlib.md5(salt.encode()).digest()[:8], "big")
-    step = seed % max(n, 1) | 1
-    while gcd(step, n) != 1:
-        step += 2
-    shift = (seed >> 20) % max(n, 1)
-    place = F.pmod(F.pmod(i * F.lit(step % n if n else 1), F.lit(max(n, 1))) + F.lit(shift), F.lit(max(n, 1)))
-    half = n // 2
-    # a place and its partner in the other half change places where a hash of the lower one says so
-    low = F.when(place < half, place).otherwise(place - half)
-    swap = (place < 2 * half) & (hash_unit(F.concat_ws("~", low, F.lit(salt))) < 0.5)
-    return F.when(swap, F.when(place < half, place + half).otherwise(place - half)).otherwise(place)
+    half = max(1, -(-max(n - 1, 1).bit_length() // 2))
+    mask, steps = (1 << half) - 1, 64 if n > 1 else 0
+
+    def network(x: Column) -> Column:
+        state = F.struct(F.shiftright(x, half).alias("l"), x.bitwiseAND(F.lit(mask)).alias("r"))
+        keys = F.array(*[F.lit(f"{salt}|{k}") for k in range(rounds)])
+        mix = lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(F.xxhash64(s["r"], k).bitwiseAND(F.lit(mask))).alias("r"))
+        done = F.aggregate(keys, state, mix)
+        return F.shiftleft(done["l"], half).bitwiseOR(done["r"])
+
+    # a walk that is inside stays there; of 4^half numbers more than a quarter are, so none is outside after 64 steps but once in 10^8
+    first = network(i.cast("long"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(max(steps, 1))), first, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return walk if n > 1 else F.lit(0).cast("long")
 
 
 def lhs_design(spark: SparkSession, descriptors: list[dict], n: int, seed: int = 0) -> DataFrame:
@@ -368,21 +418,68 @@ def descriptor_grid(spark: SparkSession, descriptors: list[dict], n: int, seed:
     return points.select(*columns)
 
 
-def sobol_design(spark: SparkSession, n: int) -> DataFrame:
-    """The first n points of the unscrambled two-dimensional Sobol sequence."""
+def _primitive(degree: int):
+    """Primitive polynomials over two elements of a degree, as numbers with their highest bit, in ascending order."""
+    order = (1 << degree) - 1
+    factors = [p for p in range(2, order + 1) if order % p == 0 and all(p % q for q in range(2, int(p**0.5) + 1))]
+
+    def power(e: int, poly: int) -> int:  # x^e modulo poly
+        out, base = 1, 2
+        while e:
+            if e & 1:
+                out = _times(out, base, poly, degree)
+            base, e = _times(base, base, poly, degree), e >> 1
+        return out
+
+    for poly in range((1 << degree) | 1, 1 << (degree + 1), 2):
+        if power(order, poly) == 1 and all(power(order // p, poly) != 1 for p in factors if p != order or degree > 1):
+            yield poly
+
+
+def _times(a: int, b: int, poly: int, degree: int) -> int:
+    out = 0
+    while b:
+        out ^= a if b & 1 else 0
+        a, b = a << 1, b >> 1
+        if a >> degree & 1:
+            a ^= poly
+    return out
+
+
+def sobol_directions(dimensions: int, bits: int = 30) -> list[list[int]]:
+    """Direction numbers of each dimension: the bits from the highest down, then one primitive polynomial each in ascending order.
+
+    The first numbers of a polynomial of degree s are any odd ones below 2, 4, 8 ...; here a hash of dimension and place.
+    """
+    out, degree = [[1 << (bits - 1 - k) for k in range(bits)]], 1
+    while len(out) < dimensions:
+        for poly in _primitive(degree) if degree > 1 else [3]:
+            if len(out) == dimensions:
+                break
+            m = [(int(np.random.default_rng([len(out), k]).integers(0, 1 << k)) << 1 | 1) & ((2 << k) - 1) for k in range(degree)]
+            v = [x << (bits - 1 - k) for k, x in enumerate(m)]
+            for k in range(degree, bits):
+                x = v[k - degree] ^ (v[k - degree] >> degree)
+                for j in range(1, degree):
+                    if poly >> (degree - j) & 1:
+                        x ^= v[k - j]
+                v.append(x)
+            out.append(v)
+        degree += 1
+    return out
+
+
+def sobol_design(spark: SparkSession, n: int, dimensions: int = 2) -> DataFrame:
+    """The first n points (x1, x2 ...) of an unscrambled Sobol sequence; each point follows from its number."""
     bits = 30
-    second = [1 << (bits - 1)]
-    for k in range(1, bits):  # primitive polynomial x + 1
-        second.append(second[-1] ^ (second[-1] >> 1))
     gray = F.col("id").bitwiseXOR(F.shiftright("id", 1))
-
-    def xor(directions):
+    columns = []
+    for j, directions in enumerate(sobol_directions(dimensions, bits)):
         out = F.lit(0).cast("long")
-        for k, v in enumerate(directions[:30]):
+        for k, v in enumerate(directions):
             out = out.bitwiseXOR(F.when(F.shiftright(gray, k).bitwiseAND(F.lit(1)) == 1, F.lit(v)).otherwise(F.lit(0)).cast("long"))
-        return out / float(1 << bits)
-
-    return spark.range(n).select(xor([1 << (bits - 1 - k) for k in range(bits)]).alias("x1"), xor(second).alias("x2"))
+        columns.append((out / float(1 << bits)).alias(f"x{j + 1}"))
+    return spark.range(n).select(*columns)
 
 
 METHODS = {"LHS": lhs_design, "Grid": descriptor_grid, "Random": random_design}
