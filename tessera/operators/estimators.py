@@ -403,6 +403,82 @@ def random_search(train: DataFrame, features: list[str], make: Callable, space:
     return out.select("output", "settings", "score").orderBy("output", F.desc("score"), "settings")
 
 
+class ParzenSearch:
+    """Tree-structured Parzen estimator over the values of each setting.
+
+    Trials so far are parted into the best ``share`` of them and the rest; each setting has two densities over its values,
+    of the good and of the other trials, smoothed over neighbouring values and by a prior. Of ``draws`` combinations drawn
+    from the good densities the one of greatest ratio (expected improvement) that has not been tried is next.
+    """
+
+    def __init__(self, space: Mapping[str, Sequence], startup: int = 4, share: float = 0.25, draws: int = 24, seed: int = 0):
+        self.space, self.startup, self.share, self.draws = {k: list(v) for k, v in space.items()}, startup, share, draws
+        self.dice, self.tried = np.random.default_rng(seed), {}
+        self.size = int(np.prod([len(v) for v in self.space.values()], dtype=object))
+
+    def _density(self, trials: list[tuple[int, ...]], j: int, n: int) -> np.ndarray:
+        p = np.ones(n) / n
+        for t in trials:
+            near = np.exp(-0.5 * (np.arange(n) - t[j]) ** 2 / max(0.6, 0.12 * n) ** 2)
+            p += near / near.sum()
+        return p / p.sum()
+
+    def ask(self) -> dict:
+        """The settings to try next; each combination once."""
+        sizes = [len(v) for v in self.space.values()]
+        scored = [(s, t) for t, s in self.tried.items() if s is not None]
+        if len(self.tried) >= self.size:
+            raise StopIteration
+        fresh = lambda: tuple(int(self.dice.integers(n)) for n in sizes)
+        if len(scored) < self.startup:
+            options = [fresh() for _ in range(self.draws)]
+            value = [0.0] * len(options)
+        else:
+            scored.sort(key=lambda x: -x[0])
+            cut = max(1, int(np.ceil(self.share * len(scored))))
+            good, bad = [t for _, t in scored[:cut]], [t for _, t in scored[cut:]] + [t for t, s in self.tried.items() if s is None]  # those under way count as no better
+            l, g = ([self._density(part, j, n) for j, n in enumerate(sizes)] for part in (good, bad))
+            options = [tuple(int(self.dice.choice(n, p=l[j])) for j, n in enumerate(sizes)) for _ in range(self.draws)]
+            value = [sum(np.log(l[j][t[j]] / g[j][t[j]]) for j in range(len(sizes))) for t in options]
+        left = [(v, -k) for k, v in enumerate(value) if options[k] not in self.tried]
+        pick = options[-max(left)[1]] if left else next(t for t in product(*map(range, sizes)) if t not in self.tried)
+        self.tried[pick] = None
+        return {k: v[i] for (k, v), i in zip(self.space.items(), pick)}
+
+    def tell(self, settings: Mapping, score: float) -> None:
+        """The score (greater is better; not finite: a failed trial) of settings that ask() gave."""
+        at = tuple(next(i for i, x in enumerate(v) if x is settings[k] or x == settings[k]) for k, v in self.space.items())
+        self.tried[at] = float(score) if np.isfinite(score) else -np.inf
+
+
+def model_search(train: DataFrame, features: list[str], make: Callable, space: Mapping[str, Sequence], trials: int = 12, cv: int = 3, seed: int = 0, parallel: int = 2, startup: int = 4) -> DataFrame:
+    """output, settings, score and trial of model-based search, best first; the mean of the outputs' scores steers it.
+
+    ``parallel`` trials at a time run as Spark jobs of their own threads, on folds that are written once. The order of
+    trials, and so the result, depends on seed, parallel and startup alone.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tessera.operators.written import dropped, written
+
+    steer, search, rows = AutoDetect([], [], cv), ParzenSearch(space, startup, seed=seed), []
+    folded = written(steer._row_ids(train), "folds")
+
+    def score(settings: dict) -> dict[str, float]:
+        return {r["output"]: r["score"] for r in cross_validate(folded, features, lambda: make(**settings), cv, steer.scoring).collect()}  # one row an output
+
+    with ThreadPoolExecutor(parallel) as pool:
+        while len(rows) < trials and len(search.tried) < search.size:
+            asked = [search.ask() for _ in range(min(parallel, trials - len(rows), search.size - len(search.tried)))]
+            for settings, scores in zip(asked, pool.map(score, asked)):
+                values = [v for v in scores.values() if v is not None]
+                search.tell(settings, float(np.mean(values)) if values else -np.inf)
+                rows.append((settings, scores))
+    dropped(folded)
+    out = [(o, str(s), v, t) for t, (s, scores) in enumerate(rows) for o, v in scores.items() if v is not None]
+    return train.sparkSession.createDataFrame(out, "output string, settings string, score double, trial int").orderBy("output", F.desc("score"), "settings")
+
+
 # uncertainty ------------------------------------------------------------------------------------------------------
 
 #: How an estimator may give its uncertainty, in order of preference.

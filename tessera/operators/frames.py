@@ -96,6 +96,22 @@ def poisson_replicates(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("weight", poisson_weight(F.col(key), F.col("replicate")))
 
 
+def drawn_replicates(df: DataFrame, key: str, n: int) -> DataFrame:
+    """key, replicate (from 1) and weight of the rows that n draws with replacement of as many rows as df has take.
+
+    Every draw of a replicate picks a place in the order of key by a hash of replicate and draw, so the weights of a
+    replicate add up to the number of rows exactly; the draws are counted before they meet the rows.
+    """
+    from tessera.operators.order import row_numbers
+
+    total = df.count()
+    spark = df.sparkSession
+    draws = spark.range(total).select(F.col("id").alias("_draw"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate"))
+    place = F.floor(hash_unit(F.concat_ws("@", "replicate", "_draw")) * total)
+    picked = draws.groupBy("replicate", place.alias("_at")).agg(F.count("*").alias("weight"))
+    return row_numbers(df, key, name="_at").join(picked, "_at").drop("_at")
+
+
 def drop_nulls(df: DataFrame) -> DataFrame:
     """Rows without a null."""
     return df.na.drop("any")

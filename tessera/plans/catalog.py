@@ -205,6 +205,22 @@ def bootstrap_ols(spark, d):
     return rounded(models.bootstrap_ols(t, t, frames.poisson_replicates(t, "row_id", 20)).drop("output"), 5)
 
 
+@query("with n as (select count(*) as n from part), d as (select r as replicate, floor((('0x'||substr(md5(r::varchar||'@'||i::varchar),1,8))::bigint/4294967296.0::double)*n)::bigint as place from n, unnest(range(n)) t(i), range(1,4) g(r)), c as (select replicate, place, count(*) as w from d group by 1, 2), p as (select p_partkey, p_retailprice, row_number() over (order by p_partkey)-1 as place from part) select replicate::bigint as replicate, sum(w)::bigint as draws, count(*)::bigint as rows_drawn, max(w)::bigint as most, round(sum(w*p_retailprice)/sum(w),6) as mean from c join p using (place) group by replicate")
+def drawn_replicates(spark, d):
+    """Bootstrap means of three replicates of exactly as many draws as there are parts."""
+    part = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("price"))
+    drawn = frames.drawn_replicates(part, "p_partkey", 3)
+    made = drawn.groupBy("replicate").agg(F.sum("weight").alias("draws"), F.count("*").alias("rows_drawn"), F.max("weight").alias("most"), (F.sum(F.col("weight") * F.col("price")) / F.sum("weight")).alias("mean"))
+    return rounded(made)
+
+
+@query()
+def model_search(spark, d):
+    """Six trials of model-based search over forests on all parts."""
+    found = estimators.model_search(_part_xy(spark, d), ["a", "b"], estimators.Tree, {"max_depth": [1, 2, 3, 4, 5, 6, 8], "max_bins": [16, 32, 64]}, trials=6)
+    return rounded(found)
+
+
 @query("select round(1-(select count(*) from (select distinct * from customer))/count(*)::double,6) as duplicate_rate, round(abs(corr(c_nationkey,c_acctbal)),6) as max_abs_corr, round(least(var_samp(c_nationkey),var_samp(c_acctbal)),4) as min_variance, round(greatest(var_samp(c_nationkey),var_samp(c_acctbal)),4) as max_variance, false as duplicate_alert, abs(corr(c_nationkey,c_acctbal))>0.95 as correlation_alert from customer")
 def bias_metrics(spark, d):
     b = design.bias_metrics(table(spark, d, "customer"), ["c_nationkey", "c_acctbal"])
