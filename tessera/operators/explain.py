@@ -40,12 +40,12 @@ def partial_dependence(predict, df: DataFrame, features: list[str], feature: str
     else:
         values = np.linspace(*[float(v) for v in ends["q"]], points).tolist()
     grid = F.broadcast(spark.createDataFrame(list(enumerate(values)), "k long, value double"))
-    # every row at every value, by definition; a value at a time is one number more in the key
+    # every row at every value, by definition; the key holds the value's number, so nothing is joined back by row
     wide = df.select(F.col("row_id").alias("_row"), "output", *[c for c in features if c != feature]).crossJoin(grid).withColumn(feature, F.col("value"))
-    numbered = wide.withColumn("row_id", F.col("_row") * len(values) + F.col("k"))
-    predicted = predict(numbered.select("row_id", "output", *features)).select("row_id", "output", "y_pred")
-    joined = numbered.select("row_id", "output", "k", "value").join(predicted, ["row_id", "output"])
-    return joined.groupBy("output", "k", "value").agg(F.avg("y_pred").alias("mean_prediction")).withColumn("feature", F.lit(feature))
+    numbered = wide.select((F.col("_row") * len(values) + F.col("k")).alias("row_id"), "output", *features)
+    k = F.pmod(F.col("row_id"), F.lit(max(len(values), 1))).alias("k")
+    means = predict(numbered).groupBy("output", k).agg(F.avg("y_pred").alias("mean_prediction"))
+    return means.join(grid, "k").withColumn("feature", F.lit(feature))
 
 
 def shap_values(predict, rows: DataFrame, features: list[str], background: np.ndarray) -> DataFrame:
