@@ -6,7 +6,7 @@ import json
 from pathlib import Path
 from string import Template
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.csv(path, header=True)
 
 
+def in_file_order(table: DataFrame, name: str = "place") -> DataFrame:
+    """A table read from files with each row's place from 0, by file name and place in the file, however files are split.
+
+    Rows of a split are numbered as they are read; the splits' row counts are added up in order of file and first byte.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = table.select(*table.columns, *split, F.monotonically_increasing_id().alias("_id"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    starts = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(starts), ["_file", "_start"]).select(*table.columns, (F.col("_before") + F.col("_id") - F.col("_first")).alias(name))
+
+
 def read_series(spark: SparkSession, path: str, time_col: str | None = None, value_cols: str | None = None) -> DataFrame:
     """series_id, t, value without nulls. Default: the first numeric column that isn't the time."""
     table = read_csv(spark, path)
@@ -25,10 +38,10 @@ def read_series(spark: SparkSession, path: str, time_col: str | None = None, val
     missing = missing_columns(table, wanted)
     if missing or not wanted:
         raise ValueError(f"columns not found: {', '.join(missing) or 'no numeric column'}")
-    # without a time column the order is that of the file: file name, then place in the file (a file is one split here)
-    order = F.col(time_col) if time_col else F.monotonically_increasing_id()
+    # without a time column the order is that of the file
+    order = F.col(time_col or "_place")
     if not time_col:
-        table = table.coalesce(1)
+        table = in_file_order(table, "_place")
     long = table.select(order.alias("t"), *[F.col(c).cast("double").alias(c) for c in wanted]).unpivot("t", wanted, "series_id", "value")
     return long.where("value is not null").select("series_id", "t", "value")
 
