@@ -14,7 +14,7 @@ from tessera.operators.frames import hash_split, last_part, numeric_columns, spl
 from tessera.operators.reduction import fit_components
 from tessera.report import report, sections
 from tessera.sources.examples import linear_problem
-from tessera.sources.tables import read_csv, read_descriptors, read_series, status_line, write_csv
+from tessera.sources.tables import in_file_order, read_csv, read_descriptors, read_series, status_line, write_csv
 
 
 def _spark() -> SparkSession:
@@ -22,7 +22,8 @@ def _spark() -> SparkSession:
 
 
 def _numbered(table: DataFrame) -> DataFrame:
-    return table.withColumn("row_id", F.monotonically_increasing_id())
+    """A table read from files with its rows' places in them, which no split changes."""
+    return in_file_order(table, "row_id")
 
 
 def detect_sampling(a: argparse.Namespace) -> int:
@@ -31,7 +32,7 @@ def detect_sampling(a: argparse.Namespace) -> int:
     if not columns:
         print("No numeric columns found in dataset")
         return 1
-    found = design.classify_sampling(_numbered(table.select(*columns)), columns, "row_id").first()
+    found = design.classify_sampling(_numbered(table), columns, "row_id").first()
     text = design.EXPLANATIONS[found["method"]]
     said = _spark().range(1).select(last_part(F.lit(text))).first()[0]
     print(f"Detected sampling: {said if '->' in text else 'Uncertain'}")
@@ -59,7 +60,7 @@ def _prepared(a: argparse.Namespace):
     missing = [c for c in (*inputs, *outputs) if c not in table.columns]
     if missing:
         raise SystemExit(f"columns not found: {', '.join(missing)}")
-    table = _numbered(table.select(*inputs, *outputs).na.drop("any"))
+    table = _numbered(table).select("row_id", *inputs, *outputs).na.drop("any")
     train, test = hash_split(table, "row_id")
     components = selected = None
     features = inputs

@@ -7,14 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import beta_quantile, gamma_quantile, normal_quantile
 from tessera.operators.frames import hash_unit, numeric_columns
 from tessera.operators.metrics import histogram
 from tessera.operators.neighbours import nearest, silhouette
-from tessera.operators.order import average_ranks, prefix_sums
+from tessera.operators.order import BLOCK_ROWS, average_ranks, prefix_sums, string_place
 from tessera.operators.reduction import fit_components
 
 
@@ -112,35 +113,64 @@ def discrepancy(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg((F.lit((13 / 12) ** len(columns)) - 2 / F.count("*") * F.sum(prod(lambda x: 1 - x * x) - prod(lambda x: 0.5 - F.abs(0.5 - x)))).alias("discrepancy"))
 
 
-def closest_pair(df: DataFrame, key: str, columns: list[str], cell: float | None = None) -> DataFrame:
-    """Least Euclidean distance of two rows: an equi-join on grid cells, which grow until the distance found is proven least.
+#: Rows that are compared on the driver at most, and the share of rows that one level of closest_pair keeps for the one before it.
+FEW_ROWS, SHARE = 2_000, 16
 
-    Two rows at most a cell's edge apart are in the same or in neighbouring cells, so a distance of at most cell is least of
-    all. Cells are laid over the first three columns: rows are no nearer in all columns than in these.
+
+def closest_pair(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Least Euclidean distance of two rows; null where fewer than two have all columns.
+
+    Equal rows settle it at 0. Else the distance in a hashed share of the rows is a cell's edge for all rows, and of those in
+    turn: the nearest pair lies in one cell or in two neighbouring ones, and an edge found in one row of SHARE leaves about
+    SHARE pairs a row to compare, however the rows are spread. The last share is at most about FEW_ROWS rows. With more than
+    three columns cells tell little, and each row looks for its nearest one between pivots (see neighbours.py).
     """
-    rows = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).na.drop("any")
-    grid = range(min(3, len(columns)))
-    ends = rows.agg(F.count("*").alias("n"), *[F.min(f"x{i}").alias(f"l{i}") for i in grid], *[F.max(f"x{i}").alias(f"h{i}") for i in grid]).first()
-    spread = [ends[f"h{i}"] - ends[f"l{i}"] for i in grid] if ends["n"] else []
-    if cell is None:
-        cell = max((max([s for s in spread if s > 0], default=1.0)) / max(ends["n"], 1) ** (1 / len(grid)), 1e-12)
-    while True:
-        here = rows.select("*", *[F.floor((F.col(f"x{i}") - F.lit(ends[f"l{i}"] or 0.0)) / cell).alias(f"c{i}") for i in grid])
-        cells = [()]
-        for _ in grid:
-            cells = [(*c, o) for c in cells for o in (-1, 0, 1)]
-        # of two neighbouring cells only one looks into the other
-        around = F.array(*[F.struct(*[(F.col(f"c{i}") + c[i]).alias(f"c{i}") for i in grid]) for c in cells if c >= tuple([0] * len(grid))])
-        near = here.select(F.col("k").alias("k2"), *[F.col(f"x{i}").alias(f"z{i}") for i in range(len(columns))], *[F.col(f"c{i}").alias(f"o{i}") for i in grid], F.explode(around).alias("c")).select("*", *[F.col(f"c.c{i}").alias(f"c{i}") for i in grid]).drop("c")
-        d = F.sqrt(sum((F.pow(F.col(f"x{i}") - F.col(f"z{i}"), 2) for i in range(len(columns))), F.lit(0.0)))
-        same = F.lit(True)
-        for i in grid:
-            same = same & (F.col(f"c{i}") == F.col(f"o{i}"))
-        pairs = here.join(near, [f"c{i}" for i in grid]).where((F.col("k") < F.col("k2")) | (~same & (F.col("k") > F.col("k2"))))
-        found = pairs.agg(F.min(d).alias("distance")).first()["distance"]
-        if (found is not None and found <= cell) or cell > 2 * max(spread, default=0.0) or ends["n"] < 2:
-            return df.sparkSession.createDataFrame([(found,)], "distance double")
-        cell = cell * 2 if found is None else max(cell * 2, min(found, cell * 8))
+    out = lambda v: df.sparkSession.createDataFrame([(v,)], "distance double")
+    names = [f"x{i}" for i in range(len(columns))]
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(x) for c, x in zip(columns, names)]).na.drop("any")
+    ends = rows.agg(F.count("*").alias("n"), *[F.min(x).alias(f"l_{x}") for x in names], *[F.max(x).alias(f"h_{x}") for x in names]).first()
+    if ends["n"] < 2:
+        return out(None)
+    if rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return out(0.0)
+    if len(columns) > 3 and ends["n"] > FEW_ROWS:
+        return out(nearest_distances(rows, rows, "k", names).agg(F.min("d")).first()[0])
+    spread = max(ends[f"h_{x}"] - ends[f"l_{x}"] for x in names)
+    levels = 0
+    while ends["n"] / SHARE**levels > FEW_ROWS / 2:
+        levels += 1
+    chance = F.pmod(F.xxhash64(*names), F.lit(SHARE**levels)) if levels else F.lit(0)
+    few = rows.where(chance == 0).select(*names).limit(FEW_ROWS).toPandas().to_numpy(float)  # at most FEW_ROWS
+    edge = _least_distance(few) if len(few) > 1 else spread
+    for level in reversed(range(levels)):
+        some = rows.where(F.pmod(F.xxhash64(*names), F.lit(SHARE**level)) == 0)
+        found = _closest_in_cells(some, names, [ends[f"l_{x}"] for x in names], max(edge * (1 + 1e-6), spread * 1e-12))
+        edge = edge if found is None else min(edge, found)
+    return out(float(edge))
+
+
+def _least_distance(x: np.ndarray) -> float:
+    x = x[np.argsort(x[:, 0])]
+    best = np.inf
+    for step in range(1, len(x)):  # rows step places apart in order of the first column
+        if (x[step:, 0] - x[:-step, 0]).min() > best:
+            break
+        best = min(best, float(np.sqrt(((x[step:] - x[:-step]) ** 2).sum(1).min())))
+    return best
+
+
+def _closest_in_cells(rows: DataFrame, names: list[str], low: list[float], edge: float) -> float | None:
+    """Least distance of two different rows in one cell or in neighbouring ones; of two neighbours only one looks into the other."""
+    cells = [f"c{i}" for i in range(len(names))]
+    here = rows.select(*names, *[F.floor((F.col(x) - F.lit(v)) / edge).alias(c) for x, v, c in zip(names, low, cells)])
+    steps = [()]
+    for _ in names:
+        steps = [(*s, o) for s in steps for o in (-1, 0, 1)]
+    around = F.array(*[F.struct(*[(F.col(c) + o).alias(c) for c, o in zip(cells, s)], F.lit(not any(s)).alias("own")) for s in steps if s >= (0,) * len(names)])
+    there = here.select(*[F.col(x).alias(f"z_{x}") for x in names], F.explode(around).alias("c")).select("*", "c.*").drop("c")
+    d = F.sqrt(sum((F.pow(F.col(x) - F.col(f"z_{x}"), 2) for x in names), F.lit(0.0)))
+    once = ~F.col("own") | (F.struct(*names) < F.struct(*[F.col(f"z_{x}").alias(x) for x in names]))
+    return here.join(there, cells).where(once).agg(F.min(d)).first()[0]
 
 
 def vector_distance(a: str, b: str) -> Column:
@@ -298,15 +328,13 @@ def exact_pattern(df: DataFrame, columns: list[str]) -> DataFrame:
     return n.select(F.when(product == F.col("n"), "Grid").when(unique, "LHS").otherwise("Random or other").alias("method"), "n")
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Greatest gap of the two cumulative distributions, over distinct values; strings are compared as such."""
+def ks_two_sample(a: DataFrame, b: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Greatest gap of the two cumulative distributions, over distinct values; strings are compared as such (by their bytes)."""
     both = a.select(F.col(column).alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")).union(b.select(column, F.lit(0), F.lit(1))).where("v is not null")
     g = both.groupBy("v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    if dict(g.dtypes)["v"] == "string":
-        w = Window.orderBy("v")  # the levels of a category
-        summed = g.select(F.sum("na").over(w).alias("ca"), F.sum("nb").over(w).alias("cb"), "na", "nb")
-    else:
-        summed = prefix_sums(g, "v", {"ca": F.col("na"), "cb": F.col("nb")}).select((F.col("ca") + F.col("na")).alias("ca"), (F.col("cb") + F.col("nb")).alias("cb"), "na", "nb")
+    text = dict(g.dtypes)["v"] == "string"
+    placed = prefix_sums(g.withColumn("_place", string_place(g, "v")), "_place", {"ca": F.col("na"), "cb": F.col("nb")}, ("v",), block_rows=block_rows) if text else prefix_sums(g, "v", {"ca": F.col("na"), "cb": F.col("nb")}, block_rows=block_rows)
+    summed = placed.select((F.col("ca") + F.col("na")).alias("ca"), (F.col("cb") + F.col("nb")).alias("cb"), "na", "nb")
     total = g.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     return summed.join(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("d"))  # one row
 
@@ -496,7 +524,7 @@ def compare_methods(spark: SparkSession, data: DataFrame, descriptors: list[dict
         try:
             made = make(spark, descriptors, n)
             gaps = [ks_two_sample(data.select(F.col(d["name"]).cast(made.schema[d["name"]].dataType).alias(d["name"])), made, d["name"]).first()["d"] for d in descriptors]
-        except Exception:
+        except (ArithmeticError, LookupError, RuntimeError, TypeError, ValueError, PythonException):  # of the descriptors; a failed job ends the comparison
             continue
         rows.append((name, order, float(sum(gaps))))
     if not rows:

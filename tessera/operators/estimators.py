@@ -12,15 +12,19 @@ from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException, PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels
 from tessera.operators.boosting import QuantileBoosting
-from tessera.operators.frames import kfold
+from tessera.operators.frames import hash_unit, kfold
+from tessera.operators.metrics import compare_rmse
 from tessera.operators.neighbours import nearest
 
 LONG = ["row_id", "output", "y_true"]
+#: What a fit that can't be made raises; a failed Spark job is none of these and ends the search.
+FIT_ERRORS = (ArithmeticError, LookupError, RuntimeError, TypeError, ValueError, IllegalArgumentException, PythonException, np.linalg.LinAlgError)
 
 
 def _rows(df: DataFrame, pred: Column, std: Column | None = None) -> DataFrame:
@@ -334,6 +338,20 @@ def cross_validate(train: DataFrame, features: list[str], make: Callable, cv: in
     return scored.groupBy("output").agg(F.avg("s").alias("score"))
 
 
+def with_noise(train: DataFrame, std: float = 10.0, seed: int = 0) -> DataFrame:
+    """train with normal noise of a deviation on y_true, drawn from the md5 of row_id, output and seed: the same on every run."""
+    u, v = (hash_unit(F.concat_ws("|", F.col("row_id").cast("string"), "output", F.lit(str(seed)), F.lit(str(k)))) for k in (1, 2))
+    return train.withColumn("y_true", F.col("y_true") + std * F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * np.pi * v))
+
+
+def compare_with_noisy(make: Callable, train: DataFrame, test: DataFrame, features: list[str], std: float = 10.0, seed: int = 0) -> DataFrame:
+    """output, model and noisy: the root mean squared errors on test of an estimator and of the same one fitted to noisy targets."""
+    both = []
+    for name, rows in (("model", train), ("noisy", with_noise(train, std, seed))):
+        both.append(compare_rmse(make().fit(rows, features).predict(test), {name: "y_pred"}))
+    return both[0].join(both[1], "output")  # one row an output
+
+
 class AutoDetect:
     """Chooses an estimator for each output by a grid search with cross-validation and fits the winners on all rows.
 
@@ -367,7 +385,7 @@ class AutoDetect:
         for place, (make, settings) in enumerate(self.candidates):
             try:
                 scores = cross_validate(folded, features, lambda make=make, settings=settings: make(**settings), self.cv, self.scoring).collect()  # one row an output
-            except Exception as e:
+            except FIT_ERRORS as e:
                 self.failures_[place] = f"{type(e).__name__}: {e}"[:200]
                 continue
             rows += [(r["output"], place, getattr(make, "__name__", str(make)), str(settings), r["score"]) for r in scores if r["score"] is not None and np.isfinite(r["score"])]

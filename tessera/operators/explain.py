@@ -48,6 +48,12 @@ def partial_dependence(predict, df: DataFrame, features: list[str], feature: str
     return means.join(grid, "k").withColumn("feature", F.lit(feature))
 
 
+def background_rows(df: DataFrame, features: list[str], key: str = "row_id", most: int = 100) -> np.ndarray:
+    """The features of at most `most` rows, those of the least md5 of key (then key): a bounded background that repeats on every run."""
+    picked = df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).na.drop("any").orderBy(F.md5(F.col(key).cast("string")), key).limit(most)
+    return picked.toPandas()[features].to_numpy(float)
+
+
 def shap_values(predict, rows: DataFrame, features: list[str], background: np.ndarray) -> DataFrame:
     """row_id and phi (one number a feature): exact Shapley values of every row by all coalitions against a small background.
 

@@ -170,6 +170,20 @@ def model_comparison_rmse(spark, d):
     return rounded(metrics.compare_rmse(p, {"ols": "ols", "mean": "mean"}))
 
 
+@query("with t as (select p_partkey as k, p_size::double as x, p_retailprice::double as y, ('0x' || substr(md5(p_partkey || '|price|0|1'),1,8))::bigint/4294967296.0::double as u, ('0x' || substr(md5(p_partkey || '|price|0|2'),1,8))::bigint/4294967296.0::double as v from part), n as (select *, y+100*sqrt(-2*ln(1-u))*cos(2*pi()*v) as z from t), f as (select regr_intercept(y,x) as a, regr_slope(y,x) as b, regr_intercept(z,x) as c, regr_slope(z,x) as d from n where k % 4 <> 0) select 'price' as output, round(sqrt(avg((y-a-b*x)*(y-a-b*x))),4) as model, round(sqrt(avg((y-c-d*x)*(y-c-d*x))),4) as noisy from t, f where k % 4 = 0")
+def noisy_baseline_rmse(spark, d):
+    """A line fitted to prices and one fitted to prices with noise, on the same test parts."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y_true"))
+    train, test = frames.remainder_split(rows, "row_id")
+    return rounded(estimators.compare_with_noisy(estimators.Linear, train, test, ["x"], 100.0), 4)
+
+
+@query("with x as (select c_name as v, c_nationkey < 12 as a from customer), g as (select v, sum(a::int) as a, sum((not a)::int) as b from x group by 1), c as (select abs(sum(a) over (order by v)/sum(a) over ()::double-sum(b) over (order by v)/sum(b) over ()::double) as g from g) select round(max(g),6) as d from c")
+def ks_strings(spark, d):
+    c = table(spark, d, "customer").select("c_name", "c_nationkey")
+    return rounded(design.ks_two_sample(c.where("c_nationkey < 12"), c.where("c_nationkey >= 12"), "c_name"))
+
+
 @query("with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b, p_retailprice as y from part), r as (select q.k as row_id, t.y, row_number() over (partition by q.k order by (t.a-q.a)*(t.a-q.a)+(t.b-q.b)*(t.b-q.b), t.k) as n from t, t q where q.k % 100 = 0 and t.k <> q.k) select row_id, round(avg(y),6) as y_pred, round(stddev_pop(y),6) as y_std from r where n <= 3 group by row_id")
 def knn_regression_std(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 1000).cast("double").alias("b"), F.col("p_retailprice").alias("y"))
@@ -617,11 +631,11 @@ def pdp_general(spark, d):
     return rounded(explain.partial_dependence(model.predict, rows, ["x", "p_size"], "p_size"), 4)
 
 
-@query("with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b from part), m as (select avg(a) as ma, avg(b) as mb from t where k % 500 = 0) select 'a' as feature, round(avg(abs(3*(a-ma))),6) as mean_abs_shap from t, m union all select 'b', round(avg(abs(-2*(b-mb))),6) from t, m")
+@query("with t as (select p_partkey as k, p_size::double as a, (p_partkey % 1000)::double as b from part), m as (select avg(a) as ma, avg(b) as mb from (select * from t order by md5(k::varchar), k limit 100)) select 'a' as feature, round(avg(abs(3*(a-ma))),6) as mean_abs_shap from t, m union all select 'b', round(avg(abs(-2*(b-mb))),6) from t, m")
 def shap_exact(spark, d):
-    """Coalitions against a background of every 500th row; of a linear function the values have a closed form."""
+    """Coalitions of all rows against a background of 100; of a linear function the values have a closed form."""
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 1000).cast("double").alias("b"))
-    background = rows.where("row_id % 500 = 0").toPandas()[["a", "b"]].to_numpy()
+    background = explain.background_rows(rows, ["a", "b"])
     return rounded(explain.mean_absolute_shap(explain.shap_values(lambda x: 3 * x[:, 0] - 2 * x[:, 1], rows, ["a", "b"], background), ["a", "b"]))
 
 

@@ -56,3 +56,39 @@ def test_sobol_points_are_nets_in_every_two_dimensions(spark):
     assert list(_primitive(2)) == [7] and list(_primitive(3)) == [11, 13] and list(_primitive(4)) == [19, 25] and len(list(_primitive(6))) == 6
     first = design.sobol_design(spark, 8).toPandas()
     assert first["x1"].tolist() == [0.0, 0.5, 0.75, 0.25, 0.375, 0.875, 0.625, 0.125] and first["x2"].tolist() == [0.0, 0.5, 0.25, 0.75, 0.375, 0.875, 0.125, 0.625]
+
+
+def test_the_closest_pair_is_found_by_shares_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(design, "FEW_ROWS", 40)
+    monkeypatch.setattr(design, "SHARE", 4)
+    rng = np.random.default_rng(5)
+    for d, spread in ((1, 1e6), (2, 1.0), (3, 1.0), (5, 1.0)):
+        x = rng.random((600, d)) * spread
+        x[:400] = x[:400] * 1e-4 + 0.5  # two thirds of all rows lie close together
+        df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *[f"x{j}" for j in range(d)]])
+        gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.eye(600) * 1e9
+        assert design.closest_pair(df, "id", [f"x{j}" for j in range(d)]).first()[0] == pytest.approx(gaps.min(), rel=1e-6)
+        again = df.unionByName(df.where("id = 17").withColumn("id", F.lit(-1).cast("long")))
+        assert design.closest_pair(again, "id", [f"x{j}" for j in range(d)]).first()[0] == 0
+
+
+def test_ks_of_strings_in_blocks_equals_one_block(spark):
+    rng = np.random.default_rng(2)
+    names = [f"name-{'é' * (k % 3)}{k * 7919 % 1000}" for k in range(300)] + ["name-", "name-\0"]
+    rows = [(str(rng.choice(names)), bool(rng.random() < (0.3 if k % 2 else 0.6))) for k in range(2000)] + [(None, True)]
+    df = spark.createDataFrame(rows, "v string, a boolean")
+    a, b = (sorted(v.encode() for v, x in rows if v is not None and x is side) for side in (True, False))
+    want = max(abs(np.searchsorted(a, v, side="right") / len(a) - np.searchsorted(b, v, side="right") / len(b)) for v in {*a, *b})
+    a = df.where("a"), df.where("not a"), "v"
+    assert design.ks_two_sample(*a).first()[0] == pytest.approx(want)
+    assert design.ks_two_sample(*a, block_rows=20).first()[0] == pytest.approx(want)
+    assert design.ks_two_sample(df.limit(0), df.limit(0), "v").first()[0] is None
+
+
+def test_a_failed_job_ends_the_comparison_of_designs(spark):
+    def broken(*_):
+        raise ConnectionError("executors are gone")
+
+    described = [{"name": "u", "kind": "uniform", "stat1": 0, "stat2": 1}]
+    with pytest.raises(ConnectionError):
+        design.compare_methods(spark, spark.range(5).select((F.col("id") / 5).alias("u")), described, methods={"x": broken})

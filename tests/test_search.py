@@ -51,3 +51,13 @@ def test_every_replicate_has_as_many_draws_as_rows(spark):
     df = spark.createDataFrame([(i * 3,) for i in range(157)], "k long")
     got = frames.drawn_replicates(df, "k", 5).groupBy("replicate").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).collect()
     assert len(got) == 5 and {r["n"] for r in got} == {157} and all(80 < r["rows"] < 115 for r in got)
+
+
+def test_noise_on_the_targets_is_normal_and_repeats(spark):
+    rows = spark.range(4000).select(F.col("id").alias("row_id"), F.lit("y").alias("output"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y_true"))
+    noise = estimators.with_noise(rows, 10.0).select((F.col("y_true") - 1).alias("e"))
+    s = noise.agg(F.avg("e"), F.stddev("e"), F.kurtosis("e"), F.avg((F.abs("e") < 10).cast("int"))).first()
+    assert abs(s[0]) < 0.6 and abs(s[1] - 10) < 0.5 and abs(s[2]) < 0.4 and abs(s[3] - 0.683) < 0.03
+    assert noise.exceptAll(estimators.with_noise(rows.repartition(5), 10.0).select(F.col("y_true") - 1)).count() == 0
+    got = estimators.compare_with_noisy(estimators.Linear, rows, rows, ["x"], 10.0).first()
+    assert got["model"] < 1e-6 < got["noisy"] < 1
