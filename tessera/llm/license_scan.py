@@ -33,17 +33,39 @@ from tessera.llm.common import broadcast_if_small, in_worker, materialize, slice
 
 #: Notices as the licences themselves word them.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0."),
+    "Artistic-2.0": ("you can redistribute it and/or modify it under the terms of the Artistic License (2.0)",),
+    "BSD-2-Clause": ("Released under the 2-Clause BSD License.",),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the 3-Clause BSD License."),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "CC-BY-3.0": ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.",),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
     "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
+    "CC-BY-NC-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."),
+    "CC-BY-NC-SA-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."),
+    "CC-BY-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."),
+    "CC-BY-SA-3.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",),
     "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
+    "CC0-1.0": ("To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",),
+    "CDDL-1.0": ("The contents of this file are subject to the terms of the Common Development and Distribution License.",),
+    "EPL-1.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
+    "EUPL-1.2": ("Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL",),
+    "GFDL-1.3": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License."),
+    "MPL-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "ODbL-1.0": ("This database is made available under the Open Database License. Any rights in individual contents of the database are licensed under the Database Contents License",),
+    "OFL-1.1": ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",),
+    "PostgreSQL": ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": ("In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications",),
     "proprietary": ("All rights reserved. No part of this work may be reproduced or distributed without written permission.", "All rights reserved."),
 }
 LEAST = 0.55
@@ -87,7 +109,8 @@ class Templates:
             for t, v in self.vectors[k].items():
                 self.index.setdefault(t, []).append((k, v))
 
-        self.may = re.compile("|".join(["spdx-license-identifier", *sorted({re.escape(w) for k in range(len(every)) for w in self._needed(k)})]))
+        whole = "|".join(sorted({re.escape(w) for k in range(len(every)) for w in self._needed(k)}))
+        self.may = re.compile("spdx-license-identifier" + (rf"|(?<![a-z0-9])(?:{whole})(?![a-z0-9])" if whole else ""))
 
     def _needed(self, k: int) -> list[str]:
         """Words of template k without all of which a text's cosine stays below what the template needs."""

@@ -450,6 +450,17 @@ def test_own_templates_need_no_known_word(spark):
     assert [got[k]["own_license"] for k in range(5)] == ["Zork-1", None, "short", None, "Zork-1"]
 
 
+def test_every_template_is_found_under_its_own_name(spark):
+    """Alone, wrapped in a comment, in capitals, and amid other text; a licence without a template is none."""
+    every = [(name, x) for name, texts in license_scan.TEMPLATES.items() for x in texts]
+    shapes = [lambda x: x, lambda x: "/* " + x.replace(" ", "\n * ") + " */", str.upper, lambda x: "Der Fuchs springt über den Zaun. " * 20 + x + " Und läuft davon." * 20]
+    rows = [(name, shape(x)) for name, x in every for shape in shapes]
+    rows += [(None, x) for x in ("Released under the Foo Bar Baz agreement.", "This program is free to read, and anyone can run it.", "He can go by with his form of information.")]
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame([(k, "x.txt", x) for k, (_, x) in enumerate(rows)], "doc_id long, path string, text string")))
+    assert [(rows[k], got[k]["own_license"]) for k in range(len(rows)) if got[k]["own_license"] != rows[k][0]] == []
+    assert len(license_scan.TEMPLATES) >= 30
+
+
 def test_license_cosines_against_all_windows(spark):
     """Brute force: every window of every template's size in a text, TF-IDF cosine from the definition, no filter of words."""
     known = license_scan.Templates()
