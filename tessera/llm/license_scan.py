@@ -3,8 +3,8 @@
 Lines that may speak of a licence (headers anywhere, the whole of a licence file) become TF-IDF vectors of word
 unigrams and bigrams and are compared with every template by cosine. So is every window of as many words as the template
 has around each licence word, across line ends, so that neither wrapping nor text around a notice hides it. The licence
-words come from the templates: of each one so many (the longest) that no text without any of them can reach the cosine
-that the template needs. SPDX
+words come from the templates: of each one so many (the weightiest) that no text without any of them can reach the cosine
+that the template needs; only templates with such a word in a text are compared with it. SPDX
 identifiers are names, not wording: they are read as such and count as a cosine of 1. A licence file gives its licence to the files of
 its directory and of all directories below it that have none of their own and no nearer licence file; ancestors are
 reached by joins on paths, longest first.
@@ -88,7 +88,7 @@ def _terms(w: list[str]) -> Counter:
 
 
 class Templates:
-    """An inverted index of the templates' TF-IDF vectors."""
+    """The templates' TF-IDF vectors, and which of their words a text must hold one of."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST):
         every = [(name, _words(x)) for name, texts in sorted(templates.items()) for x in texts]
@@ -101,40 +101,48 @@ class Templates:
         self.short = [n < SHORT for n in self.sizes]
         self.needs = [max(least, LEAST_SHORT) if x else least for x in self.short]
         self.vectors: list[dict[object, float]] = []
-        self.index: dict[object, list[tuple[int, float]]] = {}
+        self.keys: list[frozenset] = []
+        self.by_word: dict[str, list[int]] = {}
         for k, (_, w) in enumerate(every):
             terms = _terms(w)
             norm = sqrt(sum((n * self.idf[t]) ** 2 for t, n in terms.items()))
             self.vectors.append({t: n * self.idf[t] / norm for t, n in terms.items()})
-            for t, v in self.vectors[k].items():
-                self.index.setdefault(t, []).append((k, v))
+            self.keys.append(frozenset(self.vectors[k]))
+            for x in self._needed(k):
+                self.by_word.setdefault(x, []).append(k)
 
-        whole = "|".join(sorted({re.escape(w) for k in range(len(every)) for w in self._needed(k)}))
+        whole = "|".join(sorted(map(re.escape, self.by_word)))
         self.may = re.compile("spdx-license-identifier" + (rf"|(?<![a-z0-9])(?:{whole})(?![a-z0-9])" if whole else ""))
 
     def _needed(self, k: int) -> list[str]:
         """Words of template k without all of which a text's cosine stays below what the template needs."""
         out, left = [], dict(self.vectors[k])
-        for w in sorted({t for t in left if isinstance(t, str)}, key=lambda w: (-len(w), w)):
+        weight = lambda w: sum(v * v for t, v in left.items() if t == w or (not isinstance(t, str) and w in t))
+        for w in sorted({t for t in left if isinstance(t, str)}, key=lambda w: (-min(len(w), 5), -weight(w), w)):
             if sqrt(sum(v * v for v in left.values())) + 1e-6 < self.needs[k]:
                 break
             out.append(w)
             left = {t: v for t, v in left.items() if t != w and (isinstance(t, str) or w not in t)}
         return out
 
+    def _able(self, terms: set) -> list[int]:
+        """The templates that terms can reach: they hold a word that it needs, and no text of them has a greater cosine than the root of what they make up of it."""
+        some = {k for w in self.by_word.keys() & terms for k in self.by_word[w]}
+        return [k for k in some if sqrt(sum([self.vectors[k][t] ** 2 for t in terms & self.keys[k]])) + 1e-6 >= self.needs[k]]
+
     def _rank(self, k: int, cosine: float) -> tuple[int, float, str]:
         cosine = round(cosine, 9)  # equal wording ties, whatever the order of the sums
         return (int(self.short[k]), -cosine, self.names[k]) if cosine >= self.needs[k] else NONE
 
     def best(self, text: str) -> tuple[int, float, str]:
         """The rank of a whole text; words that no template has lengthen the text's vector."""
-        scores, norm = {}, 0.0
-        for t, n in _terms(_words(text)).items():
-            w = n * self.idf.get(t, self.rare)
-            norm += w * w
-            for k, v in self.index.get(t, ()):
-                scores[k] = scores.get(k, 0.0) + w * v
-        return min((self._rank(k, x / sqrt(norm)) for k, x in scores.items()), default=NONE)
+        terms = _terms(_words(text))
+        here = set(terms)
+        able = self._able(here)
+        if not able:
+            return NONE
+        norm = sqrt(sum([(n * self.idf.get(t, self.rare)) ** 2 for t, n in terms.items()]))
+        return min(self._rank(k, sum([terms[t] * self.idf[t] * self.vectors[k][t] for t in here & self.keys[k]]) / norm) for k in able)
 
     def _slide(self, k: int, w: list[str]) -> float:
         """The greatest cosine of template k with a run of as many words of w as it has (with w if that has fewer)."""
@@ -169,13 +177,9 @@ class Templates:
             else:
                 regions.append([max(k - reach, 0), k + reach])
         for lo, hi in regions:
-            part, most = w[lo:hi], {}
-            for t in {*part, *zip(part, part[1:])}:
-                for k, v in self.index.get(t, ()):
-                    most[k] = most.get(k, 0.0) + v * v
-            for k, x in most.items():  # no window has a greater cosine than the root of what the terms make up of the template
-                if sqrt(x) + 1e-6 >= self.needs[k]:
-                    found = min(found, self._rank(k, self._slide(k, part)))
+            part = w[lo:hi]
+            for k in self._able({*part, *zip(part, part[1:])}):
+                found = min(found, self._rank(k, self._slide(k, part)))
         for m in _SPDX.finditer(text):
             for x in re.findall(_ID, m[1]):
                 name = self.by_id.get(re.sub(r"(-only|-or-later|\+)$", "", x.rstrip(".")))
