@@ -9,7 +9,9 @@ Support vectors. The RBF kernel is approximated by random Fourier features (cosi
 seed), which leaves a linear problem with one dual variable a row. An augmented Lagrangian smooths the loss around the
 present dual variables; its optimum is found by Newton steps, each of which is one aggregate of m x m numbers over all
 rows; then every row gets its new dual variable and the penalty grows. Rounds end when the duality gap, summed over all
-rows, is below ``gap`` of the objective.
+rows, is below ``gap`` of the objective. Equal rows have equal dual variables and are kept once with their number; rows lie
+in order of their features over as many files as there are partitions of a shuffle, so all cores take part whatever files
+the table came in, and the random features of neighbouring rows that agree are made once.
 """
 
 from __future__ import annotations
@@ -187,6 +189,18 @@ def _by_row(rows: DataFrame, features: list[str], predict, known: set[str], step
     return some.mapInArrow(run, f"row_id {kind}, output string" + ", y_true double" * truth + ", y_pred double, y_std double")
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin, and the run of each row."""
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]).any(1)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _by_features(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values, added up over each run."""
+    return np.bincount(at, values)
+
+
 class SupportVectors:
     """Epsilon-insensitive regression of each output with an RBF kernel by ``directions`` random Fourier features and an intercept of its own."""
 
@@ -211,7 +225,10 @@ class SupportVectors:
         outputs, width = list(self.frequencies), 2 * self.directions + 1
         self.weights = {o: np.zeros(width) for o in outputs}
         self.gaps, penalty = {o: np.inf for o in outputs}, {o: self.c for o in outputs}
-        state, self.passes_ = written(rows.withColumn("beta", F.lit(0.0)), "support-rows"), 0
+        alike = rows.groupBy("output", *names, "y").agg(F.count("*").alias("n")).withColumn("beta", F.lit(0.0))
+        files = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+        order = ["output", *names, "y"]
+        state, self.passes_ = written(alike.repartitionByRange(files, *order).sortWithinPartitions(*order), "support-rows"), 0
         for _ in range(self.rounds):
             open_ = {o for o, g in self.gaps.items() if g > self.gap}
             if not open_:
@@ -221,8 +238,8 @@ class SupportVectors:
             dropped(state)
             state = newer
             # of the weights found and those that the dual variables make the better ones count
-            made = {r["output"]: np.array(r["v"]) for r in self._summed(newer, names, lambda o, phi, r, beta: (beta @ phi)[None], open_)}
-            sums = {r["output"]: np.array(r["v"]) for r in self._summed(newer, names, lambda o, phi, r, beta: np.array([[beta @ r - self.epsilon * np.abs(beta).sum(), *(np.maximum(np.abs(r - phi @ v[o]) - self.epsilon, 0).sum() for v in (w, made))]]), open_)}
+            made = {r["output"]: np.array(r["v"]) for r in self._summed(newer, names, lambda o, phi, at, r, beta, n: (_by_features(n * beta, at) @ phi)[None], open_)}
+            sums = {r["output"]: np.array(r["v"]) for r in self._summed(newer, names, lambda o, phi, at, r, beta, n: np.array([[n @ (beta * r - self.epsilon * np.abs(beta)), *(n @ np.maximum(np.abs(r - (phi @ v[o])[at]) - self.epsilon, 0) for v in (w, made))]]), open_)}
             for o in open_:
                 dual = sums[o][0] - 0.5 * made[o] @ made[o]
                 primal, self.weights[o] = min(((0.5 * v @ v + self.c * loss, v) for v, loss in ((w[o], sums[o][1]), (made[o], sums[o][2]))), key=lambda t: t[0])
@@ -232,26 +249,27 @@ class SupportVectors:
         return self
 
     def _summed(self, state: DataFrame, names: list[str], part, outputs: set[str]) -> list:
-        """output, i and v: the rows of part(output, features, targets, dual variables), a matrix, added up over all blocks of rows."""
+        """output, i and v: the rows of part(output, features, place of each row among them, targets, dual variables, numbers of equal rows), a matrix, added up over all blocks of rows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for b in batches:
-                output, x, y, beta = np.array(b.column("output").to_pylist(), object), _matrix(b, names), b.column("y").to_numpy(), b.column("beta").to_numpy()
+                output, x, y, beta, n = np.array(b.column("output").to_pylist(), object), _matrix(b, names), b.column("y").to_numpy(), b.column("beta").to_numpy(), b.column("n").to_numpy()
                 for o in set(output) & outputs:
                     mine = np.flatnonzero(output == o)
-                    for at in range(0, len(mine), 4096):
-                        some = mine[at : at + 4096]
-                        total[o] = total.get(o, 0) + part(o, self._phi(o, x[some]), y[some] - self.centre[o], beta[some])
+                    for start in range(0, len(mine), 4096):
+                        some = mine[start : start + 4096]
+                        first, at = _runs(x[some])
+                        total[o] = total.get(o, 0) + part(o, self._phi(o, x[some[first]]), at, y[some] - self.centre[o], beta[some], n[some])
             for o, v in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([o] * len(v), pa.string()), pa.array(range(len(v)), pa.int32()), pa.array(v.tolist(), pa.list_(pa.float64()))], ["output", "i", "v"])
 
         self.passes_ += 1
         return _added(state.mapInArrow(run, "output string, i int, v array<double>"), ["output", "i"], "output string, i int").collect()  # a few rows, or one a feature, of each output
 
-    def _duals(self, phi: np.ndarray, r: np.ndarray, beta: np.ndarray, w: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-        """The dual variables that belong to weights w, and whether each is free to move."""
-        u = beta + penalty * (r - phi @ w)
+    def _duals(self, fitted: np.ndarray, r: np.ndarray, beta: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+        """The dual variables that belong to the fitted values of some weights, and whether each is free to move."""
+        u = beta + penalty * (r - fitted)
         shrunk = np.sign(u) * np.maximum(np.abs(u) - penalty * self.epsilon, 0)
         return np.clip(shrunk, -self.c, self.c), (shrunk != 0) & (np.abs(shrunk) < self.c)
 
@@ -263,12 +281,15 @@ class SupportVectors:
             if not open_:
                 break
 
-            def part(o, phi, r, beta):
-                new, free = self._duals(phi, r, beta, w[o], penalty[o])
-                value = (new * (r - phi @ w[o]) - self.epsilon * np.abs(new) - (new - beta) ** 2 / (2 * penalty[o])).sum()
+            def part(o, phi, at, r, beta, n):
+                fitted = (phi @ w[o])[at]
+                new, free = self._duals(fitted, r, beta, penalty[o])
+                value = n @ (new * (r - fitted) - self.epsilon * np.abs(new) - (new - beta) ** 2 / (2 * penalty[o]))
                 first = np.zeros(phi.shape[1])
                 first[0] = value
-                return np.vstack([first, new @ phi, phi[free].T @ phi[free]])
+                moving = _by_features(n * free, at)
+                turned = phi[moving > 0] * np.sqrt(moving[moving > 0])[:, None]
+                return np.vstack([first, _by_features(n * new, at) @ phi, turned.T @ turned])
 
             got: dict[str, dict[int, list]] = {}
             for r in self._summed(state, names, part, open_):
@@ -295,12 +316,13 @@ class SupportVectors:
                 output, x, y, beta = np.array(b.column("output").to_pylist(), object), _matrix(b, names), b.column("y").to_numpy(), b.column("beta").to_numpy().copy()
                 for o in set(output) & set(w):
                     mine = np.flatnonzero(output == o)
-                    for at in range(0, len(mine), 4096):
-                        some = mine[at : at + 4096]
-                        beta[some], _ = self._duals(self._phi(o, x[some]), y[some] - self.centre[o], beta[some], w[o], penalty[o])
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ["output", "y", *names]), pa.array(beta)], ["output", "y", *names, "beta"])
+                    for start in range(0, len(mine), 4096):
+                        some = mine[start : start + 4096]
+                        first, at = _runs(x[some])
+                        beta[some], _ = self._duals((self._phi(o, x[some[first]]) @ w[o])[at], y[some] - self.centre[o], beta[some], penalty[o])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ["output", "y", *names, "n"]), pa.array(beta)], ["output", "y", *names, "n", "beta"])
 
-        return state.select("output", "y", *names, "beta").mapInArrow(run, ", ".join(["output string, y double", *(f"{c} double" for c in names), "beta double"]))
+        return state.select("output", "y", *names, "n", "beta").mapInArrow(run, ", ".join(["output string, y double", *(f"{c} double" for c in names), "n long, beta double"]))
 
     def _of(self, output: str, x: np.ndarray) -> tuple[np.ndarray, None]:
         return self.centre[output] + self._phi(output, x) @ self.weights[output], None

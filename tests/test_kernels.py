@@ -77,3 +77,21 @@ def test_features_approximate_the_kernel(spark):
     phi = model._phi("plane", x)[:, :-1]
     exact = np.exp(-0.4 * ((x[:, None] - x[None]) ** 2).sum(-1))
     assert np.abs(phi @ phi.T - exact).max() < 0.09
+
+
+def test_support_rows_are_merged_and_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A table in one file is fitted by several tasks; equal rows are kept once and weigh as often as they stand."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "y", float(i % 30), float(np.sin(i % 30) + (i % 7) * 0.1)) for i in range(400)] + [(1000 + i, "y", float(v), 0.5) for i, v in enumerate(rng.uniform(0, 30, 200))]
+    spark.createDataFrame(rows, "row_id long, output string, x double, y_true double").coalesce(1).write.parquet(f"{tmp_path}/once")
+    seen = []
+    monkeypatch.setattr(kernels, "written", lambda df, name, f=kernels.written: seen.append(f(df, name)) or seen[-1])
+    monkeypatch.setattr(kernels, "dropped", lambda df: None)
+    one = spark.read.parquet(f"{tmp_path}/once")
+    fits = [kernels.SupportVectors(2.0, 0.2, 0.05, directions=12, gap=0.002).fit(t, ["x"]) for t in (one, one.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))))]
+    first = seen[0]
+    assert first.count() == 210 + 200 and first.agg(F.sum("n")).first()[0] == 600 and first.rdd.getNumPartitions() > 1
+    by_hand = kernels.SupportVectors(10.0, 0.2, 0.05, directions=12, gap=0.002).fit(one, ["x"])  # five times a row is five times the cost
+    assert all(g <= 0.002 for m in (*fits, by_hand) for g in m.gaps.values())
+    x = np.linspace(0, 29, 30)[:, None]
+    assert np.abs(fits[1]._of("y", x)[0] - by_hand._of("y", x)[0]).max() < 0.05
