@@ -454,7 +454,7 @@ def umap_recall(spark, d):
     """The neighbour graph of all embeddings by descent, held against the exact one."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     graph = umap.neighbour_graph(e, 15)
-    exact = neighbours.nearest(e, e, "i", ["x"], 15).select(F.col("row_id").alias("i"), F.col("other").alias("j"))
+    exact = neighbours.nearest(e, e, "i", ["x"], 15).select(F.col("row_id").alias("i"), F.col("other").alias("j"), F.sqrt("d").alias("d"))
     return graph.agg(F.count("*").alias("edges"), F.lit(umap.graph_recall(graph, exact) >= 0.9).alias("recall_at_least_nine_tenths"))
 
 

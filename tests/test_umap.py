@@ -29,6 +29,15 @@ def test_graph_finds_nine_of_ten_neighbours(spark, d):
     assert graph.groupBy("i").count().where("count <> 10").count() == 0 and graph.where("i = j").count() == 0
 
 
+def test_graph_of_rows_without_structure(spark):
+    """Unit vectors in 64 dimensions: neighbours know no neighbours, so the descent alone finds too few of them."""
+    x = np.random.default_rng(3).normal(size=(5000, 64))
+    rows = table(spark, x / np.linalg.norm(x, axis=1)[:, None])
+    exact = neighbours.nearest(rows, rows.where("i % 10 = 0"), "i", ["x"], 10).select(F.col("row_id").alias("i"), F.col("other").alias("j"))
+    graph = umap.neighbour_graph(rows, 10)
+    assert umap.graph_recall(graph.where("i % 10 = 0"), exact) >= 0.9 and graph.count() == 50_000
+
+
 def test_weights_add_up_to_log2_k(spark):
     x = blobs(120, 3)
     rows = table(spark, x)
