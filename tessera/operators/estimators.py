@@ -21,6 +21,7 @@ from tessera.operators.boosting import QuantileBoosting
 from tessera.operators.frames import hash_unit, kfold
 from tessera.operators.metrics import compare_rmse
 from tessera.operators.neighbours import nearest
+from tessera.operators.written import dropped, written
 
 LONG = ["row_id", "output", "y_true"]
 #: What a fit that can't be made raises; a failed Spark job is none of these and ends the search.
@@ -146,7 +147,7 @@ class Neighbours:
             mine = rows.where(F.col("output") == r["output"])
             near = nearest(self.train.where(F.col("output") == r["output"]), mine, "row_id", self.features, self.k, "y_true", apart=False)
             both = near.groupBy("row_id").agg(F.avg("payload").alias("_p"), F.stddev_pop("payload").alias("_s"))
-            parts.append(_rows(mine.join(both, "row_id"), F.col("_p"), F.col("_s")))
+            parts.append(_rows(mine.join(both.hint("merge"), "row_id"), F.col("_p"), F.col("_s")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -377,10 +378,10 @@ class AutoDetect:
 
     def _row_ids(self, train: DataFrame) -> DataFrame:
         ids = kfold(train.select("row_id").distinct(), "row_id", self.cv)
-        return train.join(ids.select("row_id", "fold"), "row_id")
+        return train.join(ids.select("row_id", "fold").hint("merge"), "row_id")  # as long as train: never through the driver
 
     def fit(self, train: DataFrame, features: list[str]) -> AutoDetect:
-        folded = self._row_ids(train)
+        folded = written(self._row_ids(train), "folds")  # every fit of every fold reads them
         rows, self.failures_ = [], {}
         for place, (make, settings) in enumerate(self.candidates):
             try:
@@ -389,6 +390,7 @@ class AutoDetect:
                 self.failures_[place] = f"{type(e).__name__}: {e}"[:200]
                 continue
             rows += [(r["output"], place, getattr(make, "__name__", str(make)), str(settings), r["score"]) for r in scores if r["score"] is not None and np.isfinite(r["score"])]
+        dropped(folded)
         self.scores_ = train.sparkSession.createDataFrame(rows, "output string, place int, estimator string, settings string, score double")
         best: dict[str, tuple[float, int]] = {}
         for output, place, _, _, score in rows:
@@ -477,8 +479,6 @@ def model_search(train: DataFrame, features: list[str], make: Callable, space: M
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    from tessera.operators.written import dropped, written
-
     steer, search, rows = AutoDetect([], [], cv), ParzenSearch(space, startup, seed=seed), []
     folded = written(steer._row_ids(train), "folds")
 

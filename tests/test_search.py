@@ -61,3 +61,15 @@ def test_noise_on_the_targets_is_normal_and_repeats(spark):
     assert noise.exceptAll(estimators.with_noise(rows.repartition(5), 10.0).select(F.col("y_true") - 1)).count() == 0
     got = estimators.compare_with_noisy(estimators.Linear, rows, rows, ["x"], 10.0).first()
     assert got["model"] < 1e-6 < got["noisy"] < 1
+
+
+def test_folds_are_numbered_once_and_not_broadcast(spark, monkeypatch):
+    """Every fold of every candidate reads the written folds; no table as long as the rows goes through the driver."""
+    rows = spark.range(400).select(F.col("id").alias("row_id"), F.lit("y").alias("output"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 * 2).cast("double").alias("y_true"))
+    seen = []
+    monkeypatch.setattr(estimators, "kfold", lambda df, key, k, f=estimators.kfold: seen.append(f(df, key, k)) or seen[-1])
+    monkeypatch.setattr(estimators, "cross_validate", lambda folded, *rest, f=estimators.cross_validate: seen.append(folded) or f(folded, *rest))
+    search = estimators.AutoDetect([estimators.Linear, estimators.Mean], [{}, {}])
+    assert set(search.fit(rows, ["a"]).chosen_.values()) == {0}
+    assert all(len(t.inputFiles()) for t in seen[1:]) and len(seen) == 3
+    assert "BroadcastHashJoin" not in search._row_ids(rows)._jdf.queryExecution().executedPlan().toString()
