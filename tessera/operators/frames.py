@@ -137,11 +137,11 @@ def last_part(text: Column, mark: str = "->") -> Column:
 
 
 def common_labels(*tables: DataFrame) -> DataFrame:
-    """The labels (one column each) that every table has."""
+    """The labels (one column each) that every table has; each table gives each of its labels once, so no task sorts the rows of one label."""
     out = tables[0].distinct()
     for t in tables[1:]:
-        out = out.intersect(t)
-    return out
+        out = out.unionAll(t.distinct())
+    return out.groupBy(*tables[0].columns).agg(F.count("*").alias("_tables")).where(F.col("_tables") == len(tables)).drop("_tables")
 
 
 def count_labels(*tables: tuple[DataFrame, str]) -> DataFrame:

@@ -73,3 +73,13 @@ def test_folds_are_numbered_once_and_not_broadcast(spark, monkeypatch):
     assert set(search.fit(rows, ["a"]).chosen_.values()) == {0}
     assert all(len(t.inputFiles()) for t in seen[1:]) and len(seen) == 3
     assert "BroadcastHashJoin" not in search._row_ids(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_labels_shuffle_each_label_once(spark):
+    """As an intersection, nulls included; both sides are reduced to their labels before any shuffle."""
+    a = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("l"), F.col("id") % 3)).alias("label"))
+    b = spark.range(3000).select(F.when(F.col("id") % 4 > 0, F.concat(F.lit("l"), F.col("id") % 4)).alias("other"))
+    both = frames.common_labels(a, b)
+    assert both.columns == ["label"] and sorted(str(r[0]) for r in both.collect()) == ["None", "l1", "l2"]
+    assert "Join" not in both._jdf.queryExecution().executedPlan().toString()
+    assert frames.common_labels(a).count() == 3
