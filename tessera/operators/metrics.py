@@ -147,8 +147,8 @@ def adversarial_calibration(predictions: DataFrame, sizes: int = 10, draws: int
 def histogram(values: DataFrame, column: str, bins: int, by: str = "output") -> DataFrame:
     """Equal bins from least to greatest, the last one closed; empty bins have count 0."""
     ends = values.groupBy(by).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    place = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)).cast("int"))
-    counts = values.join(F.broadcast(ends), by).groupBy(by, "lo", "hi", F.coalesce(place, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))  # one row a group
+    place = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(column) - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))), F.lit(0)).cast("int"))  # one value alone: the first bin
+    counts = values.join(F.broadcast(ends), by).groupBy(by, "lo", "hi", place.alias("bin")).agg(F.count("*").alias("n"))  # one row a group
     tall = counts.groupBy(by, "lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     spread = tall.select(by, "lo", "hi", F.col("m"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return spread.select(by, "bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("left_edge"), F.coalesce(F.col("m")[F.col("bin")], F.lit(0)).cast("long").alias("n"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import neighbours
+from tessera.operators import design, neighbours
 
 
 def all_pairs(x, y, ids, queries, k, apart):
@@ -86,3 +86,23 @@ def test_silhouettes_equal_the_definition(spark, monkeypatch, clusters):
         got = {r["row_id"]: r["s"] for r in f(df, df.where("id % 2 = 0"), "id", ["a", "b"], "c").collect()}
         want = plain_silhouette(x, c, power)
         assert sorted(got) == list(range(0, 200, 2)) and np.allclose([got[i] for i in sorted(got)], want[::2])
+
+
+def test_silhouettes_of_rows_alike_are_summed_once(spark, monkeypatch):
+    """Forty copies of each of fifty rows: as many blocks' rows as rows that differ, and the figures of all pairs, each row without itself."""
+    rng = np.random.default_rng(8)
+    x, c = np.repeat(rng.normal(size=(50, 2)), 40, axis=0), np.repeat(rng.integers(0, 2, 50), 40)
+    df = spark.createDataFrame([(i, *map(float, v), int(k)) for i, (v, k) in enumerate(zip(x, c))], "id long, a double, b double, c int").repartition(4)
+    met = []
+    monkeypatch.setattr(neighbours, "_meet", lambda left, right, *rest, f=neighbours._meet: met.append((left, right)) or f(left, right, *rest))
+    got = {r["row_id"]: r["s"] for r in neighbours.silhouette(df, df, "id", ["a", "b"], "c").collect()}
+    assert np.allclose([got[i] for i in range(2000)], plain_silhouette(x, c, 1))
+    assert met[0][0].count() <= 100 and met[0][1].count() == 50
+    apart = {r["row_id"]: r["s"] for r in neighbours.silhouette(df, df.where("id % 40 = 0").withColumn("id", F.col("id") + 10_000), "id", ["a", "b"], "c").collect()}
+    assert len(apart) == 50 and all(apart[10_000 + i] > got[i] for i in range(0, 2000, 40))  # keys that the table has not leave no row out
+
+
+def test_entropy_of_rows_that_all_have_a_twin(spark):
+    """All nearest distances are 0: one bin, no division by its width."""
+    d = spark.createDataFrame([(i, 0.0) for i in range(20)], "q long, d double")
+    assert abs(design.distance_entropy(d).first()["entropy"]) == 0.0
