@@ -53,12 +53,16 @@ class ChunkEncoder:
         """Whether the chunk is encoded alike whatever stands around it."""
         return bool(chunk) and not chunk[-1].isspace() and "\x00" not in chunk
 
+    def are_safe(self, chunks: list[str]) -> list[bool]:
+        """is_safe of each chunk."""
+        return [self.is_safe(c) for c in chunks]
+
     def _learn(self) -> None:
         new = self.index.new
         if not new:
             return
         at = len(self.index) - len(new)
-        safe = np.array([self.is_safe(c) for c in new], bool)
+        safe = np.array(self.are_safe(new), bool)
         ids, length = self.encode_chunks([c for c, ok in zip(new, safe) if ok])
         full = np.zeros(len(new), np.int32)
         full[safe] = length

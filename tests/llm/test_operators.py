@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontamination, language_id, license_scan, ngram_join, quality_rules, rule_ensemble, sentencepiece_codec, sharding, suffix_dedup, token_store
-from tessera.llm.vocabularies import vocabulary_path
+from tessera.llm.vocabularies import MarkedChunks, vocabulary_path
 
 GRAM = suffix_dedup.GRAM
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -556,3 +556,22 @@ def test_components_equal_brute_force(spark, edges):
             want[a] = want[b] = min(want[a], want[b])
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+
+
+def test_chunks_of_the_token_store_are_learnt_once():
+    """op4: 800,000 chunks that come again go to the library once; marks, white space and zero bytes are found in bulk as one by one."""
+    seen = []
+
+    def chunks(new):
+        seen.append(len(new))
+        return np.arange(len(new), dtype=np.int32), np.ones(len(new), np.int64)
+
+    encoder = MarkedChunks(chunks, lambda text: [0], ["<|end of text|>"])
+    texts = [" ".join(f"c{k}" for k in range(at, at + 100_000)) for at in range(0, 800_000, 100_000)]
+    for _ in range(2):
+        for text in texts:
+            encoder([text])
+    assert sum(seen) == 800_000 - len(texts)
+    odd = ["a", "", "b\n", "c\u2003", "\x00 d", "e\x00", "f\nf", "<|end", "text|>", "xtext|>y", "é"]
+    for some in (odd, odd[:8], odd[:1]):
+        assert encoder.are_safe(some) == [encoder.is_safe(c) for c in some]
