@@ -9,6 +9,9 @@ an integral over [0, 1] of a polynomial, the product of z (1 - t) + o t over the
 whether the row stays); it is taken exactly at Gauss-Legendre points, for a batch of rows at a time. The cost is rows times
 leaves times the square of the depth, and no coalition is listed.
 
+A model's cuts part the rows into cells whose rows have the same values: a batch's cells are taken once each, and means over
+all rows (``mean_absolute_shap``) count the rows of each cell in Spark and take values of cells alone.
+
 Values of all features and the expected value add up to the prediction. A NaN goes right at every cut, as in prediction.
 """
 
@@ -16,12 +19,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from math import prod
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.order import search_sorted
 from tessera.operators.written import shared_folder
 
 #: Numbers that one numpy pass over a batch holds.
@@ -67,8 +72,23 @@ class Paths:
                     stack.append((child, way | {r["feature"]: (*ends, share * nodes[tree, child]["n"] / r["n"])}))
         self.expected = float(sum(v * s.prod() for v, _, _, _, s in self.leaves))
 
+    def cuts(self, feature: int) -> np.ndarray:
+        """The model's thresholds of a feature, ascending: rows between the same two of every feature have the same values."""
+        ends = [x[f == feature] for _, f, low, high, _ in self.leaves for x in (low, high)]
+        found = np.unique(np.concatenate([np.zeros(0), *ends]))
+        return found[np.isfinite(found)]
+
     def values(self, x: np.ndarray) -> np.ndarray:
         """Shapley values of each row and feature."""
+        cuts = [self.cuts(j) for j in range(x.shape[1])]
+        shape = [len(c) + 1 for c in cuts]
+        if not len(x) or prod(shape) >= 1 << 62:
+            return self._values(x)
+        cells = np.ravel_multi_index([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], shape)
+        _, first, cell = np.unique(cells, return_index=True, return_inverse=True)
+        return self._values(x[first])[cell]
+
+    def _values(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(x.shape)
         deepest = max((len(f) for _, f, *_ in self.leaves), default=1) or 1
         for at in range(0, len(x), max(1, _BLOCK // (deepest * deepest))):
@@ -94,8 +114,11 @@ def _gauss(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def tree_shap(model, rows: DataFrame, features: list[str], key: list[str] | None = None) -> DataFrame:
     """key (default: row_id), phi (one number a feature) and expected (the value without any feature) of every row, for a fitted Spark ML regressor of trees."""
-    spark, key = rows.sparkSession, key or ["row_id"]
-    paths = Paths(model, spark)
+    return _path_shap(Paths(model, rows.sparkSession), rows, features, key or ["row_id"])
+
+
+def _path_shap(paths: Paths, rows: DataFrame, features: list[str], key: list[str]) -> DataFrame:
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(paths)  # as large as the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +142,27 @@ def estimator_shap(estimator, rows: DataFrame) -> DataFrame:
     return out
 
 
+def cell_counts(paths: Paths, rows: DataFrame, features: list[str]) -> DataFrame:
+    """The features of one row of each cell that rows have, and n, the cell's number of rows. A null counts as NaN, right of every cut."""
+    cells = [f"_cell{j}" for j in range(len(features))]
+    x = rows.select([F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in features])
+    for j, (c, cell) in enumerate(zip(features, cells)):
+        x = search_sorted(x, F.col(c), paths.cuts(j).tolist(), cell)
+    return x.groupBy(cells).agg(*[F.min(c).alias(c) for c in features], F.count("*").alias("n")).drop(*cells)
+
+
+def mean_absolute_shap(estimator, rows: DataFrame) -> DataFrame:
+    """mean_absolute_by_output of estimator_shap, from the values of cells and their numbers of rows: no row goes through Python."""
+    out, features = None, estimator.assembler.getInputCols()
+    for output, model in estimator.fitted.items():
+        paths = Paths(model, rows.sparkSession)
+        values = _path_shap(paths, cell_counts(paths, rows.where(F.col("output") == output), features), features, ["n"])
+        means = values.groupBy(F.lit(output).alias("output")).agg(*[(F.sum(F.abs(F.get("phi", F.lit(j))) * F.col("n")) / F.sum("n")).alias(c) for j, c in enumerate(features)])
+        part = means.unpivot(["output"], features, "feature", "mean_abs_shap")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def mean_absolute_by_output(values: DataFrame, features: list[str]) -> DataFrame:
     """output, feature and mean_abs_shap: the mean absolute value over each output's rows."""
     wide = values.groupBy("output").agg(*[F.avg(F.abs(F.get("phi", F.lit(i)))).alias(c) for i, c in enumerate(features)])

@@ -648,8 +648,7 @@ m as (select (x+hi)/2 as cut, nl, nt, sl/nl as l, (st-sl)/(nt-nl) as r, st/nt as
 def shap_tree_stump(spark, d):
     """Tree Shapley values of a forest of one tree of one cut over all parts: what the leaf is off the mean."""
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.lit("price").alias("output"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("y_true"))
-    values = tree_shap.estimator_shap(estimators.Tree(1, 64).fit(rows, ["size"]), rows)
-    return rounded(tree_shap.mean_absolute_by_output(values, ["size"]))
+    return rounded(tree_shap.mean_absolute_shap(estimators.Tree(1, 64).fit(rows, ["size"]), rows))
 
 
 @query()
@@ -659,7 +658,7 @@ def shap_forest(spark, d):
     features = ["l_quantity", "l_discount", "l_tax"]
     rows = frames.to_long(li, ["row_id", *features], ["price", "net"])
     model = estimators.Forest(5, 4).fit(rows, features)
-    return rounded(tree_shap.mean_absolute_by_output(tree_shap.estimator_shap(model, rows), features), 4)
+    return rounded(tree_shap.mean_absolute_shap(model, rows), 4)
 
 
 @query(_DAILY + "select series_id, count(*)::bigint as n, round(quantile_cont(value, 0.5),6) as middle from s group by 1")

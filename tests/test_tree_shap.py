@@ -86,3 +86,36 @@ def test_estimators_of_several_outputs(spark):
     assert len(bars) == 6 and all(bars["flat", c] == 0 for c in names) and bars["a", "x0"] > 0
     both = values.withColumn("total", F.aggregate("phi", F.col("expected"), lambda s, v: s + v)).join(model.predict(long_), ["row_id", "output"])
     assert both.where("abs(total - y_pred) > 1e-9").count() == 0 and both.count() == 240
+
+
+def test_values_of_a_batch_are_taken_once_a_cell(spark):
+    """Equal values as one row at a time gives, also on a cut, between cuts and for NaN; 50 copies of a row cost one."""
+    x, names, df = training(spark, 3)
+    model = RandomForestRegressor(numTrees=3, maxDepth=4, seed=1, featuresCol="f", labelCol="y_true").fit(df)
+    paths = tree_shap.Paths(model, spark)
+    cuts = [paths.cuts(j) for j in range(3)]
+    odd = np.array([[cuts[0][0], cuts[1][-1], cuts[2][0]], [np.nextafter(cuts[0][0], np.inf), np.nan, np.inf], [np.nan, -np.inf, np.nan]])
+    x = np.concatenate([x, odd])
+    sizes, taken = [], paths._values
+    paths._values = lambda part: sizes.append(len(part)) or taken(part)
+    many = paths.values(np.concatenate([x] * 50))
+    assert np.array_equal(many, np.concatenate([np.concatenate([taken(r[None]) for r in x])] * 50))
+    assert sizes == [len({tuple(np.searchsorted(c, v) for c, v in zip(cuts, r)) for r in x})] and sizes[0] <= len(x)
+
+
+def test_means_over_rows_come_from_cells(spark):
+    """Means equal those of all rows' values; copies of rows add nothing to the rows that reach Python; nulls count as NaN."""
+    x, names, df = training(spark, 3, 120)
+    long_ = df.select("row_id", *names, F.lit("a").alias("output"), "y_true").unionByName(df.select("row_id", *names, F.lit("b").alias("output"), (F.col("x0") * 2).alias("y_true")))
+    model = estimators.Forest(3, 4).fit(long_, names)
+    odd = spark.createDataFrame([(1000, None, 0.5, 0.1, "a", 0.0), (1001, float("nan"), -0.5, None, "a", 0.0)], long_.schema)
+    rows = long_.where("output = 'a'").unionByName(odd)
+    copies = rows.crossJoin(spark.range(30)).drop("id")
+    for some, outputs in ((copies, {"a"}), (long_, {"a", "b"})):
+        by_rows = {(r["output"], r["feature"]): r["mean_abs_shap"] for r in tree_shap.mean_absolute_by_output(tree_shap.estimator_shap(model, some), names).collect()}
+        by_cells = {(r["output"], r["feature"]): r["mean_abs_shap"] for r in tree_shap.mean_absolute_shap(model, some).collect()}
+        assert by_cells.keys() == by_rows.keys() and {o for o, _ in by_cells} == outputs
+        assert all(np.isclose(v, by_rows[k]) for k, v in by_cells.items())
+    paths = tree_shap.Paths(model.fitted["a"], spark)
+    once, often = (tree_shap.cell_counts(paths, d, names).collect() for d in (rows, copies))
+    assert len(once) == len(often) <= 122 and sum(r["n"] for r in often) == 30 * sum(r["n"] for r in once) == 30 * 122
