@@ -119,3 +119,16 @@ def test_means_over_rows_come_from_cells(spark):
     paths = tree_shap.Paths(model.fitted["a"], spark)
     once, often = (tree_shap.cell_counts(paths, d, names).collect() for d in (rows, copies))
     assert len(once) == len(often) <= 122 and sum(r["n"] for r in often) == 30 * sum(r["n"] for r in once) == 30 * 122
+
+
+def test_forests_are_those_of_assembled_vectors(spark):
+    """The fit's vectors come from arrays: same trees as from the assembler, zeros and whole numbers included, and an error at NaN and null."""
+    _, names, df = training(spark, 3)
+    rows = df.select("row_id", F.lit("a").alias("output"), "x0", F.lit(0.0).alias("x1"), F.col("row_id").cast("int").alias("x2"), "y_true")
+    made = estimators.Forest(3, 4).fit(rows, names).fitted["a"]
+    assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(rows)
+    plain = RandomForestRegressor(numTrees=3, maxDepth=4, featureSubsetStrategy="all", seed=0, featuresCol="_features", labelCol="y_true").fit(assembled)
+    assert made.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+    for bad in (F.lit(float("nan")), F.lit(None).cast("double")):
+        with pytest.raises(Exception, match="null or NaN in x1"):
+            estimators.Forest(3, 4).fit(rows.withColumn("x1", F.when(F.col("row_id") == 7, bad).otherwise(0.0)), names)
