@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.common import ragged
 
@@ -57,19 +59,25 @@ class ChunkEncoder:
         """is_safe of each chunk."""
         return [self.is_safe(c) for c in chunks]
 
-    def _learn(self) -> None:
+    def _room(self, more: int) -> None:
+        while self.n_ids + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+
+    def _learn(self, later: list[int] | tuple = ()) -> None:
+        """Encodes new chunks, but not those at ``later`` among them."""
         new = self.index.new
         if not new:
             return
         at = len(self.index) - len(new)
         safe = np.array(self.are_safe(new), bool)
-        ids, length = self.encode_chunks([c for c, ok in zip(new, safe) if ok])
+        now = safe.copy()
+        now[list(later)] = False
+        ids, length = self.encode_chunks([c for c, ok in zip(new, now) if ok])
         full = np.zeros(len(new), np.int32)
-        full[safe] = length
+        full[now] = length
         while len(self.index) > len(self.start):
             self.start, self.length, self.safe = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.safe))
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self._room(len(ids))
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.start[at : at + len(new)] = self.n_ids + np.cumsum(full) - full
         self.length[at : at + len(new)] = full
@@ -77,17 +85,8 @@ class ChunkEncoder:
         self.n_ids += len(ids)
         self.index.new = []
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and the number of ids of each."""
-        if len(self.index) > self.limit:
-            self.clear()
-        look, found = self.index.__getitem__, []
-        for text in texts:
-            # the opening chunk has no space before it: it is kept under a name that no other chunk has
-            cut = text.split(" ")
-            if self.opening:
-                cut[0] = "\x00 " + cut[0]
-            found.append(np.fromiter(map(look, cut), np.int64, len(cut)))
+    def _learn_with_heads(self) -> None:
+        """Also the chunks that open a text."""
         heads = [c for c in self.index.new if self.opening and c.startswith("\x00 ")]
         if heads:
             opening = {c: self.encode_text(c[2:]) for c in heads if self.is_safe(c[2:])}
@@ -96,13 +95,25 @@ class ChunkEncoder:
                 k = self.index[c]
                 if c in opening:
                     ids = np.asarray(opening[c], np.int32)
-                    while self.n_ids + len(ids) > len(self.ids):
-                        self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                    self._room(len(ids))
                     self.ids[self.n_ids : self.n_ids + len(ids)] = ids
                     self.start[k], self.length[k], self.safe[k] = self.n_ids, len(ids), True
                     self.n_ids += len(ids)
         else:
             self._learn()
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of ids of each."""
+        if len(self.index) > self.limit:
+            self.clear()
+        look, found = self.index.__getitem__, []
+        for text in texts:
+            # the opening chunk has no space before it: it is kept under a name that no other chunk has
+            cut = text.split(" ")
+            if self.opening:
+                cut[0] = "\x00 " + cut[0]
+            found.append(np.fromiter(map(look, cut), np.int64, len(cut)))
+        self._learn_with_heads()
         out, counts = [], np.zeros(len(texts), np.int64)
         for i, (text, at) in enumerate(zip(texts, found)):
             if not text:
@@ -115,3 +126,28 @@ class ChunkEncoder:
             counts[i] = len(ids)
             out.append(ids)
         return np.concatenate(out) if out else np.zeros(0, np.int32), counts
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a column of strings (null: empty), whose chunks are told apart in Arrow, so that each is looked up once a column."""
+        if len(self.index) > self.limit:
+            self.clear()
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        first = cut.offsets.to_numpy()[:-1]  # every text has a chunk
+        coded = cut.flatten().dictionary_encode()
+        chunks, code = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        look = self.index.__getitem__
+        at = np.fromiter(map(look, chunks), np.int64, len(chunks))[code]
+        if self.opening:
+            at[first] = [look("\x00 " + chunks[k]) for k in code[first]]
+        self._learn_with_heads()
+        length = self.length[at]
+        odd = np.flatnonzero(~np.logical_and.reduceat(self.safe[at], first))
+        for k in odd:
+            length[first[k] : first[k + 1] if k + 1 < len(first) else None] = 0
+        counts = np.add.reduceat(length, first, dtype=np.int64)
+        ids = self.ids[ragged(self.start[at], length)]
+        if len(odd):
+            whole = [np.asarray(self.encode_text(texts[k].as_py() or ""), np.int32) for k in odd.tolist()]
+            ids = np.concatenate([x for pair in zip(np.split(ids, np.cumsum(counts)[odd]), [*whole, ids[:0]]) for x in pair])
+            counts[odd] = [len(x) for x in whole]
+        return ids, counts

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binary_array, default_partitions, delete_path, materialize, ragged, scratch_path, slices, strings
+from tessera.llm.common import binary_array, default_partitions, delete_path, materialize, ragged, scratch_path, slices, text_bytes
 from tessera.llm.vocabularies import byte_bpe, byte_bpe_chunks, vocabulary_path
 
 MAGIC = b"TSRTOK1\0"
@@ -31,20 +31,31 @@ MAGIC = b"TSRTOK1\0"
 FILE_IDS = 12_000_000
 #: Bytes that one task holds before it writes a file and goes on with the next; a single document may have more.
 FILE_BYTES = 64 << 20
-LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+#: Text bytes that are cut into chunks together: of more text, fewer chunks are new to it.
+TEXT_BYTES = 2 << 20
+LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int8)
 
 
 def encode_ids(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Control bytes and data bytes of consecutive documents of counts[i] ranks, and the sizes of both for each document."""
-    size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    size = np.ones(len(ranks), np.int64)
+    for k in range(1, 4):
+        more = ranks >= 1 << 8 * k
+        if not more.any():
+            break
+        size += more
     data_end = np.cumsum(size)
+    start = data_end - size
     data = np.zeros(int(data_end[-1]) if len(size) else 0, np.uint8)
-    for k in range(4):
-        has = size > k
-        data[(data_end - size)[has] + k] = (ranks[has] >> (8 * k)) & 0xFF
+    data[start] = ranks & 0xFF
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        data[start[more] + k] = (ranks[more] >> (8 * k)) & 0xFF
     controls = -(-counts // 4)
     first = np.concatenate([[0], np.cumsum(controls)])
-    place = np.arange(len(ranks)) - np.repeat(np.cumsum(counts) - counts, counts) + 4 * np.repeat(first[:-1], counts)
+    place = np.arange(len(ranks)) + np.repeat(4 * first[:-1] - (np.cumsum(counts) - counts), counts)
     two = np.zeros(4 * int(first[-1]), np.uint8)
     two[place] = size - 1
     two = two.reshape(-1, 4)
@@ -160,11 +171,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe_chunks(vocabulary)
-        for batch in slices(batches):
-            ids, counts = encoder(strings(batch.column("text")))
+        for batch in slices(batches, limit=TEXT_BYTES):
+            ids, counts = encoder.column(batch.column("text"))
             ends = np.cumsum(counts + 1)
-            out = np.full(int(ends[-1]), end_id, kind)
-            out[ragged(ends - counts - 1, counts)] = ids
+            out = np.insert(ids.astype(kind), np.cumsum(counts), end_id)
             offsets = np.concatenate([[0], ends]) * out.itemsize
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), binary_array(out, offsets)], ["doc_id", "ids"])
 
@@ -174,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         total = np.zeros(1 << (8 * np.dtype(kind).itemsize) if not wide else 1 << 20, np.int64)
         rows = 0
         for batch in slices(batches, "ids"):
-            got = np.bincount(np.concatenate([np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]))
+            got = np.bincount(text_bytes(batch.column("ids"))[0].view(kind))
             total[: len(got)] += got
             rows += batch.num_rows
         some = np.flatnonzero(total)
@@ -195,14 +205,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids"):
-            cells = batch.column("ids").to_pylist()
-            n = np.array([len(x) // np.dtype(kind).itemsize for x in cells], np.int64)
-            control, data, controls, sizes = encode_ids(rank_of[np.frombuffer(b"".join(cells), kind)], n)
-            both = controls + sizes
-            ends = np.cumsum(both)
-            blob = np.empty(int(ends[-1]), np.uint8)
-            blob[ragged(ends - both, controls)] = control
-            blob[ragged(ends - sizes, sizes)] = data
+            raw, offsets = text_bytes(batch.column("ids"))
+            n = np.diff(offsets) // np.dtype(kind).itemsize
+            control, data, controls, sizes = encode_ids(rank_of[raw.view(kind)], n)
+            cuts = [[0, *np.cumsum(x).tolist()] for x in (controls, sizes)]
+            control, data = memoryview(control), memoryview(data)
+            blob = b"".join(x for k in range(len(n)) for x in (control[cuts[0][k] : cuts[0][k + 1]], data[cuts[1][k] : cuts[1][k + 1]]))
+            ends = np.cumsum(controls + sizes)
             keys = batch.column("doc_id")
             # a doc_id that several bounds name has as many rows as several files hold: they are dealt out among these
             whole = keys.fill_null(int(lowest)).to_numpy()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import os
+import string
 
 import numpy as np
 
 from tessera.llm.chunks import SMALL_CACHE_CHUNKS, ChunkEncoder
-from tessera.llm.common import remembered
+from tessera.llm.common import ragged, remembered
 
 
 def vocabulary_path(name: str) -> str:
@@ -29,13 +30,46 @@ def byte_bpe(path: str):
 STORE_CACHE_CHUNKS = 1_500_000
 
 
+#: Letters that every version of Unicode has as such; between one of these and punctuation a byte-level vocabulary cuts.
+LETTERS = frozenset(c for a, b in (("A", "Z"), ("a", "z"), ("\u00c0", "\u024f"), ("\u0400", "\u0481")) for c in map(chr, range(ord(a), ord(b) + 1)) if c.isalpha())
+
+
 class MarkedChunks(ChunkEncoder):
-    """Chunks of a vocabulary with added tokens: a text that holds one (or a part of one that has spaces) is encoded whole."""
+    """Chunks of a vocabulary with added tokens: a text that holds one (or a part of one that has spaces) is encoded whole.
+
+    With ``cuts_tails`` the vocabulary has a cut between letters and punctuation: 'word,' has the ids of 'word' and those of ','.
+    """
 
-    def __init__(self, encode_chunks, encode_text, added: list[str]):
+    def __init__(self, encode_chunks, encode_text, added: list[str], cuts_tails: bool = False):
         self.marks = sorted({max(x.split(" "), key=len) for x in added if x.strip()})
+        self.cuts_tails = cuts_tails
         super().__init__(encode_chunks, encode_text, STORE_CACHE_CHUNKS)
 
+    def _learn(self) -> None:
+        if not self.cuts_tails:
+            return super()._learn()
+        new, at = self.index.new, len(self.index) - len(self.index.new)
+        stems = [c.rstrip(string.punctuation) for c in new]
+        joint = [k for k, (c, stem) in enumerate(zip(new, stems)) if len(stem) < len(c) and stem[-1:] in LETTERS and c[0] != "\x00"]
+        stem = np.array([self.index[stems[k]] for k in joint], np.int64)  # adds those that are new
+        super()._learn(joint)
+        chunk = at + np.array(joint, np.int64)
+        safe = self.safe[chunk]
+        chunk, stem = chunk[safe], stem[safe]
+        tails: dict[str, int] = {}
+        kind = np.array([tails.setdefault(new[k][len(stems[k]) :], len(tails)) for k, ok in zip(joint, safe) if ok], np.int64)
+        each = [np.asarray(self.encode_text(x), np.int32) for x in tails]
+        if not each:
+            return
+        sizes = np.array([len(x) for x in each])
+        n, m = self.length[stem].astype(np.int64), sizes[kind]
+        begin = self.n_ids + np.cumsum(n + m) - (n + m)
+        self._room(int((n + m).sum()))
+        self.ids[ragged(begin, n)] = self.ids[ragged(self.start[stem], n)]
+        self.ids[ragged(begin + n, m)] = np.concatenate(each)[ragged((np.cumsum(sizes) - sizes)[kind], m)]
+        self.start[chunk], self.length[chunk] = begin, n + m
+        self.n_ids += int((n + m).sum())
+
     def is_safe(self, chunk: str) -> bool:
         return super().is_safe(chunk) and not any(m in chunk for m in self.marks)
 
@@ -50,6 +84,8 @@ class MarkedChunks(ChunkEncoder):
 def byte_bpe_chunks(path: str) -> ChunkEncoder:
     """The tokenizers library over distinct chunks: one call for all new ones, cut apart at the ids that open with a space."""
     tokenizer = byte_bpe(path)
+    from tokenizers.pre_tokenizers import ByteLevel
+
     opens = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, k in tokenizer.get_vocab().items():
         opens[k] = token.startswith("Ġ")
@@ -72,7 +108,9 @@ def byte_bpe_chunks(path: str) -> ChunkEncoder:
             length.append(sizes)
         return np.concatenate(ids), np.concatenate(length)
 
-    return MarkedChunks(chunks, text, [x.content for x in tokenizer.get_added_tokens_decoder().values()])
+    cut = tokenizer.pre_tokenizer
+    cuts_tails = isinstance(cut, ByteLevel) and cut.use_regex and tokenizer.normalizer is None
+    return MarkedChunks(chunks, text, [x.content for x in tokenizer.get_added_tokens_decoder().values()], cuts_tails)
 
 
 @remembered

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontamination, language_id, license_scan, ngram_join, quality_rules, rule_ensemble, sentencepiece_codec, sharding, suffix_dedup, token_store
-from tessera.llm.vocabularies import MarkedChunks, vocabulary_path
+from tessera.llm.vocabularies import MarkedChunks, byte_bpe_chunks, vocabulary_path
 
 GRAM = suffix_dedup.GRAM
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -575,3 +575,27 @@ def test_chunks_of_the_token_store_are_learnt_once():
     odd = ["a", "", "b\n", "c\u2003", "\x00 d", "e\x00", "f\nf", "<|end", "text|>", "xtext|>y", "é"]
     for some in (odd, odd[:8], odd[:1]):
         assert encoder.are_safe(some) == [encoder.is_safe(c) for c in some]
+
+
+def test_columns_of_the_token_store_equal_plain_calls(monkeypatch):
+    """op4: a column's chunks are looked up once each, words with and without punctuation go to the library once; ids are those of its plain call."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path("byte_bpe_50k.json")
+    t, encoder = Tokenizer.from_file(path), byte_bpe_chunks.__wrapped__(path)
+    seen, plain = [], encoder.encode_chunks
+    monkeypatch.setattr(encoder, "encode_chunks", lambda new: seen.extend(new) or plain(new))
+    odd = ["word", "word,", "word.", "(word)", "don't,", "it's'", "x's", "x'", "'s,", "été!", "слово?", "слово", "a1,", "1,", "×,", "÷.", "中文,", "ª,", "á,", "one.\nTwo,", "a\n,", ",", "...", "__x__", "a’,", "<|endoftext|>", "x<|endoftext|>.", "<|endoftext", "a\x00b,", "\x00 q,", "é—,", "b ,", "c\r\n."]
+    words = [f"{a}{b}" for a in ("lorem", "ipsum", "dolorem") for b in ("", ",", ".", "!?", ")", "'", "...", "\n", "  ")]
+    texts = ["", None, " ", "word, ", *odd, *(f"{a} {b}" for a in odd for b in odd), " ".join(words), " ".join(reversed(words)), "  two  spaces "]
+    for some in (texts, texts[::-1], texts[3:40], texts[1:2]):
+        for column in (pa.array(some, pa.string()), pa.array(["cut", *some, None, "off"], pa.string()).slice(1, len(some))):
+            ids, counts = encoder.column(column)
+            want = [t.encode(x or "", add_special_tokens=False).ids for x in some]
+            assert counts.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [i for x in want for i in x]
+            alone = encoder([x or "" for x in some])
+            assert alone[0].tolist() == ids.tolist() and alone[1].tolist() == counts.tolist()
+    assert len(seen) == len(set(seen)) and not {"word,", "word.", "été!", "слово?", "lorem,", "lorem..."} & set(seen)
+    assert {"word", "lorem", "×,", "中文,", "a1,"} <= set(seen)
