@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.frames import hash_unit
-from tessera.operators.neighbours import _lists, _matrix, _squares, _vector, _whole, nearest
+from tessera.operators.neighbours import _SUMMED, LARGE, WIDE, _lists, _matrix, _near_by_products, _paired, _rounding, _squares, _vector, _whole, nearest
 from tessera.operators.reduction import fit_components
 from tessera.operators.written import dropped, written
 
@@ -56,13 +56,19 @@ def _closest(df: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
 
 
-def _leaves(rows: DataFrame, n: int, width: int, forest: int, seed: int) -> DataFrame:
+def _spread(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature."""
+    found = {r["j"]: r for r in rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()}  # one row a feature
+    return tuple(np.array([(found[j][c] if j in found else 0.0) or 0.0 for j in range(width)]) for c in "ms")
+
+
+def _leaves(rows: DataFrame, n: int, spread: tuple[np.ndarray, np.ndarray], forest: int, seed: int) -> DataFrame:
     """rows with leaf: which side of random planes through random medians they are on, and a hash where a leaf is too full."""
     bits = max(0, int(np.ceil(np.log2(max(n / LEAF_ROWS, 1)))))
+    mean, scale = spread
+    width = len(mean)
     dice = np.random.default_rng([seed, forest])
     planes = dice.normal(size=(max(bits, 1), width))
-    spread = rows.select(*[F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in range(width)], *[F.stddev_pop(F.get("x", F.lit(j))).alias(f"s{j}") for j in range(width)]).first()
-    mean, scale = (np.array([spread[f"{c}{j}"] or 0.0 for j in range(width)]) for c in "ms")
     shift = dice.normal(size=max(bits, 1)) * 0.5
 
     def side(batches):
@@ -82,6 +88,12 @@ def _leaves(rows: DataFrame, n: int, width: int, forest: int, seed: int) -> Data
 def _within(k: int):
     def run(table: pa.Table) -> pa.Table:
         ids, x = table.column("i").to_numpy(), _matrix(table.column("x"))
+        if len(ids) > 4 * k and x.shape[1] >= WIDE and np.abs(x).max() < LARGE:
+            i, j, d = (np.concatenate(v) for v in zip(*_near_by_products(x, x, k + 1)))
+            other = i != j  # of many rows alike a row may not be among its own nearest
+            i, j, d = i[other], j[other], d[other]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            return pa.table([pa.array(ids[i[first]]), pa.array(ids[j[first]]), pa.array(np.sqrt(d[first]))], ["i", "j", "d"])
         d = np.sqrt(_squares(x, x))
         np.fill_diagonal(d, np.inf)
         first = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
@@ -97,14 +109,24 @@ def _introduce(batches):
         sizes = np.diff(known.offsets.to_numpy())
         flat = known.flatten()
         ids, reach, new, x = flat.field("id").to_numpy(), flat.field("reach").to_numpy(), flat.field("new").to_numpy(zero_copy_only=False), _matrix(flat.field("x"))
-        at, out = 0, []
-        for n in sizes:
-            part = slice(at, at + n)
-            at += n
-            d = np.sqrt(_squares(x[part], x[part]))
-            fresh = new[part][:, None] | new[part][None, :]  # pairs of old acquaintances have met
-            a, c = np.nonzero((d < reach[part][:, None]) & fresh & (ids[part][:, None] != ids[part][None, :]))
-            out.append((ids[part][a], ids[part][c], d[a, c]))
+        start, out = np.cumsum(sizes) - sizes, []
+        slack = 2 * _rounding(x.shape[1])
+        for n in np.unique(sizes):
+            rows = start[sizes == n]
+            for group in np.array_split(rows, -(-len(rows) * n * (n + x.shape[1]) // _SUMMED) or 1):
+                at = group[:, None] + np.arange(n)
+                # products tell which pairs may be near enough; these are summed feature by feature
+                v = x[at] - x[at].mean(1, keepdims=True)
+                squares = (v**2).sum(2)
+                least = (1 - slack) * (squares[:, :, None] + squares[:, None, :]) - 2 * (v @ v.transpose(0, 2, 1))
+                near = ~(least > (reach[at] ** 2 * (1 + slack))[:, :, None])
+                near &= new[at][:, :, None] | new[at][:, None, :]  # pairs of old acquaintances have met
+                near &= ids[at][:, :, None] != ids[at][:, None, :]
+                p, a, c = np.nonzero(near)
+                a, c = at[p, a], at[p, c]
+                d = np.sqrt(_paired(x, x, a, c))
+                nearer = d < reach[a]
+                out.append((ids[a[nearer]], ids[c[nearer]], d[nearer]))
         i, j, d = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(d.astype(float)), pa.array(np.ones(len(i), bool))], ["i", "j", "d", "new"])
 
@@ -114,13 +136,15 @@ def neighbour_graph(rows: DataFrame, k: int = 15, rounds: int = 8, tolerance: fl
     rows = rows.select("i", "x")
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
     n, width = facts["n"], facts["width"] or 1
-    first = None
+    first, spread = None, _spread(rows, width)
     for forest in range(FORESTS if n > MOST_LEAF else 1):
-        met = _leaves(rows, n if n > MOST_LEAF else 1, width, forest, seed).groupBy("leaf", "part").applyInArrow(_within(k), "i long, j long, d double")
+        met = _leaves(rows, n if n > MOST_LEAF else 1, spread, forest, seed).groupBy("leaf", "part").applyInArrow(_within(k), "i long, j long, d double")
         first = met if first is None else first.unionByName(met)
     if first is None or n <= MOST_LEAF:  # one leaf holds all rows: the graph is exact
         return written(_closest(first.withColumn("new", F.lit(True)), k).drop("new"), "neighbour-graph")
     graph = written(_closest(first.withColumn("new", F.lit(True)), k), "neighbour-graph")
+    some = written(_exact(rows, rows.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(CHECKED), k), "exact-of-some")
+    shares = []
     for step in range(rounds):
         reach = graph.groupBy("i").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("reach"))
         # a sample of the rows that have this one as a neighbour
@@ -133,27 +157,38 @@ def neighbour_graph(rows: DataFrame, k: int = 15, rounds: int = 8, tolerance: fl
         changed = newer.where("new").count()
         dropped(graph)
         graph = newer
-        if changed <= tolerance * n * k:
+        shares.append(graph_recall(graph, some))
+        if changed <= tolerance * n * k or _out_of_reach(shares, rounds, least + MARGIN):
             break
-    some = rows.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(CHECKED)
-    if graph_recall(graph, _exact(rows, some, k)) >= least + MARGIN:
+    dropped(some)
+    if shares[-1] >= least + MARGIN:
         return graph.select("i", "j", "d")
     whole = written(_exact(rows, rows, k), "neighbour-graph")
     dropped(graph)
     return whole
 
 
+def _out_of_reach(shares: list[float], rounds: int, least: float) -> bool:
+    """Whether a graph with these shares of the exact neighbours, round by round, stays below least though the rounds left gain as much as the last one, which gained no more than the one before."""
+    if len(shares) < 3:
+        return False
+    gain, before = shares[-1] - shares[-2], shares[-2] - shares[-3]
+    return gain <= before and shares[-1] + (rounds - len(shares)) * gain < least
+
+
 def _exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return nearest(rows, queries, "i", ["x"], k).select(F.col("row_id").alias("i"), F.col("other").alias("j"), F.sqrt("d").alias("d"))
 
 
 def graph_recall(graph: DataFrame, exact: DataFrame) -> float:
     """Share of the exact neighbours (i, j) that the graph has; where exact has distances d, a neighbour as near as the last exact one counts, whichever of rows alike it is."""
-    total = exact.count()
-    if total and "d" in exact.columns:
+    if "d" in exact.columns:  # exact is asked once
         reach = exact.groupBy("i").agg(F.max("d").alias("_reach"), F.count("*").alias("_k"))
-        had = graph.join(reach, "i").where(F.col("d") <= F.col("_reach") * (1 + 1e-9)).groupBy("i").agg(F.least(F.count("*"), F.max("_k")).alias("_n"))
-        return (had.agg(F.sum("_n")).first()[0] or 0) / total
+        near = F.count(F.when(F.col("d") <= F.col("_reach") * (1 + 1e-9), 1))
+        had = graph.join(reach, "i", "right").groupBy("i").agg(F.least(near, F.max("_k")).alias("_n"), F.max("_k").alias("_k"))
+        found, total = had.agg(F.sum("_n"), F.sum("_k")).first()
+        return found / total if total else 1.0
+    total = exact.count()
     return exact.join(graph, ["i", "j"], "left_semi").count() / total if total else 1.0
 
 

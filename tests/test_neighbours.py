@@ -1,6 +1,7 @@
 """Nearest rows and silhouettes against all pairs, by every plan."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,38 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, case):
             assert near.compared.value < 0.6 * n * n
 
 
+@pytest.mark.parametrize("case", ["even", "far", "alike", "whole numbers", "huge"])
+def test_wide_rows_equal_all_pairs_at_a_hundredth_of_the_sums(spark, monkeypatch, case):
+    """Products only choose: distances, ties and places are those of all pairs, and few pairs are summed feature by feature."""
+    rng = np.random.default_rng(4)
+    n = 1500
+    x = rng.normal(size=(n, 24))
+    if case == "far":
+        x += 1e8
+    if case == "alike":
+        x[::3] = x[0]
+    if case == "whole numbers":
+        x = np.round(x)
+    if case == "huge":
+        x[7] *= 1e200
+    summed = []
+    monkeypatch.setattr(neighbours, "_paired", lambda q, x, row, col, f=neighbours._paired: summed.append(len(row)) or f(q, x, row, col))
+    a, b = (pa.table({key: pa.array(range(n)), "x": neighbours._lists(x), **more}) for key, more in (("q", {}), ("other", {"payload": pa.array(np.zeros(n))})))
+    got = neighbours._best(6, spark.sparkContext.accumulator(0))(a, b).to_pandas().sort_values(["q", "d", "other"])
+    with np.errstate(over="ignore"):
+        d = neighbours._squares(x, x)
+    want = np.argsort(d, axis=1, kind="stable")[:, :6]
+    assert got["other"].tolist() == want.ravel().tolist() and got["d"].tolist() == np.take_along_axis(d, want, axis=1).ravel().tolist()
+    if case == "even":
+        assert 0 < sum(summed) < n * n / 50
+    if case in ("even", "alike"):
+        df = spark.createDataFrame(list(zip(range(n), x.tolist())), "id long, v array<double>").repartition(3)
+        near = neighbours.nearest(df, df.where("id % 10 = 0"), "id", ["v"], 5).collect()
+        other = np.where(np.eye(n, dtype=bool), np.inf, d)
+        want = np.argsort(other, axis=1, kind="stable")[:, :5]
+        assert len(near) == 750 and all(want[r["row_id"], r["place"] - 1] == r["other"] and r["d"] == d[r["row_id"], r["other"]] for r in near)
+
+
 def test_few_rows_nulls_and_empty_tables(spark, monkeypatch):
     rows = [(1, 0.0, 1.0), (2, 1.0, 1.0), (3, None, 2.0), (4, float("nan"), 0.0), (5, 7.0, 1.0)]
     df = spark.createDataFrame(rows, "id long, a double, b double")

@@ -38,6 +38,28 @@ def test_graph_of_rows_without_structure(spark):
     assert umap.graph_recall(graph.where("i % 10 = 0"), exact) >= 0.9 and graph.count() == 50_000
 
 
+def test_hopeless_descents_are_given_up(spark, monkeypatch):
+    """Evenly spread rows: the descent ends after few rounds, the exact neighbours of all are asked once, and equal those of all pairs."""
+    x = np.random.default_rng(5).normal(size=(2500, 64))
+    rows, asked = table(spark, x), []
+    monkeypatch.setattr(umap, "nearest", lambda *a, f=umap.nearest: asked.append(a[1].count()) or f(*a))
+    rounds = []
+    monkeypatch.setattr(umap, "graph_recall", lambda *a, f=umap.graph_recall: rounds.append(1) or f(*a))
+    got = umap.neighbour_graph(rows, 5, rounds=20, tolerance=-1).toPandas().sort_values(["i", "d", "j"])
+    d = neighbours._squares(x, x)
+    np.fill_diagonal(d, np.inf)
+    assert asked == [umap.CHECKED, 2500] and len(rounds) < 20
+    assert got["j"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :5].ravel().tolist()
+    assert not umap._out_of_reach([0.1, 0.2], 8, 0.9) and not umap._out_of_reach([0.1, 0.2, 0.4], 8, 0.9) and umap._out_of_reach([0.1, 0.2, 0.25], 8, 0.9)
+
+
+def test_exact_neighbours_are_made_once_a_recall(spark):
+    seen = spark.sparkContext.accumulator(0)
+    exact = spark.range(60).select((F.col("id") % 20).alias("i"), (F.col("id") % 7 + 100).alias("j"), (F.col("id") % 3 + 1.0).alias("d"))
+    counted = exact.mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), exact.schema)
+    assert umap.graph_recall(exact.where("i >= 5"), counted) == 0.75 and seen.value == 60
+
+
 def test_weights_add_up_to_log2_k(spark):
     x = blobs(120, 3)
     rows = table(spark, x)
