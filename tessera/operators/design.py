@@ -17,6 +17,7 @@ from tessera.operators.metrics import histogram
 from tessera.operators.neighbours import nearest, silhouette
 from tessera.operators.order import BLOCK_ROWS, average_ranks, prefix_sums, string_place
 from tessera.operators.reduction import fit_components
+from tessera.operators.written import written
 
 
 def correlation(a: str, b: str) -> Column:
@@ -217,7 +218,7 @@ def classify_sampling(df: DataFrame, columns: list[str], key: str, every: int =
     vectors = VectorAssembler(inputCols=["e1", "e2"], outputCol="_v").transform(flat)
     labelled = KMeans(k=2, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors).transform(vectors).drop("_v")
     queries = labelled if every == 1 else labelled.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0)
-    d = nearest_distances(labelled, queries, key, ["e1", "e2"])
+    d = written(nearest_distances(labelled, queries, key, ["e1", "e2"]).select("d"), "nearest-distances")  # read three times
     stats = d.agg(F.count("*").alias("n"), F.stddev_pop("d").alias("std"))
     s = silhouette(labelled, queries, key, ["e1", "e2"], "cluster").agg(F.avg("s").alias("silhouette"))
     one = stats.join(s).join(distance_entropy(d))  # one row each

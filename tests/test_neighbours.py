@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import design, neighbours
+from tessera.operators import design, distance_sums, neighbours
 
 
 def all_pairs(x, y, ids, queries, k, apart):
@@ -135,6 +135,45 @@ def test_silhouettes_of_rows_alike_are_summed_once(spark, monkeypatch):
     assert len(apart) == 50 and all(apart[10_000 + i] > got[i] for i in range(0, 2000, 40))  # keys that the table has not leave no row out
 
 
+def test_distance_sums_equal_all_pairs(spark, monkeypatch):
+    """Rows on lines, in a heap of 1e-7 and far out; weights; to nine digits."""
+    monkeypatch.setattr(distance_sums, "SQUARE_ROWS", 40)
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(size=(900, 2)), np.column_stack([rng.uniform(-3, 3, 400), rng.integers(0, 5, 400)]), 1e-7 * rng.normal(size=(200, 2)) + 2, rng.normal(size=(200, 2)) * 100])
+    n = len(x)
+    c, w = rng.integers(0, 3, n), rng.integers(1, 4, n)
+    rows = spark.createDataFrame([(v.tolist(), int(k), int(m)) for v, k, m in zip(x, c, w)], "x array<double>, c int, w long").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q long, x array<double>")
+    got = distance_sums.distance_sums(rows, asked, n, 3).toPandas().sort_values(["q", "c"])
+    weight = np.zeros((n, 3))
+    weight[np.arange(n), c] = w
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) @ weight
+    assert len(got) == 3 * n and np.allclose(got["total"].to_numpy().reshape(n, 3), want, rtol=1e-9, atol=0)
+
+
+@pytest.mark.parametrize("case", ["plane", "line", "one place", "other keys"])
+def test_silhouettes_by_squares_meet_no_blocks(spark, monkeypatch, case):
+    """No row is copied to a block for every query, and the figures are those of all pairs."""
+    monkeypatch.setattr(neighbours, "SUMMED_ROWS", 0)
+    monkeypatch.setattr(distance_sums, "SQUARE_ROWS", 20)
+    monkeypatch.setattr(neighbours, "_meet", None)
+    rng = np.random.default_rng(3)
+    c = rng.integers(0, 3, 400)
+    x = rng.normal(size=(400, 2)) + 4 * np.column_stack([c, c % 2])
+    x[::7] = x[0]
+    if case == "one place":
+        x[:] = 0.1
+    if case == "line":
+        x[:, 1] = 0
+    features = ["a"] if case == "line" else ["a", "b"]
+    df = spark.createDataFrame([(i, *map(float, v), int(k)) for i, (v, k) in enumerate(zip(x, c))], "id long, a double, b double, c int").repartition(4)
+    shift = 10_000 if case == "other keys" else 0
+    got = {r["row_id"] - shift: r["s"] for r in neighbours.silhouette(df, df.where("id % 2 = 0").withColumn("id", F.col("id") + shift), "id", features, "c").collect()}
+    want = plain_silhouette(x, c, 1)
+    assert sorted(got) == list(range(0, 400, 2))
+    assert np.allclose([got[i] for i in sorted(got)], want[::2], atol=0.02 if shift else 1e-8)
+
+
 def test_entropy_of_rows_that_all_have_a_twin(spark):
     """All nearest distances are 0: one bin, no division by its width."""
     d = spark.createDataFrame([(i, 0.0) for i in range(20)], "q long, d double")
